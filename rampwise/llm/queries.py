@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm import bpe
+from rampwise.llm import bpe, decontam
 from rampwise.llm.common import table
 
 
@@ -17,8 +17,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = decontam.find(docs, table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "found.n_words", "found.n_hit", F.size("found.item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("found.item_ids", ","), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict:
-    return {"op9_bpe": op9_bpe}
+    return {"op5_decontam": op5_decontam, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
