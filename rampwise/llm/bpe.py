@@ -13,17 +13,18 @@ executors. Null and empty texts give no ids. Rows that repeat are kept, each for
 from __future__ import annotations
 
 import base64
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import by_bytes, id_text, written
+from rampwise.llm.common import bucketed, by_bytes, id_text
 
 #: Text of about so many bytes makes a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 32 << 20
+#: A word's key is its chunk's number, shifted by so many bits, and its code in the chunk.
+CODE_BITS = 30
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -103,9 +104,11 @@ def unplaned(packed: bytes) -> np.ndarray:
 def _chunks(pattern: str, chunk_bytes: int):
     def run(frames):
         import regex
+        from pyspark import TaskContext
 
+        first = TaskContext.get().partitionId() << 11
         cut = regex.compile(pattern).findall
-        for rows in by_bytes(frames, chunk_bytes):
+        for number, rows in enumerate(by_bytes(frames, chunk_bytes)):
             words: dict[str, int] = {}
             put, codes, counts = words.setdefault, [], []
             for _, text in rows:
@@ -118,21 +121,29 @@ def _chunks(pattern: str, chunk_bytes: int):
             new = np.empty(len(words), np.uint32)
             new[order] = np.arange(len(words), dtype=np.uint32)
             keys = [w.encode() for w in words]
-            yield pd.DataFrame({"chunk": [uuid.uuid4().hex], "ids": [[None if pd.isna(i) else int(i) for i, _ in rows]], "counts": [counts], "codes": [planes(new[joined])], "words": [[keys[k] for k in order]]})
+            yield pd.DataFrame({"chunk": [first + number], "ids": [[None if pd.isna(i) else int(i) for i, _ in rows]], "counts": [counts], "codes": [planes(new[joined])], "words": [[keys[k] for k in order]]})
 
     return run
 
 
 def _encode_words(ranks):
     def run(frames):
-        table, last, ids = ranks.value, None, b""
+        table, last, ids = ranks.value, None, []
         for pdf in frames:
-            out = []
+            flat, lengths = [], []
             for word in pdf["word"].tolist():
                 if word != last:
-                    last, ids = word, np.array(merge(bytes(word), table), "<u4").tobytes()
-                out.append(ids)
-            yield pd.DataFrame({"chunk": pdf["chunk"], "code": pdf["code"], "ids": out})
+                    last, ids = word, merge(bytes(word), table)
+                flat += ids
+                lengths.append(len(ids))
+            key, lengths, flat = pdf["key"].to_numpy(), np.array(lengths, np.int64), np.array(flat, np.int64)
+            starts, out = np.cumsum(lengths) - lengths, []
+            order = np.argsort(key, kind="stable")
+            chunk = key[order] >> CODE_BITS
+            for own in np.split(order, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1):
+                codes = key[own] & ((1 << CODE_BITS) - 1)
+                out.append((int(key[own[0]] >> CODE_BITS), len(own), planes(np.concatenate([codes, lengths[own], flat[ragged(starts[own], lengths[own])]]))))
+            yield pd.DataFrame(out, columns=["chunk", "n", "packed"])
 
     return run
 
@@ -140,9 +151,12 @@ def _encode_words(ranks):
 def _reassemble(chunks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     if not len(chunks):
         return pd.DataFrame({"doc_id": pd.Series([], dtype="Int64"), "ids": []})
-    got = words["ids"].to_numpy()[np.argsort(words["code"].to_numpy())]
-    lengths = np.fromiter((len(x) // 4 for x in got), np.int64, len(got))
-    flat, starts = np.frombuffer(b"".join(got), "<u4"), np.cumsum(lengths) - lengths
+    parts = [(n, unplaned(packed)) for n, packed in zip(words["n"], words["packed"], strict=True)]
+    none = [np.zeros(0, np.int64)]
+    code, length, flat = (np.concatenate(none + x) for x in ([p[:n] for n, p in parts], [p[n : 2 * n] for n, p in parts], [p[2 * n :] for n, p in parts]))
+    del parts
+    starts, lengths = np.empty(len(code), np.int64), np.empty(len(code), np.int64)
+    starts[code], lengths[code], flat = np.cumsum(length) - length, length, flat.astype("<u4")
     row = chunks.iloc[0]
     codes, out, at = unplaned(row["codes"]), [], 0
     for n in row["counts"]:
@@ -156,9 +170,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     """(doc_id, ids): the token ids of each whole text as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
-    chunks = written(id_text(docs, id_col, text_col).mapInPandas(_chunks(pattern, chunk_bytes), "chunk string, ids array<long>, counts array<long>, codes binary, words array<binary>"), "bpe-chunks")
-    words = chunks.select("chunk", F.posexplode("words").alias("code", "word")).repartition("word").sortWithinPartitions("word")
-    encoded = words.mapInPandas(_encode_words(shared), "chunk string, code int, ids binary")
+    chunks = bucketed(id_text(docs, id_col, text_col).mapInPandas(_chunks(pattern, chunk_bytes), "chunk long, ids array<long>, counts array<long>, codes binary, words array<binary>"), "chunk", "bpe")
+    words = chunks.select("chunk", F.posexplode("words").alias("code", "word")).select((F.shiftleft("chunk", CODE_BITS) + F.col("code")).alias("key"), "word").repartition("word").sortWithinPartitions("word")
+    encoded = words.mapInPandas(_encode_words(shared), "chunk long, n long, packed binary")
     return chunks.select("chunk", "ids", "counts", "codes").groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInPandas(_reassemble, "doc_id long, ids binary")
 
 

@@ -36,6 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``written``, in buckets by ``key``: as many as there are shuffle partitions, so that grouping by it needs no exchange."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    view = path.rpartition("/")[2].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(view)
+    return spark.table(view)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint, after making sure that a checkpoint folder is set."""
     shared_dir(df.sparkSession)
