@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm import bpe, decontam
+from rampwise.llm import bpe, decontam, linededup
 from rampwise.llm.common import table
 
 
@@ -23,8 +23,13 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "found.n_words", "found.n_hit", F.size("found.item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("found.item_ids", ","), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"))
 
 
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "text", "line_dedup.n_lines", "line_dedup.n_removed", "line_dedup.emptied")
+
+
 def queries() -> dict:
-    return {"op5_decontam": op5_decontam, "op9_bpe": op9_bpe}
+    return {"op5_decontam": op5_decontam, "op9_bpe": op9_bpe, "op10_linededup": op10_linededup}
 
 
 def oracle_sql() -> dict[str, str]:
