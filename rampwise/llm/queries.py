@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm import bpe, decontam, linededup
+from rampwise.llm import bpe, decontam, linededup, minhash
 from rampwise.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = decontam.find(docs, table(spark, sf_dir, "benchmark"))
@@ -29,7 +33,7 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op5_decontam": op5_decontam, "op9_bpe": op9_bpe, "op10_linededup": op10_linededup}
+    return {"op3_minhash": op3_minhash, "op5_decontam": op5_decontam, "op9_bpe": op9_bpe, "op10_linededup": op10_linededup}
 
 
 def oracle_sql() -> dict[str, str]:
