@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm import bpe, decontam, linededup, minhash
-from rampwise.llm.common import table
+from rampwise.llm import bpe, decontam, langid, linededup, minhash, quality
+from rampwise.llm.common import held_out, table
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,24 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out("doc_id", 5))
+    got = docs.select("doc_id", held_out("doc_id", 5).alias("held_out"), quality.quality(model, docs).alias("score"))
+    return got.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~held_out("doc_id", 5)))
+    got = langid.predict(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", held_out("doc_id", 5).alias("held_out"), "language.lang_pred", "language.score", "language.accepted")
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = decontam.find(docs, table(spark, sf_dir, "benchmark"))
@@ -33,7 +47,7 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_minhash": op3_minhash, "op5_decontam": op5_decontam, "op9_bpe": op9_bpe, "op10_linededup": op10_linededup}
+    return {"op2_quality": op2_quality, "op3_minhash": op3_minhash, "op4_langid": op4_langid, "op5_decontam": op5_decontam, "op9_bpe": op9_bpe, "op10_linededup": op10_linededup}
 
 
 def oracle_sql() -> dict[str, str]:
