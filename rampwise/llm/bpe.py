@@ -97,8 +97,12 @@ def planes(codes: np.ndarray) -> bytes:
 def unplaned(packed: bytes) -> np.ndarray:
     import zstandard
 
-    p = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1).astype(np.int64)
-    return p[0] | p[1] << 8 | p[2] << 16 | p[3] << 24
+    p = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    out = p[0].astype(np.uint32)
+    for k in (1, 2, 3):
+        if p[k].any():
+            out |= p[k].astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 def _chunks(pattern: str, chunk_bytes: int):
@@ -152,17 +156,17 @@ def _reassemble(chunks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     if not len(chunks):
         return pd.DataFrame({"doc_id": pd.Series([], dtype="Int64"), "ids": []})
     parts = [(n, unplaned(packed)) for n, packed in zip(words["n"], words["packed"], strict=True)]
-    none = [np.zeros(0, np.int64)]
+    none = [np.zeros(0, np.uint32)]
     code, length, flat = (np.concatenate(none + x) for x in ([p[:n] for n, p in parts], [p[n : 2 * n] for n, p in parts], [p[2 * n :] for n, p in parts]))
     del parts
     starts, lengths = np.empty(len(code), np.int64), np.empty(len(code), np.int64)
-    starts[code], lengths[code], flat = np.cumsum(length) - length, length, flat.astype("<u4")
+    starts[code], lengths[code] = np.cumsum(length, dtype=np.int64) - length, length
     row = chunks.iloc[0]
     codes, out, at = unplaned(row["codes"]), [], 0
     for n in row["counts"]:
         own = codes[at : at + n]
         at += n
-        out.append(flat[ragged(starts[own], lengths[own])].tobytes())
+        out.append(flat[ragged(starts[own], lengths[own])].astype("<u4", copy=False).tobytes())
     return pd.DataFrame({"doc_id": pd.array([None if pd.isna(i) else int(i) for i in row["ids"]], dtype="Int64"), "ids": out})
 
 
