@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm import bpe, decontam, langid, linededup, minhash, quality
+from rampwise.llm import ann, bpe, decontam, langid, linededup, minhash, quality, warc
 from rampwise.llm.common import held_out, table
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,6 +22,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out("doc_id", 5))
@@ -47,8 +56,19 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_quality": op2_quality, "op3_minhash": op3_minhash, "op4_langid": op4_langid, "op5_decontam": op5_decontam, "op9_bpe": op9_bpe, "op10_linededup": op10_linededup}
+    return {"op1_warc": op1_warc, "op2_quality": op2_quality, "op3_minhash": op3_minhash, "op4_langid": op4_langid, "op5_decontam": op5_decontam, "op6_ann": op6_ann, "op9_bpe": op9_bpe, "op10_linededup": op10_linededup}
+
+
+OP1_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as n, sha1(html) as h from p),
+g as (select h, n, max(page_id) as first from d where n >= 1000 group by h, n)
+select d.page_id, cast(d.n as bigint) as payload_bytes, d.h as payload_digest,
+  case when g.first <> d.page_id then 'revisit' else 'response' end as record_type,
+  case when g.first <> d.page_id then g.first end as refers_to
+from d left join g on d.h = g.h and d.n = g.n
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL}
