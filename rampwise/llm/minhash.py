@@ -48,15 +48,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words (between spaces and the bytes 09-0D) of a text, A-Z lower-cased."""
+    return words_at(text)[0]
+
+
+def words_at(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes``, and where each word begins."""
     b = np.frombuffer(text.translate(_LOWER), np.uint8)
     at = np.flatnonzero(~_SPACE[b])
     if not len(at):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), at
     head = np.flatnonzero(np.r_[True, np.diff(at) > 1])
     length = np.diff(np.r_[head, len(at)])
     place = np.arange(len(at)) - np.repeat(head, length)
     powers = np.cumprod(np.full(int(length.max()), _STEP, np.uint64), dtype=np.uint64)
-    return mixed(np.add.reduceat(_BYTE[b[at]] * powers[place], head) + length.astype(np.uint64))
+    return mixed(np.add.reduceat(_BYTE[b[at]] * powers[place], head) + length.astype(np.uint64)), at[head]
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:

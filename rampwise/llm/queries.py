@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm import ann, bpe, decontam, langid, linededup, minhash, quality, warc
+from rampwise.llm import ann, bpe, decontam, langid, licenses, linededup, lm, minhash, quality, warc
 from rampwise.llm.common import held_out, table
 
 
@@ -50,13 +50,24 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "found.n_words", "found.n_hit", F.size("found.item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("found.item_ids", ","), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), folds=10)
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = licenses.scan(docs, licenses.fit(docs))
+    families = F.array_join(F.array_sort(F.array_distinct("licenses.found.family")), ",")
+    return got.select("doc_id", "licenses.n_paragraphs", F.size("licenses.found").cast("long").alias("n_found"), "licenses.n_unconfirmed", families.alias("families"), F.array_join(F.transform("licenses.found.line", lambda x: x.cast("string")), ",").alias("lines"))
+
+
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "text", "line_dedup.n_lines", "line_dedup.n_removed", "line_dedup.emptied")
 
 
 def queries() -> dict:
-    return {"op1_warc": op1_warc, "op2_quality": op2_quality, "op3_minhash": op3_minhash, "op4_langid": op4_langid, "op5_decontam": op5_decontam, "op6_ann": op6_ann, "op9_bpe": op9_bpe, "op10_linededup": op10_linededup}
+    return {"op1_warc": op1_warc, "op2_quality": op2_quality, "op3_minhash": op3_minhash, "op4_langid": op4_langid, "op5_decontam": op5_decontam, "op6_ann": op6_ann, "op7_lm": op7_lm, "op8_licenses": op8_licenses, "op9_bpe": op9_bpe, "op10_linededup": op10_linededup}
 
 
 OP1_SQL = """
