@@ -167,9 +167,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     asked = usable(queries, id_col, vector_col).filter(F.size("v") == x.shape[1])
     probed = written(asked.mapInPandas(_probed(shared, sizes, k), "list int, query long, q array<double>"), "ann-probes")
     wanted = dict(probed.groupBy("list").count().collect())
-    blocks = F.broadcast(spark.createDataFrame([(i, -(-count[i] // BLOCK), -(-wanted[i] // QUERY_BLOCK)) for i in count if i in wanted], "list int, parts int, query_parts int"))
-    left = probed.join(blocks, "list").select("list", F.pmod(F.xxhash64("query"), "query_parts").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long").alias("vb"), "query", "q")
-    right = posted.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).cast("long").alias("qb"), F.pmod(F.xxhash64("id"), "parts").alias("vb"), "id", "v")
+    blocks = F.broadcast(spark.createDataFrame([(i, -(-count[i] // BLOCK), -(-wanted[i] // QUERY_BLOCK)) for i in count if i in wanted], "list int, parts long, query_parts long"))
+    left = probed.join(blocks, "list").select("list", F.pmod(F.xxhash64("query"), "query_parts").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("vb"), "query", "q")
+    right = posted.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_parts") - 1)).alias("qb"), F.pmod(F.xxhash64("id"), "parts").alias("vb"), "id", "v")
     key = ["list", "qb", "vb"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_compared(k), "query long, id long, score double").dropDuplicates(["query", "id"])
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "id"))).filter(F.col("rank") <= k)

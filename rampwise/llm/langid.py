@@ -106,10 +106,10 @@ class Model:
                 g = softmax(h @ W + self.bias)
                 g[y] -= 1
                 g = g.astype(np.float32)
-                back_h = W @ g
-                W -= rate * 0.5 * np.outer(h, g)
+                back_h = np.clip(W @ g, -1, 1)  # clipped steps and bounded weights: a long run of hard texts can't make them diverge
+                W = np.clip(W - rate * 0.5 * np.outer(h, g), -4, 4)
                 self.bias -= rate * 0.1 * g
-                E[bucket] -= (rate * 20.0) * share[:, None] * back_h
+                E[bucket] = np.clip(E[bucket] - (rate * 20.0) * share[:, None] * back_h, -4, 4)
         self.table = (E @ W).astype(np.float32)
         logits = np.array([s @ self.table[b] + self.bias for b, s, _, _ in back])
         truth = np.array([d[2] for d in back])
