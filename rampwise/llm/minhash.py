@@ -3,9 +3,11 @@
 1. A document's set of word shingles gets a MinHash signature of ``coordinates`` values; documents of equal sets are one
    node (the smallest doc_id of them).
 2. Two sets of Jaccard similarity s agree in each coordinate with probability s. Pairs that agree in ``least`` coordinates
-   are candidates. Any two such agree in at least one of the first ``coordinates - least + 1``: only this prefix is posted
-   under (coordinate, value); the other coordinates are skipped in the postings and looked up for the pairs found.
-   At similarity 0.8, 64 coordinates and a threshold of 36 miss a pair with a probability of about 5e-7.
+   are candidates. All coordinate values are put in one order, rarer ones first (by their counts in a table of ``CELLS``
+   cells; any order gives the same result); two such signatures agree in at least one of the first
+   ``coordinates - least + 1`` values of each. Only this prefix is posted under (value, band of set sizes, own and next);
+   the frequent values are skipped in the postings and looked up for the pairs found. At similarity 0.8, 64 coordinates
+   and a threshold of 36 miss a pair with a probability of about 5e-7.
 3. Within a posting list every document is paired with the list's smallest and largest node only, not with all others.
    Pairs above the threshold are confirmed on their full sets, and links joined to components. Then the posting lists that
    still hold several components are paired once more: what isn't in a list's largest component with everything in the
@@ -19,6 +21,7 @@ linked with nothing and kept. Rows that share a doc_id count as one document tha
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -29,6 +32,8 @@ from rampwise.llm.common import written
 from rampwise.llm.graph import components
 
 COORDINATES, LEAST = 64, 36
+#: Cells of the table of counts by which values are ordered, and its slices in the shuffle.
+CELLS, SLICES = 1 << 20, 64
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.array([c in b"\x20\x09\x0a\x0b\x0c\x0d" for c in range(256)])
@@ -84,7 +89,7 @@ def signature(found: np.ndarray, coordinates: int) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.int64)
 
 
-def _signatures(words: int, coordinates: int, prefix: int):
+def _signatures(words: int, coordinates: int):
     def run(frames):
         for pdf in frames:
             rows = []
@@ -92,15 +97,65 @@ def _signatures(words: int, coordinates: int, prefix: int):
                 s = shingles(text, words)
                 if len(s):
                     sig = signature(s, coordinates)
-                    rows.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), (np.arange(prefix) << 32 | sig[:prefix]).tolist(), (sig & 255).astype(np.uint8).tobytes()))
+                    rows.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig.astype("<u4").tobytes(), (sig & 255).astype(np.uint8).tobytes()))
                 else:
                     rows.append((i, 0, None, None, None))
-            got = pd.DataFrame(rows, columns=["doc_id", "n", "key", "posts", "low"])
+            got = pd.DataFrame(rows, columns=["doc_id", "n", "key", "sig", "low"])
             yield got.astype({"doc_id": "Int64"})
 
     return run
 
 
+def values(signatures: pd.Series) -> np.ndarray:
+    """One 64-bit number for each coordinate and its value; a row for each signature."""
+    sig = np.frombuffer(b"".join(signatures), "<u4").reshape(len(signatures), -1).astype(np.uint64)
+    return mixed(sig | np.arange(1, sig.shape[1] + 1, dtype=np.uint64) << np.uint64(32))
+
+
+def cells(value: np.ndarray) -> np.ndarray:
+    return (value >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _counted(frames):
+    total = np.zeros(CELLS, np.int64)
+    for pdf in frames:
+        if len(pdf):
+            total += np.bincount(cells(values(pdf["sig"])).ravel(), minlength=CELLS)
+    yield pd.DataFrame({"slice": range(SLICES), "counts": [zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.split(total, SLICES)]})
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in pdf["counts"])
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [zlib.compress(np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes(), 1)]})
+
+
+def rarity(nodes: DataFrame) -> np.ndarray:
+    """How often values fall into each cell."""
+    rows = nodes.select("sig").mapInPandas(_counted, "slice int, counts binary").groupBy("slice").applyInPandas(_added, "slice int, counts binary").collect()
+    out = np.zeros((SLICES, CELLS // SLICES), np.uint32)
+    for r in rows:
+        out[r[0]] = np.frombuffer(zlib.decompress(r[1]), "<u4")
+    return out.ravel()
+
+
+def _posted(shared, prefix: int, percent: int):
+    """Of each node the keys of its ``prefix`` rarest values in its band of set sizes and in the next one: sets of sufficient similarity share one."""
+    width = max(np.log(100 / percent), 1e-3) + 1e-9
+
+    def run(frames):
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            value = values(pdf["sig"])
+            order = shared.value[cells(value)].astype(np.uint64) << np.uint64(32) | value & np.uint64(0xFFFFFFFF)
+            first = np.take_along_axis(value, np.argsort(order, axis=1, kind="stable")[:, :prefix], axis=1)
+            band = np.floor(np.log(pdf["n"].to_numpy()) / width).astype(np.uint64)[:, None]
+            keys = np.concatenate([mixed(first ^ mixed((band + np.uint64(k)) * _STEP)) for k in (0, 1)], axis=1)
+            yield pd.DataFrame({"post": keys.astype(np.int64).ravel(), "node": np.repeat(pdf["node"].to_numpy(), keys.shape[1])})
+
+    return run
+
+
 def _sets(words: int):
     def run(frames):
         for pdf in frames:
@@ -121,10 +176,11 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES, least: int = LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    signed = written(own.mapInPandas(_signatures(words, coordinates, coordinates - least + 1), "doc_id long, n long, key binary, posts array<long>, low binary"), "minhash")
+    signed = written(own.mapInPandas(_signatures(words, coordinates), "doc_id long, n long, key binary, sig binary, low binary"), "minhash")
     sets = written(signed.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")), "minhash-nodes")
-    nodes = signed.filter("key is not null").join(sets.select("key", F.col("node").alias("doc_id")), ["key", "doc_id"])
-    posts = nodes.select(F.col("doc_id").alias("node"), F.explode("posts").alias("post"))
+    nodes = written(signed.filter("key is not null").join(sets.select("key", F.col("node").alias("doc_id")), ["key", "doc_id"]).select(F.col("doc_id").alias("node"), "n", "sig"), "minhash-signatures")
+    order = docs.sparkSession.sparkContext.broadcast(rarity(nodes))
+    posts = nodes.mapInPandas(_posted(order, coordinates - least + 1, percent), "post long, node long")
     lists = written(posts.groupBy("post").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi"), "minhash-lists")
     posts = written(posts.join(lists, "post"), "minhash-posts")
     low = signed.filter("key is not null and doc_id is not null").select(F.col("doc_id").alias("node"), "low")
