@@ -65,7 +65,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     place = F.struct("id", "hash", "start")
     runs = runs.withColumn("place", place)
     first = runs.groupBy(*key).agg(F.min("place").alias("first"), F.max("place").alias("other")).filter(F.col("first") < F.col("other")).drop("other")
-    later = runs.join(first, key).filter(F.col("first") < F.col("place"))
+    later = runs.join(first.hint("merge"), key)  # the same plan at every size.filter(F.col("first") < F.col("place"))
     lines = later.select("id", "hash", F.explode(F.sequence("start", "stop")).alias("line"))
     return lines.groupBy("id", "hash").agg(F.collect_set("line").alias("lines"))
 
@@ -80,7 +80,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """``docs`` with later copies taken out of the text, and a struct ``info``: n_lines, n_removed, emptied."""
     lost = written(later_copies(docs, min_words, id_col, text_col), "line-dedup").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("lines").alias("_lost"))
     base = docs.select(*(docs[c] for c in docs.columns), F.xxhash64(text_col).alias("_text_hash"))
-    got = base.join(lost, F.col("_id").eqNullSafe(base[id_col]) & (F.col("_hash") == F.col("_text_hash")), "left")
+    got = base.join(lost.hint("merge"), F.col("_id").eqNullSafe(base[id_col]) & (F.col("_hash") == F.col("_text_hash")), "left")
     got = got.select(*(base[c] for c in docs.columns), "_lost", F.split(base[text_col], "\n", -1).alias("_all"))
     count = F.when(F.length(text_col) > 0, F.size("_all")).otherwise(F.lit(0)).cast("long")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_lost")), lambda i: F.get("_all", i))
