@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from rampwise.llm.common import held_out, written
 
 DEPTH = 5
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Chunks whose blocks are merged, or scored, in one group.
 GROUP = 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
