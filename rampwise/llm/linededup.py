@@ -65,7 +65,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     place = F.struct("id", "hash", "start")
     runs = runs.withColumn("place", place)
     first = runs.groupBy(*key).agg(F.min("place").alias("first"), F.max("place").alias("other")).filter(F.col("first") < F.col("other")).drop("other")
-    later = runs.join(first.hint("merge"), key)  # the same plan at every size.filter(F.col("first") < F.col("place"))
+    later = runs.join(first.hint("merge"), key).filter(F.col("first") < F.col("place"))  # merged at every size: the plan is the same
     lines = later.select("id", "hash", F.explode(F.sequence("start", "stop")).alias("line"))
     return lines.groupBy("id", "hash").agg(F.collect_set("line").alias("lines"))
 
