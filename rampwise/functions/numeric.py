@@ -23,7 +23,7 @@ def to_double(name: str, kind: T.DataType) -> Column:
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         raise ValueError(f"{name}: a date or time can't be a feature")
     if isinstance(kind, T.StringType):
-        x = F.when(~x.rlike("[dDfF]\\s*$"), x.try_cast("double"))  # a suffix of Java's literals isn't part of a number
+        x = F.when(~x.rlike("[0-9.][dDfF]\\s*$"), x.try_cast("double"))  # a suffix of Java's literals isn't part of a number
     return no_nan(x.cast("double"))
 
 

@@ -182,7 +182,7 @@ def scores(data: DataFrame, result: DataFrame, time: str, x_cols, center: bool =
     keys = keys or []
     x = extract_x(data, x_cols, (*keys, time))
     cols = [c for c in x.columns if c not in (*keys, time)]
-    series = positioned(x, [time], keys).na.drop("any", cols).select(*keys, "pos", F.array(*cols).alias("x"))
+    series = positioned(x, [time], keys).dropna("any", subset=cols).select(*keys, "pos", F.array(*cols).alias("x"))
     member = result.filter("v is not null").select(*keys, "window_id", "v", F.explode(F.sequence("start", "end")).alias("pos"))
     own = member.join(series, [*keys, "pos"])
     group = [*keys, "window_id"]

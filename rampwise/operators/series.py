@@ -52,7 +52,7 @@ def na_handle(df: DataFrame, cols: list[str], method: str = "omit_rows", keys: l
     if method not in POLICIES:
         raise ValueError(f"na_action is one of {POLICIES}")
     if method == "omit_rows":
-        return df.na.drop("any", cols)
+        return df.dropna("any", subset=cols)
     if method == "impute_mean":
         own = Window.partitionBy(*(keys or [F.lit(0)]))
         mean = lambda c: F.when(F.col(c).isNull() & (F.count(c).over(own) > 1), F.avg(c).over(own)).otherwise(F.col(c))
