@@ -46,6 +46,13 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(view)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold 512 rows at most, unless the session has its own number: texts are long, and a worker holds a whole batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, 512)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint, after making sure that a checkpoint folder is set."""
     shared_dir(df.sparkSession)

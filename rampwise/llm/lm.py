@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import held_out, written
+from rampwise.llm.common import held_out, small_batches, written
 
 DEPTH = 5
 CHUNK_BYTES = 4 << 20
@@ -75,19 +75,22 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 
 
 def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte and end mark of the texts: the byte with the DEPTH bytes before it (the nearest in the highest place), and the text's number."""
+    """For every byte and end mark of the texts: the byte with the DEPTH bytes before it (the nearest in the highest place); and how many each text has. In place, as the arrays are eight times the text."""
     joined = b"".join(x for t in texts for x in (_PAD, t, b"\xff"))
     b = np.frombuffer(joined, np.uint8)
     length = np.array([len(t) + 1 for t in texts], np.int64)
     key = np.zeros(len(b), np.uint64)
     for k in range(1, DEPTH + 1):
-        key[k:] |= b[:-k].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - k))
+        before = b[:-k].astype(np.uint64)
+        before <<= np.uint64(8 * (DEPTH + 1 - k))
+        key[k:] |= before
+        del before
     key |= b
     symbol = np.ones(len(b), bool)
     starts = np.cumsum(length + DEPTH) - length - DEPTH
     for k in range(DEPTH):
         symbol[starts + k] = False
-    return key[symbol], np.repeat(np.arange(len(texts), dtype=np.uint64), length)
+    return key[symbol], length
 
 
 def run_parts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -129,13 +132,15 @@ def _gathered(parts: int, chunk_bytes: int):
         first = TaskContext.get().partitionId() << 24
         for number, rows in enumerate(_chunks(frames, chunk_bytes)):
             chunk = first + number
-            key, doc = runs([t for _, t, _ in rows])
-            train = np.array([not out for _, _, out in rows])
-            key = (key << np.uint64(1)) | train[doc.astype(np.int64)]
+            key, length = runs([t for _, t, _ in rows])
+            key <<= np.uint64(1)
+            key |= np.repeat(np.array([not out for _, _, out in rows]), length)
             key.sort()
-            learned, key = (key & np.uint64(1)).astype(np.int64), key >> np.uint64(1)
+            learned = key.astype(np.uint8) & np.uint8(1)
+            key >>= np.uint64(1)
             head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            key, counts = key[head], np.add.reduceat(learned, head)
+            key, counts = key[head], np.add.reduceat(learned, head, dtype=np.int64)
+            del learned, head
             counted, tokens = Counter(), 0
             words: dict[bytes, None] = {}
             for _, text, out in rows:
@@ -310,18 +315,23 @@ def _documents(parts: int, train_tokens: int, ends: int, distinct: int):
             whole = zstandard.decompress(body)
             texts = [whole[j - n : j] for j, n in zip(np.cumsum(sizes).tolist(), list(sizes), strict=True)]
             found = {(k, p): unpacked(v) for k, p, v in zip(values["kind"], values["part"], values["value"], strict=True)}
-            key, doc = runs(texts)
-            key = (key << np.uint64(16)) | doc
+            key, length = runs(texts)
+            key <<= np.uint64(16)
+            key |= np.repeat(np.arange(len(texts), dtype=np.uint16), length)
             key.sort()
             head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            times = np.diff(np.r_[head, len(key)])
+            times = np.diff(np.r_[head, len(key)]).astype(np.int32)
             key = key[head]
-            doc, key = (key & np.uint64(0xFFFF)).astype(np.int64), key >> np.uint64(16)
+            del head
+            doc = key.astype(np.uint16)
+            key >>= np.uint64(16)
             new = np.r_[True, key[1:] != key[:-1]]
             order, some = by_part(run_parts(key[new], parts))
+            key = None
             value = np.empty(len(order), np.float32)
             value[order] = np.concatenate([found["runs", p].astype("<u4").view("<f4") for p, _, _ in some])
-            score = np.bincount(doc, value[np.cumsum(new) - 1] * times.astype(float), len(texts))
+            score = np.bincount(doc, value[np.cumsum(new, dtype=np.int32) - 1] * times.astype(float), len(texts))
+            del doc, times, new
             split = [t.split() for t in texts]
             words: dict[bytes, int] = {}
             for own in split:
@@ -344,6 +354,7 @@ def _documents(parts: int, train_tokens: int, ends: int, distinct: int):
 def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each whole text; the documents whose id leaves no remainder by ``folds`` are held out of learning."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), held_out(F.col(id_col).cast("long"), folds).alias("held_out"))
     gathered = written(own.mapInPandas(_gathered(parts, chunk_bytes), "chunk long, part int, kind string, ids array<long>, out array<boolean>, sizes array<long>, tokens long, body binary, counts binary"), "lm-blocks")
