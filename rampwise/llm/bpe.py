@@ -19,10 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import bucketed, by_bytes, id_text
+from rampwise.llm.common import bucketed, by_bytes, id_text, small_batches
 
 #: Text of about so many bytes makes a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 12 << 20
 #: A word's key is its chunk's number, shifted by so many bits, and its code in the chunk.
 CODE_BITS = 30
 
@@ -173,6 +173,7 @@ def _reassemble(chunks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, ids): the token ids of each whole text as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)
     chunks = bucketed(id_text(docs, id_col, text_col).mapInPandas(_chunks(pattern, chunk_bytes), "chunk long, ids array<long>, counts array<long>, codes binary, words array<binary>"), "chunk", "bpe")
     words = chunks.select("chunk", F.posexplode("words").alias("code", "word")).select((F.shiftleft("chunk", CODE_BITS) + F.col("code")).alias("key"), "word").repartition("word").sortWithinPartitions("word")
