@@ -25,6 +25,8 @@ from rampwise.llm.common import bucketed, by_bytes, id_text, small_batches
 CHUNK_BYTES = 12 << 20
 #: A word's key is its chunk's number, shifted by so many bits, and its code in the chunk.
 CODE_BITS = 30
+#: Ids that the encoding of words holds before it packs them.
+PACKED = 1 << 20
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -130,24 +132,34 @@ def _chunks(pattern: str, chunk_bytes: int):
     return run
 
 
+def _packed(keys: list, lengths: list, flat: list) -> pd.DataFrame:
+    """A row for each chunk: its codes in rising order as differences, the lengths and ids of their words."""
+    key, lengths, flat = np.array(keys, np.int64), np.array(lengths, np.int64), np.array(flat, np.uint32)
+    starts, out = np.cumsum(lengths) - lengths, []
+    order = np.argsort(key, kind="stable")
+    chunk = key[order] >> CODE_BITS
+    for own in np.split(order, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1):
+        codes = key[own] & ((1 << CODE_BITS) - 1)
+        out.append((int(key[own[0]] >> CODE_BITS), len(own), planes(np.concatenate([np.diff(codes, prepend=0), lengths[own], flat[ragged(starts[own], lengths[own])]]))))
+    return pd.DataFrame(out, columns=["chunk", "n", "packed"])
+
+
 def _encode_words(ranks):
     def run(frames):
         table, last, ids = ranks.value, None, []
+        keys, lengths, flat = [], [], []
         for pdf in frames:
-            flat, lengths = [], []
-            for word in pdf["word"].tolist():
+            for key, word in zip(pdf["key"].tolist(), pdf["word"].tolist(), strict=True):
                 if word != last:
                     last, ids = word, merge(bytes(word), table)
+                keys.append(key)
                 flat += ids
                 lengths.append(len(ids))
-            key, lengths, flat = pdf["key"].to_numpy(), np.array(lengths, np.int64), np.array(flat, np.int64)
-            starts, out = np.cumsum(lengths) - lengths, []
-            order = np.argsort(key, kind="stable")
-            chunk = key[order] >> CODE_BITS
-            for own in np.split(order, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1):
-                codes = key[own] & ((1 << CODE_BITS) - 1)
-                out.append((int(key[own[0]] >> CODE_BITS), len(own), planes(np.concatenate([codes, lengths[own], flat[ragged(starts[own], lengths[own])]]))))
-            yield pd.DataFrame(out, columns=["chunk", "n", "packed"])
+            if len(flat) >= PACKED:  # many words at a time: a chunk gets few rows, which compress well
+                yield _packed(keys, lengths, flat)
+                keys, lengths, flat = [], [], []
+        if keys:
+            yield _packed(keys, lengths, flat)
 
     return run
 
@@ -157,7 +169,7 @@ def _reassemble(chunks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"doc_id": pd.Series([], dtype="Int64"), "ids": []})
     parts = [(n, unplaned(packed)) for n, packed in zip(words["n"], words["packed"], strict=True)]
     none = [np.zeros(0, np.uint32)]
-    code, length, flat = (np.concatenate(none + x) for x in ([p[:n] for n, p in parts], [p[n : 2 * n] for n, p in parts], [p[2 * n :] for n, p in parts]))
+    code, length, flat = (np.concatenate(none + x) for x in ([np.cumsum(p[:n], dtype=np.uint32) for n, p in parts], [p[n : 2 * n] for n, p in parts], [p[2 * n :] for n, p in parts]))
     del parts
     starts, lengths = np.empty(len(code), np.int64), np.empty(len(code), np.int64)
     starts[code], lengths[code] = np.cumsum(length, dtype=np.int64) - length, length
