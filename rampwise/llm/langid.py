@@ -133,8 +133,15 @@ class Model:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """The model of the labelled rows of ``docs``: ``per_language`` of each language at most, chosen by the hash of id and text length."""
+    """The model of the labelled rows of ``docs``: ``per_language`` of each language at most, chosen by the hash of id and text length.
+
+    A language's count sets the hash above which its rows are out at once, so that about four times ``per_language`` rows meet
+    in the task of a language however many it has. The counts are broadcast: one row for each language, as in the model.
+    """
     own = docs.select(F.abs(F.xxhash64(F.col(id_col), F.length(text_col))).alias("seed"), F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text")).filter("lang is not null and length(text) > 0")
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    least = F.lit(float(1 << 63)) * F.lit(4.0 * per_language) / F.col("n")
+    own = own.join(F.broadcast(counts), "lang").filter(F.col("seed") <= least).select("seed", "lang", "text")
     ranked = own.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("seed", "text"))).filter(F.col("k") <= per_language)
     sample = ranked.select("seed", "lang", "text").mapInPandas(_samples, "seed long, lang string, bucket binary, share binary")
     return Model(sorted(((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in sample.collect())))
