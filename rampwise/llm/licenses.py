@@ -1,12 +1,15 @@
 """Licence scans: a trained paragraph classifier whose predictions are confirmed by comparison with templates.
 
 A paragraph is a line; lines of more than ``WIDTH`` words are looked at in windows of ``WIDTH`` words that overlap by half.
-Hashed word unigrams and bigrams, as shares of the paragraph's, go through a multinomial logistic regression over the
+Notices among other words are looked for in shorter windows of every line (``SIZES``); of these, only windows that hold enough
+bigrams of templates to be confirmed are scored, which leaves out none that could be found. Hashed word unigrams and bigrams, as shares of the paragraph's, go through a multinomial logistic regression over the
 licence families and a class of none. It is learned by stochastic gradient descent in numpy from the templates (whole, cut,
-with words left out and with other words around them) and from paragraphs of a bounded sample of documents (``SAMPLE``) that
+with words left out, with other words around them, and as the windows of longer lines hold them) and from paragraphs of a bounded sample of documents (``SAMPLE``) that
 hold little of any template. A held-back part sets the softmax's temperature and the least score (``FALSE_SHARE`` of the held-back
 paragraphs of other text may pass it): what scores less is unknown. A predicted family holds only where the paragraph's best
-template of that family shares at least ``CONFIRM`` of the shorter one's word bigrams; otherwise it counts as unconfirmed.
+template of that family shares at least ``CONFIRM`` of the shorter one's word bigrams, and a shorter window's only where it
+holds ``CONFIRM`` of the template's own. Of windows that share half of their matched bigrams or more, the one with the most is the notice. A
+paragraph in which a family was predicted and that holds no part of a notice counts as unconfirmed.
 
 Scanning sends the model (its size is fixed) to all executors and reads every whole text once, without a shuffle. Null,
 empty and wordless texts have no paragraphs; repeated rows are scanned each for itself.
@@ -23,6 +26,8 @@ from rampwise.llm.langid import softmax
 from rampwise.llm.minhash import mixed, words_at
 
 WIDTH, BUCKETS, EPOCHS = 48, 1 << 14, 20
+#: Words of the windows inside lines; they begin a third of their size apart, so that one of them holds any two thirds of it whole.
+SIZES = (6, 8, 12, 18, 27, 36)
 #: The most documents whose paragraphs the class of none is learned from, and the most paragraphs of each.
 SAMPLE, SAMPLE_PARAGRAPHS = 1000, 8
 FALSE_SHARE, CONFIRM = 0.002, 0.6
@@ -116,19 +121,46 @@ class Paragraphs:
         self.text = np.searchsorted(lines, at, side="right") - 1
         self.line = at - lines[self.text]
         self.pair = bigrams(self.h)
-
-    def logits(self, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """The mean of the paragraph's features' rows of ``table``, and the bias."""
-        total = np.zeros((len(self.h) + 1, table.shape[1]))
-        np.cumsum(table[slots(self.h)] + table[slots(self.pair)], axis=0, out=total[1:])
-        last = self.first + self.size - 1  # the pair that begins with a paragraph's last word isn't of the paragraph
-        mean = total[last + 1] - total[self.first] - table[slots(self.pair[last])]
-        return mean / np.maximum(1, 2 * self.size - 1)[:, None] + bias
+        self.total = None
+
+    def inner(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words and sizes of the windows inside lines that hold ``least`` bigrams of templates, and the paragraphs they begin in."""
+        near = np.flatnonzero(_MARKED[slots(self.pair)])
+        hits = np.zeros(len(self.pair) + 1, np.int64)
+        hits[1 + near] = _ALL[np.minimum(np.searchsorted(_ALL, self.pair[near]), len(_ALL) - 1)] == self.pair[near]
+        hits = np.cumsum(hits)
+        out = [(np.zeros(0, np.int64),) * 3]
+        heads = np.flatnonzero(np.r_[True, (self.line[1:] != self.line[:-1]) | (self.text[1:] != self.text[:-1])])
+        last = np.r_[heads[1:], len(self.first)] - 1
+        size = self.first[last] + self.size[last] - self.first[heads]
+        for width in SIZES:
+            own = np.flatnonzero((size > width) & (hits[self.first[heads] + size] - hits[self.first[heads]] >= least))
+            n = -(-(size[own] - width) // (width // 3)) + 1
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            own = np.repeat(own, n)
+            start = np.minimum(k * (width // 3), size[own] - width)
+            first = self.first[heads[own]] + start
+            some = hits[first + width - 1] - hits[first] >= least
+            part = np.minimum(heads[own] + start // (WIDTH // 2), last[own])
+            out.append((first[some], np.full(some.sum(), width), part[some]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def logits(self, table: np.ndarray, bias: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The mean of each window's features' rows of ``table``, and the bias."""
+        if self.total is None:
+            self.total = np.zeros((len(self.h) + 1, table.shape[1]))
+            np.cumsum(table[slots(self.h)] + table[slots(self.pair)], axis=0, out=self.total[1:])
+        last = first + size - 1  # the pair that begins with a window's last word isn't of the window
+        mean = self.total[last + 1] - self.total[first] - table[slots(self.pair[last])]
+        return mean / np.maximum(1, 2 * size - 1)[:, None] + bias
+
+    def bigrams(self, first: int, size: int) -> np.ndarray:
+        """The bigrams of ``size`` words (the word, if it is only one)."""
+        return self.pair[first : first + size - 1] if size > 1 else self.h[first : first + 1]
 
     def hashes(self, k: int) -> np.ndarray:
         """The distinct bigrams of paragraph k (its word, if it has only one)."""
-        own = self.pair[self.first[k] : self.first[k] + self.size[k] - 1]
-        return np.unique(own if len(own) else self.h[self.first[k] : self.first[k] + 1])
+        return np.unique(self.bigrams(self.first[k], self.size[k]))
 
 
 def _sets(texts: list[str]) -> list[np.ndarray]:
@@ -140,11 +172,24 @@ SETS = {family: _sets(texts) for family, texts in TEMPLATES.items()}
 _ALL = np.unique(np.concatenate([s for own in SETS.values() for s in own]))
 
 
-def similarity(own: np.ndarray, family: str) -> float:
-    """The largest share of the shorter one's bigrams that a paragraph (of three bigrams at least) has in common with a template."""
-    if len(own) < 3:
-        return 0.0
-    return max(len(np.intersect1d(own, s, assume_unique=True)) / min(len(own), len(s)) for s in SETS[family])
+_MARKED = np.zeros(BUCKETS, bool)
+_MARKED[slots(_ALL)] = True
+#: The fewest bigrams that a window inside a line has in common with a template it holds.
+_FEWEST = min(int(np.ceil(CONFIRM * len(s))) for own in SETS.values() for s in own)
+
+
+def matched(own: np.ndarray, family: str, inner: bool = False) -> tuple[float, int, np.ndarray]:
+    """Of the template of ``family`` that the bigrams ``own`` (three distinct ones at least) hold the largest share of: the share of
+    the shorter one's bigrams (the template's, if ``inner``), the number of distinct common ones, and their places in ``own``."""
+    n = len(np.unique(own))
+    if n < 3:
+        return 0.0, 0, np.zeros(0, np.int64)
+    found = []
+    for s in SETS[family]:
+        at = np.flatnonzero(np.isin(own, s))
+        common = len(np.unique(own[at]))
+        found.append((common / (len(s) if inner else min(n, len(s))), common, at))
+    return max(found, key=lambda f: f[:2])
 
 
 def _examples(others: list[bytes], seed: int = 13) -> list[tuple[bytes, int]]:
@@ -168,6 +213,13 @@ def _examples(others: list[bytes], seed: int = 13) -> list[tuple[bytes, int]]:
                     at = random.randint(0, len(extra) + 1)
                     own = [*extra[:at], *own, *extra[at:]]
                 out.append((b" ".join(own[:WIDTH]), y))
+            for _ in range(20):
+                n = random.randint(10, 101)
+                at, width = random.randint(0, n + 1), min((w for w in SIZES if w >= len(words)), default=WIDTH)
+                line = [noise[random.randint(len(noise))] for _ in range(n)]
+                line[at:at] = words
+                start = random.randint(max(0, at + min(len(words), width) - width), min(at, len(line) - width) + 1) if len(line) > width else 0
+                out.append((b" ".join(line[start : start + width]), y))
     return out
 
 
@@ -207,14 +259,25 @@ class Model:
         out = [{"n_paragraphs": int(n), "found": [], "n_unconfirmed": 0} for n in np.bincount(own.text, minlength=len(texts))]
         if not len(own.first):
             return out
-        p = softmax(own.logits(self.table, self.bias) / self.temperature)
+        first, size, part = (np.concatenate(x) for x in zip((own.first, own.size, np.arange(len(own.first))), own.inner(_FEWEST), strict=True))
+        p = softmax(own.logits(self.table, self.bias, first, size) / self.temperature)
         best, score = p.argmax(axis=1), p.max(axis=1)
-        for k in np.flatnonzero((best > 0) & (score >= self.least)).tolist():
-            share, d = similarity(own.hashes(k), FAMILIES[best[k]]), out[own.text[k]]
+        known = np.flatnonzero((best > 0) & (score >= self.least))
+        notices = []
+        for k in known.tolist():
+            share, common, at = matched(own.bigrams(first[k], size[k]), FAMILIES[best[k]], k >= len(own.first))
             if share >= CONFIRM:
-                d["found"].append({"family": FAMILIES[best[k]], "line": int(own.line[k]), "score": float(score[k]), "similarity": float(share)})
-            else:
-                d["n_unconfirmed"] += 1
+                notices.append((-common, -share, -score[k], int(first[k]), k, first[k] + at))
+        taken, found = np.zeros(len(own.h), bool), []
+        for _, share, _, _, k, at in sorted(notices, key=lambda x: x[:5]):
+            if 2 * taken[at].sum() < len(at):
+                taken[at] = True
+                found.append((int(at[0]), k, -share))
+        for _, k, share in sorted(found):
+            out[own.text[part[k]]]["found"].append({"family": FAMILIES[best[k]], "line": int(own.line[part[k]]), "score": float(score[k]), "similarity": float(share)})
+        for k in np.unique(part[known]).tolist():
+            if not taken[own.first[k] : own.first[k] + own.size[k]].any():
+                out[own.text[k]]["n_unconfirmed"] += 1
         return out
 
 
