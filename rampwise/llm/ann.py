@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by balanced posting lists (after SPANN: Chen et al., 2021).
 
-Centroids are learned by balanced k-means from a bounded sample (``SAMPLE`` vectors; at most ``MOST_LISTS`` centroids). Every
+Of equal vectors only the rows of the k + 1 smallest ids go on: they are equally far from any query, ties go by the smaller
+id, and only a query's own id is left out, so no other of them can be among the k nearest. Centroids are learned by balanced
+k-means from the distinct vectors of a bounded sample (``SAMPLE`` vectors; at most ``MOST_LISTS`` centroids, no two equal). Every
 vector goes to the list of its nearest centroid and, where it lies near a boundary, to those of further ones whose distance
 is within a ratio of the least. A query finds its nearest centroids by a best-first search of a neighbour graph that is
 held in memory, drops those whose distance exceeds the least by a ratio, and is compared with all vectors of the lists left.
+While these hold too few vectors, further lists are added, all of them if need be.
 
 The centroids and the sizes of the lists are bounded by ``MOST_LISTS`` and sent to all executors. Lists and their queries
 are dealt out in blocks of bounded size, so that a list of any size takes bounded memory in a task; every block of a list
@@ -28,7 +31,7 @@ from rampwise.llm.common import written
 SAMPLE, MOST_LISTS, LIST_SIZE = 40_000, 8192, 256
 #: The most lists of a vector, and the distance ratio to its nearest centroid within which it is replicated.
 COPIES, COPY_RATIO = 4, 1.15
-#: The most lists of a query, and the distance ratio within which lists are searched.
+#: The most lists of a query (more only where these hold too few vectors), and the distance ratio within which lists are searched.
 PROBES, PROBE_RATIO = 24, 1.5
 #: Vectors and queries of a block.
 BLOCK, QUERY_BLOCK = 8192, 1024
@@ -40,11 +43,15 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """k-means whose smallest cells are given to the halves of the largest ones after each round."""
+    """k-means of distinct vectors, whose smallest cells are given to the halves of the largest ones after each round.
+
+    Centroids that are nearest to no vector, as all but one of equal ones, are left out.
+    """
+    nearest = lambda c: np.concatenate([distances(x[i : i + 4096], c).argmin(axis=1) for i in range(0, len(x), 4096)])
     random = np.random.RandomState(seed)
     c = x[random.choice(len(x), k, replace=False)].astype(np.float64)
     for step in range(rounds):
-        near = np.concatenate([distances(x[i : i + 4096], c).argmin(axis=1) for i in range(0, len(x), 4096)])
+        near = nearest(c)
         size = np.bincount(near, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -56,7 +63,8 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -
                     break
                 own = x[near == large]
                 c[small] = own[random.randint(len(own))]
-    return c
+    c = np.unique(c, axis=0)
+    return c[np.unique(nearest(c))]
 
 
 class Graph:
@@ -103,6 +111,13 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return own.filter(F.size("v") == (most[0] if most else 0))
 
 
+def fewest(own: DataFrame, k: int) -> DataFrame:
+    """The rows of the ``k + 1`` smallest ids of each vector. Each partition leaves out its own others before rows are shuffled."""
+    equal = Window.partitionBy("h", "v").orderBy("id")
+    own = own.withColumn("h", F.xxhash64("v")).withColumn("nth", F.dense_rank().over(equal))
+    return own.filter(F.col("nth") <= k + 1).select("id", "v")
+
+
 def _posted(shared):
     def run(frames):
         graph = shared.value
@@ -125,8 +140,14 @@ def _probed(shared, sizes: np.ndarray, k: int):
             rows = []
             for i, v in zip(pdf["id"], pdf["v"], strict=True):
                 near, d = graph.nearest(np.asarray(v), PROBES)
-                enough = np.cumsum(sizes[near]) - sizes[near] < 8 * (k + 1)
-                rows += [(int(c), i, v) for c in near[(d <= d[0] * PROBE_RATIO) | enough]]
+                if sizes[near].sum() < 8 * (k + 1) and len(near) < len(sizes):
+                    d = np.sqrt(((graph.c - np.asarray(v)) ** 2).sum(axis=1))
+                    near = np.argsort(d, kind="stable")
+                    held = np.cumsum(sizes[near])
+                    near = near[: max(PROBES, int(np.searchsorted(held, 8 * (k + 1))) + 1)]
+                    d = d[near]
+                too_few = np.cumsum(sizes[near]) - sizes[near] < 8 * (k + 1)
+                rows += [(int(c), i, v) for c in near[(d <= d[0] * PROBE_RATIO) | too_few]]
             yield pd.DataFrame(rows, columns=["list", "query", "q"])
 
     return run
@@ -153,12 +174,12 @@ def _compared(k: int):
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found vectors of each query, both tables with an id and a vector."""
     spark = vectors.sparkSession
-    own = usable(vectors, id_col, vector_col)
+    own = written(fewest(usable(vectors, id_col, vector_col), k), "ann-vectors")
     n = own.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = own.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v")
-    x = np.array([r[0] for r in sample.collect()])
+    x = np.unique(np.array([r[0] for r in sample.collect()]), axis=0)
     graph = Graph(balanced_centroids(x, int(min(max(1, n // LIST_SIZE), MOST_LISTS, max(1, len(x) // 4)))))
     shared = spark.sparkContext.broadcast(graph)
     posted = written(own.mapInPandas(_posted(shared), "list int, id long, v array<double>"), "ann-lists")
