@@ -11,6 +11,9 @@ template of that family shares at least ``CONFIRM`` of the shorter one's word bi
 holds ``CONFIRM`` of the template's own. Of windows that share half of their matched bigrams or more, the one with the most is the notice. A
 paragraph in which a family was predicted and that holds no part of a notice counts as unconfirmed.
 
+Too short for shares of bigrams are lines that name a licence and hold nothing else (``SHORT``), and SPDX tags, alone or inside
+a line: these are notices by the equality of all their words. Their score is the classifier's for their family, of any height.
+
 Scanning sends the model (its size is fixed) to all executors and reads every whole text once, without a shuffle. Null,
 empty and wordless texts have no paragraphs; repeated rows are scanned each for itself.
 """
@@ -85,6 +88,45 @@ TEMPLATES = {
 }
 FAMILIES = ["", *TEMPLATES]
 
+_CC = ["1.0", "2.0", "2.5", "3.0", "4.0"]
+#: SPDX identifiers by family, and those that begin with another's words but are of no family here.
+SPDX = {
+    "MIT": ["MIT"],
+    "Apache-2.0": ["Apache-2.0"],
+    "GPL-3.0": [f"GPL-3.0{x}" for x in ("", "-only", "-or-later")],
+    "GPL-2.0": [f"GPL-2.0{x}" for x in ("", "-only", "-or-later")],
+    "LGPL": [f"LGPL-{v}{x}" for v in ("2.0", "2.1", "3.0") for x in ("", "-only", "-or-later")],
+    "AGPL-3.0": [f"AGPL-3.0{x}" for x in ("", "-only", "-or-later")],
+    "BSD": ["BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause"],
+    "ISC": ["ISC"],
+    "MPL-2.0": ["MPL-2.0"],
+    "CC-BY": [f"CC-BY-{v}" for v in _CC],
+    "CC-BY-SA": [f"CC-BY-SA-{v}" for v in _CC],
+    "CC-BY-NC": [f"CC-BY-NC-{v}" for v in _CC],
+    "CC0": ["CC0-1.0"],
+    "Unlicense": ["Unlicense"],
+    "": ["MIT-0", "MIT-CMU", "MIT-advertising", "MIT-enna", "MIT-feh"],
+}
+#: Further short names of each family.
+NAMES = {
+    "Apache-2.0": ["Apache 2", "Apache License 2.0", "Apache License, Version 2.0", "Apache v2", "Apache v2.0"],
+    "GPL-3.0": [f"{a}{b}" for a in ("GPL", "GNU GPL", "GNU General Public License") for b in ("v3", " v3", " v3.0", " 3", " 3.0", ", version 3", ", version 3.0")],
+    "GPL-2.0": [f"{a}{b}" for a in ("GPL", "GNU GPL", "GNU General Public License") for b in ("v2", " v2", " v2.0", " 2", " 2.0", ", version 2", ", version 2.0")],
+    "LGPL": [f"{a}{b}" for a in ("LGPL", "GNU LGPL", "GNU Lesser General Public License") for b in ("", "v3", " v3", "v2.1", " v2.1", " 2.1", " 3.0")],
+    "AGPL-3.0": [f"{a}{b}" for a in ("AGPL", "GNU AGPL", "GNU Affero General Public License") for b in ("v3", " v3", " v3.0", " 3.0", ", version 3")],
+    "BSD": ["BSD", "New BSD", "Simplified BSD", "Modified BSD", "2-Clause BSD", "3-Clause BSD"],
+    "MPL-2.0": ["MPL 2", "MPL v2", "MPL v2.0", "MPLv2", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "CC-BY": ["CC BY", *(f"Creative Commons Attribution {v}" for v in _CC)],
+    "CC-BY-SA": ["CC BY-SA", *(f"Creative Commons Attribution-ShareAlike {v}" for v in _CC)],
+    "CC-BY-NC": ["CC BY-NC", *(f"Creative Commons Attribution-NonCommercial {v}" for v in _CC)],
+    "CC0": ["CC0"],
+}
+_FORMS = ("{} license", "{} licence", "the {} license", "the {} licence", "the {} license {}", "license {}", "licence {}", "licensed under {}", "licensed under the {}", "licensed under the {} license", "released under {}", "released under the {}")
+#: Names that are words of other meaning when they stand alone.
+_AMBIGUOUS = {"MIT", "ISC", "BSD"}
+SHORT = {f: sorted({x for n in (*SPDX[f], *NAMES.get(f, [])) for x in (*([] if n in _AMBIGUOUS else [n]), *(form.format(n, n) for form in _FORMS))}) for f in TEMPLATES}
+TAG = "SPDX-License-Identifier"
+
 #: Lower-cases A-Z and turns all but line feeds and the bytes of words (0-9, a-z, 0x80 and above) to spaces.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 10 else 32 for c in range(256))
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -118,6 +160,7 @@ class Paragraphs:
         self.size = np.minimum(WIDTH, np.repeat(first + size, windows) - self.first)
         lines = np.cumsum([0, *(t.count(b"\n") + 1 for t in texts)])
         at = np.repeat(line[first], windows)
+        self.heads, self.sizes = ends - windows, size
         self.text = np.searchsorted(lines, at, side="right") - 1
         self.line = at - lines[self.text]
         self.pair = bigrams(self.h)
@@ -130,9 +173,8 @@ class Paragraphs:
         hits[1 + near] = _ALL[np.minimum(np.searchsorted(_ALL, self.pair[near]), len(_ALL) - 1)] == self.pair[near]
         hits = np.cumsum(hits)
         out = [(np.zeros(0, np.int64),) * 3]
-        heads = np.flatnonzero(np.r_[True, (self.line[1:] != self.line[:-1]) | (self.text[1:] != self.text[:-1])])
+        heads, size = self.heads, self.sizes
         last = np.r_[heads[1:], len(self.first)] - 1
-        size = self.first[last] + self.size[last] - self.first[heads]
         for width in SIZES:
             own = np.flatnonzero((size > width) & (hits[self.first[heads] + size] - hits[self.first[heads]] >= least))
             n = -(-(size[own] - width) // (width // 3)) + 1
@@ -145,6 +187,32 @@ class Paragraphs:
             out.append((first[some], np.full(some.sum(), width), part[some]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def named(self) -> list[tuple[int, int, np.ndarray]]:
+        """The notices that all their words make: family, paragraph and words."""
+        out = []
+        key = np.zeros(len(self.heads), np.uint64)
+        start = self.first[self.heads]
+        for n in range(1, _LONGEST + 1):
+            own = np.flatnonzero(self.sizes >= n)
+            key[own] = mixed(key[own] * _PAIR + self.h[start[own] + n - 1])
+            some = own[(self.sizes[own] == n) & np.isin(key[own], _SHORT_KEYS)]
+            out += [(_SHORT[int(key[i])], int(self.heads[i]), np.arange(start[i], start[i] + n)) for i in some.tolist()]
+        for at in np.flatnonzero(self.h == _TAG[0]).tolist():
+            i = int(np.searchsorted(start, at, side="right")) - 1
+            end, to = int(start[i] + self.sizes[i]), at + len(_TAG)
+            while to < end and self.h[at : at + len(_TAG)].tolist() == _TAG:
+                keys = named_keys(self.h[to : min(end, to + _LONGEST)])
+                n = max((n for n, x in enumerate(keys, 1) if x in _IDS), default=0)
+                if n and _IDS[keys[n - 1]]:
+                    part = min(self.heads[i] + (to - start[i]) // (WIDTH // 2), np.r_[self.heads, len(self.first)][i + 1] - 1)
+                    out.append((_IDS[keys[n - 1]], int(part), np.r_[at : at + len(_TAG), to : to + n]))
+                # of an expression, the identifiers after OR and AND; an unknown one has a few words
+                joint = [j for j in range(to + n, min(end, to + n + (1 if n else _LONGEST))) if int(self.h[j]) in _JOINTS]
+                if not joint:
+                    break
+                to = joint[0] + 1
+        return out
+
     def logits(self, table: np.ndarray, bias: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The mean of each window's features' rows of ``table``, and the bias."""
         if self.total is None:
@@ -163,6 +231,26 @@ class Paragraphs:
         return np.unique(self.bigrams(self.first[k], self.size[k]))
 
 
+def named_keys(h: np.ndarray) -> list[int]:
+    """A hash of each of the first words' sequences."""
+    out, key = [], np.zeros(1, np.uint64)
+    for i in range(len(h)):
+        key = mixed(key * _PAIR + h[i : i + 1])
+        out.append(int(key[0]))
+    return out
+
+
+def _words(text: str) -> np.ndarray:
+    return Paragraphs([text.encode()]).h
+
+
+_SHORT = {named_keys(_words(x))[-1]: FAMILIES.index(f) for f, texts in SHORT.items() for x in texts}
+_SHORT_KEYS = np.array(sorted(_SHORT), np.uint64)
+_IDS = {named_keys(_words(x))[-1]: FAMILIES.index(f) for f, texts in SPDX.items() for x in texts}
+_LONGEST = max(len(_words(x)) for texts in SHORT.values() for x in texts)
+_TAG, _JOINTS = _words(TAG).tolist(), set(_words("or and").tolist())
+
+
 def _sets(texts: list[str]) -> list[np.ndarray]:
     p = Paragraphs([t.encode() for t in texts])
     return [np.unique(np.concatenate([p.hashes(k) for k in np.flatnonzero(p.text == i)])) for i in range(len(texts))]
@@ -220,6 +308,8 @@ def _examples(others: list[bytes], seed: int = 13) -> list[tuple[bytes, int]]:
                 line[at:at] = words
                 start = random.randint(max(0, at + min(len(words), width) - width), min(at, len(line) - width) + 1) if len(line) > width else 0
                 out.append((b" ".join(line[start : start + width]), y))
+    for y, family in enumerate(TEMPLATES, 1):
+        out += [(x.encode(), y) for x in (*SHORT[family], *(f"{TAG}: {i}" for i in SPDX[family]))]
     return out
 
 
@@ -263,18 +353,18 @@ class Model:
         p = softmax(own.logits(self.table, self.bias, first, size) / self.temperature)
         best, score = p.argmax(axis=1), p.max(axis=1)
         known = np.flatnonzero((best > 0) & (score >= self.least))
-        notices = []
+        notices = [(-np.inf, -1.0, -float(p[k, y]), int(at[0]), -int(at[-1]), y, k, at) for y, k, at in own.named()]
         for k in known.tolist():
             share, common, at = matched(own.bigrams(first[k], size[k]), FAMILIES[best[k]], k >= len(own.first))
             if share >= CONFIRM:
-                notices.append((-common, -share, -score[k], int(first[k]), k, first[k] + at))
+                notices.append((-common, -share, -float(score[k]), int(first[k]), k, int(best[k]), int(part[k]), first[k] + at))
         taken, found = np.zeros(len(own.h), bool), []
-        for _, share, _, _, k, at in sorted(notices, key=lambda x: x[:5]):
-            if 2 * taken[at].sum() < len(at):
+        for common, share, minus, _, _, y, k, at in sorted(notices, key=lambda x: x[:5]):
+            if common == -np.inf or 2 * taken[at].sum() < len(at):
                 taken[at] = True
-                found.append((int(at[0]), k, -share))
-        for _, k, share in sorted(found):
-            out[own.text[part[k]]]["found"].append({"family": FAMILIES[best[k]], "line": int(own.line[part[k]]), "score": float(score[k]), "similarity": float(share)})
+                found.append((int(at[0]), int(at[-1]), y, k, -minus, -share))
+        for _, _, y, k, own_score, share in sorted(found):
+            out[own.text[k]]["found"].append({"family": FAMILIES[y], "line": int(own.line[k]), "score": own_score, "similarity": float(share)})
         for k in np.unique(part[known]).tolist():
             if not taken[own.first[k] : own.first[k] + own.size[k]].any():
                 out[own.text[k]]["n_unconfirmed"] += 1

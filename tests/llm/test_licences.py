@@ -42,3 +42,30 @@ def test_notices_side_by_side(model):
     got = model.scan([b"first line\n" + line])[0]
     assert {(x["family"], x["line"]) for x in got["found"]} == {("MIT", 1), ("Apache-2.0", 1), ("CC-BY-NC", 1)}
     assert len(got["found"]) == 3 and got["n_unconfirmed"] == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "family"),
+    [("MIT License", "MIT"), ("License: MIT", "MIT"), ("CC0 1.0", "CC0"), ("ISC License", "ISC"), ("GNU GPL v3", "GPL-3.0"), ("BSD-3-Clause", "BSD"), ("LGPLv3", "LGPL"), ("CC BY-NC 4.0", "CC-BY-NC")],
+)
+def test_short_notices_alone(model, text, family):
+    got = model.scan([b"first line\n// " + text.encode() + b"\nlast line"])[0]
+    assert [(x["family"], x["line"], x["similarity"]) for x in got["found"]] == [(family, 1, 1.0)] and got["n_unconfirmed"] == 0
+
+
+def test_every_short_notice(model):
+    for family, texts in licenses.SHORT.items():
+        for text in texts:
+            assert families(model, text.encode()) == {family}, text
+
+
+def test_spdx_tags(model, others):
+    noise = b" ".join(others[0].split()[:20])
+    for family, names in licenses.SPDX.items():
+        for name in names:
+            tag = b"SPDX-License-Identifier: " + name.encode()
+            for text in (tag, b"/* " + tag + b" */", noise + b" " + tag + b" " + noise):
+                assert families(model, text) == ({family} - {""}), text
+    assert families(model, b"SPDX-License-Identifier: Zlib") == set()
+    assert families(model, b"SPDX-License-Identifier: Zlib OR (GPL-2.0-or-later AND MIT)") == {"GPL-2.0", "MIT"}
+    assert families(model, b"komm mit") == families(model, b"mit") == families(model, b"license") == set()
