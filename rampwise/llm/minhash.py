@@ -7,7 +7,7 @@
    cells; any order gives the same result); two such signatures agree in at least one of the first
    ``coordinates - least + 1`` values of each. Only this prefix is posted under (value, band of set sizes, own and next);
    the frequent values are skipped in the postings and looked up for the pairs found. At similarity 0.8, 64 coordinates
-   and a threshold of 36 miss a pair with a probability of about 5e-7.
+   and a threshold of 36 miss a pair with a probability of about 4.2e-6.
 3. Within a posting list every document is paired with the list's smallest and largest node only, not with all others.
    Pairs above the threshold are confirmed on their full sets, and links joined to components. Then the posting lists that
    still hold several components are paired once more: what isn't in a list's largest component with everything in the
