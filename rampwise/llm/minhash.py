@@ -89,6 +89,11 @@ def signature(found: np.ndarray, coordinates: int) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.int64)
 
 
+def _key(found: np.ndarray) -> bytes | None:
+    """A digest of a set, None if it is empty."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+
+
 def _signatures(words: int, coordinates: int):
     def run(frames):
         for pdf in frames:
@@ -97,7 +102,7 @@ def _signatures(words: int, coordinates: int):
                 s = shingles(text, words)
                 if len(s):
                     sig = signature(s, coordinates)
-                    rows.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig.astype("<u4").tobytes(), (sig & 255).astype(np.uint8).tobytes()))
+                    rows.append((i, len(s), _key(s), sig.astype("<u4").tobytes(), (sig & 255).astype(np.uint8).tobytes()))
                 else:
                     rows.append((i, 0, None, None, None))
             got = pd.DataFrame(rows, columns=["doc_id", "n", "key", "sig", "low"])
@@ -175,6 +180,11 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES, least: int = LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    return _marked(docs, words, percent, id_col, text_col, coordinates, least).drop("key")
+
+
+def _marked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, coordinates: int, least: int) -> DataFrame:
+    """``near_duplicates`` with the key of each row's set of shingles."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     signed = written(own.mapInPandas(_signatures(words, coordinates), "doc_id long, n long, key binary, sig binary, low binary"), "minhash")
     sets = written(signed.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")), "minhash-nodes")
@@ -210,12 +220,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     parts = written(components(links.union(confirmed(rest))), "minhash-parts")
 
     got = signed.select("doc_id", "n", "key").join(sets, "key", "left")
-    got = got.join(parts, "node", "left").select("doc_id", "n", F.coalesce("component", "node", "doc_id").alias("component_id"))
+    got = got.join(parts, "node", "left").select("doc_id", "n", "key", F.coalesce("component", "node", "doc_id").alias("component_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return got.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return got.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "key")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` marks as kept: without those linked, over any number of links, with a smaller doc_id.
+
+    Of rows that share a doc_id some may be kept and others not; only for these the shingles are made once more.
+    """
+    marked = written(_marked(docs, words, percent, id_col, text_col, coordinates, least).select("doc_id", "key", "kept"), "minhash-marked")
+    lost = written(marked.filter(~F.col("kept")).select(F.col("doc_id").alias("_lost"), F.col("key").alias("_key")).distinct(), "minhash-lost")
+    both = marked.filter("kept").join(lost, F.col("_lost") == F.col("doc_id"), "left_semi").select(F.col("doc_id").alias("_both")).distinct()
+    whole = docs.join(lost, F.col("_lost") == docs[id_col], "left_anti")
 
+    @F.pandas_udf("binary")
+    def key(texts: pd.Series) -> pd.Series:
+        return pd.Series([_key(shingles(t, words)) if t is not None else None for t in texts], dtype=object)
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without those that are linked, over any number of links, with a smaller doc_id."""
-    lost = written(near_duplicates(docs, id_col=id_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct(), "minhash-lost")
-    return docs.join(lost, F.col("_lost") == docs[id_col], "left_anti")
+    some = docs.join(both, F.col("_both") == docs[id_col], "left_semi")
+    some = some.withColumn("_own", key(F.col(text_col).cast("binary")))
+    some = some.join(lost, (F.col("_lost") == F.col(id_col)) & (F.col("_key") == F.col("_own")), "left_anti").drop("_own")
+    return whole.unionByName(some)
