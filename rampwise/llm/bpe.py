@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import bucketed, by_bytes, id_text, small_batches
+from rampwise.llm.common import bucketed, by_bytes, id_text, ragged, small_batches
 
 #: Text of about so many bytes makes a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 12 << 20
@@ -83,12 +83,6 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions start .. start + length - 1 of each row, one after another."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def planes(codes: np.ndarray) -> bytes:
     """Codes as three compressed byte planes."""
     import zstandard

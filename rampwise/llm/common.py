@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +54,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, 512)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint, after making sure that a checkpoint folder is set."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(True)
+def column(name: str) -> Column:
+    """The column of this very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by their very names."""
+    return [column(c) for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions start .. start + length - 1 of each row, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def held_out(doc_id: Column | str, folds: int) -> Column:
@@ -71,7 +90,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text as UTF-8 bytes, so that other columns of any name can't clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    return docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col).cast("binary"), F.lit(b"")).alias("text"))
 
 
 def by_bytes(frames: Iterator, most: int, sizes=lambda b: len(b)) -> Iterator[list[tuple]]:
