@@ -43,6 +43,8 @@ CELLS, SLICES = 1 << 20, 64
 BITS = 1024
 #: Queries and documents of a posting list that meet in one task, and the pairs compared at a time.
 QUERY_BLOCK, BLOCK, PAIRS = 512, 4096, 1 << 15
+#: What a posting is in a block.
+QUERY, BOTH, DOCUMENT = 0, 1, 2
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.array([c in b"\x20\x09\x0a\x0b\x0c\x0d" for c in range(256)])
@@ -212,7 +214,7 @@ def possible(n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.nd
 
 
 def _merged(percent: int, least: int):
-    """The pairs (a, b) of different parts that postings lead to, from rows sorted by list and block, the queries (role 0) of each before the documents."""
+    """The pairs (a, b) of different parts that postings lead to, from rows sorted by list, block and role: queries, both, documents."""
 
     def pairs(pdf: pd.DataFrame):
         post, role = pdf["post"].to_numpy(), pdf["role"].to_numpy()
@@ -223,9 +225,9 @@ def _merged(percent: int, least: int):
         own = np.r_[True, (post[1:] != post[:-1]) | (xb[1:] != xb[:-1]) | (yb[1:] != yb[:-1])]
         stop = np.r_[np.flatnonzero(own)[1:], len(pdf)][np.cumsum(own) - 1]
         first = np.r_[np.flatnonzero(own), len(pdf)][np.cumsum(own) - 1]
-        asked = np.cumsum(role == 0)
-        start = first + asked[stop - 1] - asked[first] + (role[first] == 0)
-        x = np.flatnonzero(role == 0)
+        asked = np.r_[0, np.cumsum(role == QUERY)]
+        start = first + asked[stop] - asked[first]
+        x = np.flatnonzero(role != DOCUMENT)
         size = (stop - start)[x]
         for some in np.split(x, np.flatnonzero(np.diff(np.cumsum(size) // PAIRS)) + 1):
             i, j = np.repeat(some, (stop - start)[some]), ragged(start[some], (stop - start)[some])
@@ -322,8 +324,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     split = written(sizes.select("post", F.col("most.part").alias("most"), blocks(F.col("n") - F.col("most.n"), QUERY_BLOCK).alias("nx"), blocks(F.col("n"), BLOCK).alias("ny")), "minhash-split")
     placed = written(placed.join(split, "post"), "minhash-mixed")
     every, of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)), lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    rows = placed.filter("part <> most").select("post", of("nx").alias("xb"), every("ny").alias("yb"), F.lit(0).alias("role"), "node", "part", "most")
-    rows = rows.union(placed.select("post", every("nx").alias("xb"), of("ny").alias("yb"), F.lit(1).alias("role"), "node", "part", "most"))
+    role = F.when(F.col("part") == F.col("most"), F.lit(DOCUMENT)).otherwise(F.lit(BOTH))
+    rows = placed.filter("nx = 1 and ny = 1").select("post", F.lit(0).alias("xb"), F.lit(0).alias("yb"), role.alias("role"), "node", "part", "most")
+    large = placed.filter("nx > 1 or ny > 1")
+    rows = rows.union(large.filter("part <> most").select("post", of("nx").alias("xb"), every("ny").alias("yb"), F.lit(QUERY).alias("role"), "node", "part", "most"))
+    rows = rows.union(large.select("post", every("nx").alias("xb"), of("ny").alias("yb"), F.lit(DOCUMENT).alias("role"), "node", "part", "most"))
     sketches = nodes.join(placed.select("node").distinct(), "node", "left_semi").mapInPandas(_sketched(order, prefix, percent), "node long, n long, sig binary, bits binary, band long, posted binary")
     rows = rows.join(sketches, "node").repartition("post", "xb", "yb").sortWithinPartitions("post", "xb", "yb", "role")
     rest = written(rows.mapInPandas(_merged(percent, least), "a long, b long").distinct(), "minhash-rest")
