@@ -10,7 +10,7 @@
    and a threshold of 36 miss a pair with a probability of about 4.2e-6.
 3. Within a posting list every document is paired with the list's smallest and largest node only, not with all others.
    Pairs above the threshold are confirmed on their full sets, and links joined to components.
-4. The posting lists that still hold several components are merged inside the tasks: what isn't in a list's largest component
+4. The posting lists that, but for these two, still hold several components are merged inside the tasks: what isn't in a list's largest component
    is a query against the list, both in blocks of bounded size. Collisions are counted on the signatures, each pair in the
    list of its first common posting only, and a pair leaves the task only if it reaches the threshold and its bitmaps allow
    the similarity: the bits in which two bitmaps of parities differ are at most the shingles that only one of the sets
@@ -318,7 +318,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = links.union(owners.join(owners.groupBy("doc_id").agg(F.min("node").alias("least")), "doc_id").select(F.col("least").alias("a"), F.col("node").alias("b")).filter("a <> b"))
     parts = written(components(links), "minhash-parts")
 
-    placed = written(posts.select("post", "node").join(parts, "node", "left").select("post", "node", F.coalesce("component", "node").alias("part")), "minhash-placed")
+    inner = posts.filter("node <> lo and node <> hi")  # a list's smallest and largest node have been compared with all of it
+    placed = written(inner.select("post", "node").join(parts, "node", "left").select("post", "node", F.coalesce("component", "node").alias("part")), "minhash-placed")
     sizes = placed.groupBy("post", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("post").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     blocks = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
     split = written(sizes.select("post", F.col("most.part").alias("most"), blocks(F.col("n") - F.col("most.n"), QUERY_BLOCK).alias("nx"), blocks(F.col("n"), BLOCK).alias("ny")), "minhash-split")
