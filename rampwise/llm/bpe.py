@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 1. Every text is cut into pre-tokens. A chunk of documents (about ``CHUNK_BYTES`` of text) keeps the positions of its
-   pre-tokens as codes into its own list of distinct words; the chunks are written once to the shared folder.
-2. The (chunk, code, word) rows are shuffled by word; each distinct word is encoded once, by merging its bytes in the
-   order of the vocabulary's ranks.
-3. The ids go back to their chunk and code, and each document is put together from them by position.
-
-Decoding looks ids up in the token-byte table. The vocabulary has a fixed size, so both tables may be sent to all
-executors. Null and empty texts give no ids. Rows that repeat are kept, each for itself; null ids are kept.
+   pre-tokens as codes into its own list of distinct words, and deals these words out to ``PARTS`` parts by a hash, a packed
+   block for each part. All is written once to the shared folder.
+2. The blocks are shuffled by part; there each distinct word is encoded once, by merging its bytes in the order of the
+   vocabulary's ranks (on a cluster of more than twice ``PARTS`` shuffle partitions a part is cut into groups of chunks, and a word
+   is encoded once in each). A word that is in every chunk is one entry of each block, so no part is larger than others.
+3. The ids go back to their chunk, a packed block from each part, and each document is put together from them by position.
+
+Decoding is a map-side join with the token-byte table, which is sent to all executors: the vocabulary has a fixed size. A row for
+each token and a shuffle back to documents would move several times the text. Null and empty texts give no ids. Rows
+that repeat are kept, each for itself; null ids are kept. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from pyspark.sql import functions as F
 from rampwise.llm.common import bucketed, by_bytes, id_text, ragged, small_batches
 
 #: Text of about so many bytes makes a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 12 << 20
-#: A word's key is its chunk's number, shifted by so many bits, and its code in the chunk.
-CODE_BITS = 30
-#: Ids that the encoding of words holds before it packs them.
-PACKED = 1 << 20
+CHUNK_BYTES = 8 << 20
+#: The most parts that a chunk's words are dealt out to.
+PARTS = 256
+#: The most words whose ids a task keeps.
+CACHED = 1 << 20
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -101,12 +104,29 @@ def unplaned(packed: bytes) -> np.ndarray:
     return out
 
 
-def _chunks(pattern: str, chunk_bytes: int):
+def pack_words(words: list[bytes]) -> bytes:
+    import zstandard
+
+    return zstandard.compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words), 3)
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    import zstandard
+
+    raw = zstandard.decompress(packed)
+    n = int(np.frombuffer(raw[:4], "<u4")[0])
+    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 * (n + 1)).tolist()
+    return [raw[i:j] for i, j in zip([4 * (n + 1), *ends], ends, strict=False)]
+
+
+def _chunks(pattern: str, chunk_bytes: int, parts: int):
     def run(frames):
+        import zlib
+
         import regex
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 11
+        first = TaskContext.get().partitionId() << 24
         cut = regex.compile(pattern).findall
         for number, rows in enumerate(by_bytes(frames, chunk_bytes)):
             words: dict[str, int] = {}
@@ -121,39 +141,38 @@ def _chunks(pattern: str, chunk_bytes: int):
             new = np.empty(len(words), np.uint32)
             new[order] = np.arange(len(words), dtype=np.uint32)
             keys = [w.encode() for w in words]
-            yield pd.DataFrame({"chunk": [first + number], "ids": [[None if pd.isna(i) else int(i) for i, _ in rows]], "counts": [counts], "codes": [planes(new[joined])], "words": [[keys[k] for k in order]]})
+            keys = [keys[k] for k in order]
+            del words
+            part = np.fromiter((zlib.crc32(k) % parts for k in keys), np.uint32, len(keys))
+            out = [(first + number, -1, [None if pd.isna(i) else int(i) for i, _ in rows], counts, planes(new[joined]), planes(part))]
+            by = np.argsort(part, kind="stable")
+            for own in np.split(by, np.flatnonzero(np.diff(part[by])) + 1) if len(by) else []:
+                out.append((first + number, int(part[own[0]]), None, None, pack_words([keys[k] for k in own]), None))
+            for at in range(0, len(out), 64):
+                yield pd.DataFrame(out[at : at + 64], columns=["chunk", "part", "ids", "counts", "body", "dealt"])
 
     return run
 
 
-def _packed(keys: list, lengths: list, flat: list) -> pd.DataFrame:
-    """A row for each chunk: its codes in rising order as differences, the lengths and ids of their words."""
-    key, lengths, flat = np.array(keys, np.int64), np.array(lengths, np.int64), np.array(flat, np.uint32)
-    starts, out = np.cumsum(lengths) - lengths, []
-    order = np.argsort(key, kind="stable")
-    chunk = key[order] >> CODE_BITS
-    for own in np.split(order, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1):
-        codes = key[own] & ((1 << CODE_BITS) - 1)
-        out.append((int(key[own[0]] >> CODE_BITS), len(own), planes(np.concatenate([np.diff(codes, prepend=0), lengths[own], flat[ragged(starts[own], lengths[own])]]))))
-    return pd.DataFrame(out, columns=["chunk", "n", "packed"])
+def _encode_blocks(ranks):
+    """The ids of each block's words, packed: how many each word has, and all of them."""
 
-
-def _encode_words(ranks):
     def run(frames):
-        table, last, ids = ranks.value, None, []
-        keys, lengths, flat = [], [], []
+        table, cache = ranks.value, {}
         for pdf in frames:
-            for key, word in zip(pdf["key"].tolist(), pdf["word"].tolist(), strict=True):
-                if word != last:
-                    last, ids = word, merge(bytes(word), table)
-                keys.append(key)
-                flat += ids
-                lengths.append(len(ids))
-            if len(flat) >= PACKED:  # many words at a time: a chunk gets few rows, which compress well
-                yield _packed(keys, lengths, flat)
-                keys, lengths, flat = [], [], []
-        if keys:
-            yield _packed(keys, lengths, flat)
+            out = []
+            for body in pdf["body"]:
+                own = []
+                for word in unpack_words(body):
+                    ids = cache.get(word)
+                    if ids is None:
+                        if len(cache) >= CACHED:
+                            cache.clear()
+                        cache[word] = ids = merge(word, table)
+                    own.append(ids)
+                lengths = np.fromiter(map(len, own), np.uint32, len(own))
+                out.append(planes(np.concatenate([lengths, np.fromiter((i for ids in own for i in ids), np.uint32, int(lengths.sum()))])))
+            yield pd.DataFrame({"chunk": pdf["chunk"], "part": pdf["part"], "packed": out})
 
     return run
 
@@ -161,14 +180,18 @@ def _encode_words(ranks):
 def _reassemble(chunks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     if not len(chunks):
         return pd.DataFrame({"doc_id": pd.Series([], dtype="Int64"), "ids": []})
-    parts = [(n, unplaned(packed)) for n, packed in zip(words["n"], words["packed"], strict=True)]
-    none = [np.zeros(0, np.uint32)]
-    code, length, flat = (np.concatenate(none + x) for x in ([np.cumsum(p[:n], dtype=np.uint32) for n, p in parts], [p[n : 2 * n] for n, p in parts], [p[2 * n :] for n, p in parts]))
-    del parts
-    starts, lengths = np.empty(len(code), np.int64), np.empty(len(code), np.int64)
-    starts[code], lengths[code] = np.cumsum(length, dtype=np.int64) - length, length
     row = chunks.iloc[0]
-    codes, out, at = unplaned(row["codes"]), [], 0
+    dealt = unplaned(row["dealt"])
+    order, sizes = np.argsort(dealt, kind="stable"), np.bincount(dealt)
+    none, parts = [np.zeros(0, np.uint32)], []
+    for part, packed in sorted(zip(words["part"], words["packed"], strict=True)):
+        both = unplaned(packed)
+        parts.append((both[: sizes[part]], both[sizes[part] :]))
+    length, flat = (np.concatenate(none + [p[k] for p in parts]) for k in (0, 1))
+    del parts
+    starts, lengths = np.empty(len(dealt), np.int64), np.empty(len(dealt), np.int64)
+    starts[order], lengths[order] = np.cumsum(length, dtype=np.int64) - length, length
+    codes, out, at = unplaned(row["body"]), [], 0
     for n in row["counts"]:
         own = codes[at : at + n]
         at += n
@@ -181,10 +204,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)
-    chunks = bucketed(id_text(docs, id_col, text_col).mapInPandas(_chunks(pattern, chunk_bytes), "chunk long, ids array<long>, counts array<long>, codes binary, words array<binary>"), "chunk", "bpe")
-    words = chunks.select("chunk", F.posexplode("words").alias("code", "word")).select((F.shiftleft("chunk", CODE_BITS) + F.col("code")).alias("key"), "word").repartition("word").sortWithinPartitions("word")
-    encoded = words.mapInPandas(_encode_words(shared), "chunk long, n long, packed binary")
-    return chunks.select("chunk", "ids", "counts", "codes").groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInPandas(_reassemble, "doc_id long, ids binary")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(PARTS, partitions)
+    schema = "chunk long, part int, ids array<long>, counts array<long>, body binary, dealt binary"
+    chunks = bucketed(id_text(docs, id_col, text_col).mapInPandas(_chunks(pattern, chunk_bytes, parts), schema), "chunk", "bpe")
+    group = F.pmod(F.xxhash64("chunk"), F.lit(max(1, partitions // parts))).alias("of")
+    blocks = chunks.filter("part >= 0").select("chunk", "part", "body", group).repartition("part", "of").drop("of")
+    encoded = blocks.mapInPandas(_encode_blocks(shared), "chunk long, part int, packed binary")
+    whole = chunks.filter("part = -1").select("chunk", "ids", "counts", "body", "dealt")
+    return whole.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInPandas(_reassemble, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", to: str = "decoded") -> DataFrame:

@@ -38,13 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As ``written``, in buckets by ``key``: as many as there are shuffle partitions, so that grouping by it needs no exchange."""
+    """As ``written``, in buckets by ``key``: as many as there are shuffle partitions, so that grouping by it needs no exchange.
+
+    Spark writes buckets only to tables; the table's name is dropped at once, its files stay.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     view = path.rpartition("/")[2].replace("-", "_")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(view)
-    return spark.table(view)
+    got = spark.table(view)
+    spark.sql(f"DROP TABLE {view}")
+    return got
 
 
 def small_batches(spark: SparkSession) -> None:
