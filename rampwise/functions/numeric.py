@@ -19,7 +19,7 @@ def no_nan(x: Column) -> Column:
 
 def to_double(name: str, kind: T.DataType) -> Column:
     """A column as a double; what isn't a number becomes NULL. Dates and times are rejected."""
-    x = F.col(f"`{name}`")
+    x = F.col("`" + name.replace("`", "``") + "`")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         raise ValueError(f"{name}: a date or time can't be a feature")
     if isinstance(kind, T.StringType):

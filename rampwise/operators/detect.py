@@ -2,7 +2,11 @@
 
 For every window length w of a run over the first m points, the points fall into floor(m / w) blocks; a block's least-squares
 slope comes from running sums at its two ends, so a block costs the same at any length. Blocks vote by the robust z-score
-of their slope among the run's blocks of that length. Only blocks are rows; points appear again for blocks that voted.
+of their slope among the run's blocks of that length. Only blocks are rows: a vote is a step up where its block begins and
+a step down where it ends, and running sums over a series' points add the steps up.
+
+A series is named by a struct of its key columns, so that NULL keys are keys like others; the caller's columns are carried along
+in a struct and may have any names.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rampwise.functions.numeric import finite, no_nan, robust_z
+from rampwise.operators.series import key_columns, named, series_key, unclashing
 
 DIRECTIONS = ("positive", "negative", "both")
 
@@ -22,19 +27,25 @@ def _highest(m, lowwl: int, highwl):
     return F.greatest(high, F.lit(lowwl)).cast("long")
 
 
-def _sums(series: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, at, s, t, c): sums of y and i * y and the number of missing values before position ``at`` (from 0), y centred."""
-    own = Window.partitionBy(*(keys or [F.lit(0)]))
+KEY = ["key"]
+
+
+def _sums(series: DataFrame) -> DataFrame:
+    """(key, at, s, t, c): sums of y and i * y and the number of missing values before position ``at`` (from 0), y centred."""
+    own = Window.partitionBy("key")
     before = own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     y = F.when(finite(F.col("y")), F.col("y"))
-    got = series.select(*keys, "i", F.coalesce(y - F.avg(y).over(own), F.lit(0.0)).alias("y"), y.isNull().cast("long").alias("missing"))
-    got = got.select(*keys, (F.col("i") + 1).alias("at"), F.sum("y").over(before).alias("s"), F.sum(F.col("i") * F.col("y")).over(before).alias("t"), F.sum("missing").over(before).alias("c"))
-    zero = series.select(*keys).distinct() if keys else series.limit(1).select(F.lit(0).alias("_"))
-    return got.unionByName(zero.select(*keys, F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("s"), F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("c")))
+    got = series.select("key", "i", F.coalesce(y - F.avg(y).over(own), F.lit(0.0)).alias("y"), y.isNull().cast("long").alias("missing"))
+    got = got.select("key", "i", F.sum("y").over(before).alias("s"), F.sum(F.col("i") * F.col("y")).over(before).alias("t"), F.sum("missing").over(before).alias("c"))
+    row = lambda at, s, t, c: F.struct(at.cast("long").alias("at"), s.alias("s"), t.alias("t"), c.cast("long").alias("c"))
+    after = row(F.col("i") + 1, F.col("s"), F.col("t"), F.col("c"))
+    zero = row(F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0))
+    return got.select("key", F.explode(F.when(F.col("i") == 0, F.array(zero, after)).otherwise(F.array(after))).alias("row")).select("key", "row.*")
 
 
-def block_votes(sums: DataFrame, runs: DataFrame, mad_k: float, direction: str, keys: list[str]) -> DataFrame:
-    """(keys, m, w, st, vote) of the blocks that vote, for runs (keys, m, lo, hi)."""
+def block_votes(sums: DataFrame, runs: DataFrame, mad_k: float, direction: str) -> DataFrame:
+    """(key, m, w, st, vote) of the blocks that vote, for runs (key, m, lo, hi)."""
+    keys = KEY
     lengths = runs.filter("m >= 3").select(*keys, "m", F.explode(F.sequence("lo", F.greatest("lo", F.least("hi", "m")))).alias("w")).filter("w <= m")
     b = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") / F.col("w")) - 1))
     blocks = lengths.select(*keys, "m", "w", b.alias("b")).select(*keys, "m", "w", (F.floor((F.col("m") % F.col("w")) / 2) + F.col("w") * F.col("b")).alias("st"))
@@ -49,9 +60,12 @@ def block_votes(sums: DataFrame, runs: DataFrame, mad_k: float, direction: str,
     return z.select(*keys, "m", "w", "st", vote.cast("long").alias("vote")).filter("vote is not null")
 
 
-def _prepared(signal: DataFrame, order_by: list[str], value: str, keys: list[str]) -> DataFrame:
-    own = Window.partitionBy(*(keys or [F.lit(0)]))
-    return signal.withColumn("i", F.row_number().over(own.orderBy(*order_by)).cast("long") - 1).withColumn("n", F.count(F.lit(1)).over(own)).withColumn("y", no_nan(F.col(value).cast("double")))
+def _prepared(signal: DataFrame, order_by: list[str], value: str, keys: list[str] | None) -> DataFrame:
+    """(key, i, n, y, row): position, size and value of each point, and its row."""
+    series = signal.select(series_key(keys), named(value).cast("double").alias("y"), *(named(c).alias(f"o{k}") for k, c in enumerate(order_by)), F.struct(*(named(c) for c in signal.columns)).alias("row"))
+    own = Window.partitionBy("key")
+    order = own.orderBy(*(f"o{k}" for k in range(len(order_by))))
+    return series.select("key", (F.row_number().over(order).cast("long") - 1).alias("i"), F.count(F.lit(1)).over(own).alias("n"), no_nan(F.col("y")).alias("y"), "row")
 
 
 def _options(lowwl, highwl, direction: str) -> int:
@@ -62,30 +76,31 @@ def _options(lowwl, highwl, direction: str) -> int:
     return max(2, int(lowwl))
 
 
-def _runs(series: DataFrame, keys: list[str], low: int, highwl) -> DataFrame:
+def _runs(series: DataFrame, low: int, highwl) -> DataFrame:
     """One run over each whole series; there a given highwl isn't cut to the series' length."""
-    auto = isinstance(highwl, str)
-    m = series.groupBy(*keys).agg(F.max("n").alias("m")) if keys else series.agg(F.max("n").alias("m")).filter("m is not null")
-    high = _highest(F.col("m"), low, highwl) if auto else F.lit(max(low, int(highwl))).cast("long")
-    return m.select(*keys, "m", F.lit(low).cast("long").alias("lo"), high.alias("hi"))
+    m = series.groupBy("key").agg(F.max("n").alias("m"))
+    high = _highest(F.col("m"), low, highwl) if isinstance(highwl, str) else F.lit(max(low, int(highwl))).cast("long")
+    return m.select("key", "m", F.lit(low).cast("long").alias("lo"), high.alias("hi"))
 
 
-def _on_points(votes: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i, score): the votes on each point over the number of lengths."""
-    runs = runs.select(*keys, F.col("m"), (F.col("hi") - F.col("lo") + 1).alias("lengths"))
-    own = votes.join(F.broadcast(runs) if not keys else runs, [*keys, "m"])
-    points = own.select(*keys, "lengths", "vote", F.explode(F.sequence(F.col("st"), F.col("st") + F.col("w") - 1)).alias("i"))
-    return points.groupBy(*keys, "i").agg((F.sum("vote") / F.max("lengths")).alias("score"))
+def _on_points(votes: DataFrame, runs: DataFrame, points: DataFrame) -> DataFrame:
+    """(key, i, score) of ``points`` (key, i): the votes on each point over the number of lengths."""
+    runs = runs.select("key", "m", (F.col("hi") - F.col("lo") + 1).alias("lengths"))
+    step = lambda i, by: F.struct(i.alias("i"), by.alias("step"))
+    steps = votes.select("key", F.explode(F.array(step(F.col("st"), F.col("vote")), step(F.col("st") + F.col("w"), -F.col("vote")))).alias("e")).groupBy("key", "e.i").agg(F.sum("e.step").alias("step"))
+    every = points.select("key", "i").join(steps, ["key", "i"], "left").join(runs, "key")
+    total = F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    return every.select("key", "i", (total / F.col("lengths")).alias("score"))
 
 
 def detect_asvotes(signal: DataFrame, order_by: list[str], value: str = "signal", lowwl: int = 5, highwl="auto", mad_k: float = 3, direction: str = "positive", keys: list[str] | None = None) -> DataFrame:
     """``signal`` with ``score``: the mean vote over all window lengths, in [-1, 1]; 0 for series of fewer than three points."""
-    low, keys = _options(lowwl, highwl, direction), keys or []
+    low = _options(lowwl, highwl, direction)
+    unclashing(signal.columns, "score")
     series = _prepared(signal, order_by, value, keys)
-    runs = _runs(series, keys, low, highwl)
-    votes = block_votes(_sums(series, keys), runs, mad_k, direction, keys)
-    got = series.join(_on_points(votes, runs, keys), [*keys, "i"], "left")
-    return got.select(*(F.col(c) for c in signal.columns), F.coalesce("score", F.lit(0.0)).alias("score"))
+    runs = _runs(series, low, highwl)
+    got = series.join(_on_points(block_votes(_sums(series), runs, mad_k, direction), runs, series), ["key", "i"])
+    return got.select("row.*", "score")
 
 
 def detect_realtime(signal: DataFrame, time: str, value: str = "signal", lowwl: int = 5, highwl="auto", mad_k: float = 3.0, direction: str = "positive", burn_in: int | None = None, smooth_k: int = 30, threshold: float = 1.3, keys: list[str] | None = None, order_by: list[str] | None = None) -> DataFrame:
@@ -93,31 +108,28 @@ def detect_realtime(signal: DataFrame, time: str, value: str = "signal", lowwl:
 
     Scores are in [-1, 1], so the default threshold is never reached: pass one that can be. Rows of the burn-in block see all of it.
     """
-    low, keys = _options(lowwl, highwl, direction), keys or []
+    low = _options(lowwl, highwl, direction)
+    unclashing(keys, "time_ind", "signal", "detected_offline", "detected_value_rt", "flag", "first_detection_time")
     series = _prepared(signal, order_by or [time], value, keys)
-    sums = _sums(series, keys)
-    size = series.groupBy(*keys).agg(F.max("n").alias("size")) if keys else series.agg(F.max("n").alias("size")).filter("size is not null")
+    sums = _sums(series)
     burn = F.least(F.greatest(F.lit(2), F.lit(burn_in if burn_in is not None else max(100, 5 * int(lowwl)))), F.col("size")).cast("long")
-    size = size.select(*keys, "size", burn.alias("burn"))
-    run = lambda m: m.select(*keys, "m", F.lit(low).cast("long").alias("lo"), _highest(F.col("m"), low, highwl).alias("hi"))
-    first = run(size.select(*keys, F.col("burn").alias("m")))
-    block = _on_points(block_votes(sums, first, mad_k, direction, keys), first, keys).withColumnRenamed("score", "raw")
-    with_size = series.join(size, keys) if keys else series.crossJoin(F.broadcast(size))
-    own = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("i")
-    early = with_size.filter("i < burn").join(block, [*keys, "i"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+    size = series.groupBy("key").agg(F.max("n").alias("size")).withColumn("burn", burn)
+    run = lambda m: m.select("key", "m", F.lit(low).cast("long").alias("lo"), _highest(F.col("m"), low, highwl).alias("hi"))
+    first = run(size.select("key", F.col("burn").alias("m")))
+    block = series.join(size, "key").filter("i < burn").select("key", "i")
+    block = _on_points(block_votes(sums, first, mad_k, direction), first, block)
     k0 = max(1, int(smooth_k))
-    early = early.select(*keys, "i", F.avg("raw").over(own.rowsBetween(1 - k0, 0)).alias("rt"))
-    later = run(size.filter("burn < size").select(*keys, F.explode(F.sequence(F.col("burn") + 1, F.col("size"))).alias("m")))
-    votes = block_votes(sums, later, mad_k, direction, keys)
+    early = block.select("key", "i", F.avg("score").over(Window.partitionBy("key").orderBy("i").rowsBetween(1 - k0, 0)).alias("rt"))
+    later = run(size.filter("burn < size").select("key", F.explode(F.sequence(F.col("burn") + 1, F.col("size"))).alias("m")))
+    votes = block_votes(sums, later, mad_k, direction)
     km = F.least(F.lit(k0), F.col("m"))
     shared = F.greatest(F.lit(0), F.col("st") + F.col("w") - F.greatest(F.col("m") - km, F.col("st")))
-    total = votes.select(*keys, "m", (F.col("vote") * shared).alias("x")).groupBy(*keys, "m").agg(F.sum("x").alias("x"))
-    late = later.join(total, [*keys, "m"], "left").select(*keys, (F.col("m") - 1).alias("i"), (F.coalesce("x", F.lit(0)) / (km * (F.col("hi") - F.col("lo") + 1)).cast("double")).alias("rt"))
-    runs = _runs(series, keys, low, highwl)
-    offline = _on_points(block_votes(sums, runs, mad_k, direction, keys), runs, keys)
-    got = series.join(early.unionByName(late), [*keys, "i"], "left").join(offline, [*keys, "i"], "left")
+    total = votes.select("key", "m", (F.col("vote") * shared).alias("x")).groupBy("key", "m").agg(F.sum("x").alias("x"))
+    late = later.join(total, ["key", "m"], "left").select("key", (F.col("m") - 1).alias("i"), (F.coalesce("x", F.lit(0)) / (km * (F.col("hi") - F.col("lo") + 1)).cast("double")).alias("rt"))
+    runs = _runs(series, low, highwl)
+    offline = _on_points(block_votes(sums, runs, mad_k, direction), runs, series)
+    got = series.join(early.unionByName(late), ["key", "i"], "left").join(offline, ["key", "i"])
     rt = F.coalesce("rt", F.lit(0.0))
-    got = got.withColumn("detected_value_rt", rt).withColumn("flag", rt >= float(threshold))
-    series_window = Window.partitionBy(*(keys or [F.lit(0)]))
-    seen = F.min(F.when(F.col("flag"), F.struct(F.col("i"), F.col(time)))).over(series_window)
-    return got.select(*keys, F.col(time).alias("time_ind"), F.col("y").alias("signal"), F.coalesce("score", F.lit(0.0)).alias("detected_offline"), "detected_value_rt", "flag", seen.getField(time).alias("first_detection_time"))
+    at = F.col("row").getField(time)
+    seen = F.min(F.when(rt >= float(threshold), F.struct(F.col("i"), at.alias("at")))).over(Window.partitionBy("key"))
+    return got.select(*key_columns(keys), at.alias("time_ind"), F.col("y").alias("signal"), F.col("score").alias("detected_offline"), rt.alias("detected_value_rt"), (rt >= float(threshold)).alias("flag"), seen.getField("at").alias("first_detection_time"))

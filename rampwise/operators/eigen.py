@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampwise.operators.series import POLICIES, extract_x, positioned, require
+from rampwise.functions.numeric import to_double
+from rampwise.operators.series import POLICIES, key_columns, named, positioned, present, require, resolve, series_key, unclashing
 from rampwise.operators.windows import bounded, checked, ends, frame
 
 
@@ -103,6 +104,13 @@ def eigenpairs(p: int):
     return pairs
 
 
+def prepared(data: DataFrame, time: str, x_cols, keys: list[str] | None, order_by: list[str] | None = None) -> DataFrame:
+    """(key, time, o0.., x0..): the series' key, time, order and features under names of this module, so that the caller's names can't clash with them."""
+    names, kinds = resolve(data, x_cols), {f.name: f.dataType for f in data.schema}
+    order = [named(c).alias(f"o{i}") for i, c in enumerate(order_by or [time])]
+    return data.select(series_key(keys), named(time).alias("time"), *order, *(to_double(c, kinds[c]).alias(f"x{i}") for i, c in enumerate(names)))
+
+
 def roll_svd(data: DataFrame, time: str, x_cols, window: int, step: int = 1, align: str = "end", type: str = "rolling", center: bool = True, scale_: bool = False, k: int | None = None, fast: bool = True, na_action: str = "omit_rows", cov_on_pairwise: bool = True, values_only: bool = True, seed: int | None = None, keys: list[str] | None = None, order_by: list[str] | None = None) -> DataFrame:
     """(keys, window_id, start, end, t_rep, n_w, d[, v]): eigenvalues of each window's covariance, largest first; NULL where it is skipped.
 
@@ -112,15 +120,13 @@ def roll_svd(data: DataFrame, time: str, x_cols, window: int, step: int = 1, ali
     if na_action not in POLICIES:
         raise ValueError(f"na_action is one of {POLICIES}")
     require(data, time)
-    keys = keys or []
-    kept = [*keys, *(c for c in order_by or [time] if c not in keys)]
-    kept += [] if time in kept else [time]
-    x = extract_x(data, x_cols, tuple(kept))
-    cols = [c for c in x.columns if c not in kept]
-    series = positioned(x, order_by or [time], keys)
-    over = frame(window, type, keys)
+    unclashing(keys, "window_id", "start", "end", "t_rep", "n_w", "d", "v")
+    x = prepared(data, time, x_cols, keys, order_by)
+    cols = [c for c in x.columns if c.startswith("x")]
+    series = positioned(x, [c for c in x.columns if c.startswith("o")], ["key"])
+    over = frame(window, type, ["key"])
     cov, scale, n = covariances(series, cols, over, na_action, cov_on_pairwise)
-    own = series.select(*keys, F.col(time).alias("t_end"), "pos", "n", n.alias("n_w"), *(v.alias(f"s_{cols.index(a)}_{cols.index(b)}") for (a, b), v in cov.items()), *((v.alias(f"sd_{cols.index(c)}") for c, v in scale.items()) if scale_ else ()), *((F.avg(c).over(over).alias(f"m_{i}") for i, c in enumerate(cols)) if scale_ else ()))
+    own = series.select("key", F.col("time").alias("t_end"), "pos", "n", n.alias("n_w"), *(v.alias(f"s_{cols.index(a)}_{cols.index(b)}") for (a, b), v in cov.items()), *((v.alias(f"sd_{cols.index(c)}") for c, v in scale.items()) if scale_ else ()), *((F.avg(c).over(over).alias(f"m_{i}") for i, c in enumerate(cols)) if scale_ else ()))
     own = bounded(ends(own, window, step), window, type, "pos")
     p = len(cols)
 
@@ -146,17 +152,19 @@ def roll_svd(data: DataFrame, time: str, x_cols, window: int, step: int = 1, ali
         own = own.withColumn("_e", eigenpairs(p)(packed))
         own = own.withColumn("d", F.slice("_e.d", 1, F.greatest(F.lit(1), size))).withColumn("v", F.slice("_e.v", 1, F.greatest(F.lit(1), size)))
     tail = ["n_w", "d"] + ([] if values_only else ["v"])
-    own = own.select(*keys, "window_id", "start", F.col("pos").alias("end"), "t_end", *tail)
+    own = own.select("key", "window_id", "start", F.col("pos").alias("end"), "t_end", *tail)
     if align == "end":
-        return own.select(*keys, "window_id", "start", "end", F.col("t_end").alias("t_rep"), *tail)
+        return own.select(*key_columns(keys), "window_id", "start", "end", F.col("t_end").alias("t_rep"), *tail)
     at = F.col("start") if align == "start" else F.floor((F.col("start") + F.col("end")) / 2).cast("long")
-    times = series.select(*keys, F.col("pos").alias("at"), F.col(time).alias("t_rep"))
-    return own.withColumn("at", at).join(times, [*keys, "at"]).select(*keys, "window_id", "start", "end", "t_rep", *tail)
+    times = series.select("key", F.col("pos").alias("at"), F.col("time").alias("t_rep"))
+    return own.withColumn("at", at).join(times, ["key", "at"]).select(*key_columns(keys), "window_id", "start", "end", "t_rep", *tail)
 
 
 def tidy_values(result: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, window_id, factor, d) of all windows that weren't skipped."""
-    return result.select(*(keys or []), "window_id", F.posexplode("d").alias("k", "d")).select(*(keys or []), "window_id", (F.col("k") + 1).cast("long").alias("factor"), "d")
+    unclashing(keys, "window_id", "factor", "d")
+    own = result.select(series_key(keys), "window_id", F.posexplode("d").alias("at", "d"))
+    return own.select(*key_columns(keys), "window_id", (F.col("at") + 1).cast("long").alias("factor"), "d")
 
 
 def tidy_loadings(result: DataFrame, variables: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -164,8 +172,9 @@ def tidy_loadings(result: DataFrame, variables: list[str], keys: list[str] | Non
     if "v" not in result.columns:
         raise ValueError("loadings need values_only=False")
     names = F.array(*map(F.lit, variables))
-    own = result.select(*(keys or []), "window_id", F.posexplode("v").alias("k", "own")).select(*(keys or []), "window_id", "k", F.posexplode("own").alias("i", "loading"))
-    return own.select(*(keys or []), "window_id", F.get(names, F.col("i")).alias("variable"), (F.col("k") + 1).cast("long").alias("factor"), "loading")
+    unclashing(keys, "window_id", "variable", "factor", "loading")
+    own = result.select(series_key(keys), "window_id", F.posexplode("v").alias("at", "own")).select("key", "window_id", "at", F.posexplode("own").alias("i", "loading"))
+    return own.select(*key_columns(keys), "window_id", F.get(names, F.col("i")).alias("variable"), (F.col("at") + 1).cast("long").alias("factor"), "loading")
 
 
 def as_tibble_rollsvd(result: DataFrame, what: str = "singular_values", variables: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -179,15 +188,15 @@ def as_tibble_rollsvd(result: DataFrame, what: str = "singular_values", variable
 
 def scores(data: DataFrame, result: DataFrame, time: str, x_cols, center: bool = True, scale_: bool = False, keys: list[str] | None = None) -> DataFrame:
     """(keys, window_id, row_pos, factor, score): centred (and scaled) complete rows of each window times its loadings."""
-    keys = keys or []
-    x = extract_x(data, x_cols, (*keys, time))
-    cols = [c for c in x.columns if c not in (*keys, time)]
-    series = positioned(x, [time], keys).dropna("any", subset=cols).select(*keys, "pos", F.array(*cols).alias("x"))
-    member = result.filter("v is not null").select(*keys, "window_id", "v", F.explode(F.sequence("start", "end")).alias("pos"))
-    own = member.join(series, [*keys, "pos"])
-    group = [*keys, "window_id"]
+    unclashing(keys, "window_id", "row_pos", "factor", "score")
+    x = prepared(data, time, x_cols, keys)
+    cols = [c for c in x.columns if c.startswith("x")]
+    series = positioned(x, ["o0"], ["key"]).filter(present(cols)).select("key", "pos", F.array(*cols).alias("x"))
+    member = result.filter("v is not null").select(series_key(keys), "window_id", "v", F.explode(F.sequence("start", "end")).alias("pos"))
+    own = member.join(series, ["key", "pos"])
+    group = ["key", "window_id"]
     stats = own.groupBy(*group).agg(*(F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(len(cols))), *(F.stddev_samp(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(len(cols))))
     own = own.join(stats, group)
     shifted = [(F.get("x", F.lit(i)) - (F.col(f"m{i}") if center else F.lit(0.0))) / (F.when(F.col(f"s{i}") > 1e-12 * F.abs(F.col(f"m{i}")), F.col(f"s{i}")).otherwise(F.lit(1.0)) if scale_ else F.lit(1.0)) for i in range(len(cols))]
     own = own.select(*group, "pos", F.array(*shifted).alias("z"), F.posexplode("v").alias("k", "own"))
-    return own.select(*group, F.col("pos").alias("row_pos"), (F.col("k") + 1).cast("long").alias("factor"), F.aggregate(F.zip_with("z", "own", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
+    return own.select(*key_columns(keys), "window_id", F.col("pos").alias("row_pos"), (F.col("k") + 1).cast("long").alias("factor"), F.aggregate(F.zip_with("z", "own", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))

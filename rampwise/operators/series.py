@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rampwise.functions.numeric import finite, to_double
@@ -29,6 +29,27 @@ def resolve(df: DataFrame, x_cols) -> list[str]:
     return names
 
 
+def named(name: str) -> Column:
+    """The column of this very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def series_key(keys: list[str] | None) -> Column:
+    """One column that names a series, ``key``: a struct of the key columns. Structs are equal where their NULLs are, so that series with NULL keys join and group like others."""
+    return F.struct(*(named(k).alias(f"k{i}") for i, k in enumerate(keys))).alias("key") if keys else F.struct(F.lit(0).alias("k0")).alias("key")
+
+
+def key_columns(keys: list[str] | None) -> list[Column]:
+    """The key columns, by their own names, from ``key``."""
+    return [F.col(f"key.k{i}").alias(k) for i, k in enumerate(keys or [])]
+
+
+def unclashing(keys: list[str] | None, *results: str) -> None:
+    """An error where a key has the name of a result column."""
+    if both := sorted({k.lower() for k in keys or []} & set(results)):
+        raise ValueError(f"keys have names of result columns: {both}")
+
+
 def require(df: DataFrame, *names: str) -> None:
     for name in names:
         if name not in df.columns:
@@ -38,13 +59,15 @@ def require(df: DataFrame, *names: str) -> None:
 def extract_x(df: DataFrame, x_cols, keep: tuple[str, ...] = ()) -> DataFrame:
     """The selected columns as doubles, after the columns of ``keep``."""
     names, kinds = resolve(df, x_cols), {f.name: f.dataType for f in df.schema}
-    return df.select(*(F.col(f"`{c}`") for c in keep), *(to_double(c, kinds[c]).alias(c) for c in names))
+    return df.select(*(named(c) for c in keep), *(to_double(c, kinds[c]).alias(c) for c in names))
 
 
 def positioned(df: DataFrame, order_by: list[str], keys: list[str] | None = None) -> DataFrame:
-    """``df`` with ``pos`` (from 1) and ``n`` in each series. One series is one partition of the window; many keys spread."""
-    series = Window.partitionBy(*(keys or [F.lit(0)]))
-    return df.withColumn("pos", F.row_number().over(series.orderBy(*order_by)).cast("long")).withColumn("n", F.count(F.lit(1)).over(series))
+    """``df`` with ``pos`` (from 1) and ``n`` in each series; ``df`` has no columns of these names. One series is one partition of the window; many keys spread."""
+    if taken := {"pos", "n"} & {c.lower() for c in df.columns}:
+        raise ValueError(f"positions would overwrite the columns {sorted(taken)}")
+    series = Window.partitionBy(*(map(named, keys) if keys else [F.lit(0)]))
+    return df.withColumn("pos", F.row_number().over(series.orderBy(*map(named, order_by))).cast("long")).withColumn("n", F.count(F.lit(1)).over(series))
 
 
 def na_handle(df: DataFrame, cols: list[str], method: str = "omit_rows", keys: list[str] | None = None) -> DataFrame:
@@ -52,17 +75,25 @@ def na_handle(df: DataFrame, cols: list[str], method: str = "omit_rows", keys: l
     if method not in POLICIES:
         raise ValueError(f"na_action is one of {POLICIES}")
     if method == "omit_rows":
-        return df.dropna("any", subset=cols)
+        return df.filter(present(cols))
     if method == "impute_mean":
-        own = Window.partitionBy(*(keys or [F.lit(0)]))
-        mean = lambda c: F.when(F.col(c).isNull() & (F.count(c).over(own) > 1), F.avg(c).over(own)).otherwise(F.col(c))
-        return df.select(*(mean(c).alias(c) if c in cols else F.col(c) for c in df.columns))
+        own = Window.partitionBy(*(map(named, keys) if keys else [F.lit(0)]))
+        mean = lambda c: F.when(c.isNull() & (F.count(c).over(own) > 1), F.avg(c).over(own)).otherwise(c)
+        return df.select(*(mean(named(c)).alias(c) if c in cols else named(c) for c in df.columns))
     return df
 
 
+def present(cols: list[str]) -> Column:
+    """A condition: no column is NULL."""
+    out = F.lit(True)
+    for c in cols:
+        out = out & named(c).isNotNull()
+    return out
+
+
 def all_finite(cols: list[str]):
     """A condition: every column is finite."""
     out = F.lit(True)
     for c in cols:
-        out = out & finite(F.col(c))
+        out = out & finite(named(c))
     return out

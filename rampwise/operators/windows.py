@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rampwise.operators.series import key_columns, named, series_key, unclashing
+
 ALIGN, TYPES = ("end", "start", "center"), ("rolling", "expanding")
 
 
@@ -22,12 +24,12 @@ def checked(window: int, step: int, align: str, type: str) -> tuple[str, str]:
 def roll_windows(series: DataFrame, time: str, window: int, step: int = 1, align: str = "end", type: str = "rolling", keys: list[str] | None = None) -> DataFrame:
     """(keys, window_id, start, end, t_rep, idx) of a positioned series; one short window where it has fewer rows than ``window``. ``idx`` costs nothing where it isn't selected."""
     align, type = checked(window, step, align, type)
-    keys = keys or []
-    own = ends(series, window, step).select(*keys, "window_id", "pos")
-    own = bounded(own, window, type, "pos").select(*keys, "window_id", "start", F.col("pos").alias("end"))
+    unclashing(keys, "window_id", "start", "end", "t_rep", "idx")
+    series = series.select(series_key(keys), named(time).alias("time"), "pos", "n")
+    own = bounded(ends(series, window, step).select("key", "window_id", "pos"), window, type, "pos").select("key", "window_id", "start", F.col("pos").alias("end"))
     at = {"end": F.col("end"), "start": F.col("start"), "center": F.floor((F.col("start") + F.col("end")) / 2)}[align]
-    times = series.select(*keys, F.col("pos").alias("at"), F.col(time).alias("t_rep"))
-    return own.withColumn("at", at.cast("long")).join(times, [*keys, "at"]).select(*keys, "window_id", "start", "end", "t_rep", F.sequence("start", "end").alias("idx"))
+    times = series.select("key", F.col("pos").alias("at"), F.col("time").alias("t_rep"))
+    return own.withColumn("at", at.cast("long")).join(times, ["key", "at"]).select(*key_columns(keys), "window_id", "start", "end", "t_rep", F.sequence("start", "end").alias("idx"))
 
 
 def ends(series: DataFrame, window: int, step: int) -> DataFrame:
