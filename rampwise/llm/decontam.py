@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rampwise.llm.common import column, columns, unused
+
 WINDOW = 10
 #: Documents of about so many bytes of text share a suffix array.
 SHARD_BYTES = 16 << 20
@@ -185,7 +187,7 @@ def _covered(start: pd.Series, length: pd.Series) -> pd.Series:
 
 def blocks_of(items: DataFrame, window: int, id_col: str, text_col: str, block_bytes: int) -> list[Items]:
     """The benchmark in blocks of about ``block_bytes`` of text."""
-    own = items.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"))
+    own = items.select(column(id_col).alias("i"), column(text_col).cast("binary").alias("t"))
     total = own.agg(F.sum(F.length("t"))).head()[0] or 0
     n = 1 + total // block_bytes
     part = lambda k: own if n == 1 else own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
@@ -193,14 +195,14 @@ def blocks_of(items: DataFrame, window: int, id_col: str, text_col: str, block_b
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, to: str = "found") -> DataFrame:
-    """``docs`` with a struct ``to``: n_words, n_hit, item_ids (distinct, sorted), matches (item_id, item_pos, doc_pos, length in words)."""
+    """``docs`` with a struct ``to``, which replaces a column of that name: n_words, n_hit, item_ids (distinct, sorted), matches (item_id, item_pos, doc_pos, length in words)."""
     spark = docs.sparkSession
     blocks = blocks_of(items, window, item_id_col, item_text_col, block_bytes)
-    parts = [f"_{to}_{k}" for k in range(len(blocks))]
-    text: Column = F.col(text_col).cast("binary")
+    parts = [unused(docs, f"_{to}_{k}") for k in range(len(blocks))]
+    text: Column = column(text_col).cast("binary")
     got = docs.select("*", *(_searcher(spark.sparkContext.broadcast(b), window, shard_bytes)(text).alias(p) for b, p in zip(blocks, parts, strict=True)))
     joined = {c: F.concat(*(F.col(f"{p}.{c}") for p in parts)) for c in ("item", "item_pos", "doc_pos", "length")}
-    return got.select(*(got[c] for c in docs.columns), F.struct(
+    return got.select(*(column(c) for c in docs.columns if c.lower() != to.lower()), F.struct(
         F.col(f"{parts[0]}.n_words").alias("n_words"),
         F.pandas_udf(_covered, "long")(joined["doc_pos"], joined["length"]).alias("n_hit"),
         F.array_sort(F.array_distinct(F.filter(joined["item"], lambda x: x != ""))).alias("item_ids"),
@@ -210,5 +212,6 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no window of any item occurs."""
-    got = find(docs, items, to="_decontam", **options)
-    return got.filter(F.col("_decontam.n_hit") == 0).select(*(got[c] for c in docs.columns))
+    to = unused(docs, "decontam")
+    got = find(docs, items, to=to, **options)
+    return got.filter(F.col(to)["n_hit"] == 0).select(*columns(docs))

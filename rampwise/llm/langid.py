@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rampwise.llm.common import column
+
 BUCKETS, DIM, EPOCHS = 1 << 14, 16, 6
 #: The most texts of each language that the model is learned from.
 PER_LANGUAGE = 600
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
     A language's count sets the hash above which its rows are out at once, so that about four times ``per_language`` rows meet
     in the task of a language however many it has. The counts are broadcast: one row for each language, as in the model.
     """
-    own = docs.select(F.abs(F.xxhash64(F.col(id_col), F.length(text_col))).alias("seed"), F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text")).filter("lang is not null and length(text) > 0")
+    own = docs.select(F.abs(F.xxhash64(column(id_col), F.length(column(text_col)))).alias("seed"), column(lang_col).alias("lang"), column(text_col).cast("binary").alias("text")).filter("lang is not null and length(text) > 0")
     counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     least = F.lit(float(1 << 63)) * F.lit(4.0 * per_language) / F.col("n")
     own = own.join(F.broadcast(counts), "lang").filter(F.col("seed") <= least).select("seed", "lang", "text")
@@ -148,11 +150,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", to: str = "language") -> DataFrame:
-    """``docs`` with a struct ``to``: lang_pred, score, accepted."""
+    """``docs`` with a struct ``to``, which replaces a column of that name: lang_pred, score, accepted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
     def language(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score", "accepted"])
 
-    return docs.select(*(docs[c] for c in docs.columns), language(docs[text_col].cast("binary")).alias(to))
+    return docs.select(*(column(c) for c in docs.columns if c.lower() != to.lower()), language(column(text_col).cast("binary")).alias(to))

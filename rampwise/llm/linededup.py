@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import written
+from rampwise.llm.common import column, columns, written
 
 #: A run of fewer words is left alone.
 MIN_WORDS = 25
@@ -28,8 +28,8 @@ MIN_WORDS = 25
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, hash, line number, name, words) of every line that isn't blank, once per (id, text)."""
-    line = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("name"), F.size(F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")).alias("words"), (F.length(F.trim(x)) > 0).alias("some")))
-    own = docs.filter(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.filter(line, lambda x: x["some"]).alias("lines"))
+    line = F.transform(F.split(column(text_col), "\n", -1), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("name"), F.size(F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")).alias("words"), (F.length(F.trim(x)) > 0).alias("some")))
+    own = docs.filter(F.length(column(text_col)) > 0).select(column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("hash"), F.filter(line, lambda x: x["some"]).alias("lines"))
     once = own.groupBy("id", "hash").agg(F.first("lines").alias("lines"))
     return once.select("id", "hash", F.explode("lines").alias("l")).select("id", "hash", "l.line", "l.name", F.greatest(F.col("l.words"), F.lit(1)).alias("words"))
 
@@ -70,22 +70,18 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     return lines.groupBy("id", "hash").agg(F.collect_set("line").alias("lines"))
 
 
-def maximal_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, stop): the maximal runs of lines that are deleted from each document."""
-    lines = later_copies(docs, min_words, id_col, text_col).select("id", "hash", F.posexplode(F.array_sort("lines")).alias("k", "line"))
-    return lines.groupBy("id", "hash", (F.col("line") - F.col("k")).alias("island")).agg(F.min("line").alias("start"), F.max("line").alias("stop")).drop("island")
-
-
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", info: str = "line_dedup") -> DataFrame:
-    """``docs`` with later copies taken out of the text, and a struct ``info``: n_lines, n_removed, emptied."""
-    lost = written(later_copies(docs, min_words, id_col, text_col), "line-dedup").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("lines").alias("_lost"))
-    base = docs.select(*(docs[c] for c in docs.columns), F.xxhash64(text_col).alias("_text_hash"))
-    got = base.join(lost.hint("merge"), F.col("_id").eqNullSafe(base[id_col]) & (F.col("_hash") == F.col("_text_hash")), "left")
-    got = got.select(*(base[c] for c in docs.columns), "_lost", F.split(base[text_col], "\n", -1).alias("_all"))
-    count = F.when(F.length(text_col) > 0, F.size("_all")).otherwise(F.lit(0)).cast("long")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_lost")), lambda i: F.get("_all", i))
-    text = F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    got = got.select(*(F.col(c) for c in docs.columns if c != text_col), text.alias("_text"), count.alias("_n"), F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("_removed"))
-    removed = F.when(F.col("_removed") < 0, F.lit(0)).otherwise(F.col("_removed")).cast("long")
-    done = F.struct(F.col("_n").alias("n_lines"), removed.alias("n_removed"), ((removed > 0) & (F.length(F.trim(F.regexp_replace("_text", r"\s+", " "))) == 0)).alias("emptied"))
-    return got.select(*(F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns), done.alias(info))
+    """``docs`` with later copies taken out of the text, and a struct ``info``, which replaces a column of that name: n_lines, n_removed, emptied.
+
+    The other columns, of any name, are carried along in a struct.
+    """
+    base = docs.select(F.struct(*columns(docs)).alias("row"), column(id_col).alias("id"), column(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    lost = written(later_copies(base.select("id", "text"), min_words, "id", "text"), "line-dedup").toDF("lost_id", "lost_hash", "lost")
+    got = base.join(lost.hint("merge"), F.col("lost_id").eqNullSafe(F.col("id")) & (F.col("lost_hash") == F.col("hash")), "left").select("row", "text", "lost", F.split("text", "\n", -1).alias("all"))
+    count = F.when(F.length("text") > 0, F.size("all")).otherwise(F.lit(0)).cast("long")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("lost")), lambda i: F.get("all", i))
+    text = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    got = got.select("row", text.alias("text"), count.alias("n"), F.greatest(F.coalesce(F.size("lost"), F.lit(0)), F.lit(0)).cast("long").alias("removed"))
+    done = F.struct(F.col("n").alias("n_lines"), F.col("removed").alias("n_removed"), ((F.col("removed") > 0) & (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) == 0)).alias("emptied"))
+    own = (F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c.lower() != info.lower())
+    return got.select(*own, done.alias(info))
