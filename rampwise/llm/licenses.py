@@ -4,7 +4,7 @@ A paragraph is a line; lines of more than ``WIDTH`` words are looked at in windo
 Notices among other words are looked for in shorter windows of every line (``SIZES``); of these, only windows that hold enough
 bigrams of templates to be confirmed are scored, which leaves out none that could be found. Hashed word unigrams and bigrams, as shares of the paragraph's, go through a multinomial logistic regression over the
 licence families and a class of none. It is learned by stochastic gradient descent in numpy from the templates (whole, cut,
-with words left out, with other words around them, and as the windows of longer lines hold them) and from paragraphs of a bounded sample of documents (``SAMPLE``) that
+with words left out, with other words around them, and as the windows of longer lines hold them) and from all paragraphs of a bounded sample of documents (``SAMPLE``) that
 hold little of any template. A held-back part sets the softmax's temperature and the least score (``FALSE_SHARE`` of the held-back
 paragraphs of other text may pass it): what scores less is unknown. A predicted family holds only where the paragraph's best
 template of that family shares at least ``CONFIRM`` of the shorter one's word bigrams, and a shorter window's only where it
@@ -25,14 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rampwise.llm.common import column
 from rampwise.llm.langid import softmax
 from rampwise.llm.minhash import mixed, words_at
 
 WIDTH, BUCKETS, EPOCHS = 48, 1 << 14, 20
 #: Words of the windows inside lines; they begin a third of their size apart, so that one of them holds any two thirds of it whole.
 SIZES = (6, 8, 12, 18, 27, 36)
-#: The most documents whose paragraphs the class of none is learned from, and the most paragraphs of each.
-SAMPLE, SAMPLE_PARAGRAPHS = 1000, 8
+#: About how many documents' paragraphs the class of none is learned from, all of them.
+SAMPLE = 400
 FALSE_SHARE, CONFIRM = 0.002, 0.6
 #: Bytes of text that are looked at together.
 STRIPE = 2 << 20
@@ -375,24 +376,27 @@ def _others(frames):
     for pdf in frames:
         out = []
         for text in pdf["text"].tolist():
-            lines = [x for x in text.translate(_WORDS).split(b"\n") if x.strip()]
-            for k in np.unique(np.linspace(0, max(0, len(lines) - 1), SAMPLE_PARAGRAPHS).astype(int)) if lines else []:
-                words = lines[k].split()[:WIDTH]
-                p = Paragraphs([b" ".join(words)])
-                if not len(np.intersect1d(p.hashes(0), _ALL)):
-                    out.append(b" ".join(words))
+            for words in map(bytes.split, text.translate(_WORDS).split(b"\n")):
+                for own in (words[i : i + WIDTH] for i in range(0, len(words), WIDTH)):
+                    if not len(np.intersect1d(Paragraphs([b" ".join(own)]).hashes(0), _ALL)):
+                        out.append(b" ".join(own))
         yield pd.DataFrame({"text": out})
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Model:
-    """The model of the templates and of paragraphs of ``sample`` documents at most, chosen by the hash of their text."""
-    own = docs.select(F.col(text_col).cast("binary").alias("text")).filter("length(text) > 0")
-    chosen = own.orderBy(F.xxhash64("text"), "text").limit(sample).mapInPandas(_others, "text binary")
+    """The model of the templates and of all paragraphs of about ``sample`` documents, those whose texts have the smallest hashes.
+
+    A count gives the hash to cut at, so that no texts meet in one task; texts of equal hash go together.
+    """
+    own = docs.select(column(text_col).cast("binary").alias("text")).filter("length(text) > 0").withColumn("h", F.xxhash64("text"))
+    n = own.count()
+    least = F.lit(2.0**64 * sample / max(n, 1) - 2.0**63)
+    chosen = (own.filter(F.col("h") <= least) if n > sample else own).select("text").mapInPandas(_others, "text binary").distinct()
     return Model(sorted({bytes(r[0]) for r in chosen.collect()}))
 
 
 def scan(docs: DataFrame, model: Model, text_col: str = "text", to: str = "licenses") -> DataFrame:
-    """``docs`` with a struct ``to``: n_paragraphs, found (family, line, score, similarity), n_unconfirmed."""
+    """``docs`` with a struct ``to``, which replaces a column of that name: n_paragraphs, found (family, line, score, similarity), n_unconfirmed."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("n_paragraphs long, found array<struct<family string, line long, score double, similarity double>>, n_unconfirmed long")
@@ -407,4 +411,4 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", to: str = "licen
         out += shared.value.scan(held) if held else []
         return pd.DataFrame(out, columns=["n_paragraphs", "found", "n_unconfirmed"])
 
-    return docs.select(*(docs[c] for c in docs.columns), scanned(docs[text_col].cast("binary")).alias(to))
+    return docs.select(*(column(c) for c in docs.columns if c.lower() != to.lower()), scanned(column(text_col).cast("binary")).alias(to))
