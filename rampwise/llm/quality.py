@@ -3,7 +3,8 @@
 A document is a bag of passages (``PASSAGE`` bytes each). Every passage is encoded: hashed byte trigrams and a few shares
 of character classes, through one layer. Learned gated attention weights add the passages up to one representation of the
 document, which a logistic unit scores; only the documents' labels are needed. The model is learned with Adam on a bounded
-sample of labelled rows (``SAMPLE``; of their passages ``SAMPLE_PASSAGES`` each, spread evenly).
+sample of labelled rows (``SAMPLE``), from all their passages. Of an id with several labels the smallest counts; of an
+id with several texts each is a bag.
 
 Scoring sends the model to all executors (its size is fixed) and reads every whole text once, all passages of it, without
 a shuffle. Null and empty texts are scored as one empty passage. Without labelled rows every score is 0.5.
@@ -16,10 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rampwise.llm.common import column
+
 PASSAGE = 1024
 HASHED, HIDDEN, GATE = 1024, 24, 12
-#: The most labelled rows that the model is learned from, and the most passages of each.
-SAMPLE, SAMPLE_PASSAGES = 4000, 16
+#: The most labelled rows that the model is learned from.
+SAMPLE = 4000
 EPOCHS, BATCH, RATE = 25, 32, 0.01
 #: Passages encoded at a time.
 STRIPE = 512
@@ -133,18 +136,16 @@ def _bags(frames):
         out = []
         for text in pdf["text"].tolist():
             own = passages_of(text or b"")
-            if len(own) > SAMPLE_PASSAGES:
-                own = [own[i] for i in np.linspace(0, len(own) - 1, SAMPLE_PASSAGES).astype(int)]
-            out.append(features(own).astype(np.float16).tobytes())
+            out.append(b"".join(features(own[i : i + STRIPE]).astype(np.float16).tobytes() for i in range(0, len(own), STRIPE)))
         yield pd.DataFrame({"seed": pdf["seed"], "y": pdf["y"], "x": out})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", usable: Column | None = None) -> Model:
     """The model of at most ``sample`` labelled rows, chosen by the hash of their id among those that are ``usable`` (a condition on labels)."""
-    own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    own = own if usable is None else own.filter(usable)
-    chosen = own.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"), F.abs(F.xxhash64(F.col(id_col))).alias("seed")).dropDuplicates(["_id"]).orderBy("seed", "_id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "_id").select("seed", "y", "text")
+    own = labels if usable is None else labels.filter(usable)
+    own = own.select(column(id_col).cast("long").alias("id"), column(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
+    chosen = own.groupBy("id").agg(F.min("y").alias("y")).select("id", "y", F.abs(F.xxhash64("id")).alias("seed")).orderBy("seed", "id").limit(sample)
+    texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "id").select("seed", "y", "text")
     rows = sorted((r[0], r[1], bytes(r[2])) for r in texts.mapInPandas(_bags, "seed long, y int, x binary").collect())
     model = Model()
     return model.train([(np.frombuffer(x, np.float16).reshape(-1, WIDTH), y) for _, y, x in rows]) if rows else model
@@ -167,4 +168,4 @@ def quality(model: Model, docs: DataFrame, text_col: str = "text") -> Column:
             out.append(shared.value.score_texts(held))
         return pd.Series(np.concatenate(out).astype(float) if out else np.zeros(0))
 
-    return score(docs[text_col].cast("binary"))
+    return score(column(text_col).cast("binary"))
