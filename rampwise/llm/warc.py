@@ -7,7 +7,12 @@ digests and writes WARC 1.1; ``read_warc`` reads such archives back by their con
 of either version from a table of pages.
 
 Archives are written by Spark's own file writer and read with its binary file source, so any store that Spark reaches
-will do, and lost tasks are run again by Spark. Files are compressed as a whole and unpacked as a stream.
+will do, and lost tasks are run again by Spark. Files are compressed as a whole (not each record) and unpacked as a stream;
+ARC files may be uncompressed.
+
+The version block becomes a ``warcinfo`` record, content that begins with an HTTP status line a ``response``, other content (as that
+of ``dns:`` URLs) a ``resource`` with its own content type. A line that isn't a header line of the file's version is
+skipped, with all that follows it up to the next that is one. Record ids come from the whole path of the file and the offset.
 
 Records whose payloads have at least ``least`` bytes and equal digest and length are one group: the record of the largest
 page id (of equals, the largest record id) is the response, the others become revisit records that carry their HTTP
@@ -21,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from urllib.parse import quote
@@ -29,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import scratch_path, written
+from rampwise.llm.common import column, scratch_path, written
 
 #: Fixed values of the ARC format: the fields of a record's header line, by version.
 ARC_FIELDS = {
@@ -39,7 +45,7 @@ ARC_FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REVISIT_FROM = 1000
 ID_HEADER = "X-Page-Id"
-ARC_SCHEMA = "file string, offset long, version int, url string, ip string, date string, content_type string, head binary, payload binary, page_id long, record_id string, sha1 string, sha1_base32 string, bytes long"
+ARC_SCHEMA = "type string, file string, offset long, version int, url string, ip string, date string, content_type string, head binary, payload binary, page_id long, record_id string, sha1 string, sha1_base32 string, bytes long"
 WARC_SCHEMA = "type string, record_id string, date string, url string, refers_to string, payload_digest string, page_id long, head binary, payload binary"
 
 
@@ -67,12 +73,12 @@ def _arc_texts(version: int, date: str):
 
 def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "20240101000000", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """ARC files of the given version, one for each partition of ``pages``."""
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("html"))
+    own = pages.select(column(id_col).cast("long").alias("page_id"), column(url_col).alias("url"), F.coalesce(column(payload_col).cast("binary"), F.lit(b"")).alias("html"))
     own.mapInPandas(_arc_texts(version, date), "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{gz,arc,warc}").load(path).select("path", "content")
 
 
 class Unpacked(io.RawIOBase):
@@ -109,25 +115,29 @@ def page_id_of(head: bytes) -> int | None:
 
 
 def parse_arc(name: str, data: bytes):
-    """The records of one ARC file; a header line that doesn't fit the file's version is an error."""
-    stream, offset, version = io.BufferedReader(Unpacked(data), 1 << 20), 0, None
+    """The records of one ARC file."""
+    raw = Unpacked(data) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    stream, offset, version = io.BufferedReader(raw, 1 << 20), 0, None
     while line := stream.readline():
         if not line.strip():
             offset += len(line)
             continue
         fields = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
+        first = fields[0].startswith("filedesc:")
+        names = ARC_FIELDS[1 if len(fields) == 5 else 2].split(" ") if first else ARC_FIELDS[version].split(" ") if version else []
+        if len(fields) != len(names) or not re.fullmatch(r"[A-Za-z][\w+.-]*:.*", fields[0]) or not (fields[-1] + fields[2]).isdigit():
+            offset += len(line)
+            continue
         body = stream.read(int(fields[-1]))
-        if version is None:
-            version = int(body.split(b" ", 1)[0])
-            names = ARC_FIELDS[version].split(" ")
-        elif len(fields) != len(names):
-            raise ValueError(f"{name}, offset {offset}: {len(fields)} fields in an ARC {version} header line")
-        else:
-            head, _, payload = body.partition(b"\r\n\r\n")
-            own = dict(zip(names, fields, strict=True))
-            d, sha1 = own["Archive-date"].ljust(14, "0"), hashlib.sha1(payload)
-            iso = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-            yield (name, offset, version, own["URL"], own["IP-address"], iso, own["Content-type"], head, payload, page_id_of(head), str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{offset}")), sha1.hexdigest(), base64.b32encode(sha1.digest()).decode(), len(payload))
+        if first:
+            said = body.split(b" ", 1)[0]
+            version = int(said) if said.isdigit() and int(said) in ARC_FIELDS else 1 if len(fields) == 5 else 2
+        kind = "warcinfo" if first else "response" if body.startswith(b"HTTP/") else "resource"
+        head, _, payload = body.partition(b"\r\n\r\n") if kind == "response" else (b"", b"", body)
+        own = dict(zip(names, fields, strict=True))
+        d, sha1 = own["Archive-date"].ljust(14, "0"), hashlib.sha1(payload)
+        iso = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+        yield (kind, name, offset, version, own["URL"], own["IP-address"], iso, own["Content-type"], head, payload, page_id_of(head), str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{offset}")), sha1.hexdigest(), base64.b32encode(sha1.digest()).decode(), len(payload))
         offset += len(line) + len(body)
 
 
@@ -154,7 +164,7 @@ def arc_records(spark: SparkSession, path: str) -> DataFrame:
     def run(frames):
         for pdf in frames:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield from batched(parse_arc(name.rpartition("/")[2], content), _names(ARC_SCHEMA))
+                yield from batched(parse_arc(name, content), _names(ARC_SCHEMA))
 
     return _files(spark, path).mapInPandas(run, ARC_SCHEMA)
 
@@ -162,25 +172,27 @@ def arc_records(spark: SparkSession, path: str) -> DataFrame:
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = REVISIT_FROM) -> None:
     """WARC files in ``warc_path`` from all ARC files below ``arc_path``. Only digests are shuffled, payloads where the groups are too many to be sent to all."""
     records = arc_records(spark, arc_path)
-    group = records.filter(F.col("bytes") >= least).groupBy("sha1", "bytes").agg(F.max(F.struct("page_id", "record_id", "url", "date")).alias("first"), F.count(F.lit(1)).alias("n"))
+    group = records.filter((F.col("type") == "response") & (F.col("bytes") >= least)).groupBy("sha1", "bytes").agg(F.max(F.struct("page_id", "record_id", "url", "date")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = written(group.filter("n > 1").select("sha1", "bytes", "first"), "warc-groups")
-    got = records.join(first, ["sha1", "bytes"], "left")
+    some = (F.col("type") == "response") & (F.col("bytes") >= least)
+    got = records.filter(some).join(first, ["sha1", "bytes"], "left").unionByName(records.filter(~some), allowMissingColumns=True)
     revisit = F.coalesce(F.col("first.record_id") != F.col("record_id"), F.lit(False))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    block = F.when(revisit, F.concat(F.col("head"), F.lit(b"\r\n\r\n"))).otherwise(F.concat(F.col("head"), F.lit(b"\r\n\r\n"), F.col("payload")))
+    block = F.when(revisit, F.concat(F.col("head"), F.lit(b"\r\n\r\n"))).when(F.col("type") != "response", F.col("payload")).otherwise(F.concat(F.col("head"), F.lit(b"\r\n\r\n"), F.col("payload")))
     urn = lambda c: F.concat(F.lit("<urn:uuid:"), c, F.lit(">"))
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", urn(F.col("record_id"))), line("WARC-Date", F.col("date")),
-        line("WARC-Target-URI", F.col("url")), line("WARC-IP-Address", F.col("ip")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1_base32"))),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.col("type"))), line("WARC-Record-ID", urn(F.col("record_id"))), line("WARC-Date", F.col("date")),
+        F.when(F.col("type") == "warcinfo", line("WARC-Filename", F.element_at(F.split("file", "/"), -1))).otherwise(F.concat(line("WARC-Target-URI", F.col("url")), line("WARC-IP-Address", F.col("ip")))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1_base32"))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", urn(F.col("first.record_id"))), line("WARC-Refers-To-Target-URI", F.col("first.url")), line("WARC-Refers-To-Date", F.col("first.date")))).otherwise(F.lit("")),
-        line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.length(block).cast("string")), F.lit("\r\n"),
+        line("Content-Type", F.when(F.col("type") == "response", F.lit("application/http; msgtype=response")).otherwise(F.col("content_type"))), line("Content-Length", F.length(block).cast("string")), F.lit("\r\n"),
     )
     got.select(F.concat(head.cast("binary"), block).cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
 
 
 def parse_warc(data: bytes):
     """The records of one WARC file."""
-    stream = io.BufferedReader(Unpacked(data), 1 << 20)
+    stream = io.BufferedReader(Unpacked(data) if data[:2] == b"\x1f\x8b" else io.BytesIO(data), 1 << 20)
     while line := stream.readline():
         if not line.strip():
             continue
@@ -190,7 +202,8 @@ def parse_warc(data: bytes):
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             own[name.strip().lower()] = value.strip()
-        head, _, payload = stream.read(int(own["content-length"])).partition(b"\r\n\r\n")
+        block = stream.read(int(own["content-length"]))
+        head, _, payload = block.partition(b"\r\n\r\n") if own["warc-type"] in ("response", "revisit") else (b"", b"", block)
         bare = lambda x: x[len("<urn:uuid:") : -1] if x else None
         yield own["warc-type"], bare(own["warc-record-id"]), own["warc-date"], own.get("warc-target-uri"), bare(own.get("warc-refers-to")), own.get("warc-payload-digest"), page_id_of(head), head, payload
 
@@ -207,11 +220,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record; what a revisit refers to is looked up by its record id."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each response and revisit; what a revisit refers to is looked up by its record id.
+
+    Only revisits are joined: responses refer to nothing.
+    """
+    records = records.filter(F.col("type").isin("response", "revisit"))
     light = written(records.select("type", "record_id", "refers_to", "page_id", F.length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest")), "warc-records")
     there = light.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("there"), F.col("bytes").alias("its_bytes"), F.col("digest").alias("its_digest"))
-    got, revisit = light.join(there, "refers_to", "left"), F.col("type") == "revisit"
-    return got.select("page_id", F.when(revisit, F.col("its_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(revisit, F.col("its_digest")).otherwise(F.col("digest")).alias("payload_digest"), F.col("type").alias("record_type"), F.col("there").alias("refers_to"))
+    again = light.filter("type = 'revisit'").join(there, "refers_to", "left").select("page_id", F.col("its_bytes").alias("bytes"), F.col("its_digest").alias("digest"), "type", "there")
+    got = light.filter("type = 'response'").select("page_id", "bytes", "digest", "type", F.lit(None).cast("long").alias("there")).union(again)
+    return got.toDF("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
