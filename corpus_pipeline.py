@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: each stage is one corpus operator, written as Parquet and read again.
 
-Every stage but the last returns the columns of ``documents``. Null texts score as empty ones in the first stage and pass the
-others untouched; rows without a doc_id are kept by the near-duplicate stage and come out of the last one with a null id.
+Every stage but the last returns the columns of ``documents``, of any names and however many. Null texts score as empty ones in the first stage and pass the
+others untouched; rows without a doc_id are kept by the near-duplicate stage, those without words too, and come out of the last one with a null id.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rampwise.llm import bpe, decontam, linededup, minhash, quality
-from rampwise.llm.common import table, written
+from rampwise.llm.common import columns, table, unused, written
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.3
@@ -20,14 +20,15 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, learned from ``labels.quality``, scores below ``LEAST_QUALITY``."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("*", quality.quality(model, docs).alias("_quality"))
-    return scored.filter(F.col("_quality") >= LEAST_QUALITY).select(*(scored[c] for c in docs.columns))
+    name = unused(docs, "quality")
+    return docs.withColumn(name, quality.quality(model, docs)).filter(F.col(name) >= LEAST_QUALITY).select(*columns(docs))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated line runs; documents of which nothing but blank lines is left go."""
-    got = linededup.dedup_lines(docs, info="_lines")
-    got = got.filter(~F.coalesce(F.col("_lines.emptied"), F.lit(False))).select(*(got[c] for c in docs.columns))
+    name = unused(docs, "lines")
+    got = linededup.dedup_lines(docs, info=name)
+    got = got.filter(~F.coalesce(F.col(name)["emptied"], F.lit(False))).select(*columns(docs))
     return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else got
 
 

@@ -175,11 +175,20 @@ def rt_overlay(spark, sf_dir):
     return got.select("x", F.round("score", 6).alias("score"), F.round("scaled_signal", 6).alias("scaled_signal"), F.round("alpha", 6).alias("alpha"))
 
 
-def csv_roundtrip(spark, sf_dir):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where all runs in this process."""
     import tempfile
+
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return found or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def csv_roundtrip(spark, sf_dir):
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = shared_dir(spark)
     path = write_rt_csv(hourly(spark, sf_dir).select("t", F.round("click_m", 6).alias("click_m"), (F.col("click_m") > 50).alias("flag")), f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}")
     return spark.read.schema("t timestamp_ntz, click_m double, flag boolean").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
 
