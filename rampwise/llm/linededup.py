@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import column, columns, written
+from rampwise.llm.common import column, written
 
 #: A run of fewer words is left alone.
 MIN_WORDS = 25
@@ -75,7 +75,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
     The other columns, of any name, are carried along in a struct.
     """
-    base = docs.select(F.struct(*columns(docs)).alias("row"), column(id_col).alias("id"), column(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    rest = [column(c) for c in docs.columns if c != text_col]
+    base = docs.select(F.struct(*rest, F.lit(0).alias("none")).alias("row"), column(id_col).alias("id"), column(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     lost = written(later_copies(base.select("id", "text"), min_words, "id", "text"), "line-dedup").toDF("lost_id", "lost_hash", "lost")
     got = base.join(lost.hint("merge"), F.col("lost_id").eqNullSafe(F.col("id")) & (F.col("lost_hash") == F.col("hash")), "left").select("row", "text", "lost", F.split("text", "\n", -1).alias("all"))
     count = F.when(F.length("text") > 0, F.size("all")).otherwise(F.lit(0)).cast("long")
