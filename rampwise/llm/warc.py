@@ -125,7 +125,7 @@ def parse_arc(name: str, data: bytes):
         fields = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
         first = fields[0].startswith("filedesc:")
         names = ARC_FIELDS[1 if len(fields) == 5 else 2].split(" ") if first else ARC_FIELDS[version].split(" ") if version else []
-        if len(fields) != len(names) or not re.fullmatch(r"[A-Za-z][\w+.-]*:.*", fields[0]) or not (fields[-1] + fields[2]).isdigit():
+        if not names or len(fields) != len(names) or not re.fullmatch("[0-9]+ [0-9]+", f"{fields[-1]} {fields[2]}"):
             offset += len(line)
             continue
         body = stream.read(int(fields[-1]))
