@@ -14,7 +14,8 @@ UTF-8 never has; it also stands before the text).
    shuffle partitions. All distinct runs are kept, so what is gathered grows with the corpus.
 3. A part computes its subtrees; the two upper levels (at most 65,281 nodes, a proven bound) are added up by Spark and sent
    to all executors.
-4. Each part scores the distinct runs of its blocks once; the values go back to the chunks, where documents are added up.
+4. Each part scores its distinct runs once. The values go back the way the runs came: to the groups of chunks, each only those
+   of its own runs, and from these to the chunks, where documents are added up. No model is copied.
 
 Null texts are empty: one token, the end. Null ids count as held out. Rows that repeat are scored each for itself. Without
 training documents every bit has probability 1/2 and no token is known.
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import held_out, small_batches, written
+from rampwise.llm.common import column, held_out, small_batches, written
 
 DEPTH = 5
 CHUNK_BYTES = 4 << 20
@@ -184,7 +185,8 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
             for w, n in zip(zstandard.decompress(b).split(b"\n"), unpacked(c).tolist(), strict=True):
                 total[w] = total.get(w, 0) + n
         body, count = zstandard.compress(b"\n".join(total), 1), np.fromiter(total.values(), np.int64, len(total))
-    return pd.DataFrame({"part": pdf["part"].iloc[:1], "kind": pdf["kind"].iloc[:1], "body": [body], "counts": [packed(count)], "known": [int((count > 0).sum())]})
+    own = {c: pdf[c].iloc[:1].tolist() for c in ("part", "kind", "salt") if c in pdf}
+    return pd.DataFrame({**own, "body": [body], "counts": [packed(count)], "known": [int((count > 0).sum())]})
 
 
 class Tree:
@@ -282,28 +284,39 @@ def _uppers(frames):
             yield Tree(unpack_sorted(body), unpacked(counts).astype(np.int64)).upper()
 
 
-def _scored(shared):
-    def run(model: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+def _places(kind: str, body: bytes):
+    """Of a merged block: a function from the body of a block whose keys it holds to their places in it."""
+    if kind == "runs":
+        keys = unpack_sorted(body)
+        return lambda b: np.searchsorted(keys, unpack_sorted(b))
+    at = {w: i for i, w in enumerate(zstandard.decompress(body).split(b"\n"))}
+    return lambda b: np.fromiter(map(at.__getitem__, zstandard.decompress(b).split(b"\n")), np.int64)
+
+
+def _valued(shared):
+    """The values of a part's model for the keys of each group of chunks."""
+
+    def run(model: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
         out = []
         for kind, body, counts in zip(model["kind"], model["body"], model["counts"], strict=True):
-            own = blocks[blocks["kind"] == kind]
-            if not len(own):
-                continue
+            place, value = _places(kind, body), unpacked(counts)
             if kind == "runs":
-                keys = unpack_sorted(body)
-                value = Tree(keys, unpacked(counts).astype(np.int64)).log10(shared.value).astype("<f4").view("<u4")
-                place = lambda b: np.searchsorted(keys, unpack_sorted(b))  # noqa: B023, E731
-            else:
-                words = {w: i for i, w in enumerate(zstandard.decompress(body).split(b"\n"))}
-                value = unpacked(counts)
-                place = lambda b: np.fromiter(map(words.__getitem__, zstandard.decompress(b).split(b"\n")), np.int64)  # noqa: B023, E731
-            for chunk, part, b in zip(own["chunk"], own["part"], own["body"], strict=True):
-                out.append((chunk, part, kind, packed(value[place(b)])))
-        return pd.DataFrame(out, columns=["chunk", "part", "kind", "value"])
+                value = Tree(unpack_sorted(body), value.astype(np.int64)).log10(shared.value).astype("<f4").view("<u4")
+            out += [(part, kind, salt, b, packed(value[place(b)])) for part, salt, b in zip(groups["part"], groups["salt"], groups["body"], strict=True)]
+        return pd.DataFrame(out, columns=["part", "kind", "salt", "body", "value"])
 
     return run
 
 
+def _dealt(groups: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+    """The values of a group's keys for the keys of each of its chunks."""
+    out = []
+    for kind, body, value in zip(groups["kind"], groups["body"], groups["value"], strict=True):
+        place, value = _places(kind, body), unpacked(value)
+        out += [(chunk, part, kind, packed(value[place(b)])) for chunk, part, b in zip(blocks["chunk"], blocks["part"], blocks["body"], strict=True)]
+    return pd.DataFrame(out, columns=["chunk", "part", "kind", "value"])
+
+
 def _documents(parts: int, train_tokens: int, ends: int, distinct: int):
     """``ends``: the training documents, each with one end; ``distinct``: the distinct training tokens."""
     scale = math.log10(train_tokens + 0.1 * (distinct + 1))
@@ -351,27 +364,30 @@ def _documents(parts: int, train_tokens: int, ends: int, distinct: int):
     return run
 
 
-def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, group: int = GROUP) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each whole text; the documents whose id leaves no remainder by ``folds`` are held out of learning."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), held_out(F.col(id_col).cast("long"), folds).alias("held_out"))
+    own = docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col).cast("binary"), F.lit(b"")).alias("text"), held_out(column(id_col).cast("long"), folds).alias("held_out"))
     gathered = written(own.mapInPandas(_gathered(parts, chunk_bytes), "chunk long, part int, kind string, ids array<long>, out array<boolean>, sizes array<long>, tokens long, body binary, counts binary"), "lm-blocks")
     blocks = gathered.filter("kind <> 'text'").select("chunk", "part", "kind", "body", "counts")
-    salts = 1 + gathered.filter("kind = 'text'").count() // GROUP
+    salts = 1 + gathered.filter("kind = 'text'").count() // group
     salt = F.pmod(F.xxhash64("chunk"), F.lit(salts)).alias("salt")
-    schema = "part int, kind string, body binary, counts binary, known long"
-    merged = blocks.select("*", salt).groupBy("part", "kind", "salt").applyInPandas(_merged, schema).groupBy("part", "kind").applyInPandas(_merged, schema)
-    merged = written(merged, "lm-merged")
+    salted = blocks.select("*", salt)
+    schema = "part int, kind string, {}body binary, counts binary, known long"
+    groups = written(salted.groupBy("part", "kind", "salt").applyInPandas(_merged, schema.format("salt long, ")), "lm-groups")
+    merged = written(groups.drop("salt").groupBy("part", "kind").applyInPandas(_merged, schema.format("")), "lm-merged")
     distinct = merged.filter("kind = 'words'").agg(F.sum("known")).head()[0] or 0
     learned = gathered.filter("kind = 'text'").agg(F.sum("tokens"), F.sum(F.size(F.filter("out", lambda x: ~x)))).head()
     train_tokens, n_train = learned[0] or 0, learned[1] or 0
     upper = merged.filter("kind = 'runs'").select("body", "counts").mapInPandas(_uppers, "node long, a long, b long, rest double").groupBy("node").agg(F.sum("a"), F.sum("b"), F.sum("rest")).collect()
     shared = spark.sparkContext.broadcast(upper_levels([tuple(r) for r in upper]))
-    model = merged.select("part", "kind", "body", "counts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    model = merged.select("part", "kind", "body", "counts").groupBy("part", "kind")
+    asked = groups.select("part", "kind", "salt", "body").groupBy("part", "kind")
+    told = model.cogroup(asked).applyInPandas(_valued(shared), "part int, kind string, salt long, body binary, value binary")
     keys = ["part", "kind", "salt"]
-    values = model.groupBy(*keys).cogroup(blocks.select("*", salt).groupBy(*keys)).applyInPandas(_scored(shared), "chunk long, part int, kind string, value binary")
+    values = told.groupBy(*keys).cogroup(salted.groupBy(*keys)).applyInPandas(_dealt, "chunk long, part int, kind string, value binary")
     chunks = gathered.filter("kind = 'text'").select("chunk", "ids", "out", "sizes", "body")
     got = chunks.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInPandas(_documents(parts, train_tokens, n_train, distinct + (n_train > 0)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))

@@ -63,9 +63,9 @@ def brute(rows):
     return out
 
 
-def same(spark, rows):
+def same(spark, rows, **options):
     frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string").repartition(3)
-    got = sorted((tuple(r)[:7] for r in lm.score(frame, chunk_bytes=200).collect()), key=str)
+    got = sorted((tuple(r)[:7] for r in lm.score(frame, chunk_bytes=200, **options).collect()), key=str)
     want = sorted(brute(rows), key=str)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
@@ -77,6 +77,10 @@ def test_scores_equal_a_direct_recursion(spark):
     same(spark, [*TEXTS.items(), (None, "the cat"), (7, "on the hat")])
 
 
+def test_several_groups_of_chunks(spark):
+    same(spark, [*TEXTS.items(), (None, "the cat"), (7, "on the hat")], group=1)
+
+
 def test_tables_without_training_rows(spark):
     out = [i for i in range(200) if crc32(str(i).encode()) % 10 == 0][:2]
     same(spark, [(i, "some words here") for i in out])
