@@ -8,9 +8,13 @@ with words left out, with other words around them, and as the windows of longer
 hold little of any template. A held-back part sets the softmax's temperature and the least score (``FALSE_SHARE`` of the held-back
 paragraphs of other text may pass it): what scores less is unknown. A predicted family holds only where the paragraph's best
 template of that family shares at least ``CONFIRM`` of the shorter one's word bigrams, and a shorter window's only where it
-holds ``CONFIRM`` of the template's own. Of windows that share half of their matched bigrams or more, the one with the most is the notice. A
+holds ``CONFIRM`` of the template's own. Of windows that share half of their matched bigrams or more, the one with the most is the notice, and others of its family add their words to it. A
 paragraph in which a family was predicted and that holds no part of a notice counts as unconfirmed.
 
+Notices that are wrapped over several lines are looked for in the same way in windows that cross line feeds, over the words of
+neighbouring lines that all hold words: marks of comments are no words, and a line without words ends a block. A notice's
+line is that of its first matched word.
+
 Too short for shares of bigrams are lines that name a licence and hold nothing else (``SHORT``), and SPDX tags, alone or inside
 a line: these are notices by the equality of all their words. Their score is the classifier's for their family, of any height.
 
@@ -144,6 +148,17 @@ def slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
+def windows(hits: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and sizes of the windows of ``width`` words, a third of it apart, inside longer ranges of words that have ``least`` of the running number ``hits``."""
+    own = np.flatnonzero((size > width) & (hits[start + size] - hits[start] >= least))
+    n = -(-(size[own] - width) // (width // 3)) + 1
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    own = np.repeat(own, n)
+    first = start[own] + np.minimum(k * (width // 3), size[own] - width)
+    first = first[hits[first + width - 1] - hits[first] >= least]
+    return first, np.full(len(first), width)
+
+
 class Paragraphs:
     """The paragraphs of texts: ``h`` and ``pair`` of all words; per paragraph its first word, its size, its text and line."""
 
@@ -164,28 +179,37 @@ class Paragraphs:
         self.heads, self.sizes = ends - windows, size
         self.text = np.searchsorted(lines, at, side="right") - 1
         self.line = at - lines[self.text]
+        self.starts = first
+        own = line[first] if len(first) else first
+        text = np.searchsorted(lines, own, side="right") - 1
+        self.blocks = np.flatnonzero(np.r_[True, (own[1:] != own[:-1] + 1) | (text[1:] != text[:-1])]) if len(own) else own
         self.pair = bigrams(self.h)
         self.total = None
 
-    def inner(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First words and sizes of the windows inside lines that hold ``least`` bigrams of templates, and the paragraphs they begin in."""
+    def part_of(self, word: np.ndarray) -> np.ndarray:
+        """The paragraphs (of those of a line, the one that begins last) that words are in."""
+        i = np.searchsorted(self.starts, word, side="right") - 1
+        last = np.r_[self.heads[1:], len(self.first)] - 1
+        return np.minimum(self.heads[i] + (word - self.starts[i]) // (WIDTH // 2), last[i])
+
+    def inner(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words and sizes of the windows that hold ``least`` bigrams of templates: those inside lines, and those that cross line feeds."""
         near = np.flatnonzero(_MARKED[slots(self.pair)])
         hits = np.zeros(len(self.pair) + 1, np.int64)
         hits[1 + near] = _ALL[np.minimum(np.searchsorted(_ALL, self.pair[near]), len(_ALL) - 1)] == self.pair[near]
         hits = np.cumsum(hits)
-        out = [(np.zeros(0, np.int64),) * 3]
-        heads, size = self.heads, self.sizes
-        last = np.r_[heads[1:], len(self.first)] - 1
-        for width in SIZES:
-            own = np.flatnonzero((size > width) & (hits[self.first[heads] + size] - hits[self.first[heads]] >= least))
-            n = -(-(size[own] - width) // (width // 3)) + 1
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            own = np.repeat(own, n)
-            start = np.minimum(k * (width // 3), size[own] - width)
-            first = self.first[heads[own]] + start
-            some = hits[first + width - 1] - hits[first] >= least
-            part = np.minimum(heads[own] + start // (WIDTH // 2), last[own])
-            out.append((first[some], np.full(some.sum(), width), part[some]))
+        stops = self.starts + self.sizes
+        block_stops = stops[np.r_[self.blocks[1:], len(stops)] - 1] if len(stops) else stops
+        several = block_stops > stops[self.blocks]
+        start, size = self.starts[self.blocks][several], (block_stops - self.starts[self.blocks])[several]
+        out = [(np.zeros(0, np.int64),) * 2]
+        out += [windows(hits, self.starts, self.sizes, width, least) for width in SIZES]
+        for width in (*SIZES, WIDTH):
+            first, n = windows(hits, start, size, width, least)
+            cross = first + n > stops[np.searchsorted(self.starts, first, side="right") - 1]
+            out.append((first[cross], n[cross]))
+        short = (size <= SIZES[0]) & (hits[start + size - 1] - hits[start] >= least)
+        out.append((start[short], size[short]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def named(self) -> list[tuple[int, int, np.ndarray]]:
@@ -350,7 +374,8 @@ class Model:
         out = [{"n_paragraphs": int(n), "found": [], "n_unconfirmed": 0} for n in np.bincount(own.text, minlength=len(texts))]
         if not len(own.first):
             return out
-        first, size, part = (np.concatenate(x) for x in zip((own.first, own.size, np.arange(len(own.first))), own.inner(_FEWEST), strict=True))
+        first, size = (np.concatenate(x) for x in zip((own.first, own.size), own.inner(_FEWEST), strict=True))
+        part = np.r_[np.arange(len(own.first)), own.part_of(first[len(own.first) :])]
         p = softmax(own.logits(self.table, self.bias, first, size) / self.temperature)
         best, score = p.argmax(axis=1), p.max(axis=1)
         known = np.flatnonzero((best > 0) & (score >= self.least))
@@ -359,15 +384,20 @@ class Model:
             share, common, at = matched(own.bigrams(first[k], size[k]), FAMILIES[best[k]], k >= len(own.first))
             if share >= CONFIRM:
                 notices.append((-common, -share, -float(score[k]), int(first[k]), k, int(best[k]), int(part[k]), first[k] + at))
-        taken, found = np.zeros(len(own.h), bool), []
+        taken, part_of_one, found = np.zeros(len(own.h), np.int64), np.zeros(len(own.h), bool), []
         for common, share, minus, _, _, y, k, at in sorted(notices, key=lambda x: x[:5]):
-            if common == -np.inf or 2 * taken[at].sum() < len(at):
-                taken[at] = True
+            part_of_one[at if common == -np.inf else np.r_[at, at + 1]] = True  # a bigram is two words
+            if common > -np.inf and 2 * (taken[at] > 0).sum() >= len(at):
+                if np.bincount(taken[at])[1:].argmax() + 1 == y:
+                    taken[at[taken[at] == 0]] = y  # the same notice, further on
+            else:
+                taken[at] = y
                 found.append((int(at[0]), int(at[-1]), y, k, -minus, -share))
-        for _, _, y, k, own_score, share in sorted(found):
-            out[own.text[k]]["found"].append({"family": FAMILIES[y], "line": int(own.line[k]), "score": own_score, "similarity": float(share)})
-        for k in np.unique(part[known]).tolist():
-            if not taken[own.first[k] : own.first[k] + own.size[k]].any():
+        for at, _, y, k, own_score, share in sorted(found):
+            out[own.text[k]]["found"].append({"family": FAMILIES[y], "line": int(own.line[own.part_of(np.int64(at))]), "score": own_score, "similarity": float(share)})
+        ends = (own.starts + own.sizes)[np.searchsorted(own.starts, first[known], side="right") - 1]
+        for k in np.unique(part[known[first[known] + size[known] <= ends]]).tolist():  # of windows across lines, each line is judged alone
+            if not part_of_one[own.first[k] : own.first[k] + own.size[k]].any():
                 out[own.text[k]]["n_unconfirmed"] += 1
         return out
 

@@ -1,5 +1,7 @@
 """Licence notices among other words."""
 
+import textwrap
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -37,6 +39,27 @@ def test_notices_inside_lines(model, others, n):
                 assert families(model, b" ".join(line)) == {family}
 
 
+@pytest.mark.parametrize(("columns", "mark"), [(40, ""), (40, "# "), (60, " * "), (76, "// ")])
+def test_notices_wrapped_over_lines(model, others, columns, mark):
+    before, after = (b" ".join(others[k].split()[:8]).decode("utf8", "ignore") for k in (0, 1))
+    for family, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            lines = [mark + x for x in (before, *textwrap.wrap(text, columns, break_on_hyphens=False), after)]
+            got = model.scan(["\n".join(lines).encode()])[0]
+            assert {x["family"] for x in got["found"]} == {family} and got["n_unconfirmed"] == 0, (text, got)
+            assert got["found"][0]["line"] in (1, 2)
+            # a line without words ends the block, as does the end of a text
+            head, tail = lines[: len(lines) // 2], lines[len(lines) // 2 :]
+            texts_apart = ["\n".join(x).encode() for x in (head, tail)]
+            one, two = model.scan(texts_apart)
+            apart = model.scan([b"\n".join([texts_apart[0], mark.encode(), texts_apart[1]])])[0]
+            want = [(x["family"], x["line"]) for x in one["found"]] + [(x["family"], x["line"] + len(head) + 1) for x in two["found"]]
+            assert [(x["family"], x["line"]) for x in apart["found"]] == want
+            assert [one["n_paragraphs"], two["n_paragraphs"]] == [len(head), len(tail)]
+            assert apart["n_unconfirmed"] == one["n_unconfirmed"] + two["n_unconfirmed"]
+    assert families(model, "\n".join(mark + x for x in (before, after, before)).encode()) == set()
+
+
 def test_notices_side_by_side(model):
     line = b"Released under the MIT License. Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0."
     got = model.scan([b"first line\n" + line])[0]
