@@ -1,18 +1,19 @@
 """Removal of repeated line runs across a corpus, in DataFrame operations only.
 
-The corpus is a sequence of line ids per document. Prefix doubling names every run of 2^j lines (two runs share a name if
-and only if they are equal), as it does to build a suffix array: the name of 2^(j+1) lines is that of its two halves. Any
-run of L lines is then named by the two runs of 2^j lines, j = floor(log2 L), that begin and end it. The suffixes that
-agree in one name are an interval of the suffix array whose longest common prefix is at least L.
+The corpus is a sequence of line ids per document, and its suffixes are ranked by distributed prefix doubling: line ids
+(64-bit hashes) are the ranks by one line; the rank by 2m lines is the place of the pair (rank by the first m, rank by the
+next m) among the sorted distinct pairs of the corpus. Suffixes of equal rank by m lines are an interval of the suffix
+array whose longest common prefix is at least m lines; an interval of one suffix is no repetition and is dropped. A run of
+L lines is the interval of the two ranks by 2^j lines, j = floor(log2 L), at its beginning and at its end.
 
 A run counts as repeated from ``min_words`` words on. A maximal repeated run of so many words is covered by the shortest
-runs of at least ``min_words`` words that begin or end at one of its lines, so that only these have to be named: one
-interval of each length per line, found in one pass over each document. All copies of such a run but the first (by
-doc_id, text hash, line) are deleted, blank lines between them included.
+runs of at least ``min_words`` words that begin or end at one of its lines, so that only these have to be looked up: one
+interval each way per line, found in one pass over each document, and no suffix has to be ranked by more lines. All copies
+of such a run but the first (by doc_id, text hash, line) are deleted, and blank lines between two deleted lines.
 
 Lines are cut at line feeds and compared byte by byte; blank lines don't count as lines of a run. Null and empty texts are
 returned as they are. A document of which only blank lines remain is reported as emptied. Rows that repeat in id and text
-share their fate. Null ids come first in the order. Names are 64-bit hashes taken in pairs, with length and word count.
+share their fate. Null ids come first in the order. Runs are compared by their ranks, number of lines and of words.
 """
 
 from __future__ import annotations
@@ -27,35 +28,67 @@ MIN_WORDS = 25
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hash, line number, name, words) of every line that isn't blank, once per (id, text)."""
+    """(id, hash, k, line, f0, words, before, through) of every line that isn't blank, once per (id, text).
+
+    ``k`` counts these lines, ``line`` all lines; ``before`` and ``through`` are the words of the document before the line and with it.
+    """
     line = F.transform(F.split(column(text_col), "\n", -1), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("name"), F.size(F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")).alias("words"), (F.length(F.trim(x)) > 0).alias("some")))
     own = docs.filter(F.length(column(text_col)) > 0).select(column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("hash"), F.filter(line, lambda x: x["some"]).alias("lines"))
     once = own.groupBy("id", "hash").agg(F.first("lines").alias("lines"))
-    return once.select("id", "hash", F.explode("lines").alias("l")).select("id", "hash", "l.line", "l.name", F.greatest(F.col("l.words"), F.lit(1)).alias("words"))
+    got = once.select("id", "hash", F.posexplode("lines").alias("k", "l")).select("id", "hash", F.col("k").cast("long").alias("k"), "l.line", F.col("l.name").alias("f0"), F.greatest(F.col("l.words"), F.lit(1)).alias("words"))
+    through = F.sum("words").over(Window.partitionBy("id", "hash").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)).cast("long")
+    return got.withColumn("through", through).withColumn("before", F.col("through") - F.col("words"))
+
+
+def ranks(lines: DataFrame, min_words: int) -> list[DataFrame]:
+    """(id, hash, k, f) for 2, 4, 8, ... lines: the rank ``f`` of the suffix that begins at line ``k`` by so many lines.
+
+    One round of prefix doubling for each: the rank of 2m lines is the place of (rank of the first m, rank of the next m)
+    among all such pairs of the corpus in order. Only suffixes that share their rank with another one keep it, and only
+    those that a run of ``min_words`` words can need: without their first or their last line they have fewer words.
+    """
+    doc = Window.partitionBy("id", "hash").orderBy("k")
+    level = lines.select("id", "hash", "k", F.col("f0").alias("f"), "before", "through", F.col("before").alias("last_before"), F.col("through").alias("last_through"))
+    out = []
+    for j in range(min_words.bit_length() - 1):
+        after = F.first(F.struct("f", "last_before", "last_through")).over(doc.rangeBetween(1 << j, 1 << j))
+        pairs = level.withColumn("next", after).filter("next is not null")
+        needed = (F.col("next.last_before") - F.col("before") < min_words) | (F.col("next.last_through") - F.col("through") < min_words)
+        pairs = written(pairs.filter(needed).select("id", "hash", "k", F.col("f").alias("r"), F.col("next.f").alias("s"), "before", "through", "next.last_before", "next.last_through"), f"pairs-{j}")
+        order = pairs.groupBy("r", "s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy("r", "s")
+        order = written(order.select("r", "s", F.monotonically_increasing_id().alias("f")), f"ranks-{j}")
+        level = written(pairs.join(order.hint("merge"), ["r", "s"]).select("id", "hash", "k", "f", "before", "through", "last_before", "last_through"), f"level-{j}")
+        if not level.head(1):
+            break
+        out.append(level.select("id", "hash", "k", "f"))
+    return out
 
 
 def _runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """(id, hash, start, stop, a, b, n, words): the shortest runs of at least ``min_words`` words from each line on, and back from it."""
-    levels = min_words.bit_length()
+    """(id, hash, start, stop, after, a, b, n, words): the shortest runs of at least ``min_words`` words from each line on, and back from it, whose ranks others share; the next line after it."""
+    shared = ranks(lines, min_words)
+    levels = 1 + len(shared)
+    own = ["line", "words", "before", "through", "f0"]
+    rows = lines.select("id", "hash", "k", *own)
+    for j, level in enumerate(shared, 1):
+        rows = rows.unionByName(level.withColumnRenamed("f", f"f{j}"), allowMissingColumns=True)
+    if shared:
+        rows = rows.repartition("id", "hash").groupBy("id", "hash", "k").agg(*(F.max(c).alias(c) for c in own), *(F.max(f"f{j}").alias(f"f{j}") for j in range(1, levels)))
     doc = Window.partitionBy("id", "hash")
     by = doc.orderBy("before")
-    got = lines.withColumn("through", F.sum("words").over(doc.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    got = got.withColumn("before", F.col("through") - F.col("words")).withColumnRenamed("name", "f0").withColumn("b0", F.col("f0"))
-    for j in range(levels - 1):
-        got = got.withColumn(f"f{j + 1}", F.xxhash64(f"f{j}", F.lead(f"f{j}", 1 << j).over(by)))
-    for j in range(1, levels):
-        got = got.withColumn(f"b{j}", F.lag(f"f{j}", (1 << j) - 1).over(by))
-    begin, end = F.array(*(f"f{j}" for j in range(levels))), F.array(*(f"b{j}" for j in range(levels)))
+    begin = F.array(*(f"f{j}" for j in range(levels)))
+    end = F.array("f0", *(F.lag(f"f{j}", (1 << j) - 1).over(by) for j in range(1, levels)))
     ahead = by.rangeBetween(0, min_words - 1)
     back = doc.orderBy("through").rangeBetween(1 - min_words, 0)
-    got = got.select("id", "hash", "line", "words", "before", "through", begin.alias("begin"), end.alias("end"))
-    got = got.select("*", F.count(F.lit(1)).over(ahead).alias("n1"), F.last(F.struct("line", "through", "end")).over(ahead).alias("to"))
+    after = F.coalesce(F.lead("line").over(by), F.col("line") + 1).alias("after")
+    got = rows.select("id", "hash", "line", "words", "before", "through", after, begin.alias("begin"), end.alias("end"))
+    got = got.select("*", F.count(F.lit(1)).over(ahead).alias("n1"), F.last(F.struct("line", "after", "through", "end")).over(ahead).alias("to"))
     got = got.select("*", F.count(F.lit(1)).over(back).alias("n2"), F.first(F.struct("line", "before", "begin")).over(back).alias("from"))
     level = lambda n: F.floor(F.log2(F.col(n).cast("double")) + F.lit(1e-9)).cast("int")
-    forth = F.struct(F.col("line").alias("start"), F.col("to.line").alias("stop"), F.get("begin", level("n1")).alias("a"), F.get("to.end", level("n1")).alias("b"), F.col("n1").alias("n"), (F.col("to.through") - F.col("before")).alias("words"))
-    hence = F.struct(F.col("from.line").alias("start"), F.col("line").alias("stop"), F.get("from.begin", level("n2")).alias("a"), F.get("end", level("n2")).alias("b"), F.col("n2").alias("n"), (F.col("through") - F.col("from.before")).alias("words"))
+    forth = F.struct(F.col("line").alias("start"), F.col("to.line").alias("stop"), F.col("to.after").alias("after"), F.get("begin", level("n1")).alias("a"), F.get("to.end", level("n1")).alias("b"), F.col("n1").alias("n"), (F.col("to.through") - F.col("before")).alias("words"))
+    hence = F.struct(F.col("from.line").alias("start"), F.col("line").alias("stop"), F.col("after").alias("after"), F.get("from.begin", level("n2")).alias("a"), F.get("end", level("n2")).alias("b"), F.col("n2").alias("n"), (F.col("through") - F.col("from.before")).alias("words"))
     both = got.select("id", "hash", F.explode(F.array_distinct(F.array(forth, hence))).alias("r")).select("id", "hash", "r.*")
-    return both.filter(F.col("words") >= min_words)
+    return both.filter((F.col("words") >= min_words) & F.col("a").isNotNull() & F.col("b").isNotNull())
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,8 +99,11 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     runs = runs.withColumn("place", place)
     first = runs.groupBy(*key).agg(F.min("place").alias("first"), F.max("place").alias("other")).filter(F.col("first") < F.col("other")).drop("other")
     later = runs.join(first.hint("merge"), key).filter(F.col("first") < F.col("place"))  # merged at every size: the plan is the same
-    lines = later.select("id", "hash", F.explode(F.sequence("start", "stop")).alias("line"))
-    return lines.groupBy("id", "hash").agg(F.collect_set("line").alias("lines"))
+    gone = F.transform(F.sequence("start", "stop"), lambda i: F.struct(i.alias("line"), F.when(i == F.col("stop"), F.col("after")).otherwise(i + 1).alias("after")))
+    lines = later.select("id", "hash", F.explode(gone).alias("l")).repartition("id", "hash").groupBy("id", "hash", "l.line").agg(F.max("l.after").alias("after"))
+    follows = F.lead("line").over(Window.partitionBy("id", "hash").orderBy("line")) == F.col("after")
+    lines = lines.select("id", "hash", F.when(follows, F.sequence("line", F.col("after") - 1)).otherwise(F.array("line")).alias("lines"))
+    return lines.groupBy("id", "hash").agg(F.flatten(F.collect_list("lines")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", info: str = "line_dedup") -> DataFrame:
