@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rampwise.functions.numeric import robust_z
 from rampwise.operators import arimax, detect, eigen, signals, windows
 from rampwise.operators.series import extract_x, na_handle, positioned
-from rampwise.plans.fixtures import F1_SQL, F2_SQL, daily, hourly, read, user_events
+from rampwise.plans.fixtures import F1_SQL, F2_SQL, F4_SQL, daily, hourly, read, user_events
 from rampwise.sources.sinks import overlay_frame, write_rt_csv
 
 CLICK_VIEW = ["click_m", "view_m"]
@@ -117,6 +117,33 @@ def arimax_ols_resid(spark, sf_dir):
     return arimax.ols_residuals(hourly(spark, sf_dir), "t", "click_m", "view_m").select("time", F.round("fitted", 6).alias("fitted"), F.round("residual", 6).alias("residual"))
 
 
+KEYS = ["l_returnflag"]
+
+
+def win_keyed(spark, sf_dir):
+    return windows.roll_windows(positioned(daily(spark, sf_dir, tuple(KEYS)), ["t"], KEYS), "t", W, 7, "center", keys=KEYS).drop("idx")
+
+
+def eig2_keyed(spark, sf_dir):
+    got = eigen.roll_svd(daily(spark, sf_dir, tuple(KEYS)), "t", ["qty", "disc"], W, 3, keys=KEYS)
+    return got.select(*KEYS, "window_id", "t_rep", "n_w", F.round(F.get("d", F.lit(0)), 6).alias("d1"), F.round(F.get("d", F.lit(1)), 6).alias("d2"))
+
+
+def _arimax_keyed(order):
+    """Two series of each key on one regressor, fitted key by key."""
+
+    def run(spark, sf_dir):
+        got = arimax.arimax_residuals_df(daily(spark, sf_dir, tuple(KEYS)), "t", ["qty", "price"], ["disc"], order, keys=KEYS)
+        return got.select(*KEYS, "time", F.round("qty", 6).alias("qty"), F.round("price", 4).alias("price"))
+
+    return run
+
+
+def arx1_keyed(spark, sf_dir):
+    got = arimax.arx_residuals(daily(spark, sf_dir, tuple(KEYS)), "t", "qty", "disc", keys=KEYS)
+    return got.select(*KEYS, "time", F.round("fitted", 6).alias("fitted"), F.round("residual", 6).alias("residual"))
+
+
 def arx1_resid(spark, sf_dir):
     return arimax.arx_residuals(hourly(spark, sf_dir), "t", "click_m", "view_m").select("time", F.round("fitted", 6).alias("fitted"), F.round("residual", 6).alias("residual"))
 
@@ -202,6 +229,7 @@ def queries() -> dict:
         "eig2_roll": _values(CLICK_VIEW), "eig2_scaled": _values(CLICK_VIEW, scale_=True), "eig2_expanding": _values(CLICK_VIEW, type="expanding", step=3), "eig2_pairwise": _values(CLICK_VIEW, na_action="pairwise_complete", scale_=True), "eig2_impute": _values(CLICK_VIEW, na_action="impute_mean"), "eig1_variance": _values(["click_m"]),
         "eig3_roll": eig3_roll, "eig5_trace": eig5_trace, "tidy_values": tidy_values, "tidy_loadings2": tidy_loadings2, "scores2": scores2,
         "signal_raw": signal_raw, "signal_svd": signal_svd, "arimax_ols_resid": arimax_ols_resid, "arx1_resid": arx1_resid, "arimax_resid_multi": arimax_resid_multi, "arimax_svd_ols": arimax_svd_ols, "arimax_then_svd_ols": arimax_then_svd_ols, "arimax_auto": arimax_auto,
+        "win_keyed": win_keyed, "eig2_keyed": eig2_keyed, "arimax_keyed": _arimax_keyed((0, 0, 0)), "arimax_diff_keyed": _arimax_keyed((0, 1, 0)), "arx1_keyed": arx1_keyed,
         "votes_pos": _votes(), "votes_neg": _votes(direction="negative"), "votes_both": _votes(direction="both", mad_k=2), "votes_fixed_high": _votes(lowwl=4, highwl=40), "votes_daily": votes_daily, "votes_keyed": votes_keyed, "robust_z": robust_z_keyed,
         "rt_flags": _realtime(), "rt_raw": _realtime(smooth_k=0, highwl=30, burn_in=200), "overlay_frame": rt_overlay, "csv_roundtrip": csv_roundtrip,
     }
@@ -264,6 +292,24 @@ k as (select regr_slope(click_m, error_m) as b1, regr_intercept(click_m, error_m
 s as (select t, click_m - a1 - b1 * error_m as click_m, view_m - a2 - b2 * error_m as view_m, row_number() over (order by t) as rn, count(*) over () as n from u, k)"""
 
 
+#: The same by key: windows, covariances of two columns, least squares, differences, one lag.
+WIN_KEYED = f"""with {F4_SQL}, w as (select l_returnflag, (rn - {W}) // 7 + 1 as window_id, rn - {W} + 1 as start, rn as "end" from s where rn >= {W} and (rn - {W}) % 7 = 0)
+select l_returnflag, window_id, start, "end", t as t_rep from w join s using (l_returnflag) where rn = (start + "end") // 2"""
+_BY_KEY = f"over (partition by l_returnflag order by rn rows between {W - 1} preceding and current row)"
+EIG2_KEYED = f"""with {F4_SQL}, v as (select l_returnflag, rn, t, count(*) {_BY_KEY} as n_w, covar_samp(qty, qty) {_BY_KEY} as p, covar_samp(qty, disc) {_BY_KEY} as q, covar_samp(disc, disc) {_BY_KEY} as r from s),
+e as (select *, (p + r) / 2 as h, sqrt(((p - r) / 2) * ((p - r) / 2) + q * q) as g from v where rn >= {W} and (rn - {W}) % 3 = 0)
+select l_returnflag, (rn - {W}) // 3 + 1 as window_id, t as t_rep, n_w, round(h + g, 6) as d1, round(h - g, 6) as d2 from e"""
+ARIMAX_KEYED = f"""with {F4_SQL}, k as (select l_returnflag, regr_slope(qty, disc) as bq, regr_intercept(qty, disc) as aq, regr_slope(price, disc) as bp, regr_intercept(price, disc) as ap from s group by 1)
+select l_returnflag, t as time, round(qty - aq - bq * disc, 6) as qty, round(price - ap - bp * disc, 4) as price from s join k using (l_returnflag)"""
+ARIMAX_DIFF_KEYED = f"""with {F4_SQL}, d as (select l_returnflag, t, qty - lag(qty) over g as qty, price - lag(price) over g as price, disc - lag(disc) over g as disc from s window g as (partition by l_returnflag order by t)),
+k as (select l_returnflag, sum(qty * disc) / sum(disc * disc) as bq, sum(price * disc) / sum(disc * disc) as bp from d group by 1)
+select l_returnflag, t as time, round(coalesce(qty - bq * disc, 0), 6) as qty, round(coalesce(price - bp * disc, 0), 4) as price from d join k using (l_returnflag)"""
+ARX_KEYED = f"""with {F4_SQL}, g as (select l_returnflag, t, qty as y, disc as x, lag(qty) over (partition by l_returnflag order by t) as z from s), u as (select * from g where z is not null),
+k as (select l_returnflag, covar_samp(z, z) as zz, covar_samp(x, x) as xx, covar_samp(z, x) as zx, covar_samp(z, y) as zy, covar_samp(x, y) as xy, avg(y) as my, avg(z) as mz, avg(x) as mx from u group by 1),
+f as (select l_returnflag, t, y, my + (zy * xx - xy * zx) / (zz * xx - zx * zx) * (z - mz) + (xy * zz - zy * zx) / (zz * xx - zx * zx) * (x - mx) as fitted from u join k using (l_returnflag))
+select l_returnflag, t as time, round(fitted, 6) as fitted, round(y - fitted, 6) as residual from f"""
+
+
 def _votes_sql(source: str, keys: str = "", order: str = "t", low: int = 5, high: str = "auto", k: float = 3, direction: str = "positive") -> str:
     """CTEs up to ``res`` (keys, i, score) over ``source`` (CTEs that end in y0: keys, order columns, y)."""
     p, kc = (f"partition by {keys} ", f"{keys}, ") if keys else ("", "")
@@ -322,6 +368,7 @@ def oracle_sql() -> dict[str, str]:
         "signal_raw": f"with {F1_SQL} select t as time_ind, round(click_m, 6) as signal from s", "signal_svd": _eig_sql(scale=True) + " select t as time_ind, round(d1, 6) as signal from e",
         "arimax_ols_resid": OLS, "arx1_resid": ARX, "arimax_resid_multi": f"with {_RESID} select t as time, {r6(*CLICK_VIEW)} from s",
         "arimax_svd_ols": _eig_sql(scale=True, source=_RESID) + " select t as time_ind, round(d1, 6) as signal from e", "arimax_then_svd_ols": _eig_sql(source=_RESID) + " select window_id, t as t_rep, round(d1, 6) as d1 from e",
+        "win_keyed": WIN_KEYED, "eig2_keyed": EIG2_KEYED, "arimax_keyed": ARIMAX_KEYED, "arimax_diff_keyed": ARIMAX_DIFF_KEYED, "arx1_keyed": ARX_KEYED,
         "votes_pos": votes(), "votes_neg": votes(direction="negative"), "votes_both": votes(direction="both", k=2), "votes_fixed_high": votes(low=4, high="40"),
         "votes_daily": _votes_sql(F2_SQL + ", y0 as (select t, price as y from f2)") + " select t, round(score, 10) as score from res",
         "votes_keyed": _votes_sql("y0 as (select user_id, ts, event_id, value as y from events)", "user_id", "ts, event_id", k=2) + " select user_id, event_id, round(score, 10) as score from res",

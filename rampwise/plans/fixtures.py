@@ -32,3 +32,5 @@ F1_SQL = """f1 as (select date_trunc('hour', ts)::timestamp as t, avg(case when
   avg(case when event_type = 'purchase' then value end) as purchase_m, avg(case when event_type = 'signup' then value end) as signup_m, avg(case when event_type = 'view' then value end) as view_m from events group by 1),
 s as (select *, row_number() over (order by t) as rn, count(*) over () as n from f1)"""
 F2_SQL = """f2 as (select l_shipdate::timestamp as t, avg(l_quantity) as qty, avg(l_discount) as disc, avg(l_extendedprice) as price from lineitem group by 1)"""
+F4_SQL = """f4 as (select l_returnflag, l_shipdate::timestamp as t, avg(l_quantity) as qty, avg(l_discount) as disc, avg(l_extendedprice) as price from lineitem group by 1, 2),
+s as (select *, row_number() over (partition by l_returnflag order by t) as rn, count(*) over (partition by l_returnflag) as n from f4)"""
