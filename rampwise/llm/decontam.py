@@ -14,6 +14,7 @@ match words but aren't listed; repeated rows are treated each for itself; items
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -185,22 +186,23 @@ def _covered(start: pd.Series, length: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def blocks_of(items: DataFrame, window: int, id_col: str, text_col: str, block_bytes: int) -> list[Items]:
-    """The benchmark in blocks of about ``block_bytes`` of text."""
+def blocks_of(items: DataFrame, window: int, id_col: str, text_col: str, block_bytes: int) -> Iterator[Items]:
+    """The benchmark in blocks of about ``block_bytes`` of text, one after another: the driver holds one at a time."""
     own = items.select(column(id_col).alias("i"), column(text_col).cast("binary").alias("t"))
     total = own.agg(F.sum(F.length("t"))).head()[0] or 0
     n = 1 + total // block_bytes
     part = lambda k: own if n == 1 else own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-    return [Items(sorted(((r[0], r[1]) for r in part(k).toLocalIterator()), key=str), window) for k in range(n)]
+    for k in range(n):
+        yield Items(sorted(((r[0], r[1]) for r in part(k).toLocalIterator()), key=str), window)
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, to: str = "found") -> DataFrame:
     """``docs`` with a struct ``to``, which replaces a column of that name: n_words, n_hit, item_ids (distinct, sorted), matches (item_id, item_pos, doc_pos, length in words)."""
-    spark = docs.sparkSession
-    blocks = blocks_of(items, window, item_id_col, item_text_col, block_bytes)
+    send = docs.sparkSession.sparkContext.broadcast
+    blocks = [send(b) for b in blocks_of(items, window, item_id_col, item_text_col, block_bytes)]
     parts = [unused(docs, f"_{to}_{k}") for k in range(len(blocks))]
     text: Column = column(text_col).cast("binary")
-    got = docs.select("*", *(_searcher(spark.sparkContext.broadcast(b), window, shard_bytes)(text).alias(p) for b, p in zip(blocks, parts, strict=True)))
+    got = docs.select("*", *(_searcher(b, window, shard_bytes)(text).alias(p) for b, p in zip(blocks, parts, strict=True)))
     joined = {c: F.concat(*(F.col(f"{p}.{c}") for p in parts)) for c in ("item", "item_pos", "doc_pos", "length")}
     return got.select(*(column(c) for c in docs.columns if c.lower() != to.lower()), F.struct(
         F.col(f"{parts[0]}.n_words").alias("n_words"),
