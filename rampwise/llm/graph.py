@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
         small = large.join(least, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         edges = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).head())
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 20)))).head())
         if now == mark:
             break
         mark = now
