@@ -95,9 +95,9 @@ def _cut(marks: tuple[str, str, str]):
 
 def checked(marks: tuple[str, str, str]) -> tuple[str, str, str]:
     """The three markers, none of which overlaps itself or another: only then can each be found again in any text without them."""
-    for a in marks:
-        for b in marks:
-            if not a or (a is not b and a in b) or any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)) + (a != b))):
+    for i, a in enumerate(marks):
+        for j, b in enumerate(marks):
+            if not a or (i != j and a in b) or any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)))):
                 raise ValueError("markers overlap, are equal or empty")
     return marks
 

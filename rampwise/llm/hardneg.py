@@ -195,8 +195,9 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5, negat
     whole = [F.lit(x).cast("long").alias(c) for x, c in ((-(2**63), "lo"), (2**63 - 1, "hi"))]
     got = first_rows(anchors.select(F.col("anchor").alias("demand"), "anchor", "label", "v", "norm", *whole), buckets, directory, positives, same=True)
     pairs = got.select(F.col("demand").alias("anchor"), F.col("found").alias("positive"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
+    share = lambda percent, more: F.expr(f"positive_score div 100 * {percent} + (positive_score % 100 * {percent} + {more}) div 100")
     # a negative score makes the window empty: its lower limit is the larger one
-    pairs = pairs.filter("positive_score >= 0").select(F.monotonically_increasing_id().alias("demand"), "*", F.expr(f"(positive_score * {low} + 99) div 100").alias("lo"), F.expr(f"(positive_score * {high}) div 100").alias("hi"))
+    pairs = pairs.filter("positive_score >= 0").select(F.monotonically_increasing_id().alias("demand"), "*", share(low, 99).alias("lo"), share(high, 0).alias("hi"))
     pairs = written(pairs.join(anchors, "anchor"), "negatives-demands")
     got = first_rows(pairs.select("demand", "anchor", "label", "v", "norm", "lo", "hi"), buckets, directory, negatives, same=False)
     return got.join(pairs.select("demand", "anchor_id", "positive_id", "positive_score"), "demand").select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
