@@ -1,7 +1,7 @@
 """Rolling covariance matrices and their eigenvalues, loadings and scores.
 
-All covariances of a window are window aggregates over one frame: one exchange, one sort. Eigenvalues of up to three
-columns are closed forms in SQL; larger matrices go through an Arrow function in stacks. Eigenvectors are made unique by a
+Up to three columns, all covariances of a window are window aggregates over one frame (one exchange, one sort) and eigenvalues are
+closed forms in SQL. More columns go through the running sums of ``moments``, by blocks of rows. Eigenvectors are made unique by a
 sign rule: the entry of largest size is positive (the first of equals).
 """
 
@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampwise.functions.numeric import to_double
+from rampwise.operators.moments import Block, spectra
 from rampwise.operators.series import POLICIES, key_columns, named, positioned, present, require, resolve, series_key, unclashing
-from rampwise.operators.windows import bounded, checked, ends, frame
+from rampwise.operators.windows import bounded, checked, ends, frame, window_number
 
 
 def covariances(series: DataFrame, cols: list[str], over, na_action: str = "omit_rows", cov_on_pairwise: bool = True) -> tuple[dict, dict, Column]:
@@ -71,20 +72,6 @@ def _stack(packed: pd.Series, p: int) -> np.ndarray:
     return out
 
 
-def eigenvalues(p: int):
-    """An Arrow function from upper triangles to eigenvalues, largest first."""
-
-    @F.pandas_udf("array<double>")
-    def values(packed: pd.Series) -> pd.Series:
-        out, some = pd.Series([None] * len(packed), dtype=object), packed.notna().to_numpy()
-        if some.any():
-            found = np.linalg.eigvalsh(_stack(packed[some], p))[:, ::-1]
-            out.iloc[np.flatnonzero(some)] = list(found)
-        return out
-
-    return values
-
-
 def eigenpairs(p: int):
     """An Arrow function from upper triangles to eigenvalues and eigenvectors (one array for each factor)."""
 
@@ -124,11 +111,14 @@ def roll_svd(data: DataFrame, time: str, x_cols, window: int, step: int = 1, ali
     x = prepared(data, time, x_cols, keys, order_by)
     cols = [c for c in x.columns if c.startswith("x")]
     series = positioned(x, [c for c in x.columns if c.startswith("o")], ["key"])
-    over = frame(window, type, ["key"])
+    p, over = len(cols), frame(window, type, ["key"])
+    if p > 3:
+        own = spectra(series, cols, Block(p, window, step, type == "expanding", na_action, cov_on_pairwise, scale_, k, not values_only, fast))
+        own = bounded(own.withColumn("window_id", window_number(window, step)), window, type, "pos")
+        return timed(own, series, keys, align, values_only)
     cov, scale, n = covariances(series, cols, over, na_action, cov_on_pairwise)
     own = series.select("key", F.col("time").alias("t_end"), "pos", "n", n.alias("n_w"), *(v.alias(f"s_{cols.index(a)}_{cols.index(b)}") for (a, b), v in cov.items()), *((v.alias(f"sd_{cols.index(c)}") for c, v in scale.items()) if scale_ else ()), *((F.avg(c).over(over).alias(f"m_{i}") for i, c in enumerate(cols)) if scale_ else ()))
     own = bounded(ends(own, window, step), window, type, "pos")
-    p = len(cols)
 
     def sd(i: int) -> Column:  # rounding noise of a constant column counts as 0
         return F.when(F.col(f"sd_{i}") > 1e-12 * F.abs(F.coalesce(F.col(f"m_{i}"), F.lit(0.0))), F.col(f"sd_{i}")).otherwise(F.lit(1.0))
@@ -146,18 +136,23 @@ def roll_svd(data: DataFrame, time: str, x_cols, window: int, step: int = 1, ali
     packed = F.when(whole, F.array(*triangle))
     size = F.least(F.lit(p if k is None else k), F.col("n_w").cast("int"), F.lit(p))
     if values_only:
-        d, v = (F.when(whole, _closed(p, s)) if p <= 3 else eigenvalues(p)(packed)), None
+        d = F.when(whole, _closed(p, s))
         own = own.withColumn("d", F.slice(d, 1, F.greatest(F.lit(1), size)))
     else:
         own = own.withColumn("_e", eigenpairs(p)(packed))
         own = own.withColumn("d", F.slice("_e.d", 1, F.greatest(F.lit(1), size))).withColumn("v", F.slice("_e.v", 1, F.greatest(F.lit(1), size)))
+    return timed(own, series, keys, align, values_only)
+
+
+def timed(own: DataFrame, series: DataFrame, keys: list[str] | None, align: str, values_only: bool) -> DataFrame:
+    """The result's columns, with the time of each window's representative row."""
     tail = ["n_w", "d"] + ([] if values_only else ["v"])
-    own = own.select("key", "window_id", "start", F.col("pos").alias("end"), "t_end", *tail)
-    if align == "end":
-        return own.select(*key_columns(keys), "window_id", "start", "end", F.col("t_end").alias("t_rep"), *tail)
-    at = F.col("start") if align == "start" else F.floor((F.col("start") + F.col("end")) / 2).cast("long")
+    if align == "end" and "t_end" in own.columns:
+        return own.select(*key_columns(keys), "window_id", "start", F.col("pos").alias("end"), F.col("t_end").alias("t_rep"), *tail)
+    at = {"start": F.col("start"), "end": F.col("pos"), "center": F.floor((F.col("start") + F.col("pos")) / 2).cast("long")}[align]
+    own = own.select("key", "window_id", "start", F.col("pos").alias("end"), at.alias("at"), *tail)
     times = series.select("key", F.col("pos").alias("at"), F.col("time").alias("t_rep"))
-    return own.withColumn("at", at).join(times, ["key", "at"]).select(*key_columns(keys), "window_id", "start", "end", "t_rep", *tail)
+    return own.join(times, ["key", "at"]).select(*key_columns(keys), "window_id", "start", "end", "t_rep", *tail)
 
 
 def tidy_values(result: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -36,8 +36,13 @@ def ends(series: DataFrame, window: int, step: int) -> DataFrame:
     """The rows at which a window ends, with its ``window_id``."""
     full = (F.col("pos") >= window) & ((F.col("pos") - window) % step == 0)
     short = (F.col("n") < window) & (F.col("pos") == F.col("n"))
+    return series.filter(full | short).withColumn("window_id", window_number(window, step))
+
+
+def window_number(window: int, step: int):
+    """The ``window_id`` of the window that ends at ``pos`` in a series of ``n`` rows."""
     number = F.when(F.col("n") < window, F.lit(1)).otherwise(F.floor((F.col("pos") - window) / step) + 1)
-    return series.filter(full | short).withColumn("window_id", number.cast("long"))
+    return number.cast("long")
 
 
 def bounded(df: DataFrame, window: int, type: str, end: str) -> DataFrame:
