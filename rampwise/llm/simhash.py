@@ -32,7 +32,7 @@ from rampwise.llm.common import id_text, ragged, written
 from rampwise.llm.graph import components
 
 #: Fingerprints of a shard: at least, at most while there are few enough shards, and into how many parts a table of medium size goes.
-LEAST_SHARD, MOST_SHARD, PARTS, MOST_SHARDS = 4096, 1 << 16, 64, 1 << 16
+LEAST_SHARD, MOST_SHARD, PARTS, MOST_SHARDS = 2048, 1 << 19, 24, 1 << 16
 #: Members of a group in the tree, fingerprints that go down at a time, and comparisons at a time.
 FAN, ASKED, STEPS = 8, 1024, 1 << 20
 #: Shingles whose bits are counted at a time.
