@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from rampwise.llm.common import column
 
 #: Copies of a text that may meet in one task before it is spread, and the most texts that are spread.
-MOST_COPIES, MOST_SPREAD = 4096, 1024
+MOST_COPIES, MOST_SPREAD = 512, 1024
 #: Bytes of a text whose boundaries are listed at a time.
 STRIPE = 1 << 22
 MARKS = ("<P>", "<S>", "<M>")
