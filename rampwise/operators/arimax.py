@@ -1,138 +1,185 @@
 """Regression with ARIMA errors: residuals of one or several series.
 
-``ols_residuals`` (order 0,0,0) and ``arx_residuals`` (one lag of y) are window aggregates and stay in SQL. ``fit_arimax``
-takes any order, or searches it (d by a variance rule, p and q stepwise by AIC), one task for each series: regression by
-least squares, ARMA errors by Hannan and Rissanen's two steps refined by Gauss-Newton on the conditional sum of squares.
+A series is differenced, regressed on its regressors (``functions.linear``: Gram matrices by groups, in the JVM; of linearly dependent
+regressors the later ones have no effect), and what is left gets an ARMA part (``arma``: Hannan and Rissanen's estimates, errors by blocks of rows). Nothing needs a
+whole series in one task but the order of its rows and its lags. Orders that aren't given are searched: the order of
+differencing by the KPSS test on the residuals of the regression, p and q by AIC.
+
+Lags of the seasonal part are further lags of the ARMA part (s, 2s, ..), not products of polynomials. Columns may have any names, and keys may be NULL.
+A regressor that doesn't vary has no effect.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rampwise.operators.series import all_finite, extract_x, require
+from rampwise.functions.linear import coefficients, fitted
+from rampwise.functions.numeric import finite, to_double
+from rampwise.operators.arma import LONG, arma_errors
+from rampwise.operators.series import key_columns, named, require, resolve, series_key, unclashing
+from rampwise.sources.scratch import written
+
+#: The KPSS test's critical value of level stationarity at 5 %.
+CRITICAL = 0.463
+RESULTS = ("time", "variable", "fitted", "residual", "used")
 
 
-def masked(data: DataFrame, time: str, y_cols, xreg_cols=None, keys: list[str] | None = None) -> tuple[DataFrame, list[str], list[str]]:
-    """(keys, time, ys, xs, used): the columns as doubles, and whether all of them are finite."""
+def prepared(data: DataFrame, time: str, y_cols, xreg_cols=None, keys: list[str] | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """(key, time, y, x, used): the series and the regressors as arrays of doubles, and whether all of them are finite; with the names of both."""
     require(data, time)
-    keys = keys or []
-    y = [c for c in extract_x(data, y_cols).columns]
-    x = [c for c in extract_x(data, xreg_cols).columns] if xreg_cols else []
-    if "time" in y:
-        raise ValueError("a series can't be named time")
-    own = extract_x(data, list(dict.fromkeys([*y, *x])), (*keys, time)).withColumnRenamed(time, "time")
-    return own.withColumn("used", all_finite([*y, *x])), y, x
-
-
-def ols_residuals(data: DataFrame, time: str, y: str, x: str | None = None, keys: list[str] | None = None) -> DataFrame:
-    """(keys, time, fitted, residual, used) of y on a constant and one regressor."""
-    own, (y,), xs = masked(data, time, y, x, keys)
-    used = own.filter("used")
-    all_rows = Window.partitionBy(*(keys or [F.lit(0)]))
-    mean = F.avg(y).over(all_rows)
-    fitted = mean + (F.covar_samp(y, xs[0]).over(all_rows) / F.var_samp(xs[0]).over(all_rows)) * (F.col(xs[0]) - F.avg(xs[0]).over(all_rows)) if xs else mean
-    return used.withColumn("fitted", fitted).select(*(keys or []), "time", "fitted", (F.col(y) - F.col("fitted")).alias("residual"), "used")
-
-
-def arx_residuals(data: DataFrame, time: str, y: str, x: str, keys: list[str] | None = None) -> DataFrame:
-    """(keys, time, fitted, residual) of y on a constant, its value one used row before, and x, by normal equations."""
-    own, (y,), (x,) = masked(data, time, y, x, keys)
-    part = Window.partitionBy(*(keys or [F.lit(0)]))
-    own = own.filter("used").withColumn("lag", F.lag(y).over(part.orderBy("time"))).filter("lag is not null")
-    cov = lambda a, b: F.covar_samp(a, b).over(part)
-    det = cov("lag", "lag") * cov(x, x) - cov("lag", x) * cov("lag", x)
-    b1 = (cov("lag", y) * cov(x, x) - cov(x, y) * cov("lag", x)) / det
-    b2 = (cov(x, y) * cov("lag", "lag") - cov("lag", y) * cov("lag", x)) / det
-    own = own.withColumn("fitted", F.avg(y).over(part) + b1 * (F.col("lag") - F.avg("lag").over(part)) + b2 * (F.col(x) - F.avg(x).over(part)))
-    return own.select(*(keys or []), "time", "fitted", (F.col(y) - F.col("fitted")).alias("residual"))
-
-
-def innovations(u: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    """One-step errors of an ARMA process with zero errors before its start."""
-    p, e = len(ar), np.zeros(len(u))
-    for t in range(len(u)):
-        e[t] = u[t] - sum(ar[i] * u[t - 1 - i] for i in range(min(p, t))) - sum(ma[j] * e[t - 1 - j] for j in range(min(len(ma), t)))
-    return e
-
-
-def _arma(u: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    if not p + q or len(u) < 3 * (p + q) + 10:
-        return np.zeros(p), np.zeros(q)
-    lagged = lambda x, n: np.column_stack([np.r_[np.zeros(k), x[: len(x) - k]] for k in range(1, n + 1)]) if n else np.zeros((len(x), 0))
-    long = lagged(u, min(20, len(u) // 4))
-    e = u - long @ np.linalg.lstsq(long, u, rcond=None)[0]
-    design = np.hstack([lagged(u, p), lagged(e, q)])
-    theta = np.linalg.lstsq(design, u, rcond=None)[0]
-    best, cost = theta, np.inf
-    for _ in range(8 if q else 1):
-        e = innovations(u, theta[:p], theta[p:])
-        if not np.isfinite(now := float(e @ e)) or now >= cost * (1 - 1e-8):
-            break
-        best, cost = theta, now
-        jacobian = np.column_stack([(innovations(u, *np.split(theta + 1e-5 * np.eye(p + q)[k], [p])) - e) / 1e-5 for k in range(p + q)])
-        theta = np.clip(theta - np.linalg.lstsq(jacobian, e, rcond=None)[0], -2, 2)
-    return best[:p], best[p:]
-
-
-def fitted_once(y: np.ndarray, x: np.ndarray, order: tuple[int, int, int]) -> tuple[np.ndarray, float, list[float]]:
-    """Residuals, AIC and parameters (regression, AR, MA) of one order."""
-    p, d, q = order
-    dy, dx = np.diff(y, d), np.diff(x, d, axis=0)
-    design = np.column_stack([np.ones(len(dy)), dx]) if not d else dx
-    beta = np.linalg.lstsq(design, dy, rcond=None)[0] if design.shape[1] else np.zeros(0)
-    u = dy - design @ beta if len(beta) else dy
-    ar, ma = _arma(u, p, q)
-    e = innovations(u, ar, ma)
-    n = max(1, len(e))
-    aic = n * np.log(max(float(e @ e) / n, 1e-300)) + 2 * (len(beta) + p + q + 1)
-    return np.r_[np.zeros(d), e], float(aic), [*map(float, beta), *map(float, ar), *map(float, ma)]
-
-
-def searched(y: np.ndarray, x: np.ndarray) -> tuple[int, int, int]:
-    """The order: d while differencing halves the variance, then p and q stepwise by AIC."""
-    d = 0
-    while d < 2 and len(y) - d > 10 and np.var(np.diff(y, d + 1)) < 0.5 * np.var(np.diff(y, d)):
-        d += 1
-    aic = lambda pq: fitted_once(y, x, (pq[0], d, pq[1]))[1]
-    tried = {pq: aic(pq) for pq in ((0, 0), (1, 0), (0, 1), (2, 2))}
-    best = min(tried, key=tried.get)
-    while True:
-        near = [(best[0] + a, best[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-        tried |= {pq: aic(pq) for pq in near if min(pq) >= 0 and max(pq) <= 4 and pq not in tried}
-        now = min(tried, key=tried.get)
-        if now == best:
-            return best[0], d, best[1]
-        best = now
-
-
-def arimax_residuals(data: DataFrame, time: str, y_cols, xreg_cols=None, order: tuple[int, int, int] | None = None, keys: list[str] | None = None, seasonal: bool = True, stepwise: bool = True, approximation: bool = False) -> DataFrame:
-    """(keys, variable, time, fitted, residual, p, d, q, aic, params) over the rows in which every y and regressor is finite.
+    unclashing(keys, *RESULTS)
+    ys, xs = resolve(data, y_cols), resolve(data, xreg_cols) if xreg_cols else []
+    kinds = {f.name: f.dataType for f in data.schema}
+    values = lambda names: F.array(*(to_double(c, kinds[c]) for c in names)).cast("array<double>")
+    own = data.select(series_key(keys), named(time).alias("time"), values(ys).alias("y"), values(xs).alias("x"))
+    return own.withColumn("used", F.forall(F.concat("y", "x"), finite)), ys, xs
+
+
+def regressed(rows: DataFrame, by: str, m: int, k: int, constant: bool, x: str = "x", y: str = "y") -> DataFrame:
+    """``rows`` with ``fit``, the fitted values of each value of y on x, and ``beta``, their coefficients."""
+    beta = coefficients(rows, by, x, m, y, k, constant)
+    return rows.join(beta, by).withColumn("fit", fitted(x, m, k))
+
+
+def ols_residuals(data: DataFrame, time: str, y: str, x=None, keys: list[str] | None = None) -> DataFrame:
+    """(keys, time, fitted, residual, used) of y on a constant and any number of regressors."""
+    own, ys, xs = prepared(data, time, y, x, keys)
+    if len(ys) != 1:
+        raise ValueError("y is one column")
+    got = regressed(own.filter("used"), "key", len(xs), 1, constant=True)
+    fit, value = F.get("fit", F.lit(0)), F.get("y", F.lit(0))
+    return got.select(*key_columns(keys), "time", fit.alias("fitted"), (value - fit).alias("residual"), "used")
+
+
+def arx_residuals(data: DataFrame, time: str, y: str, x=None, keys: list[str] | None = None) -> DataFrame:
+    """(keys, time, fitted, residual) of y on a constant, its value one used row before, and any number of regressors."""
+    own, ys, xs = prepared(data, time, y, x, keys)
+    if len(ys) != 1:
+        raise ValueError("y is one column")
+    own = own.filter("used").withColumn("before", F.lag("y").over(Window.partitionBy("key").orderBy("time"))).filter("before is not null")
+    got = regressed(own.withColumn("x", F.concat("before", "x")), "key", 1 + len(xs), 1, constant=True)
+    fit, value = F.get("fit", F.lit(0)), F.get("y", F.lit(0))
+    return got.select(*key_columns(keys), "time", fit.alias("fitted"), (value - fit).alias("residual"))
 
-    One task fits one series. ``seasonal`` without a period, ``stepwise`` and ``approximation`` don't change the fit.
-    """
-    own, ys, xs = masked(data, time, y_cols, xreg_cols, keys)
-    keys = keys or []
-    long = own.filter("used").select(*keys, "time", F.array(*xs).cast("array<double>").alias("x") if xs else F.array().cast("array<double>").alias("x"), F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).alias("y")) for c in ys))).alias("s")).select(*keys, "time", "x", "s.variable", "s.y")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time", kind="stable")
-        y = pdf["y"].to_numpy(float)
-        x = np.array(pdf["x"].tolist(), float).reshape(len(y), -1)
-        p, d, q = order or searched(y, x)
-        residual, aic, params = fitted_once(y, x, (p, d, q))
-        out = pdf[[*keys, "variable", "time"]].copy()
-        return out.assign(fitted=y - residual, residual=residual, p=p, d=d, q=q, aic=aic, params=[params] * len(y))
+def polynomial(d: int, seasonal_d: int, period: int) -> dict[int, int]:
+    """The factors, by lag, of (1 - B)^d (1 - B^period)^D."""
+    out = {0: 1}
+    for lag in [1] * d + [period] * seasonal_d:
+        for k, v in list(out.items()):
+            out[k + lag] = out.get(k + lag, 0) - v
+    return {k: v for k, v in sorted(out.items()) if v}
 
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "variable string", f"time {kinds['time']}", "fitted double, residual double, p int, d int, q int, aic double, params array<double>"])
-    return long.groupBy(*keys, "variable").applyInPandas(fit, schema)
+
+def differenced(values: Column, factors: dict[int, int], over) -> Column:
+    """An array's values after the differences; NULL where the series hasn't begun so many rows before."""
+    def added(total: Column, lag: int, factor: float) -> Column:
+        return F.zip_with(total, F.lag(values, lag).over(over), lambda a, b: a + F.lit(factor) * b)
+
+    total = values
+    for lag, factor in factors.items():
+        total = added(total, lag, float(factor)) if lag else total
+    return total
+
+
+def kpss(rows: DataFrame, by: list[str], order_by: str, value: str) -> DataFrame:
+    """(by, n, statistic): the KPSS statistic of level stationarity of each group's values in their order; NULL for constant groups.
+
+    The long-run variance has Newey and West's weights over trunc(4 (n / 100)^(1/4)) lags.
+    """
+    group, along = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(order_by)
+    own = rows.select(*by, order_by, F.col(value).alias("_v"), F.count(F.lit(1)).over(group).alias("_n"), F.avg(value).over(group).alias("_m")).withColumn("_z", F.col("_v") - F.col("_m"))
+    n = own.agg(F.max("_n")).head()[0] or 1
+    most = int(4 * (n / 100) ** 0.25)
+    lags = F.floor(4 * F.pow(F.col("_n") / 100, 0.25))
+    before = F.collect_list("_z").over(along.rowsBetween(-max(most, 1), -1))
+    weight = lambda v, i: v * F.greatest(F.lit(0.0), 1 - (F.size("_b") - i) / (lags + 1))
+    own = own.withColumn("_s", F.sum("_z").over(along)).withColumn("_b", before)
+    own = own.withColumn("_w", F.col("_z") * F.aggregate(F.transform("_b", weight), F.lit(0.0), lambda s, v: s + v))
+    lrv = (F.sum(F.col("_z") * F.col("_z")) + 2 * F.sum("_w")) / F.max("_n")
+    got = own.groupBy(*by).agg(F.max("_n").alias("n"), lrv.alias("_l"), (F.sum(F.col("_s") * F.col("_s")) / F.max("_n") / F.max("_n")).alias("_e"), F.max(F.abs("_z")).alias("_x"), F.max(F.abs("_m")).alias("_a"))
+    varies = (F.col("_x") > 1e-12 * F.col("_a")) & (F.col("_l") > 0)
+    return got.select(*by, "n", F.when(varies, F.col("_e") / F.col("_l")).alias("statistic"))
+
+
+def differences_needed(rows: DataFrame, most: int) -> DataFrame:
+    """(by, d): how often each series (by, pos, u) has to be differenced before the KPSS test no longer rejects stationarity."""
+    over, own, out = Window.partitionBy("by").orderBy("pos"), rows.select("by", "pos", "u"), None
+    for d in range(most):
+        here = kpss(own.filter("u is not null"), ["by"], "pos", "u").select("by", (F.coalesce("statistic", F.lit(0.0)) > CRITICAL).cast("int").alias(f"r{d}"))
+        out = here if out is None else out.join(here, "by", "left")
+        own = own.withColumn("u", F.col("u") - F.lag("u").over(over))
+    d = F.lit(0)
+    for k in reversed(range(most)):
+        d = F.when(F.coalesce(F.col(f"r{k}"), F.lit(0)) == 1, d + 1).otherwise(0)
+    return (out if out is not None else rows.select("by").distinct()).select("by", d.alias("d"))
+
+
+def arimax_residuals(data: DataFrame, time: str, y_cols, xreg_cols=None, order: tuple[int, int, int] | None = None, keys: list[str] | None = None, seasonal: bool = True, stepwise: bool = True, approximation: bool = False, period: int = 1, seasonal_order: tuple[int, int, int] = (0, 0, 0), max_p: int = 4, max_q: int = 4, max_d: int = 2, long_ar: int = LONG, given: tuple[list[float], list[float]] | None = None) -> DataFrame:
+    """(keys, variable, time, fitted, residual, p, d, q, aic, params) over the rows in which every y and regressor is finite.
+
+    ``params``: the constant (without differences) and the regressors' coefficients, those of the AR lags from 1 on, then those of the MA lags. The first rows that differencing uses up have residual 0. ``period`` and
+    ``seasonal_order`` (P, D, Q) need a given ``order``; ``seasonal=False`` leaves them out. All candidates up to ``max_p`` and ``max_q`` are compared, whatever
+    ``stepwise`` and ``approximation`` are. ``long_ar``: the lags of the long autoregression that stands in for the errors; ``given``: AR and MA coefficients that
+    aren't to be estimated, in the order of the lags.
+    """
+    own, ys, xs = prepared(data, time, y_cols, xreg_cols, keys)
+    if not seasonal or period < 2:
+        seasonal_order = (0, 0, 0)
+    if order is None and given:
+        raise ValueError("given coefficients need an order")
+    if order is None and any(seasonal_order):
+        raise ValueError("a seasonal order needs an order")
+    m, over = len(xs), Window.partitionBy("by").orderBy("pos")
+    each = F.explode(F.arrays_zip(F.lit(ys).alias("variable"), F.col("y").alias("y"))).alias("s")
+    rows = own.filter("used").select("key", "time", "x", F.row_number().over(Window.partitionBy("key").orderBy("time")).cast("long").alias("pos"), "y")
+    rows = rows.select("key", "time", "x", "pos", each).select(F.struct("key", "s.variable").alias("by"), "time", "pos", "x", F.array("s.y").alias("y"))
+    if order is None:
+        first = regressed(rows, "by", m, 1, constant=True).select("by", "pos", (F.get("y", F.lit(0)) - F.get("fit", F.lit(0))).alias("u"))
+        rows = rows.join(written(differences_needed(written(first, "arimax-first"), max_d), "arimax-differences"), "by")
+        choices = list(range(max_d + 1))
+    else:
+        rows, choices = rows.withColumn("d", F.lit(order[1])), [order[1]]
+    period, (seasonal_p, seasonal_d, seasonal_q) = max(period, 1), seasonal_order
+    parts, free = None, m
+    for d in choices:
+        factors = polynomial(d, seasonal_d, period)
+        some = rows.filter(F.col("d") == d)
+        some = some.select("by", "time", "pos", "d", F.get("y", F.lit(0)).alias("value"), differenced(F.col("y"), factors, over).alias("y"), differenced(F.col("x"), factors, over).alias("x")).filter(F.col("pos") > max(factors))
+        constant = d + seasonal_d == 0
+        level = F.array(F.get("my", F.lit(0)) - F.aggregate(F.zip_with("mx", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+        got = regressed(some, "by", m, 1, constant).select("by", "time", (F.col("pos") - max(factors)).alias("pos"), "d", "value", (F.get("y", F.lit(0)) - F.get("fit", F.lit(0))).alias("u"), (F.concat(level, "beta") if constant else F.col("beta")).alias("beta"))
+        parts = got if parts is None else parts.union(got)
+    u = parts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("by")))
+    lags = None
+    if order is not None:
+        lags = tuple(sorted({*range(1, p + 1), *(period * k for k in range(1, s + 1))}) for p, s in ((order[0], seasonal_p), (order[2], seasonal_q)))
+    if lags == ([], []):
+        squares = F.sum(F.col("u") * F.col("u")).over(Window.partitionBy("by"))
+        aic = F.col("n") * F.log(F.greatest(squares / F.col("n"), F.lit(1e-300))) + 2 * (free + 1)
+        done = u.select("by", "time", "value", F.col("u").alias("e"), F.lit(0).alias("p"), "d", F.lit(0).alias("q"), aic.alias("aic"), F.col("beta").alias("params"))
+    else:
+        u = written(u, "arimax-rest")
+        found = arma_errors(u.select("by", "pos", "n", "u"), lags, free, (max_p, max_q), long_ar, given)
+        done = u.select("by", "pos", "time", "d", "value", "beta").join(found, ["by", "pos"]).select("by", "time", "value", "e", "p", "d", "q", "aic", F.concat("beta", "ar", "ma").alias("params"))
+    # rows that differencing has used up
+    lost = F.col("d") + seasonal_d * period
+    early = rows.filter(F.col("pos") <= lost).select("by", "time", F.get("y", F.lit(0)).alias("value"))
+    known = done.groupBy("by").agg(*(F.first(c).alias(c) for c in ("p", "d", "q", "aic", "params")))
+    early = early.join(known, "by", "left").select("by", "time", "value", F.lit(0.0).alias("e"), "p", "d", "q", "aic", "params")
+    done = done if order is not None and not order[1] + seasonal_d else done.unionByName(early)
+    return done.select(*(F.col(f"by.key.k{i}").alias(k) for i, k in enumerate(keys or [])), F.col("by.variable").alias("variable"), "time", (F.col("value") - F.col("e")).alias("fitted"), F.col("e").alias("residual"), "p", "d", "q", "aic", "params")
 
 
 def arimax_residuals_df(data: DataFrame, time: str, y_cols, xreg_cols=None, order: tuple[int, int, int] | None = None, keys: list[str] | None = None, **options) -> DataFrame:
     """(keys, time, ys): the residuals of every y column in one row for each time."""
-    _, ys, _ = masked(data, time, y_cols, xreg_cols, keys)
+    own, ys, xs = prepared(data, time, y_cols, xreg_cols, keys)
+    if "time" in ys:
+        raise ValueError("a series can't be named time")
+    if order == (0, 0, 0) and not any(options.get("seasonal_order", ())):
+        got = regressed(own.filter("used"), "key", len(xs), len(ys), constant=True)
+        return got.select(*key_columns(keys), "time", *((F.get("y", F.lit(i)) - F.get("fit", F.lit(i))).alias(c) for i, c in enumerate(ys)))
     got = arimax_residuals(data, time, y_cols, xreg_cols, order, keys, **options)
-    return got.groupBy(*(keys or []), "time").pivot("variable", ys).agg(F.first("residual"))
+    wide = got.select(series_key(keys), "time", "variable", "residual").groupBy("key", "time")
+    return wide.agg(*(F.max(F.when(F.col("variable") == c, F.col("residual"))).alias(f"r{i}") for i, c in enumerate(ys))).select(*key_columns(keys), "time", *(F.col(f"r{i}").alias(c) for i, c in enumerate(ys)))

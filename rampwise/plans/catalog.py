@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from rampwise.functions.numeric import robust_z
 from rampwise.operators import arimax, detect, eigen, signals, windows
 from rampwise.operators.series import extract_x, na_handle, positioned
-from rampwise.plans.fixtures import F1_SQL, F2_SQL, F4_SQL, daily, hourly, read, user_events
+from rampwise.plans.fixtures import F1_SQL, F2_SQL, F4_SQL, daily, hourly, read, user_events, vectors
+from rampwise.sources.scratch import shared_dir
 from rampwise.sources.sinks import overlay_frame, write_rt_csv
 
 CLICK_VIEW = ["click_m", "view_m"]
@@ -89,6 +90,18 @@ def eig5_trace(spark, sf_dir):
     return got.select("window_id", "n_w", F.round(F.aggregate("d", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
+def _eig64(k: int | None):
+    """All eigenvalues of windows of 64 columns, by their sum and sum of squares; or the first k."""
+
+    def run(spark, sf_dir):
+        got = eigen.roll_svd(vectors(spark, sf_dir), "vec_id", [f"e{i}" for i in range(64)], 128, step=32, k=k)
+        if k:
+            return got.select("window_id", "t_rep", F.posexplode("d").alias("at", "d")).select("window_id", "t_rep", (F.col("at") + 1).cast("long").alias("factor"), F.round("d", 6).alias("d"))
+        return got.select("window_id", "start", "end", "t_rep", "n_w", F.round(F.aggregate("d", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.aggregate("d", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squares"))
+
+    return run
+
+
 def tidy_values(spark, sf_dir):
     got = eigen.as_tibble_rollsvd(eigen.roll_svd(hourly(spark, sf_dir), "t", CLICK_VIEW, W))
     return got.select("window_id", "factor", F.round("d", 6).alias("d"))
@@ -163,6 +176,49 @@ def arimax_then_svd_ols(spark, sf_dir):
     return got.select("window_id", "t_rep", F.round(F.get("d", F.lit(0)), 6).alias("d1"))
 
 
+def arimax_two_regressors(spark, sf_dir):
+    got = arimax.ols_residuals(daily(spark, sf_dir, tuple(KEYS)), "t", "price", ["qty", "disc"], keys=KEYS)
+    return got.select(*KEYS, "time", F.round("fitted", 4).alias("fitted"), F.round("residual", 4).alias("residual"))
+
+
+def arimax_dependent(spark, sf_dir):
+    """A constant regressor and one that repeats another have no effect."""
+    own = daily(spark, sf_dir, tuple(KEYS)).select("*", F.lit(3.5).alias("same"), (2 * F.col("qty") + 1).alias("twice"))
+    got = arimax.arimax_residuals_df(own, "t", ["price", "disc"], ["same", "qty", "twice"], (0, 0, 0), keys=KEYS)
+    return got.select(*KEYS, "time", F.round("price", 4).alias("price"), F.round("disc", 8).alias("disc"))
+
+
+def _arima(order, time="t", **options):
+    """Errors of one ARMA part after a regression of qty on disc, key by key."""
+
+    def run(spark, sf_dir):
+        got = arimax.arimax_residuals(daily(spark, sf_dir, tuple(KEYS)), time, "qty", "disc", order, keys=KEYS, **options)
+        return got.select(*KEYS, "time", F.round("fitted", 5).alias("fitted"), F.round("residual", 5).alias("residual"))
+
+    return run
+
+
+def kpss_keyed(spark, sf_dir):
+    got = arimax.kpss(daily(spark, sf_dir, tuple(KEYS)), KEYS, "t", "qty")
+    return got.select(*KEYS, "n", F.round("statistic", 8).alias("statistic"))
+
+
+def extract_names(spark, sf_dir):
+    """Names aren't numbers: all of them are NULL."""
+    return extract_x(read(spark, sf_dir, "customer"), ["c_name", "c_acctbal"], ("c_custkey",)).select("c_custkey", "c_name", "c_acctbal")
+
+
+def scores_keyed(spark, sf_dir):
+    own = daily(spark, sf_dir, tuple(KEYS))
+    got = eigen.roll_svd(own, "t", ["qty", "disc"], W, step=240, k=1, values_only=False, keys=KEYS)
+    return eigen.scores(own, got, "t", ["qty", "disc"], keys=KEYS).select(*KEYS, "window_id", "row_pos", "factor", F.round("score", 5).alias("score"))
+
+
+def tidy_keyed(spark, sf_dir):
+    got = eigen.as_tibble_rollsvd(eigen.roll_svd(daily(spark, sf_dir, tuple(KEYS)), "t", ["qty", "disc"], W, 3, keys=KEYS), keys=KEYS)
+    return got.select(*KEYS, "window_id", "factor", F.round("d", 6).alias("d"))
+
+
 def arimax_auto(spark, sf_dir):
     """The searched order; no SQL, tested on simulated series."""
     return signals.build_signal_arimax_resid(hourly(spark, sf_dir), "t", "click_m", "view_m")
@@ -202,16 +258,6 @@ def rt_overlay(spark, sf_dir):
     return got.select("x", F.round("score", 6).alias("score"), F.round("scaled_signal", 6).alias("scaled_signal"), F.round("alpha", 6).alias("alpha"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where all runs in this process."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-    return found or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 def csv_roundtrip(spark, sf_dir):
     import uuid
 
@@ -230,6 +276,8 @@ def queries() -> dict:
         "eig3_roll": eig3_roll, "eig5_trace": eig5_trace, "tidy_values": tidy_values, "tidy_loadings2": tidy_loadings2, "scores2": scores2,
         "signal_raw": signal_raw, "signal_svd": signal_svd, "arimax_ols_resid": arimax_ols_resid, "arx1_resid": arx1_resid, "arimax_resid_multi": arimax_resid_multi, "arimax_svd_ols": arimax_svd_ols, "arimax_then_svd_ols": arimax_then_svd_ols, "arimax_auto": arimax_auto,
         "win_keyed": win_keyed, "eig2_keyed": eig2_keyed, "arimax_keyed": _arimax_keyed((0, 0, 0)), "arimax_diff_keyed": _arimax_keyed((0, 1, 0)), "arx1_keyed": arx1_keyed,
+        "eig64_trace": _eig64(None), "eig64_topk": _eig64(3), "arimax_two_regressors": arimax_two_regressors, "arimax_dependent": arimax_dependent, "kpss_keyed": kpss_keyed, "extract_names": extract_names, "scores_keyed": scores_keyed, "tidy_keyed": tidy_keyed,
+        "arima_100": _arima((1, 0, 0)), "arima_011": _arima((0, 1, 1), long_ar=1), "arima_111_given": _arima((1, 1, 1), given=([0.3], [-0.6])), "arima_seasonal_diff": _arima((0, 0, 0), period=7, seasonal_order=(0, 1, 0)), "arima_seasonal_ar": _arima((0, 0, 0), period=7, seasonal_order=(1, 0, 0)),
         "votes_pos": _votes(), "votes_neg": _votes(direction="negative"), "votes_both": _votes(direction="both", mad_k=2), "votes_fixed_high": _votes(lowwl=4, highwl=40), "votes_daily": votes_daily, "votes_keyed": votes_keyed, "robust_z": robust_z_keyed,
         "rt_flags": _realtime(), "rt_raw": _realtime(smooth_k=0, highwl=30, burn_in=200), "overlay_frame": rt_overlay, "csv_roundtrip": csv_roundtrip,
     }
@@ -310,6 +358,59 @@ f as (select l_returnflag, t, y, my + (zy * xx - xy * zx) / (zz * xx - zx * zx)
 select l_returnflag, t as time, round(fitted, 6) as fitted, round(y - fitted, 6) as residual from f"""
 
 
+#: 64 columns: each one's variance, and the squares of all pairs' covariances, window by window.
+EIG64 = """with s as (select vec_id, row_number() over (order by vec_id) as rn, embedding as e from embeddings),
+w as (select (rn - 128) // 32 + 1 as window_id, rn - 127 as start, rn as "end", vec_id as t_rep from s where rn >= 128 and (rn - 128) % 32 = 0),
+x as (select window_id, rn, unnest(range(1, 65)) as i, e from w join s on rn between start and "end"), y as (select window_id, rn, i, cast(e[i] as double) as v from x),
+c as (select a.window_id, a.i, b.i as j, covar_samp(a.v, b.v) as c from y a join y b on a.window_id = b.window_id and a.rn = b.rn group by 1, 2, 3),
+g as (select window_id, sum(case when i = j then c end) as total, sum(c * c) as squares from c group by 1)
+select w.*, 128 as n_w, round(total, 6) as total, round(squares, 6) as squares from w join g using (window_id)"""
+TWO = f"""with {F4_SQL}, k as (select l_returnflag, covar_pop(qty, qty) as aa, covar_pop(disc, disc) as bb, covar_pop(qty, disc) as ab, covar_pop(qty, price) as ay, covar_pop(disc, price) as yb, avg(price) as my, avg(qty) as ma, avg(disc) as mb from s group by 1),
+f as (select l_returnflag, t, price, my + (ay * bb - yb * ab) / (aa * bb - ab * ab) * (qty - ma) + (yb * aa - ay * ab) / (aa * bb - ab * ab) * (disc - mb) as fitted from s join k using (l_returnflag))
+select l_returnflag, t as time, round(fitted, 4) as fitted, round(price - fitted, 4) as residual from f"""
+DEPENDENT = f"""with {F4_SQL}, k as (select l_returnflag, regr_slope(price, qty) as bp, regr_intercept(price, qty) as ap, regr_slope(disc, qty) as bd, regr_intercept(disc, qty) as ad from s group by 1)
+select l_returnflag, t as time, round(price - ap - bp * qty, 4) as price, round(disc - ad - bd * qty, 8) as disc from s join k using (l_returnflag)"""
+KPSS = f"""with {F4_SQL}, z as (select l_returnflag, rn, n, qty - avg(qty) over (partition by l_returnflag) as z, floor(4 * power(n / 100, 0.25)) as lags from s),
+p as (select *, sum(z) over (partition by l_returnflag order by rn) as s from z),
+g as (select l_returnflag, max(n) as n, sum(s * s) / max(n) / max(n) as eta, sum(z * z) / max(n) as g0 from p group by 1),
+c as (select a.l_returnflag, sum((1 - (a.rn - b.rn) / (a.lags + 1)) * a.z * b.z) / max(a.n) as w from z a join z b on a.l_returnflag = b.l_returnflag and b.rn < a.rn and b.rn >= a.rn - a.lags group by 1)
+select l_returnflag, n, round(eta / (g0 + 2 * w), 8) as statistic from g join c using (l_returnflag)"""
+SCORES_KEYED = f"""with {F4_SQL}, w as (select l_returnflag, (rn - {W}) // 240 + 1 as window_id, rn - {W} + 1 as start, rn as "end" from s where rn >= {W} and (rn - {W}) % 240 = 0),
+x as (select w.l_returnflag, window_id, rn, qty - avg(qty) over g as a, disc - avg(disc) over g as b from w join s on w.l_returnflag = s.l_returnflag and rn between start and "end" window g as (partition by w.l_returnflag, window_id)),
+v as (select l_returnflag, window_id, sum(a * a) / {W - 1} as p, sum(a * b) / {W - 1} as q, sum(b * b) / {W - 1} as r from x group by 1, 2),
+e as (select *, (p + r) / 2 + sqrt(((p - r) / 2) * ((p - r) / 2) + q * q) as d from v), l as (select *, case when p >= r then d - r else q end as vx, case when p >= r then q else d - p end as vy from e),
+m as (select *, sqrt(vx * vx + vy * vy) * case when abs(vx) >= abs(vy) then sign(vx) else sign(vy) end as g from l)
+select l_returnflag, window_id, rn as row_pos, 1 as factor, round((a * vx + b * vy) / g, 5) as score from x join m using (l_returnflag, window_id)"""
+TIDY_KEYED = EIG2_KEYED.split("\nselect l_returnflag, (rn")[0] + f""" select l_returnflag, (rn - {W}) // 3 + 1 as window_id, 1 as factor, round(h + g, 6) as d from e union all select l_returnflag, (rn - {W}) // 3 + 1, 2, round(h - g, 6) from e"""
+
+
+def _arma_sql(lag: int, differenced: bool, given: tuple[float, float] | None, ma: bool) -> str:
+    """qty on disc (after a difference of ``lag`` rows, without a constant, or not), then AR of lag ``lag`` or the errors of MA(1)."""
+    over = "(partition by l_returnflag order by rn)"
+    if differenced:
+        own = f"""d as (select l_returnflag, rn, t, qty, qty - lag(qty, {lag}) over {over} as y, disc - lag(disc, {lag}) over {over} as x from s),
+        k as (select l_returnflag, sum(y * x) / sum(x * x) as b from d group by 1), u as (select l_returnflag, t, qty, rn - {lag} as i, y - b * x as u from d join k using (l_returnflag) where rn > {lag})"""
+    else:
+        own = """k as (select l_returnflag, regr_slope(qty, disc) as b, regr_intercept(qty, disc) as a from s group by 1), u as (select l_returnflag, t, qty, rn as i, qty - a - b * disc as u from s join k using (l_returnflag))"""
+    out = f"with recursive {F4_SQL}, {own}, "
+    along = "(partition by l_returnflag order by i)"
+    if not ma and not given:
+        return out + f"""l as (select *, coalesce(lag(u, {lag}) over {along}, 0) as z from u), r as (select l_returnflag, sum(u * z) / sum(z * z) as a from l group by 1),
+        select_ as (select l_returnflag, t, qty, u - a * z as e from l join r using (l_returnflag)) select l_returnflag, t as time, round(qty - e, 5) as fitted, round(e, 5) as residual from select_"""
+    if given:
+        out += f"th as (select distinct l_returnflag, {given[1]} as m from u), cc as (select u.*, u - {given[0]} * coalesce(lag(u) over {along}, 0) as c from u), "
+    else:
+        out += f"""l as (select *, coalesce(lag(u) over {along}, 0) as z from u), r as (select l_returnflag, sum(u * z) / sum(z * z) as a from l group by 1),
+        p as (select l.*, u - a * z as w from l join r using (l_returnflag)), p2 as (select *, coalesce(lag(w) over {along}, 0) as w1 from p), th as (select l_returnflag, sum(u * w1) / sum(w1 * w1) as m from p2 group by 1), cc as (select *, u as c from u), """
+    return out + """e as (select l_returnflag, i, t, qty, c as e from cc where i = 1 union all select cc.l_returnflag, cc.i, cc.t, cc.qty, cc.c - m * e.e from e join cc on cc.l_returnflag = e.l_returnflag and cc.i = e.i + 1 join th on th.l_returnflag = e.l_returnflag)
+    select l_returnflag, t as time, round(qty - e, 5) as fitted, round(e, 5) as residual from e union all select l_returnflag, t, round(qty, 5), 0 from s where rn = 1"""
+
+
+SEASONAL_DIFF = f"""with {F4_SQL}, d as (select l_returnflag, rn, t, qty, qty - lag(qty, 7) over (partition by l_returnflag order by rn) as y, disc - lag(disc, 7) over (partition by l_returnflag order by rn) as x from s),
+k as (select l_returnflag, sum(y * x) / sum(x * x) as b from d group by 1), e as (select l_returnflag, t, qty, coalesce(y - b * x, 0) as e from d join k using (l_returnflag))
+select l_returnflag, t as time, round(qty - e, 5) as fitted, round(e, 5) as residual from e"""
+
+
 def _votes_sql(source: str, keys: str = "", order: str = "t", low: int = 5, high: str = "auto", k: float = 3, direction: str = "positive") -> str:
     """CTEs up to ``res`` (keys, i, score) over ``source`` (CTEs that end in y0: keys, order columns, y)."""
     p, kc = (f"partition by {keys} ", f"{keys}, ") if keys else ("", "")
@@ -369,6 +470,8 @@ def oracle_sql() -> dict[str, str]:
         "arimax_ols_resid": OLS, "arx1_resid": ARX, "arimax_resid_multi": f"with {_RESID} select t as time, {r6(*CLICK_VIEW)} from s",
         "arimax_svd_ols": _eig_sql(scale=True, source=_RESID) + " select t as time_ind, round(d1, 6) as signal from e", "arimax_then_svd_ols": _eig_sql(source=_RESID) + " select window_id, t as t_rep, round(d1, 6) as d1 from e",
         "win_keyed": WIN_KEYED, "eig2_keyed": EIG2_KEYED, "arimax_keyed": ARIMAX_KEYED, "arimax_diff_keyed": ARIMAX_DIFF_KEYED, "arx1_keyed": ARX_KEYED,
+        "eig64_trace": EIG64, "arimax_two_regressors": TWO, "arimax_dependent": DEPENDENT, "kpss_keyed": KPSS, "extract_names": "select c_custkey, null::double as c_name, c_acctbal from customer", "scores_keyed": SCORES_KEYED, "tidy_keyed": TIDY_KEYED,
+        "arima_100": _arma_sql(1, False, None, False), "arima_011": _arma_sql(1, True, None, True), "arima_111_given": _arma_sql(1, True, (0.3, -0.6), True), "arima_seasonal_diff": SEASONAL_DIFF, "arima_seasonal_ar": _arma_sql(7, False, None, False),
         "votes_pos": votes(), "votes_neg": votes(direction="negative"), "votes_both": votes(direction="both", k=2), "votes_fixed_high": votes(low=4, high="40"),
         "votes_daily": _votes_sql(F2_SQL + ", y0 as (select t, price as y from f2)") + " select t, round(score, 10) as score from res",
         "votes_keyed": _votes_sql("y0 as (select user_id, ts, event_id, value as y from events)", "user_id", "ts, event_id", k=2) + " select user_id, event_id, round(score, 10) as score from res",

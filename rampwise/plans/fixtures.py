@@ -24,6 +24,11 @@ def daily(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) -> DataF
     return items.groupBy(*keys, F.col("l_shipdate").cast("timestamp_ntz").alias("t")).agg(F.avg("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"), F.avg("l_extendedprice").alias("price"))
 
 
+def vectors(spark: SparkSession, sf_dir: str, p: int = 64) -> DataFrame:
+    """vec_id and the components of the embeddings as columns e0, e1, .."""
+    return read(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(p)))
+
+
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
 

@@ -21,7 +21,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("events", "lineitem"):
+    for t in ("events", "lineitem", "embeddings", "customer"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(SQL[name])
     got = catalog.queries()[name](spark, SF)
