@@ -1,7 +1,8 @@
 """Conversion of legacy ARC archives to WARC.
 
 ARC files begin with a version block (`filedesc://` line, version line, field line); the version tells which fields a record's
-header line has, and its last field how many bytes of content follow. ``arc_records`` reads them by these declared lengths;
+header line has, and its last field how many bytes of content follow. ``arc_records`` reads them by these declared lengths. Header lines are read from their
+right end (length, then date), since URLs and content types may hold spaces;
 ``convert`` synthesises WARC identifiers (name-based UUIDs of file and offset), timestamps, record types and payload
 digests and writes WARC 1.1; ``read_warc`` reads such archives back by their content lengths. ``write_arc`` makes ARC files
 of either version from a table of pages.
@@ -11,8 +12,14 @@ will do, and lost tasks are run again by Spark. Files are compressed as a whole
 ARC files may be uncompressed.
 
 The version block becomes a ``warcinfo`` record, content that begins with an HTTP status line a ``response``, other content (as that
-of ``dns:`` URLs) a ``resource`` with its own content type. A line that isn't a header line of the file's version is
-skipped, with all that follows it up to the next that is one. Record ids come from the whole path of the file and the offset.
+of ``dns:`` URLs) a ``resource`` with its own content type. Where a header line of the file's version should stand but doesn't, a line that ends in a
+number is taken for a header that can't be read: as many bytes are kept as a ``resource`` under a URL made of the file and the offset, and never searched for header lines.
+Any other such line is passed over, with all lines up to the next header line whose URL has a scheme. A record shorter than declared, at the end of a cut file, is kept and marked
+as truncated. Record ids come from the whole path of the file and the offset.
+
+Archives are parsed twice: once for digests and places only, from which it is decided what is a revisit, and once to be written. The decisions of a
+file go to the file as a list; payloads move with their compressed files, if at all, and never by their digest, so that a payload
+with many copies is no hot key.
 
 Records whose payloads have at least ``least`` bytes and equal digest and length are one group: the record of the largest
 page id (of equals, the largest record id) is the response, the others become revisit records that carry their HTTP
@@ -45,7 +52,12 @@ ARC_FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REVISIT_FROM = 1000
 ID_HEADER = "X-Page-Id"
-ARC_SCHEMA = "type string, file string, offset long, version int, url string, ip string, date string, content_type string, head binary, payload binary, page_id long, record_id string, sha1 string, sha1_base32 string, bytes long"
+#: Header lines from the right: URL, address, date, content type, further fields, length.
+HEADERS = {1: re.compile(r"(.*) (\S+) (\d{8,17}) (?:(.*) )?(\d+)"), 2: re.compile(r"(.*) (\S+) (\d{8,17}) (.*) \S+ \S+ \S+ \d+ \S+ (\d+)")}
+SCHEME = re.compile("[A-Za-z][A-Za-z0-9+.-]*:")
+LIGHT_SCHEMA = "type string, file string, offset long, version int, url string, ip string, date string, content_type string, truncated boolean, page_id long, record_id string, sha1 string, sha1_base32 string, bytes long"
+ARC_SCHEMA = f"{LIGHT_SCHEMA}, head binary, payload binary"
+DECIDED = "again struct<record_id: string, url: string, date: string>"
 WARC_SCHEMA = "type string, record_id string, date string, url string, refers_to string, payload_digest string, page_id long, head binary, payload binary"
 
 
@@ -115,29 +127,32 @@ def page_id_of(head: bytes) -> int | None:
 
 
 def parse_arc(name: str, data: bytes):
-    """The records of one ARC file."""
+    """The records of one ARC file, as rows of ``ARC_SCHEMA``."""
     raw = Unpacked(data) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    stream, offset, version = io.BufferedReader(raw, 1 << 20), 0, None
+    stream, offset, version, lost = io.BufferedReader(raw, 1 << 20), 0, None, False
     while line := stream.readline():
         if not line.strip():
             offset += len(line)
             continue
-        fields = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
-        first = fields[0].startswith("filedesc:")
-        names = ARC_FIELDS[1 if len(fields) == 5 else 2].split(" ") if first else ARC_FIELDS[version].split(" ") if version else []
-        if not names or len(fields) != len(names) or not re.fullmatch("[0-9]+ [0-9]+", f"{fields[-1]} {fields[2]}"):
-            offset += len(line)
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        first = text.startswith("filedesc:")
+        found = next((m for v in ((2, 1) if first else (version,) if version else ()) if (m := HEADERS[v].fullmatch(text))), None)
+        if found and lost and not SCHEME.match(text):
+            found = None
+        declared = found[5] if found else None if lost else (re.search(r" (\d+)$", text) or [None, None])[1]
+        if declared is None:
+            lost, offset = True, offset + len(line)
             continue
-        body = stream.read(int(fields[-1]))
-        if first:
+        lost, body = False, stream.read(int(declared))
+        if first and found:
             said = body.split(b" ", 1)[0]
-            version = int(said) if said.isdigit() and int(said) in ARC_FIELDS else 1 if len(fields) == 5 else 2
-        kind = "warcinfo" if first else "response" if body.startswith(b"HTTP/") else "resource"
+            version = int(said) if said.isdigit() and int(said) in ARC_FIELDS else 1 if found.re is HEADERS[1] else 2
+        kind = "resource" if not found else "warcinfo" if first else "response" if body.startswith(b"HTTP/") else "resource"
         head, _, payload = body.partition(b"\r\n\r\n") if kind == "response" else (b"", b"", body)
-        own = dict(zip(names, fields, strict=True))
-        d, sha1 = own["Archive-date"].ljust(14, "0"), hashlib.sha1(payload)
+        url, ip, d, content = (found[1], found[2], found[3], found[4] or "application/octet-stream") if found else (f"about:{quote(name, safe='')}#{offset}", "0.0.0.0", "19700101", "application/octet-stream")
+        d, sha1 = d[:14].ljust(8, "0").ljust(14, "0"), hashlib.sha1(payload)
         iso = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-        yield (kind, name, offset, version, own["URL"], own["IP-address"], iso, own["Content-type"], head, payload, page_id_of(head), str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{offset}")), sha1.hexdigest(), base64.b32encode(sha1.digest()).decode(), len(payload))
+        yield (kind, name, offset, version, url if kind == "warcinfo" or " " not in url else header_url(url), ip, iso, content, len(body) < int(declared), page_id_of(head), str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{offset}")), sha1.hexdigest(), base64.b32encode(sha1.digest()).decode(), len(payload), head, payload)
         offset += len(line) + len(body)
 
 
@@ -158,33 +173,45 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(",")]
 
 
-def arc_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all ARC files below ``path``, with their synthesised WARC identifiers, timestamps and digests."""
+def arc_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The records of all ARC files below ``path``, with their synthesised WARC identifiers, timestamps and digests; without ``payloads``, all but their content."""
+    schema = ARC_SCHEMA if payloads else LIGHT_SCHEMA
 
     def run(frames):
         for pdf in frames:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield from batched(parse_arc(name, content), _names(ARC_SCHEMA))
+                rows = parse_arc(name, content)
+                yield from batched(rows if payloads else (r[:-2] for r in rows), _names(schema))
+
+    return _files(spark, path).mapInPandas(run, schema)
+
 
-    return _files(spark, path).mapInPandas(run, ARC_SCHEMA)
+def _decided(frames):
+    """The records of files that come with what is decided about them, by offset."""
+    for pdf in frames:
+        for name, content, offsets, places in zip(pdf["path"], pdf["content"], pdf["offsets"], pdf["places"], strict=True):
+            known = dict(zip(offsets.tolist(), places, strict=True)) if offsets is not None else {}
+            yield from batched(((*r, known.get(r[2])) for r in parse_arc(name, content)), [*_names(ARC_SCHEMA), "again"])
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = REVISIT_FROM) -> None:
-    """WARC files in ``warc_path`` from all ARC files below ``arc_path``. Only digests are shuffled, payloads where the groups are too many to be sent to all."""
-    records = arc_records(spark, arc_path)
-    group = records.filter((F.col("type") == "response") & (F.col("bytes") >= least)).groupBy("sha1", "bytes").agg(F.max(F.struct("page_id", "record_id", "url", "date")).alias("first"), F.count(F.lit(1)).alias("n"))
+    """WARC files in ``warc_path`` from all ARC files below ``arc_path``. What is shuffled are digests, places and (unless the lists of revisits are small) compressed files."""
+    light = written(arc_records(spark, arc_path, payloads=False).filter((F.col("type") == "response") & (F.col("bytes") >= least)).select("file", "offset", "sha1", "bytes", "page_id", "record_id", "url", "date"), "warc-places")
+    group = light.groupBy("sha1", "bytes").agg(F.max(F.struct("page_id", "record_id", "url", "date")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = written(group.filter("n > 1").select("sha1", "bytes", "first"), "warc-groups")
-    some = (F.col("type") == "response") & (F.col("bytes") >= least)
-    got = records.filter(some).join(first, ["sha1", "bytes"], "left").unionByName(records.filter(~some), allowMissingColumns=True)
-    revisit = F.coalesce(F.col("first.record_id") != F.col("record_id"), F.lit(False))
+    again = light.join(first, ["sha1", "bytes"]).filter("first.record_id <> record_id")
+    lists = again.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", F.struct("first.record_id", "first.url", "first.date").alias("place")))).alias("r"))
+    lists = written(lists.select(F.col("file").alias("path"), F.col("r.offset").alias("offsets"), F.col("r.place").alias("places")), "warc-lists")
+    got = _files(spark, arc_path).join(lists, "path", "left").select("path", "content", "offsets", "places").mapInPandas(_decided, f"{ARC_SCHEMA}, {DECIDED}")
+    revisit = F.col("again").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     block = F.when(revisit, F.concat(F.col("head"), F.lit(b"\r\n\r\n"))).when(F.col("type") != "response", F.col("payload")).otherwise(F.concat(F.col("head"), F.lit(b"\r\n\r\n"), F.col("payload")))
     urn = lambda c: F.concat(F.lit("<urn:uuid:"), c, F.lit(">"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.col("type"))), line("WARC-Record-ID", urn(F.col("record_id"))), line("WARC-Date", F.col("date")),
         F.when(F.col("type") == "warcinfo", line("WARC-Filename", F.element_at(F.split("file", "/"), -1))).otherwise(F.concat(line("WARC-Target-URI", F.col("url")), line("WARC-IP-Address", F.col("ip")))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1_base32"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", urn(F.col("first.record_id"))), line("WARC-Refers-To-Target-URI", F.col("first.url")), line("WARC-Refers-To-Date", F.col("first.date")))).otherwise(F.lit("")),
+        F.when(F.col("truncated"), line("WARC-Truncated", F.lit("unspecified"))).otherwise(F.lit("")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1_base32"))),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", urn(F.col("again.record_id"))), line("WARC-Refers-To-Target-URI", F.col("again.url")), line("WARC-Refers-To-Date", F.col("again.date")))).otherwise(F.lit("")),
         line("Content-Type", F.when(F.col("type") == "response", F.lit("application/http; msgtype=response")).otherwise(F.col("content_type"))), line("Content-Length", F.length(block).cast("string")), F.lit("\r\n"),
     )
     got.select(F.concat(head.cast("binary"), block).cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
