@@ -2,8 +2,11 @@
 
 Each executor task builds, shard by shard (about ``SHARD_BYTES`` of text), a suffix array over the word sequence of its
 documents by prefix doubling, and binary-searches every suffix of every benchmark item in it, narrowing the interval of
-equal suffixes word by word. Suffixes that reach a whole window (``window`` words; all words of a shorter item) give
-verbatim matches with their places; matches that continue each other on the same diagonal are joined to longest matches.
+equal suffixes word by word. Suffixes that reach a whole window (``window`` words; all words of a shorter item) give intervals of the suffix
+array, which are equal or apart for windows of one length: the words that they cover, the longest spans of such words in each
+document, and the items that meet there come from the intervals themselves, and no pairs of positions are made. Only where ``matches`` are asked for, all pairs of
+equal positions are listed and those that continue each other on the same diagonal joined to longest matches of one item with one
+document; in texts that repeat a word over and over these are as many as the product of the lengths.
 
 Only runs of words that all occur in the benchmark, as long as its shortest window, enter the suffix array: no window can
 lie elsewhere. The benchmark is searched in blocks of bounded size (``block_bytes``), each sent to all executors.
@@ -22,13 +25,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import column, columns, unused
+from rampwise.llm.common import column, columns, ragged, unused
 
 WINDOW = 10
 #: Documents of about so many bytes of text share a suffix array.
 SHARD_BYTES = 16 << 20
 #: Benchmark text that is sent to the executors at once.
 BLOCK_BYTES = 16 << 20
+#: What is found in a document: the spans of covered words, the items met, and longest matches.
+ARRAYS = {"start": "long", "span": "long", "met": "string", "item": "string", "item_pos": "long", "doc_pos": "long", "length": "long"}
 
 #: Lower-cases A-Z and turns every byte that isn't in a word (0-9, a-z, 0x80 and above) to a space.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -44,7 +49,7 @@ class Items:
     def __init__(self, rows: list[tuple], window: int):
         vocabulary: dict[bytes, int] = {}
         sequences = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(bytes(t or b""))], np.int64) for _, t in rows]
-        self.ids = ["" if i is None else str(i) for i, _ in rows]
+        self.ids = [None if i is None else str(i) for i, _ in rows]
         self.vocabulary = vocabulary
         self.words = np.concatenate([*sequences, np.zeros(0, np.int64)])
         starts = np.cumsum([0, *(len(s) for s in sequences)])
@@ -108,12 +113,45 @@ def search(seq: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*done, strict=True))
 
 
-def _shard(texts: list[bytes], items: Items) -> list[dict]:
+def covered(order: np.ndarray, size: int, need: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which of ``size`` positions lie in an occurrence of a window, from the intervals of the suffix array that hold the occurrences' starts."""
+    change = np.zeros(size + 1, np.int64)
+    for n in np.unique(need):
+        own = need == n
+        starts = np.zeros(len(order) + 1, np.int64)
+        np.add.at(starts, lo[own], 1)
+        np.add.at(starts, hi[own], -1)
+        at = order[np.cumsum(starts[:-1]) > 0]
+        np.add.at(change, at, 1)
+        np.add.at(change, np.minimum(at + n, size), -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def met(order: np.ndarray, doc: np.ndarray, item: np.ndarray, need: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_items: int, most: int = 1 << 20) -> np.ndarray:
+    """The distinct numbers doc * n_items + item of documents (``doc``: of each position) and items that share a window."""
+    found = np.zeros(0, np.int64)
+    for n in np.unique(need):
+        own = np.flatnonzero(need == n)
+        heads, first, which = np.unique(lo[own], return_index=True, return_inverse=True)
+        length = hi[own][first] - heads
+        slot = ragged(heads, length)
+        place = np.unique(np.repeat(np.arange(len(heads)), length) * (doc.max() + 1) + doc[order[slot]])
+        interval, docs = np.divmod(place, doc.max() + 1)
+        side = np.unique(which * n_items + item[own])
+        begin = np.searchsorted(side, np.arange(len(heads) + 1) * n_items)
+        count = np.diff(begin)[interval]
+        for some in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(np.cumsum(count) // most)) + 1):
+            pairs = np.repeat(docs[some] * n_items, count[some]) + side[ragged(begin[interval[some]], count[some])] % n_items
+            found = np.union1d(found, pairs)
+    return found
+
+
+def _shard(texts: list[bytes], items: Items, matches: bool) -> list[dict]:
     get, sequences = items.vocabulary.get, []
     for text in texts:
         words = words_of(text)
         sequences.append(np.fromiter(map(get, words, repeat(-1)), np.int64, len(words)))
-    out = [{"n_words": len(s), "item": [], "item_pos": [], "doc_pos": [], "length": []} for s in sequences]
+    out = [{"n_words": len(s)} | {c: [] for c in ARRAYS} for s in sequences]
     if not items.shortest:
         return out
     starts = np.cumsum([0, *(len(s) + 1 for s in sequences)])
@@ -130,15 +168,29 @@ def _shard(texts: list[bytes], items: Items) -> list[dict]:
     if not len(first):
         return out
     size = last - first + 1  # with the separator that follows
-    where = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    where = ragged(first, size)
     kept = seq[where]
     order = suffix_array(kept, items.longest)
     q, lo, hi = search(kept, order, items)
     if not len(q):
         return out
-    count = hi - lo
-    at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    position, suffix = where[order[at]], np.repeat(q, count)
+    doc = np.searchsorted(starts, where, side="right") - 1
+    hit = np.r_[False, covered(order, len(kept), items.need[q], lo, hi), False]
+    edges = np.flatnonzero(hit[1:] != hit[:-1])
+    for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
+        d = out[doc[a]]
+        d["start"].append(int(where[a] - starts[doc[a]]))
+        d["span"].append(b - a)
+    for k in met(order, doc, items.item[q], items.need[q], lo, hi, len(items.ids)).tolist():
+        out[k // len(items.ids)]["met"].append(items.ids[k % len(items.ids)])
+    if matches:
+        _longest(out, order, where, starts, items, q, lo, hi)
+    return out
+
+
+def _longest(out: list[dict], order: np.ndarray, where: np.ndarray, starts: np.ndarray, items: Items, q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+    """Adds the longest matches of each item with each document, from all pairs of equal positions."""
+    position, suffix = where[order[ragged(lo, hi - lo)]], np.repeat(q, hi - lo)
     doc = np.searchsorted(starts, position, side="right") - 1
     item, item_pos, doc_pos, need = items.item[suffix], items.place[suffix], position - starts[doc], items.need[suffix]
     by = np.lexsort((doc_pos, doc_pos - item_pos, item, doc))
@@ -152,21 +204,20 @@ def _shard(texts: list[bytes], items: Items) -> list[dict]:
         d["item_pos"].append(int(item_pos[k]))
         d["doc_pos"].append(int(doc_pos[k]))
         d["length"].append(n)
-    return out
 
 
-def _searcher(shared, window: int, shard_bytes: int):
-    @F.pandas_udf("n_words long, item array<string>, item_pos array<long>, doc_pos array<long>, length array<long>")
+def _searcher(shared, matches: bool, shard_bytes: int):
+    @F.pandas_udf("n_words long, " + ", ".join(f"{c} array<{kind}>" for c, kind in ARRAYS.items()))
     def search_shards(texts: pd.Series) -> pd.DataFrame:
         items, out, held, n = shared.value, [], [], 0
         for text in texts:
             held.append(text or b"")
             n += len(held[-1])
             if n >= shard_bytes:
-                out += _shard(held, items)
+                out += _shard(held, items, matches)
                 held, n = [], 0
-        out += _shard(held, items) if held else []
-        return pd.DataFrame(out, columns=["n_words", "item", "item_pos", "doc_pos", "length"])
+        out += _shard(held, items, matches) if held else []
+        return pd.DataFrame(out, columns=["n_words", *ARRAYS])
 
     return search_shards
 
@@ -196,24 +247,26 @@ def blocks_of(items: DataFrame, window: int, id_col: str, text_col: str, block_b
         yield Items(sorted(((r[0], r[1]) for r in part(k).toLocalIterator()), key=str), window)
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, to: str = "found") -> DataFrame:
-    """``docs`` with a struct ``to``, which replaces a column of that name: n_words, n_hit, item_ids (distinct, sorted), matches (item_id, item_pos, doc_pos, length in words)."""
+def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, to: str = "found", matches: bool = True) -> DataFrame:
+    """``docs`` with a struct ``to``, which replaces a column of that name: n_words, n_hit, item_ids (distinct, sorted), spans (start and length in words of the
+    longest runs of words that one block of the benchmark covers), matches (item_id, item_pos, doc_pos, length in words; empty unless ``matches``)."""
     send = docs.sparkSession.sparkContext.broadcast
     blocks = [send(b) for b in blocks_of(items, window, item_id_col, item_text_col, block_bytes)]
     parts = [unused(docs, f"_{to}_{k}") for k in range(len(blocks))]
     text: Column = column(text_col).cast("binary")
-    got = docs.select("*", *(_searcher(b, window, shard_bytes)(text).alias(p) for b, p in zip(blocks, parts, strict=True)))
-    joined = {c: F.concat(*(F.col(f"{p}.{c}") for p in parts)) for c in ("item", "item_pos", "doc_pos", "length")}
+    got = docs.select("*", *(_searcher(b, matches, shard_bytes)(text).alias(p) for b, p in zip(blocks, parts, strict=True)))
+    joined = {c: F.concat(*(F.col(f"{p}.{c}") for p in parts)) for c in ARRAYS}
     return got.select(*(column(c) for c in docs.columns if c.lower() != to.lower()), F.struct(
         F.col(f"{parts[0]}.n_words").alias("n_words"),
-        F.pandas_udf(_covered, "long")(joined["doc_pos"], joined["length"]).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.filter(joined["item"], lambda x: x != ""))).alias("item_ids"),
-        F.arrays_zip(*(v.alias(k) for k, v in joined.items())).alias("matches"),
+        F.pandas_udf(_covered, "long")(joined["start"], joined["span"]).alias("n_hit"),
+        F.array_sort(F.array_distinct(F.filter(joined["met"], lambda x: x.isNotNull()))).alias("item_ids"),
+        F.arrays_zip(joined["start"].alias("start"), joined["span"].alias("length")).alias("spans"),
+        F.arrays_zip(*(joined[c].alias(c) for c in ("item", "item_pos", "doc_pos", "length"))).alias("matches"),
     ).alias(to))
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no window of any item occurs."""
     to = unused(docs, "decontam")
-    got = find(docs, items, to=to, **options)
+    got = find(docs, items, to=to, **({"matches": False} | options))
     return got.filter(F.col(to)["n_hit"] == 0).select(*columns(docs))
