@@ -1,5 +1,7 @@
 """Multi-scale slope voting, offline and prefix by prefix, in its prefix-sum form.
 
+Whole runs are relational, as told below; growing prefixes go through the kernel of ``prefixes``.
+
 For every window length w of a run over the first m points, the points fall into floor(m / w) blocks; a block's least-squares
 slope comes from running sums at its two ends, so a block costs the same at any length. Blocks vote by the robust z-score
 of their slope among the run's blocks of that length. Only blocks are rows: a vote is a step up where its block begins and
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rampwise.functions.numeric import finite, no_nan, robust_z
+from rampwise.operators.prefixes import prefix_scores
 from rampwise.operators.series import key_columns, named, series_key, unclashing
 
 DIRECTIONS = ("positive", "negative", "both")
@@ -112,7 +115,8 @@ def detect_realtime(signal: DataFrame, time: str, value: str = "signal", lowwl:
     unclashing(keys, "time_ind", "signal", "detected_offline", "detected_value_rt", "flag", "first_detection_time")
     series = _prepared(signal, order_by or [time], value, keys)
     sums = _sums(series)
-    burn = F.least(F.greatest(F.lit(2), F.lit(burn_in if burn_in is not None else max(100, 5 * int(lowwl)))), F.col("size")).cast("long")
+    first_block = burn_in if burn_in is not None else max(100, 5 * int(lowwl))
+    burn = F.least(F.greatest(F.lit(2), F.lit(first_block)), F.col("size")).cast("long")
     size = series.groupBy("key").agg(F.max("n").alias("size")).withColumn("burn", burn)
     run = lambda m: m.select("key", "m", F.lit(low).cast("long").alias("lo"), _highest(F.col("m"), low, highwl).alias("hi"))
     first = run(size.select("key", F.col("burn").alias("m")))
@@ -120,12 +124,7 @@ def detect_realtime(signal: DataFrame, time: str, value: str = "signal", lowwl:
     block = _on_points(block_votes(sums, first, mad_k, direction), first, block)
     k0 = max(1, int(smooth_k))
     early = block.select("key", "i", F.avg("score").over(Window.partitionBy("key").orderBy("i").rowsBetween(1 - k0, 0)).alias("rt"))
-    later = run(size.filter("burn < size").select("key", F.explode(F.sequence(F.col("burn") + 1, F.col("size"))).alias("m")))
-    votes = block_votes(sums, later, mad_k, direction)
-    km = F.least(F.lit(k0), F.col("m"))
-    shared = F.greatest(F.lit(0), F.col("st") + F.col("w") - F.greatest(F.col("m") - km, F.col("st")))
-    total = votes.select("key", "m", (F.col("vote") * shared).alias("x")).groupBy("key", "m").agg(F.sum("x").alias("x"))
-    late = later.join(total, ["key", "m"], "left").select("key", (F.col("m") - 1).alias("i"), (F.coalesce("x", F.lit(0)) / (km * (F.col("hi") - F.col("lo") + 1)).cast("double")).alias("rt"))
+    late = prefix_scores(series, F.least(F.greatest(F.lit(2), F.lit(first_block)), F.col("n")).cast("long"), low, highwl, mad_k, direction, k0)
     runs = _runs(series, low, highwl)
     offline = _on_points(block_votes(sums, runs, mad_k, direction), runs, series)
     got = series.join(early.unionByName(late), ["key", "i"], "left").join(offline, ["key", "i"])

@@ -252,6 +252,12 @@ def _realtime(**options):
     return run
 
 
+def rt_keyed(spark, sf_dir):
+    own = user_events(spark, sf_dir)
+    got = detect.detect_realtime(own, "event_id", "value", lowwl=4, mad_k=2, direction="both", burn_in=20, smooth_k=10, threshold=0.1, keys=["user_id"], order_by=["ts", "event_id"])
+    return got.select("user_id", F.col("time_ind").alias("event_id"), *((F.round(c, 10) + F.lit(0.0)).alias(c) for c in ("detected_offline", "detected_value_rt")), "flag", F.col("first_detection_time").alias("first_event"))
+
+
 def rt_overlay(spark, sf_dir):
     own = hourly(spark, sf_dir).select(F.col("t").alias("time_ind"), F.col("click_m").alias("detected_value_rt"), F.col("view_m").alias("signal"))
     got = overlay_frame(own)
@@ -279,7 +285,7 @@ def queries() -> dict:
         "eig64_trace": _eig64(None), "eig64_topk": _eig64(3), "arimax_two_regressors": arimax_two_regressors, "arimax_dependent": arimax_dependent, "kpss_keyed": kpss_keyed, "extract_names": extract_names, "scores_keyed": scores_keyed, "tidy_keyed": tidy_keyed,
         "arima_100": _arima((1, 0, 0)), "arima_011": _arima((0, 1, 1), long_ar=1), "arima_111_given": _arima((1, 1, 1), given=([0.3], [-0.6])), "arima_seasonal_diff": _arima((0, 0, 0), period=7, seasonal_order=(0, 1, 0)), "arima_seasonal_ar": _arima((0, 0, 0), period=7, seasonal_order=(1, 0, 0)),
         "votes_pos": _votes(), "votes_neg": _votes(direction="negative"), "votes_both": _votes(direction="both", mad_k=2), "votes_fixed_high": _votes(lowwl=4, highwl=40), "votes_daily": votes_daily, "votes_keyed": votes_keyed, "robust_z": robust_z_keyed,
-        "rt_flags": _realtime(), "rt_raw": _realtime(smooth_k=0, highwl=30, burn_in=200), "overlay_frame": rt_overlay, "csv_roundtrip": csv_roundtrip,
+        "rt_keyed": rt_keyed, "rt_flags": _realtime(), "rt_raw": _realtime(smooth_k=0, highwl=30, burn_in=200), "overlay_frame": rt_overlay, "csv_roundtrip": csv_roundtrip,
     }
 
 
@@ -451,6 +457,29 @@ def _rt_sql(low: int = 5, high: int | None = None, k: float = 3, burn_in: int =
     select time_ind, detected_offline, round(rt, 10) as detected_value_rt, rt >= {threshold} as flag, (select min(time_ind) from fin where rt >= {threshold}) as first_detection_time from fin"""
 
 
+def _rt_keyed_sql(low: int = 4, k: float = 2, burn_in: int = 20, smooth: int = 10, threshold: float = 0.1) -> str:
+    """The same for each user's events, both directions."""
+    hi = lambda m: f"greatest(5, {m} // 3, {low})"
+    offline = _votes_sql("y0 as (select user_id, ts, event_id, value as y from events)", "user_id", "ts, event_id", low=low, k=k, direction="both")
+    return offline + f""", nn as (select user_id, max(n) as n, least(greatest(2, {burn_in}), max(n)) as burn from y1 group by 1),
+    c as (select user_id, i, y - avg(y) over (partition by user_id) as y from y1),
+    ps as (select user_id, 0 as at, 0.0::double as s, 0.0::double as t, 0 as c from nn union all
+      select user_id, i + 1, sum(coalesce(y, 0)) over (partition by user_id order by i), sum(i * coalesce(y, 0)) over (partition by user_id order by i), sum(case when y is null then 1 else 0 end) over (partition by user_id order by i) from c),
+    ms as (select user_id, burn, unnest(range(burn, n + 1)) as m from nn), wl as (select user_id, burn, m, unnest(range({low}, {hi('m')} + 1)) as w from ms), bl as (select user_id, burn, m, w, unnest(range(0, m // w)) as b from wl where w <= m),
+    bs as (select user_id, burn, m, w, (m % w) // 2 + w * b as st from bl),
+    sp as (select bs.user_id, burn, m, w, st, ((b.t - a.t) - (st + (w - 1) / 2.0::double) * (b.s - a.s)) / (w::double * (w::double * w - 1) / 12) as slope
+      from bs join ps a on a.user_id = bs.user_id and a.at = st join ps b on b.user_id = bs.user_id and b.at = st + w where a.c = b.c),
+    pm as (select user_id, m, w, median(slope) as med from sp group by 1, 2, 3), pa as (select user_id, m, w, median(abs(slope - med)) as d from sp join pm using (user_id, m, w) group by 1, 2, 3),
+    hz as (select user_id, burn, m, w, st, (slope - med) / case when d > 0 then d else 1e-8 end as z from sp join pm using (user_id, m, w) join pa using (user_id, m, w)),
+    hit as (select *, case when z > {k} then 1 else -1 end as vote from hz where abs(z) > {k}),
+    late as (select user_id, m - 1 as i, sum(vote * greatest(0, st + w - greatest(m - least({smooth}, m), st)))::double / (least({smooth}, m) * ({hi('m')} - {low} + 1)) as rt from hit where m > burn group by user_id, m),
+    raw0 as (select user_id, i, sum(vote)::double / ({hi('burn')} - {low} + 1) as r from (select user_id, unnest(range(st, st + w)) as i, burn, vote from hit where m = burn) group by user_id, i, burn),
+    early as (select user_id, i, avg(coalesce(r, 0)) over (partition by user_id order by i rows between {smooth - 1} preceding and current row) as rt from y1 left join raw0 using (user_id, i) join nn using (user_id) where i < burn),
+    fin as (select user_id, i, event_id, round(score, 10) as detected_offline, coalesce(e.rt, l.rt, 0) as rt from res left join early e using (user_id, i) left join late l using (user_id, i)),
+    fd as (select user_id, arg_min(event_id, i) as first_event from fin where rt >= {threshold} group by 1)
+    select user_id, event_id, detected_offline + 0 as detected_offline, round(rt, 10) + 0 as detected_value_rt, rt >= {threshold} as flag, first_event from fin left join fd using (user_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     r6 = lambda *cols: ", ".join(f"round({c}, 6) as {c}" for c in cols)
     votes = lambda **o: _votes_sql(_CLICK, **o) + " select t, round(score, 10) as score from res"
@@ -476,7 +505,7 @@ def oracle_sql() -> dict[str, str]:
         "votes_daily": _votes_sql(F2_SQL + ", y0 as (select t, price as y from f2)") + " select t, round(score, 10) as score from res",
         "votes_keyed": _votes_sql("y0 as (select user_id, ts, event_id, value as y from events)", "user_id", "ts, event_id", k=2) + " select user_id, event_id, round(score, 10) as score from res",
         "robust_z": "with m as (select user_id, median(value) as m from events group by 1), d as (select user_id, median(abs(value - m)) as d from events join m using (user_id) group by 1) select event_id, round((value - m) / case when d > 0 then d else 1e-8 end, 6) as z from events join m using (user_id) join d using (user_id)",
-        "rt_flags": _rt_sql(), "rt_raw": _rt_sql(high=30, burn_in=200, smooth=0),
+        "rt_keyed": _rt_keyed_sql(), "rt_flags": _rt_sql(), "rt_raw": _rt_sql(high=30, burn_in=200, smooth=0),
         "overlay_frame": f"with {F1_SQL}, a as (select coalesce(nullif((max(click_m) - min(click_m)) / nullif(max(view_m) - min(view_m), 0), 0), 1) as alpha from s) select t as x, round(click_m, 6) as score, round(view_m * alpha, 6) as scaled_signal, round(alpha, 6) as alpha from s, a",
         "csv_roundtrip": f"with {F1_SQL} select t, round(click_m, 6) as click_m, click_m > 50 as flag from s",
     }
