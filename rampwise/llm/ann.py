@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by balanced posting lists (after SPANN: Chen et al., 2021).
 
-Of equal vectors only the rows of the k + 1 smallest ids go on: they are equally far from any query, ties go by the smaller
-id, and only a query's own id is left out, so no other of them can be among the k nearest. Centroids are learned by balanced
+Of equal vectors only the k + 1 rows of the smallest ids go on: they are equally far from any query, ties go by the smaller
+id, and only a query's own row is left out, so no other of them can be among the k nearest. Centroids are learned by balanced
 k-means from the distinct vectors of a bounded sample (about ``SAMPLE`` vectors, by their hash; at most ``MOST_LISTS`` centroids, no two equal). Every
 vector goes to the list of its nearest centroid and, where it lies near a boundary, to those of further ones whose distance
 is within a ratio of the least. A query finds the centroids near it by a best-first search of a neighbour graph that is
@@ -15,8 +15,8 @@ are dealt out in blocks of bounded size, so that a list of any size takes bounde
 meets every block of its queries. Distances are Euclidean, of the original vectors in double precision.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite numbers take no part. A query's own
-row is left out by its id, with all rows that repeat the id; of rows that share another id the nearest counts. Equal
-distances go by the smaller id.
+row is one row with its id and its very vector; rows that repeat an id are rows of their own, as candidates (of that query too) and as
+queries. Equal distances go by the smaller id.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ COPIES, COPY_RATIO = 4, 1.15
 PROBES, PROBE_RATIO = 24, 1.12
 #: Vectors and queries of a block.
 BLOCK, QUERY_BLOCK = 8192, 1024
+#: Rows of (list, query) that leave a task at a time.
+PROBE_ROWS = 20_000
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -118,10 +120,19 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def fewest(own: DataFrame, k: int) -> DataFrame:
-    """The rows of the ``k + 1`` smallest ids of each vector. Each partition leaves out its own others before rows are shuffled."""
-    equal = Window.partitionBy("h", "v").orderBy("id")
-    own = own.withColumn("h", F.xxhash64("v")).withColumn("nth", F.dense_rank().over(equal))
-    return own.filter(F.col("nth") <= k + 1).select("id", "v")
+    """(row, id, v, nth): the ``k + 1`` rows of the smallest ids of each vector, numbered among the rows of equal id and vector. Each partition leaves out its own others before rows are shuffled."""
+    equal = Window.partitionBy("h", "v").orderBy("id", "row")
+    own = own.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("v")).withColumn("of_vector", F.row_number().over(equal))
+    return own.filter(F.col("of_vector") <= k + 1).select("row", "id", "v", F.row_number().over(Window.partitionBy("h", "v", "id").orderBy("row")).alias("nth"))
+
+
+def asking(queries: DataFrame, own: DataFrame) -> DataFrame:
+    """(query, id, v, own): queries with a number of each, and the row of ``own`` that is the query itself (-1 if none is)."""
+    there = own.select(F.col("id").alias("i"), F.xxhash64("v").alias("h"), F.col("v").alias("w"), F.col("nth").alias("n"), F.col("row").alias("own"))
+    asked = queries.withColumn("query", F.monotonically_increasing_id()).withColumn("hq", F.xxhash64("v"))
+    asked = asked.withColumn("nth", F.row_number().over(Window.partitionBy("hq", "v", "id").orderBy("query")))
+    same = (F.col("i") == F.col("id")) & (F.col("h") == F.col("hq")) & (F.col("w") == F.col("v")) & (F.col("n") == F.col("nth"))
+    return asked.join(there, same, "left").select("query", "id", F.coalesce("own", F.lit(-1).cast("long")).alias("own"), "v")
 
 
 def _posted(shared):
@@ -134,7 +145,7 @@ def _posted(shared):
                 near = np.argpartition(d, min(COPIES, d.shape[1]) - 1, axis=1)[:, :COPIES]
                 own = np.take_along_axis(d, near, axis=1)
                 row, col = np.nonzero(own <= own.min(axis=1)[:, None] * COPY_RATIO)
-                yield pd.DataFrame({"list": near[row, col], "id": pdf["id"].to_numpy()[i + row], "v": list(x[i + row])})
+                yield pd.DataFrame({"list": near[row, col], "row": pdf["row"].to_numpy()[i + row], "id": pdf["id"].to_numpy()[i + row], "v": list(x[i + row])})
 
     return run
 
@@ -143,8 +154,9 @@ def _probed(shared, sizes: np.ndarray, k: int):
     def run(frames):
         graph = shared.value
         for pdf in frames:
-            rows = []
-            for i, v in zip(pdf["id"], pdf["v"], strict=True):
+            others = pdf.drop(columns="v")
+            rows, names = [], ["list", *others.columns, "q"]
+            for own, v in zip(others.itertuples(index=False), pdf["v"], strict=True):
                 near, d = graph.nearest(np.asarray(v), PROBES, PROBE_RATIO)
                 if sizes[near].sum() < 8 * (k + 1) and len(near) < len(sizes):
                     d = np.sqrt(((graph.c - np.asarray(v)) ** 2).sum(axis=1))
@@ -152,8 +164,11 @@ def _probed(shared, sizes: np.ndarray, k: int):
                     held = np.cumsum(sizes[near])
                     near = near[: max(PROBES, int(np.searchsorted(held, 8 * (k + 1))) + 1)]
                     d = d[near]
-                rows += [(int(c), i, v) for c in near]
-            yield pd.DataFrame(rows, columns=["list", "query", "q"])
+                rows += [(int(c), *own, v) for c in near]
+                if len(rows) >= PROBE_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -162,16 +177,16 @@ def _compared(k: int):
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(vectors):
-            x, ids = np.stack(vectors["v"].to_numpy()), vectors["id"].to_numpy()
+            x, ids, rows = np.stack(vectors["v"].to_numpy()), vectors["id"].to_numpy(), vectors["row"].to_numpy()
             rough = np.stack(queries["q"].to_numpy())
-            for query, q, d in zip(queries["query"], rough, distances(rough, x), strict=True):
-                d[ids == query] = np.inf
+            for query, asker, own, q, d in zip(queries["query"], queries["asker"], queries["own"], rough, distances(rough, x), strict=True):
+                d[rows == own] = np.inf
                 limit = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
                 near = np.flatnonzero(d <= limit * (1 + 1e-9) + 1e-9) if np.isfinite(limit) else np.flatnonzero(np.isfinite(d))
                 exact = np.sqrt(((x[near] - q) ** 2).sum(axis=1))
-                best = np.lexsort((ids[near], exact))[:k]
-                out += zip([query] * len(best), ids[near[best]].tolist(), exact[best].tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query", "id", "score"])
+                best = np.lexsort((rows[near], ids[near], exact))[:k]
+                out += zip([query] * len(best), [asker] * len(best), rows[near[best]].tolist(), ids[near[best]].tolist(), exact[best].tolist(), strict=True)
+        return pd.DataFrame(out, columns=["query", "asker", "row", "id", "score"])
 
     return run
 
@@ -188,16 +203,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     x = np.unique(np.array([r[0] for r in sample.collect()]), axis=0)
     graph = Graph(balanced_centroids(x, int(min(max(1, n // LIST_SIZE), MOST_LISTS, max(1, len(x) // 4)))))
     shared = spark.sparkContext.broadcast(graph)
-    posted = written(own.mapInPandas(_posted(shared), "list int, id long, v array<double>"), "ann-lists")
+    posted = written(own.mapInPandas(_posted(shared), "list int, row long, id long, v array<double>"), "ann-lists")
     count = dict(posted.groupBy("list").count().collect())
     sizes = np.array([count.get(i, 0) for i in range(len(graph.c))])
-    asked = usable(queries, id_col, vector_col).filter(F.size("v") == x.shape[1])
-    probed = written(asked.mapInPandas(_probed(shared, sizes, k), "list int, query long, q array<double>"), "ann-probes")
+    asked = written(asking(usable(queries, id_col, vector_col).filter(F.size("v") == x.shape[1]), own), "ann-queries")
+    probed = written(asked.mapInPandas(_probed(shared, sizes, k), "list int, query long, id long, own long, q array<double>"), "ann-probes")
     wanted = dict(probed.groupBy("list").count().collect())
     blocks = F.broadcast(spark.createDataFrame([(i, -(-count[i] // BLOCK), -(-wanted[i] // QUERY_BLOCK)) for i in count if i in wanted], "list int, parts long, query_parts long"))
-    left = probed.join(blocks, "list").select("list", F.pmod(F.xxhash64("query"), "query_parts").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("vb"), "query", "q")
-    right = posted.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_parts") - 1)).alias("qb"), F.pmod(F.xxhash64("id"), "parts").alias("vb"), "id", "v")
+    left = probed.join(blocks, "list").select("list", F.pmod(F.xxhash64("query"), "query_parts").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("vb"), "query", F.col("id").alias("asker"), "own", "q")
+    right = posted.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_parts") - 1)).alias("qb"), F.pmod(F.xxhash64("row"), "parts").alias("vb"), "row", "id", "v")
     key = ["list", "qb", "vb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_compared(k), "query long, id long, score double").groupBy("query", "id").agg(F.min("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "id"))).filter(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_compared(k), "query long, asker long, row long, id long, score double").groupBy("query", "asker", "row", "id").agg(F.min("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "id", "row"))).filter(F.col("rank") <= k)
+    return ranked.select(F.col("asker").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

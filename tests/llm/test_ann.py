@@ -43,3 +43,18 @@ def test_lists_with_few_vectors():
     sizes[150:] = 10
     out = pd.concat(ann._probed(shared, sizes, 10)([pd.DataFrame({"id": [1], "v": [random.normal(size=4)]})]))
     assert sizes[out["list"]].sum() >= 88
+
+
+def test_rows_that_repeat_an_id_are_rows_of_their_own(spark):
+    rows = [(1, [2.0, 0.0]), (1, [3.0, 0.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [5.0, 0.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(vectors, vectors.filter("vec_id % 100 = 0"), k=5).collect())
+    want = []
+    for n, (i, v) in enumerate(rows):
+        if i == 100:
+            near = sorted((abs(w[0] - v[0]), j) for k, (j, w) in enumerate(rows) if k != n)[:5]
+            want += [(100, rank, j, d) for rank, (d, j) in enumerate(near, 1)]
+    assert got == sorted(want)
+    # a query that isn't a row of the table leaves none out
+    other = spark.createDataFrame([(7, [1.5, 0.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in sorted(ann.search(vectors, other, k=3).collect(), key=lambda r: r.rank)] == [1, 7, 7]
