@@ -6,12 +6,16 @@ linear layer and a softmax. The model is learned from a bounded sample of labell
 language: each with its whole text and with a few short pieces of it. A held-back part of the sample sets the temperature
 of the softmax and the score below which a prediction is rejected (``accepted`` is false).
 
+Texts of any length are looked up by stripes that overlap, in training and prediction alike, so that their n-grams don't depend on where a stripe ends.
+
 Prediction sends the model (buckets x languages numbers) to all executors and reads every whole text once, without a
 shuffle. Null texts and texts without a letter get `und`, score 0, not accepted; so do all texts where nothing was learned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,23 +34,29 @@ STRIPE = 1 << 16
 _TO = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint32)
 
 
+def stripes(text: bytes) -> Iterator[np.ndarray]:
+    """The buckets of all n-grams of a text, with repetitions, by stripes of the bytes at which they begin: each stripe looks three bytes ahead, so that none is lost or made at a seam."""
+    for i in range(0, len(text) + 2, STRIPE):
+        own = text[max(0, i - 1) : i + STRIPE + 2]
+        b = np.full(min(len(text) + 2, i + STRIPE + 3) - i, 32, np.uint32)
+        at = 1 if i == 0 else 0
+        b[at : at + len(own)] = _TO[np.frombuffer(own, np.uint8)]
+        word, gram = b != 32, b
+        for n in (2, 3, 4):
+            size = min(len(b) - n + 1, STRIPE)
+            if size < 1:
+                break
+            gram = (gram[:size] << np.uint32(8)) | b[n - 1 : n - 1 + size]
+            if n == 2:
+                some = word[:size] | word[1 : size + 1]
+            else:  # what lies between the first and the last byte has to be of one word
+                some = word[1 : size + 1] if n == 3 else word[1 : size + 1] & word[2 : size + 2]
+            yield ((gram[some] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
+
+
 def subwords(text: bytes) -> np.ndarray:
     """The buckets of all n-grams of a text, with repetitions."""
-    b = np.empty(len(text) + 2, np.uint32)
-    b[0] = b[-1] = 32
-    b[1:-1] = _TO[np.frombuffer(text, np.uint8)]
-    word, out, gram = b != 32, [], b
-    for n in (2, 3, 4):
-        size = len(b) - n + 1
-        if size < 1:
-            break
-        gram = (gram[:size] << np.uint32(8)) | b[n - 1 :]
-        if n == 2:
-            some = word[:size] | word[1:]
-        else:  # what lies between the first and the last byte has to be of one word
-            some = word[1 : size + 1] if n == 3 else word[1 : size + 1] & word[2 : size + 2]
-        out.append(((gram[some] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS.bit_length() + 1))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+    return np.concatenate([np.zeros(0, np.uint32), *stripes(text)])
 
 
 def has_letter(text: bytes) -> bool:
@@ -125,8 +135,7 @@ class Model:
         if not self.langs or not text or not has_letter(text):
             return "und", 0.0, False
         total, n = np.zeros(len(self.langs)), 0
-        for i in range(0, len(text), STRIPE):  # so that a text of any length takes bounded memory
-            found = subwords(text[i : i + STRIPE])
+        for found in stripes(text):  # so that a text of any length takes bounded memory
             total += self.table[found].sum(axis=0, dtype=np.float64)
             n += len(found)
         p = softmax((total / max(n, 1) + self.bias) / self.temperature)
