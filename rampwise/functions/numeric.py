@@ -28,7 +28,11 @@ def to_double(name: str, kind: T.DataType) -> Column:
 
 
 def robust_z(df: DataFrame, x: str, by: list[str], to: str = "z") -> DataFrame:
-    """``df`` with ``to``: (x - median) / MAD within each group, exact and without the factor 1.4826; a MAD of zero counts as 1e-8. One exchange."""
+    """``df`` with ``to``: (x - median) / MAD within each group, exact and without the factor 1.4826; a MAD of zero counts as 1e-8. One exchange.
+
+    A group is one partition of a window; ``operators.spread`` has the form for groups of any size.
+    """
+    off, mad = (next(n for k in range(len(df.columns) + 1) if (n := f"_{c}{k}").lower() not in {d.lower() for d in df.columns} | {to.lower()}) for c in ("off", "mad"))
     over = Window.partitionBy(*by)
-    got = df.withColumn("_off", F.col(x) - F.median(x).over(over)).withColumn("_mad", F.median(F.abs("_off")).over(over))
-    return got.withColumn(to, F.col("_off") / F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(F.lit(1e-8))).drop("_off", "_mad")
+    got = df.withColumn(off, F.col(x) - F.median(x).over(over)).withColumn(mad, F.median(F.abs(off)).over(over))
+    return got.withColumn(to, F.col(off) / F.when(F.col(mad) > 0, F.col(mad)).otherwise(F.lit(1e-8))).drop(off, mad)

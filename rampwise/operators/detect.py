@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from rampwise.functions.numeric import finite, no_nan, robust_z
 from rampwise.operators.prefixes import prefix_scores
 from rampwise.operators.series import key_columns, named, series_key, unclashing
+from rampwise.operators.spread import PART, POS, ROW, SIZE, numbered, running_sums
+from rampwise.operators.spread import robust_z as spread_robust_z
+from rampwise.sources.scratch import written
 
 DIRECTIONS = ("positive", "negative", "both")
 
@@ -46,7 +49,16 @@ def _sums(series: DataFrame) -> DataFrame:
     return got.select("key", F.explode(F.when(F.col("i") == 0, F.array(zero, after)).otherwise(F.array(after))).alias("row")).select("key", "row.*")
 
 
-def block_votes(sums: DataFrame, runs: DataFrame, mad_k: float, direction: str) -> DataFrame:
+def _spread_sums(series: DataFrame) -> DataFrame:
+    """The same from a numbered series, in two passes over its ranges."""
+    y = F.when(finite(F.col("y")), F.col("y"))
+    mean = series.groupBy("key").agg(F.avg(y).alias("mean"))
+    own = series.join(mean, "key").select("key", PART, ROW, "i", F.coalesce(y - F.col("mean"), F.lit(0.0)).alias("y"), y.isNull().cast("long").alias("missing"))
+    got = running_sums(own, "key", {"s": F.col("y"), "t": F.col("i") * F.col("y"), "c": F.col("missing")}).select("key", (F.col("i") + 1).alias("at"), "s", "t", "c")
+    return got.unionByName(series.select("key").distinct().select("key", F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("s"), F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("c")))
+
+
+def block_votes(sums: DataFrame, runs: DataFrame, mad_k: float, direction: str, spread: bool = False) -> DataFrame:
     """(key, m, w, st, vote) of the blocks that vote, for runs (key, m, lo, hi)."""
     keys = KEY
     lengths = runs.filter("m >= 3").select(*keys, "m", F.explode(F.sequence("lo", F.greatest("lo", F.least("hi", "m")))).alias("w")).filter("w <= m")
@@ -57,15 +69,21 @@ def block_votes(sums: DataFrame, runs: DataFrame, mad_k: float, direction: str)
     w = F.col("w").cast("double")
     slope = ((F.col("t1") - F.col("t0")) - (F.col("st") + (w - 1) / 2) * (F.col("s1") - F.col("s0"))) / (w * (w * w - 1) / 12)
     own = own.select(*keys, "m", "w", "st", F.when(F.col("c1") == F.col("c0"), slope).alias("slope")).filter("slope is not null")
-    z = robust_z(own, "slope", [*keys, "m", "w"])
+    if spread:
+        z = spread_robust_z(written(own.select(F.struct(*keys, "m", "w").alias("run"), "st", "slope"), "slopes"), "run", "slope").select("run.*", "st", "z")
+    else:
+        z = robust_z(own, "slope", [*keys, "m", "w"])
     up, down = F.col("z") > float(mad_k), F.col("z") < -float(mad_k)
     vote = {"positive": F.when(up, 1), "negative": F.when(down, 1), "both": F.when(up, 1).when(down, -1)}[direction]
     return z.select(*keys, "m", "w", "st", vote.cast("long").alias("vote")).filter("vote is not null")
 
 
-def _prepared(signal: DataFrame, order_by: list[str], value: str, keys: list[str] | None) -> DataFrame:
-    """(key, i, n, y, row): position, size and value of each point, and its row."""
+def _prepared(signal: DataFrame, order_by: list[str], value: str, keys: list[str] | None, spread: bool = False) -> DataFrame:
+    """(key, i, n, y, row): position, size and value of each point, and its row; with ``spread`` also its range and number."""
     series = signal.select(series_key(keys), named(value).cast("double").alias("y"), *(named(c).alias(f"o{k}") for k, c in enumerate(order_by)), F.struct(*(named(c) for c in signal.columns)).alias("row"))
+    if spread:
+        got = numbered(series, "key", [f"o{k}" for k in range(len(order_by))])
+        return got.select("key", PART, ROW, (F.col(POS) - 1).alias("i"), F.col(SIZE).alias("n"), no_nan(F.col("y")).alias("y"), "row")
     own = Window.partitionBy("key")
     order = own.orderBy(*(f"o{k}" for k in range(len(order_by))))
     return series.select("key", (F.row_number().over(order).cast("long") - 1).alias("i"), F.count(F.lit(1)).over(own).alias("n"), no_nan(F.col("y")).alias("y"), "row")
@@ -86,23 +104,30 @@ def _runs(series: DataFrame, low: int, highwl) -> DataFrame:
     return m.select("key", "m", F.lit(low).cast("long").alias("lo"), high.alias("hi"))
 
 
-def _on_points(votes: DataFrame, runs: DataFrame, points: DataFrame) -> DataFrame:
+def _on_points(votes: DataFrame, runs: DataFrame, points: DataFrame, spread: bool = False) -> DataFrame:
     """(key, i, score) of ``points`` (key, i): the votes on each point over the number of lengths."""
     runs = runs.select("key", "m", (F.col("hi") - F.col("lo") + 1).alias("lengths"))
     step = lambda i, by: F.struct(i.alias("i"), by.alias("step"))
     steps = votes.select("key", F.explode(F.array(step(F.col("st"), F.col("vote")), step(F.col("st") + F.col("w"), -F.col("vote")))).alias("e")).groupBy("key", "e.i").agg(F.sum("e.step").alias("step"))
+    if spread:
+        every = points.select("key", PART, ROW, "i").join(steps, ["key", "i"], "left")
+        return running_sums(every, "key", {"total": F.coalesce("step", F.lit(0))}).join(runs, "key").select("key", "i", (F.col("total") / F.col("lengths")).alias("score"))
     every = points.select("key", "i").join(steps, ["key", "i"], "left").join(runs, "key")
     total = F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     return every.select("key", "i", (total / F.col("lengths")).alias("score"))
 
 
-def detect_asvotes(signal: DataFrame, order_by: list[str], value: str = "signal", lowwl: int = 5, highwl="auto", mad_k: float = 3, direction: str = "positive", keys: list[str] | None = None) -> DataFrame:
-    """``signal`` with ``score``: the mean vote over all window lengths, in [-1, 1]; 0 for series of fewer than three points."""
+def detect_asvotes(signal: DataFrame, order_by: list[str], value: str = "signal", lowwl: int = 5, highwl="auto", mad_k: float = 3, direction: str = "positive", keys: list[str] | None = None, spread: bool = False) -> DataFrame:
+    """``signal`` with ``score``: the mean vote over all window lengths, in [-1, 1]; 0 for series of fewer than three points.
+
+    ``spread`` is for very long series: sums and medians by ranges of rows, so that no task gets a whole series.
+    """
     low = _options(lowwl, highwl, direction)
     unclashing(signal.columns, "score")
-    series = _prepared(signal, order_by, value, keys)
+    series = _prepared(signal, order_by, value, keys, spread)
     runs = _runs(series, low, highwl)
-    got = series.join(_on_points(block_votes(_sums(series), runs, mad_k, direction), runs, series), ["key", "i"])
+    votes = block_votes(_spread_sums(series) if spread else _sums(series), runs, mad_k, direction, spread)
+    got = series.join(_on_points(votes, runs, series, spread), ["key", "i"])
     return got.select("row.*", "score")
 
 

@@ -98,9 +98,10 @@ def prepared(data: DataFrame, time: str, x_cols, keys: list[str] | None, order_b
     return data.select(series_key(keys), named(time).alias("time"), *order, *(to_double(c, kinds[c]).alias(f"x{i}") for i, c in enumerate(names)))
 
 
-def roll_svd(data: DataFrame, time: str, x_cols, window: int, step: int = 1, align: str = "end", type: str = "rolling", center: bool = True, scale_: bool = False, k: int | None = None, fast: bool = True, na_action: str = "omit_rows", cov_on_pairwise: bool = True, values_only: bool = True, seed: int | None = None, keys: list[str] | None = None, order_by: list[str] | None = None) -> DataFrame:
+def roll_svd(data: DataFrame, time: str, x_cols, window: int, step: int = 1, align: str = "end", type: str = "rolling", center: bool = True, scale_: bool = False, k: int | None = None, fast: bool = True, na_action: str = "omit_rows", cov_on_pairwise: bool = True, values_only: bool = True, seed: int | None = None, keys: list[str] | None = None, order_by: list[str] | None = None, spread: bool = False) -> DataFrame:
     """(keys, window_id, start, end, t_rep, n_w, d[, v]): eigenvalues of each window's covariance, largest first; NULL where it is skipped.
 
+    ``spread`` is for very long series: positions by ranges, windows by blocks of rows, whatever the number of columns, so that no task gets a whole series.
     ``center``, ``fast`` and ``seed`` don't change the result. ``scale_`` divides by the columns' standard deviations (1 where it is 0).
     """
     align, type = checked(window, step, align, type)
@@ -110,9 +111,9 @@ def roll_svd(data: DataFrame, time: str, x_cols, window: int, step: int = 1, ali
     unclashing(keys, "window_id", "start", "end", "t_rep", "n_w", "d", "v")
     x = prepared(data, time, x_cols, keys, order_by)
     cols = [c for c in x.columns if c.startswith("x")]
-    series = positioned(x, [c for c in x.columns if c.startswith("o")], ["key"])
+    series = positioned(x, [c for c in x.columns if c.startswith("o")], ["key"], spread)
     p, over = len(cols), frame(window, type, ["key"])
-    if p > 3:
+    if p > 3 or spread:
         own = spectra(series, cols, Block(p, window, step, type == "expanding", na_action, cov_on_pairwise, scale_, k, not values_only, fast))
         own = bounded(own.withColumn("window_id", window_number(window, step)), window, type, "pos")
         return timed(own, series, keys, align, values_only)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rampwise.functions.numeric import finite, to_double
+from rampwise.operators.spread import POS, SIZE, numbered
 
 POLICIES = ("omit_rows", "impute_mean", "pairwise_complete")
 
@@ -62,10 +63,17 @@ def extract_x(df: DataFrame, x_cols, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*(named(c) for c in keep), *(to_double(c, kinds[c]).alias(c) for c in names))
 
 
-def positioned(df: DataFrame, order_by: list[str], keys: list[str] | None = None) -> DataFrame:
-    """``df`` with ``pos`` (from 1) and ``n`` in each series; ``df`` has no columns of these names. One series is one partition of the window; many keys spread."""
+def positioned(df: DataFrame, order_by: list[str], keys: list[str] | None = None, spread: bool = False) -> DataFrame:
+    """``df`` with ``pos`` (from 1) and ``n`` in each series; ``df`` has no columns of these names.
+
+    One series is one partition of the window; many keys spread. With ``spread``, for very long series, rows are sorted by ranges and written once instead.
+    """
     if taken := {"pos", "n"} & {c.lower() for c in df.columns}:
         raise ValueError(f"positions would overwrite the columns {sorted(taken)}")
+    if spread:
+        own = df.select(series_key(keys).alias("_series"), F.struct(*map(named, df.columns)).alias("_values"), *(named(c).alias(f"_o{i}") for i, c in enumerate(order_by)))
+        own = numbered(own, "_series", [f"_o{i}" for i in range(len(order_by))])
+        return own.select(*(F.col("_values").getField(c).alias(c) for c in df.columns), F.col(POS).alias("pos"), F.col(SIZE).alias("n"))
     series = Window.partitionBy(*(map(named, keys) if keys else [F.lit(0)]))
     return df.withColumn("pos", F.row_number().over(series.orderBy(*map(named, order_by))).cast("long")).withColumn("n", F.count(F.lit(1)).over(series))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rampwise.functions.numeric import robust_z
-from rampwise.operators import arimax, detect, eigen, signals, windows
+from rampwise.operators import arimax, detect, eigen, signals, spread, windows
 from rampwise.operators.series import extract_x, na_handle, positioned
 from rampwise.plans.fixtures import F1_SQL, F2_SQL, F4_SQL, daily, hourly, read, user_events, vectors
 from rampwise.sources.scratch import shared_dir
@@ -240,6 +240,16 @@ def votes_keyed(spark, sf_dir):
     return got.select("user_id", "event_id", F.round("score", 10).alias("score"))
 
 
+def win_spread(spark, sf_dir):
+    return windows.roll_windows(positioned(hourly(spark, sf_dir), ["t"], spread=True), "t", W, 7).drop("idx")
+
+
+def robust_z_spread(spark, sf_dir):
+    """All prices of a line status are one group."""
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_extendedprice")
+    return spread.robust_z(items, "l_linestatus", "l_extendedprice").select("l_orderkey", "l_linenumber", (F.round("z", 6) + F.lit(0.0)).alias("z"))
+
+
 def robust_z_keyed(spark, sf_dir):
     return robust_z(user_events(spark, sf_dir), "value", ["user_id"]).select("event_id", F.round("z", 6).alias("z"))
 
@@ -285,6 +295,7 @@ def queries() -> dict:
         "eig64_trace": _eig64(None), "eig64_topk": _eig64(3), "arimax_two_regressors": arimax_two_regressors, "arimax_dependent": arimax_dependent, "kpss_keyed": kpss_keyed, "extract_names": extract_names, "scores_keyed": scores_keyed, "tidy_keyed": tidy_keyed,
         "arima_100": _arima((1, 0, 0)), "arima_011": _arima((0, 1, 1), long_ar=1), "arima_111_given": _arima((1, 1, 1), given=([0.3], [-0.6])), "arima_seasonal_diff": _arima((0, 0, 0), period=7, seasonal_order=(0, 1, 0)), "arima_seasonal_ar": _arima((0, 0, 0), period=7, seasonal_order=(1, 0, 0)),
         "votes_pos": _votes(), "votes_neg": _votes(direction="negative"), "votes_both": _votes(direction="both", mad_k=2), "votes_fixed_high": _votes(lowwl=4, highwl=40), "votes_daily": votes_daily, "votes_keyed": votes_keyed, "robust_z": robust_z_keyed,
+        "votes_spread": _votes(spread=True), "eig2_spread": _values(CLICK_VIEW, scale_=True, spread=True), "win_spread": win_spread, "robust_z_spread": robust_z_spread,
         "rt_keyed": rt_keyed, "rt_flags": _realtime(), "rt_raw": _realtime(smooth_k=0, highwl=30, burn_in=200), "overlay_frame": rt_overlay, "csv_roundtrip": csv_roundtrip,
     }
 
@@ -364,6 +375,8 @@ f as (select l_returnflag, t, y, my + (zy * xx - xy * zx) / (zz * xx - zx * zx)
 select l_returnflag, t as time, round(fitted, 6) as fitted, round(y - fitted, 6) as residual from f"""
 
 
+ROBUST_ALL = """with m as (select l_linestatus, median(l_extendedprice) as m from lineitem group by 1), d as (select l_linestatus, median(abs(l_extendedprice - m)) as d from lineitem join m using (l_linestatus) group by 1)
+select l_orderkey, l_linenumber, round((l_extendedprice - m) / case when d > 0 then d else 1e-8 end, 6) + 0 as z from lineitem join m using (l_linestatus) join d using (l_linestatus)"""
 #: 64 columns: each one's variance, and the squares of all pairs' covariances, window by window.
 EIG64 = """with s as (select vec_id, row_number() over (order by vec_id) as rn, embedding as e from embeddings),
 w as (select (rn - 128) // 32 + 1 as window_id, rn - 127 as start, rn as "end", vec_id as t_rep from s where rn >= 128 and (rn - 128) % 32 = 0),
@@ -505,6 +518,7 @@ def oracle_sql() -> dict[str, str]:
         "votes_daily": _votes_sql(F2_SQL + ", y0 as (select t, price as y from f2)") + " select t, round(score, 10) as score from res",
         "votes_keyed": _votes_sql("y0 as (select user_id, ts, event_id, value as y from events)", "user_id", "ts, event_id", k=2) + " select user_id, event_id, round(score, 10) as score from res",
         "robust_z": "with m as (select user_id, median(value) as m from events group by 1), d as (select user_id, median(abs(value - m)) as d from events join m using (user_id) group by 1) select event_id, round((value - m) / case when d > 0 then d else 1e-8 end, 6) as z from events join m using (user_id) join d using (user_id)",
+        "votes_spread": votes(), "eig2_spread": _values_sql(scale=True), "win_spread": _windows_sql(step=7), "robust_z_spread": ROBUST_ALL,
         "rt_keyed": _rt_keyed_sql(), "rt_flags": _rt_sql(), "rt_raw": _rt_sql(high=30, burn_in=200, smooth=0),
         "overlay_frame": f"with {F1_SQL}, a as (select coalesce(nullif((max(click_m) - min(click_m)) / nullif(max(view_m) - min(view_m), 0), 0), 1) as alpha from s) select t as x, round(click_m, 6) as score, round(view_m * alpha, 6) as scaled_signal, round(alpha, 6) as alpha from s, a",
         "csv_roundtrip": f"with {F1_SQL} select t, round(click_m, 6) as click_m, click_m > 50 as flag from s",
