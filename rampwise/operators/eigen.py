@@ -1,7 +1,8 @@
 """Rolling covariance matrices and their eigenvalues, loadings and scores.
 
 Up to three columns, all covariances of a window are window aggregates over one frame (one exchange, one sort) and eigenvalues are
-closed forms in SQL. More columns go through the running sums of ``moments``, by blocks of rows. Eigenvectors are made unique by a
+closed forms in SQL. More columns go through the running sums of ``moments``, by blocks of rows; so do windows of more than ``FRAME_ROWS`` rows,
+since a sliding frame is added up anew for each row and running sums cost the same for any window. Eigenvectors are made unique by a
 sign rule: the entry of largest size is positive (the first of equals).
 """
 
@@ -20,6 +21,10 @@ from rampwise.operators.series import POLICIES, key_columns, named, positioned,
 from rampwise.operators.windows import bounded, checked, ends, frame, window_number
 
 
+#: The rows of the largest sliding frame that is left to window aggregates.
+FRAME_ROWS = 256
+
+
 def covariances(series: DataFrame, cols: list[str], over, na_action: str = "omit_rows", cov_on_pairwise: bool = True) -> tuple[dict, dict, Column]:
     """Covariance of each pair i <= j, scale of each column, and the number of rows, as window columns; NULL where the window is skipped."""
     x = {c: F.col(c) for c in cols}
@@ -113,7 +118,7 @@ def roll_svd(data: DataFrame, time: str, x_cols, window: int, step: int = 1, ali
     cols = [c for c in x.columns if c.startswith("x")]
     series = positioned(x, [c for c in x.columns if c.startswith("o")], ["key"], spread)
     p, over = len(cols), frame(window, type, ["key"])
-    if p > 3 or spread:
+    if p > 3 or spread or (type == "rolling" and window > FRAME_ROWS):
         own = spectra(series, cols, Block(p, window, step, type == "expanding", na_action, cov_on_pairwise, scale_, k, not values_only, fast))
         own = bounded(own.withColumn("window_id", window_number(window, step)), window, type, "pos")
         return timed(own, series, keys, align, values_only)

@@ -10,7 +10,7 @@ from rampwise.operators import arimax, detect, eigen, signals, spread, windows
 from rampwise.operators.series import extract_x, na_handle, positioned
 from rampwise.plans.fixtures import F1_SQL, F2_SQL, F4_SQL, daily, hourly, read, user_events, vectors
 from rampwise.sources.scratch import shared_dir
-from rampwise.sources.sinks import overlay_frame, write_rt_csv
+from rampwise.sources.sinks import overlay_frame, overlay_pixels, write_rt_csv
 
 CLICK_VIEW = ["click_m", "view_m"]
 W = 48
@@ -274,6 +274,12 @@ def rt_overlay(spark, sf_dir):
     return got.select("x", F.round("score", 6).alias("score"), F.round("scaled_signal", 6).alias("scaled_signal"), F.round("alpha", 6).alias("alpha"))
 
 
+def rt_pixels(spark, sf_dir):
+    own = hourly(spark, sf_dir).select(F.col("t").alias("time_ind"), F.col("click_m").alias("detected_value_rt"), F.col("view_m").alias("signal"))
+    got = overlay_pixels(own, 50)
+    return got.select("pixel", "n", "x_first", "x_last", *(F.round(c, 6).alias(c) for c in got.columns if c.startswith(("score", "scaled"))))
+
+
 def csv_roundtrip(spark, sf_dir):
     import uuid
 
@@ -296,7 +302,7 @@ def queries() -> dict:
         "arima_100": _arima((1, 0, 0)), "arima_011": _arima((0, 1, 1), long_ar=1), "arima_111_given": _arima((1, 1, 1), given=([0.3], [-0.6])), "arima_seasonal_diff": _arima((0, 0, 0), period=7, seasonal_order=(0, 1, 0)), "arima_seasonal_ar": _arima((0, 0, 0), period=7, seasonal_order=(1, 0, 0)),
         "votes_pos": _votes(), "votes_neg": _votes(direction="negative"), "votes_both": _votes(direction="both", mad_k=2), "votes_fixed_high": _votes(lowwl=4, highwl=40), "votes_daily": votes_daily, "votes_keyed": votes_keyed, "robust_z": robust_z_keyed,
         "votes_spread": _votes(spread=True), "eig2_spread": _values(CLICK_VIEW, scale_=True, spread=True), "win_spread": win_spread, "robust_z_spread": robust_z_spread,
-        "rt_keyed": rt_keyed, "rt_flags": _realtime(), "rt_raw": _realtime(smooth_k=0, highwl=30, burn_in=200), "overlay_frame": rt_overlay, "csv_roundtrip": csv_roundtrip,
+        "rt_keyed": rt_keyed, "rt_flags": _realtime(), "rt_raw": _realtime(smooth_k=0, highwl=30, burn_in=200), "overlay_frame": rt_overlay, "overlay_pixels": rt_pixels, "eig2_long_window": _values(CLICK_VIEW, window=300, scale_=True), "csv_roundtrip": csv_roundtrip,
     }
 
 
@@ -375,6 +381,9 @@ f as (select l_returnflag, t, y, my + (zy * xx - xy * zx) / (zz * xx - zx * zx)
 select l_returnflag, t as time, round(fitted, 6) as fitted, round(y - fitted, 6) as residual from f"""
 
 
+PIXELS = f"""with {F1_SQL}, a as (select coalesce(nullif((max(click_m) - min(click_m)) / nullif(max(view_m) - min(view_m), 0), 0), 1) as alpha, min(epoch_us(t)) as lo, max(epoch_us(t)) as hi from s),
+p as (select t, click_m as score, view_m * alpha as scaled, cast(least(49, floor((epoch_us(t) - lo)::double / (hi - lo)::double * 50)) as bigint) as pixel from s, a)
+select pixel, count(*) as n, min(t) as x_first, max(t) as x_last, {', '.join(f"round(arg_min({v}, t) filter ({v} is not null), 6) as {c}_first, round(min({v}), 6) as {c}_lo, round(max({v}), 6) as {c}_hi, round(arg_max({v}, t) filter ({v} is not null), 6) as {c}_last" for v, c in (("score", "score"), ("scaled", "scaled_signal")))} from p group by 1"""
 ROBUST_ALL = """with m as (select l_linestatus, median(l_extendedprice) as m from lineitem group by 1), d as (select l_linestatus, median(abs(l_extendedprice - m)) as d from lineitem join m using (l_linestatus) group by 1)
 select l_orderkey, l_linenumber, round((l_extendedprice - m) / case when d > 0 then d else 1e-8 end, 6) + 0 as z from lineitem join m using (l_linestatus) join d using (l_linestatus)"""
 #: 64 columns: each one's variance, and the squares of all pairs' covariances, window by window.
@@ -521,5 +530,6 @@ def oracle_sql() -> dict[str, str]:
         "votes_spread": votes(), "eig2_spread": _values_sql(scale=True), "win_spread": _windows_sql(step=7), "robust_z_spread": ROBUST_ALL,
         "rt_keyed": _rt_keyed_sql(), "rt_flags": _rt_sql(), "rt_raw": _rt_sql(high=30, burn_in=200, smooth=0),
         "overlay_frame": f"with {F1_SQL}, a as (select coalesce(nullif((max(click_m) - min(click_m)) / nullif(max(view_m) - min(view_m), 0), 0), 1) as alpha from s) select t as x, round(click_m, 6) as score, round(view_m * alpha, 6) as scaled_signal, round(alpha, 6) as alpha from s, a",
+        "overlay_pixels": PIXELS, "eig2_long_window": _values_sql(scale=True).replace(f"{W - 1} preceding", "299 preceding").replace(f"rn >= {W}", "rn >= 300").replace(f"(rn - {W})", "(rn - 300)"),
         "csv_roundtrip": f"with {F1_SQL} select t, round(click_m, 6) as click_m, click_m > 50 as flag from s",
     }
