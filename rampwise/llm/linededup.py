@@ -11,7 +11,9 @@ runs of at least ``min_words`` words that begin or end at one of its lines, so t
 interval each way per line, found in one pass over each document, and no suffix has to be ranked by more lines. All copies
 of such a run but the first (by doc_id, text hash, line) are deleted, and blank lines between two deleted lines.
 
-Lines are cut at line feeds and compared byte by byte; blank lines don't count as lines of a run. Null and empty texts are
+Copies may overlap, as in a document that repeats a line over and over: each but the first is a later copy, and all its lines go, also those that it
+shares with the first; of ten equal lines of five words one is left. Lines are cut at line feeds and named by 64-bit hashes, and a run is repeated only if the names of all its
+lines are, so that two different lines of equal hash matter only where whole runs of ``min_words`` words agree around them. Blank lines don't count as lines of a run. Null and empty texts are
 returned as they are. A document of which only blank lines remain is reported as emptied. Rows that repeat in id and text
 share their fate. Null ids come first in the order. Runs are compared by their ranks, number of lines and of words.
 """

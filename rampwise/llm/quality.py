@@ -3,8 +3,8 @@
 A document is a bag of passages (``PASSAGE`` bytes each). Every passage is encoded: hashed byte trigrams and a few shares
 of character classes, through one layer. Learned gated attention weights add the passages up to one representation of the
 document, which a logistic unit scores; only the documents' labels are needed. The model is learned with Adam on a bounded
-sample of labelled rows (``SAMPLE``), from all their passages. Of an id with several labels the smallest counts; of an
-id with several texts each is a bag.
+sample of labelled rows (``SAMPLE`` rows and ``SAMPLE_BYTES`` bytes of text at most), from all their passages. Of an id with several labels the smallest counts; of an
+id with several texts each is a bag, rows that repeat are one.
 
 Scoring sends the model to all executors (its size is fixed) and reads every whole text once, all passages of it, without
 a shuffle. Null and empty texts are scored as one empty passage. Without labelled rows every score is 0.5.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rampwise.llm.common import column
@@ -23,6 +23,8 @@ PASSAGE = 1024
 HASHED, HIDDEN, GATE = 1024, 24, 12
 #: The most labelled rows that the model is learned from.
 SAMPLE = 4000
+#: The most bytes of text that the model is learned from.
+SAMPLE_BYTES = 64 << 20
 EPOCHS, BATCH, RATE = 25, 32, 0.01
 #: Passages encoded at a time.
 STRIPE = 512
@@ -140,12 +142,16 @@ def _bags(frames):
         yield pd.DataFrame({"seed": pdf["seed"], "y": pdf["y"], "x": out})
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", usable: Column | None = None) -> Model:
-    """The model of at most ``sample`` labelled rows, chosen by the hash of their id among those that are ``usable`` (a condition on labels)."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", usable: Column | None = None, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """The model of at most ``sample`` labelled rows, chosen by the hash of their id among those that are ``usable`` (a condition on labels), in that order as far as ``sample_bytes`` go."""
     own = labels if usable is None else labels.filter(usable)
     own = own.select(column(id_col).cast("long").alias("id"), column(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
     chosen = own.groupBy("id").agg(F.min("y").alias("y")).select("id", "y", F.abs(F.xxhash64("id")).alias("seed")).orderBy("seed", "id").limit(sample)
-    texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "id").select("seed", "y", "text")
+    texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "id").select("seed", "y", "text", F.xxhash64("text").alias("hash"))
+    sizes = texts.select("seed", "hash", F.coalesce(F.length("text"), F.lit(0)).alias("n")).distinct().orderBy("seed", "hash").limit(sample)
+    upto = F.sum("n").over(Window.orderBy("seed", "hash").rowsBetween(Window.unboundedPreceding, 0))  # of ``sample`` rows at most
+    kept = sizes.withColumn("upto", upto).filter(F.col("upto") <= sample_bytes).select("seed", "hash")
+    texts = texts.join(F.broadcast(kept), ["seed", "hash"]).dropDuplicates(["seed", "hash"]).select("seed", "y", "text")
     rows = sorted((r[0], r[1], bytes(r[2])) for r in texts.mapInPandas(_bags, "seed long, y int, x binary").collect())
     model = Model()
     return model.train([(np.frombuffer(x, np.float16).reshape(-1, WIDTH), y) for _, y, x in rows]) if rows else model
