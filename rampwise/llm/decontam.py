@@ -9,7 +9,8 @@ equal positions are listed and those that continue each other on the same diagon
 document; in texts that repeat a word over and over these are as many as the product of the lengths.
 
 Only runs of words that all occur in the benchmark, as long as its shortest window, enter the suffix array: no window can
-lie elsewhere. The benchmark is searched in blocks of bounded size (``block_bytes``), each sent to all executors.
+lie elsewhere. The benchmark is searched in blocks of bounded size (``block_bytes``), one after another: each is sent to all executors, its findings are written under
+the digests of the texts that it hits, and it is taken back before the next, so that no worker holds more than one. A benchmark of one block needs no table in between.
 
 Null, empty and wordless texts have no words and no matches; items without words never match; items whose id is null
 match words but aren't listed; repeated rows are treated each for itself; items that repeat an id count once.
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampwise.llm.common import column, columns, ragged, unused
+from rampwise.llm.common import column, columns, ragged, unused, written
 
 WINDOW = 10
 #: Documents of about so many bytes of text share a suffix array.
@@ -237,27 +238,52 @@ def _covered(start: pd.Series, length: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def blocks_of(items: DataFrame, window: int, id_col: str, text_col: str, block_bytes: int) -> Iterator[Items]:
-    """The benchmark in blocks of about ``block_bytes`` of text, one after another: the driver holds one at a time."""
+def blocks_of(items: DataFrame, window: int, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[Items]]:
+    """The number of blocks of about ``block_bytes`` of benchmark text, and the blocks, one after another: the driver holds one at a time."""
     own = items.select(column(id_col).alias("i"), column(text_col).cast("binary").alias("t"))
     total = own.agg(F.sum(F.length("t"))).head()[0] or 0
     n = 1 + total // block_bytes
     part = lambda k: own if n == 1 else own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-    for k in range(n):
-        yield Items(sorted(((r[0], r[1]) for r in part(k).toLocalIterator()), key=str), window)
+    return n, (Items(sorted(((r[0], r[1]) for r in part(k).toLocalIterator()), key=str), window) for k in range(n))
+
+
+def _n_words(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(words_of(t or b"")) for t in texts], dtype="int64")
+
+
+def _by_blocks(docs: DataFrame, blocks: Iterator[Items], text: Column, matches: bool, shard_bytes: int) -> DataFrame:
+    """(key, arrays) of all texts with a hit, ``key`` their SHA-256: what is found depends on the text alone.
+
+    Each block is sent, searched, its findings are written, and it is taken back from the executors before the next.
+    """
+    spark, found = docs.sparkSession, None
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
+        own = docs.select(text.alias("text")).select(F.sha2("text", 256).alias("key"), _searcher(shared, matches, shard_bytes)(F.col("text")).alias("f"))
+        here = written(own.filter(F.size("f.start") > 0).select("key", *(F.col(f"f.{c}").alias(c) for c in ARRAYS)).dropDuplicates(["key"]), "decontam-block")
+        shared.destroy()
+        found = here if found is None else found.union(here)
+    return written(found.groupBy("key").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ARRAYS)), "decontam-found")
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, to: str = "found", matches: bool = True) -> DataFrame:
     """``docs`` with a struct ``to``, which replaces a column of that name: n_words, n_hit, item_ids (distinct, sorted), spans (start and length in words of the
     longest runs of words that one block of the benchmark covers), matches (item_id, item_pos, doc_pos, length in words; empty unless ``matches``)."""
-    send = docs.sparkSession.sparkContext.broadcast
-    blocks = [send(b) for b in blocks_of(items, window, item_id_col, item_text_col, block_bytes)]
-    parts = [unused(docs, f"_{to}_{k}") for k in range(len(blocks))]
     text: Column = column(text_col).cast("binary")
-    got = docs.select("*", *(_searcher(b, matches, shard_bytes)(text).alias(p) for b, p in zip(blocks, parts, strict=True)))
-    joined = {c: F.concat(*(F.col(f"{p}.{c}") for p in parts)) for c in ARRAYS}
+    n, blocks = blocks_of(items, window, item_id_col, item_text_col, block_bytes)
+    part = unused(docs, f"_{to}")
+    if n == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(next(blocks))
+        got = docs.select("*", _searcher(shared, matches, shard_bytes)(text).alias(part))
+    else:
+        found, key = _by_blocks(docs, blocks, text, matches, shard_bytes), unused(docs, f"_{to}_key")
+        none = {c: F.array().cast(f"array<{kind}>") for c, kind in ARRAYS.items()}
+        found = found.select(F.col("key").alias(key), F.struct(*ARRAYS).alias(part))
+        own = docs.select("*", F.sha2(text, 256).alias(f"{key}_own"), F.pandas_udf(_n_words, "long")(text).alias(f"{part}_n")).join(found, F.col(f"{key}_own") == F.col(key), "left")
+        got = own.withColumn(part, F.struct(F.col(f"{part}_n").alias("n_words"), *(F.coalesce(F.col(part)[c], none[c]).alias(c) for c in ARRAYS)))
+    joined = {c: F.col(part)[c] for c in ARRAYS}
     return got.select(*(column(c) for c in docs.columns if c.lower() != to.lower()), F.struct(
-        F.col(f"{parts[0]}.n_words").alias("n_words"),
+        F.col(part)["n_words"].alias("n_words"),
         F.pandas_udf(_covered, "long")(joined["start"], joined["span"]).alias("n_hit"),
         F.array_sort(F.array_distinct(F.filter(joined["met"], lambda x: x.isNotNull()))).alias("item_ids"),
         F.arrays_zip(joined["start"].alias("start"), joined["span"].alias("length")).alias("spans"),
