@@ -5,7 +5,7 @@ regressors the later ones have no effect), and what is left gets an ARMA part (`
 whole series in one task but the order of its rows and its lags. Orders that aren't given are searched: the order of
 differencing by the KPSS test on the residuals of the regression, p and q by AIC.
 
-Lags of the seasonal part are further lags of the ARMA part (s, 2s, ..), not products of polynomials. Columns may have any names, and keys may be NULL.
+The seasonal part may be searched as well, its order of differencing may not. Lags of the seasonal part are further lags of the ARMA part (s, 2s, ..), not products of polynomials. Columns may have any names, and keys may be NULL.
 A regressor that doesn't vary has no effect.
 """
 
@@ -116,12 +116,12 @@ def differences_needed(rows: DataFrame, most: int) -> DataFrame:
     return (out if out is not None else rows.select("by").distinct()).select("by", d.alias("d"))
 
 
-def arimax_residuals(data: DataFrame, time: str, y_cols, xreg_cols=None, order: tuple[int, int, int] | None = None, keys: list[str] | None = None, seasonal: bool = True, stepwise: bool = True, approximation: bool = False, period: int = 1, seasonal_order: tuple[int, int, int] = (0, 0, 0), max_p: int = 4, max_q: int = 4, max_d: int = 2, long_ar: int = LONG, given: tuple[list[float], list[float]] | None = None) -> DataFrame:
+def arimax_residuals(data: DataFrame, time: str, y_cols, xreg_cols=None, order: tuple[int, int, int] | None = None, keys: list[str] | None = None, seasonal: bool = True, stepwise: bool = True, approximation: bool = False, period: int = 1, seasonal_order: tuple[int, int, int] = (0, 0, 0), max_p: int = 4, max_q: int = 4, max_d: int = 2, max_seasonal: tuple[int, int] = (1, 1), long_ar: int = LONG, given: tuple[list[float], list[float]] | None = None) -> DataFrame:
     """(keys, variable, time, fitted, residual, p, d, q, aic, params) over the rows in which every y and regressor is finite.
 
     ``params``: the constant (without differences) and the regressors' coefficients, those of the AR lags from 1 on, then those of the MA lags. The first rows that differencing uses up have residual 0. ``period`` and
-    ``seasonal_order`` (P, D, Q) need a given ``order``; ``seasonal=False`` leaves them out. All candidates up to ``max_p`` and ``max_q`` are compared, whatever
-    ``stepwise`` and ``approximation`` are. ``long_ar``: the lags of the long autoregression that stands in for the errors; ``given``: AR and MA coefficients that
+    ``seasonal_order`` (P, D, Q) are the seasonal part of a given ``order``; where none is given, D may be (as (0, D, 0)) and numbers of seasonal lags up to
+    ``max_seasonal`` are searched. ``seasonal=False`` leaves all of it out. All candidates up to ``max_p`` and ``max_q`` are compared, whatever ``stepwise`` and ``approximation`` are. ``long_ar``: the lags of the long autoregression that stands in for the errors; ``given``: AR and MA coefficients that
     aren't to be estimated, in the order of the lags.
     """
     own, ys, xs = prepared(data, time, y_cols, xreg_cols, keys)
@@ -129,14 +129,16 @@ def arimax_residuals(data: DataFrame, time: str, y_cols, xreg_cols=None, order:
         seasonal_order = (0, 0, 0)
     if order is None and given:
         raise ValueError("given coefficients need an order")
-    if order is None and any(seasonal_order):
-        raise ValueError("a seasonal order needs an order")
+    if order is None and (seasonal_order[0] or seasonal_order[2]):
+        raise ValueError("numbers of seasonal lags are given with an order, or searched up to max_seasonal")
     m, over = len(xs), Window.partitionBy("by").orderBy("pos")
     each = F.explode(F.arrays_zip(F.lit(ys).alias("variable"), F.col("y").alias("y"))).alias("s")
     rows = own.filter("used").select("key", "time", "x", F.row_number().over(Window.partitionBy("key").orderBy("time")).cast("long").alias("pos"), "y")
     rows = rows.select("key", "time", "x", "pos", each).select(F.struct("key", "s.variable").alias("by"), "time", "pos", "x", F.array("s.y").alias("y"))
     if order is None:
-        first = regressed(rows, "by", m, 1, constant=True).select("by", "pos", (F.get("y", F.lit(0)) - F.get("fit", F.lit(0))).alias("u"))
+        seasons = polynomial(0, seasonal_order[1], max(period, 1))
+        first = rows.select("by", "pos", differenced(F.col("y"), seasons, over).alias("y"), differenced(F.col("x"), seasons, over).alias("x")).filter(F.col("pos") > max(seasons))
+        first = regressed(first, "by", m, 1, constant=True).select("by", "pos", (F.get("y", F.lit(0)) - F.get("fit", F.lit(0))).alias("u"))
         rows = rows.join(written(differences_needed(written(first, "arimax-first"), max_d), "arimax-differences"), "by")
         choices = list(range(max_d + 1))
     else:
@@ -161,7 +163,7 @@ def arimax_residuals(data: DataFrame, time: str, y_cols, xreg_cols=None, order:
         done = u.select("by", "time", "value", F.col("u").alias("e"), F.lit(0).alias("p"), "d", F.lit(0).alias("q"), aic.alias("aic"), F.col("beta").alias("params"))
     else:
         u = written(u, "arimax-rest")
-        found = arma_errors(u.select("by", "pos", "n", "u"), lags, free, (max_p, max_q), long_ar, given)
+        found = arma_errors(u.select("by", "pos", "n", "u"), lags, free, (max_p, max_q), period, max_seasonal if seasonal and period > 1 else (0, 0), long_ar, given)
         done = u.select("by", "pos", "time", "d", "value", "beta").join(found, ["by", "pos"]).select("by", "time", "value", "e", "p", "d", "q", "aic", F.concat("beta", "ar", "ma").alias("params"))
     # rows that differencing has used up
     lost = F.col("d") + seasonal_d * period

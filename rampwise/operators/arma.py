@@ -82,16 +82,23 @@ def summed(df: DataFrame, arrays: str) -> DataFrame:
     return long.groupBy("by").agg(F.sort_array(F.collect_list(F.struct("at", "v")))["v"].alias("g"))
 
 
-def arma_errors(rows: DataFrame, order: tuple[list[int], list[int]] | None, free: int = 0, most: tuple[int, int] = (4, 4), long: int = LONG, given: tuple[list[float], list[float]] | None = None, size: int = ROWS) -> DataFrame:
+def candidates(most: tuple[int, int], period: int, seasonal: tuple[int, int]) -> list[tuple[int, int, list[int], list[int]]]:
+    """(p, q, AR lags, MA lags) of every order up to ``most``, each with every number of seasonal lags up to ``seasonal``."""
+    lags = lambda n, m: sorted({*range(1, n + 1), *(period * k for k in range(1, m + 1))})
+    return [(p, q, lags(p, a), lags(q, b)) for p in range(most[0] + 1) for q in range(most[1] + 1) for a in range(seasonal[0] + 1) for b in range(seasonal[1] + 1)]
+
+
+def arma_errors(rows: DataFrame, order: tuple[list[int], list[int]] | None, free: int = 0, most: tuple[int, int] = (4, 4), period: int = 1, seasonal: tuple[int, int] = (0, 0), long: int = LONG, given: tuple[list[float], list[float]] | None = None, size: int = ROWS) -> DataFrame:
     """(by, pos, e, p, q, ar, ma, aic) of series (by, pos, n, u); ``free`` counts the coefficients that u has cost already.
 
-    ``order``: the lags of both parts, or None for a search up to the numbers of lags in ``most``. Series of fewer than
-    3 * (p + q) + 10 rows have no ARMA part. ``long``: the lags of the long autoregression. ``given``: the coefficients of both parts' lags,
+    ``order``: the lags of both parts, or None for a search up to the numbers of lags in ``most`` and, of multiples of ``period``, in ``seasonal``. An order of
+    n lags needs 3 * n + 10 rows; shorter series do without it. ``long``: the lags of the long autoregression. ``given``: the coefficients of both parts' lags,
     which aren't estimated then.
     """
-    ar_lags, ma_lags = order or (list(range(1, most[0] + 1)), list(range(1, most[1] + 1)))
+    tried = candidates(most, period, seasonal) if order is None else [(len(order[0]), len(order[1]), *order)]
+    ar_lags, ma_lags = (sorted({k for t in tried for k in t[side]}) for side in (2, 3))
     deepest, q = max([0, *ar_lags, *ma_lags]), max([0, *ma_lags])
-    search, ma_only = order is None, bool(ma_lags)
+    ma_only = bool(ma_lags)
     size = max(size, long + deepest)
     packed = written(blocks(rows, (long if ma_lags else 0) + deepest, size), "arma-blocks")
     long_lags, long_lags_at = list(range(1, long + 1)), list(range(long))
@@ -124,17 +131,17 @@ def arma_errors(rows: DataFrame, order: tuple[list[int], list[int]] | None, free
     def solve(g: pd.Series, n: pd.Series) -> pd.DataFrame:
         out, width = [], len(ar_lags) + len(ma_lags) + 1
         for x, m in zip(g, n, strict=True):
-            x = np.reshape(x, (width, width))
-            tried = []
-            for p, s in [(p, s) for p in range(len(ar_lags) + 1) for s in range(len(ma_lags) + 1)] if search else [(len(ar_lags), len(ma_lags))]:
-                if p + s and m < 3 * (p + s) + 10:
-                    p, s = 0, 0
-                b, left = solved(x, [*range(p), *range(len(ar_lags), len(ar_lags) + s)])
-                tried.append((m * np.log(max(left / max(m, 1), 1e-300)) + 2 * (p + s), p + s, p, s, b))
-            _, _, p, s, b = min(tried, key=lambda t: t[:3])
+            x, found = np.reshape(x, (width, width)), []
+            for p, s, own_ar, own_ma in [*tried, (0, 0, [], [])]:
+                n = len(own_ar) + len(own_ma)
+                if n == 0 or m >= 3 * n + 10:
+                    some = [*(ar_lags.index(k) for k in own_ar), *(len(ar_lags) + ma_lags.index(k) for k in own_ma)]
+                    b, left = solved(x, some)
+                    found.append((m * np.log(max(left / max(m, 1), 1e-300)) + 2 * n, n, p, s, own_ar, own_ma, b))
+            p, s, own_ar, own_ma, b = (found[0] if order is not None else min(found, key=lambda t: t[:4]))[2:]
             ar, ma = np.zeros(max([0, *ar_lags])), np.zeros(q)
-            ar[np.array(ar_lags[:p], int) - 1] = b[:p]
-            ma[np.array(ma_lags[:s], int) - 1] = b[p:]
+            ar[np.array(own_ar, int) - 1] = b[: len(own_ar)]
+            ma[np.array(own_ma, int) - 1] = b[len(own_ar) :]
             out.append((p, s, ar, invertible(ma)))
         return pd.DataFrame(out, columns=["p", "q", "ar", "ma"])
 

@@ -102,6 +102,13 @@ def test_seasonal_lags_and_differences(spark):
     assert arimax.polynomial(1, 1, 12) == {0: 1, 1: -1, 12: -1, 13: 1}
     with pytest.raises(ValueError):
         arimax.arimax_residuals(df, "t", "y", None, period=12, seasonal_order=(1, 0, 0))
+    found = arimax.arimax_residuals(df, "t", "y", None, period=12, max_d=0).orderBy("time").collect()
+    ar = found[0]["params"][1:13]  # after the constant
+    assert found[0]["d"] == 0 and abs(ar[11] - 0.7) < 0.15 and np.std([r["residual"] for r in found]) < 1.1
+    plain = arimax.arimax_residuals(df, "t", "y", None, period=12, seasonal=False, max_d=0).head()
+    assert len(plain["params"]) == 9 and plain["aic"] > found[0]["aic"] + 100
+    off = arimax.arimax_residuals(df, "t", "s", None, period=12, seasonal_order=(0, 1, 0), max_d=0).orderBy("time").collect()
+    assert off[0]["d"] == 0 and all(r["residual"] == 0 for r in off[:12]) and np.std([r["residual"] for r in off[12:]]) < 1.3
 
 
 def test_kpss_and_the_search(spark):
