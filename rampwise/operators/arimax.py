@@ -84,23 +84,24 @@ def differenced(values: Column, factors: dict[int, int], over) -> Column:
 
 
 def kpss(rows: DataFrame, by: list[str], order_by: str, value: str) -> DataFrame:
-    """(by, n, statistic): the KPSS statistic of level stationarity of each group's values in their order; NULL for constant groups.
+    """(by, n, statistic): the KPSS statistic of level stationarity of each group's values in their order; NULL for constant groups. Missing values are left out.
 
     The long-run variance has Newey and West's weights over trunc(4 (n / 100)^(1/4)) lags.
     """
-    group, along = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(order_by)
-    own = rows.select(*by, order_by, F.col(value).alias("_v"), F.count(F.lit(1)).over(group).alias("_n"), F.avg(value).over(group).alias("_m")).withColumn("_z", F.col("_v") - F.col("_m"))
-    n = own.agg(F.max("_n")).head()[0] or 1
+    group, along = Window.partitionBy("key"), Window.partitionBy("key").orderBy("t")
+    own = rows.select(F.struct(*map(named, by)).alias("key"), named(order_by).alias("t"), named(value).alias("v")).filter("v is not null")
+    own = own.withColumn("n", F.count(F.lit(1)).over(group)).withColumn("m", F.avg("v").over(group)).withColumn("z", F.col("v") - F.col("m"))
+    n = own.agg(F.max("n")).head()[0] or 1
     most = int(4 * (n / 100) ** 0.25)
-    lags = F.floor(4 * F.pow(F.col("_n") / 100, 0.25))
-    before = F.collect_list("_z").over(along.rowsBetween(-max(most, 1), -1))
-    weight = lambda v, i: v * F.greatest(F.lit(0.0), 1 - (F.size("_b") - i) / (lags + 1))
-    own = own.withColumn("_s", F.sum("_z").over(along)).withColumn("_b", before)
-    own = own.withColumn("_w", F.col("_z") * F.aggregate(F.transform("_b", weight), F.lit(0.0), lambda s, v: s + v))
-    lrv = (F.sum(F.col("_z") * F.col("_z")) + 2 * F.sum("_w")) / F.max("_n")
-    got = own.groupBy(*by).agg(F.max("_n").alias("n"), lrv.alias("_l"), (F.sum(F.col("_s") * F.col("_s")) / F.max("_n") / F.max("_n")).alias("_e"), F.max(F.abs("_z")).alias("_x"), F.max(F.abs("_m")).alias("_a"))
-    varies = (F.col("_x") > 1e-12 * F.col("_a")) & (F.col("_l") > 0)
-    return got.select(*by, "n", F.when(varies, F.col("_e") / F.col("_l")).alias("statistic"))
+    lags = F.floor(4 * F.pow(F.col("n") / 100, 0.25))
+    before = F.collect_list("z").over(along.rowsBetween(-max(most, 1), -1))
+    weight = lambda v, i: v * F.greatest(F.lit(0.0), 1 - (F.size("b") - i) / (lags + 1))
+    own = own.withColumn("s", F.sum("z").over(along)).withColumn("b", before)
+    own = own.withColumn("w", F.col("z") * F.aggregate(F.transform("b", weight), F.lit(0.0), lambda s, v: s + v))
+    lrv = (F.sum(F.col("z") * F.col("z")) + 2 * F.sum("w")) / F.max("n")
+    got = own.groupBy("key").agg(F.max("n").alias("n"), lrv.alias("l"), (F.sum(F.col("s") * F.col("s")) / F.max("n") / F.max("n")).alias("e"), F.max(F.abs("z")).alias("x"), F.max(F.abs("m")).alias("a"))
+    varies = (F.col("x") > 1e-12 * F.col("a")) & (F.col("l") > 0)
+    return got.select("key.*", "n", F.when(varies, F.col("e") / F.col("l")).alias("statistic"))
 
 
 def differences_needed(rows: DataFrame, most: int) -> DataFrame:
