@@ -2,11 +2,10 @@
 
 A series is differenced, regressed on its regressors (``functions.linear``: Gram matrices by groups, in the JVM; of linearly dependent
 regressors the later ones have no effect), and what is left gets an ARMA part (``arma``: Hannan and Rissanen's estimates, errors by blocks of rows). Nothing needs a
-whole series in one task but the order of its rows and its lags. Orders that aren't given are searched: the order of
-differencing by the KPSS test on the residuals of the regression, p and q by AIC.
+whole series in one task but the order of its rows and its lags. Orders that aren't given are searched: the seasonal order of
+differencing by the strength of the season and then the order of differencing by the KPSS test, both on the residuals of the regression, p, q and their seasonal counterparts by AIC.
 
-The seasonal part may be searched as well, its order of differencing may not. Lags of the seasonal part are further lags of the ARMA part (s, 2s, ..), not products of polynomials. Columns may have any names, and keys may be NULL.
-A regressor that doesn't vary has no effect.
+The seasonal part's lag polynomials are factors of the ARMA part's. Columns may have any names, and keys may be NULL. A regressor that doesn't vary has no effect.
 """
 
 from __future__ import annotations
@@ -22,7 +21,11 @@ from rampwise.sources.scratch import written
 
 #: The KPSS test's critical value of level stationarity at 5 %.
 CRITICAL = 0.463
+#: The strength of a season beyond which it is differenced away (Wang, Smith and Hyndman, 2006).
+STRONG = 0.64
 RESULTS = ("time", "variable", "fitted", "residual", "used")
+#: The columns with the orders of a fit.
+FITTED = ("p", "d", "q", "seasonal_p", "seasonal_d", "seasonal_q")
 
 
 def prepared(data: DataFrame, time: str, y_cols, xreg_cols=None, keys: list[str] | None = None) -> tuple[DataFrame, list[str], list[str]]:
@@ -117,17 +120,43 @@ def differences_needed(rows: DataFrame, most: int) -> DataFrame:
     return (out if out is not None else rows.select("by").distinct()).select("by", d.alias("d"))
 
 
-def arimax_residuals(data: DataFrame, time: str, y_cols, xreg_cols=None, order: tuple[int, int, int] | None = None, keys: list[str] | None = None, seasonal: bool = True, stepwise: bool = True, approximation: bool = False, period: int = 1, seasonal_order: tuple[int, int, int] = (0, 0, 0), max_p: int = 4, max_q: int = 4, max_d: int = 2, max_seasonal: tuple[int, int] = (1, 1), long_ar: int = LONG, given: tuple[list[float], list[float]] | None = None) -> DataFrame:
-    """(keys, variable, time, fitted, residual, p, d, q, aic, params) over the rows in which every y and regressor is finite.
+def seasonal_strength(rows: DataFrame, by: list[str], order_by: str, value: str, period: int) -> DataFrame:
+    """(by, n, strength): the share of a group's variation about its trend that its season explains, 0 to 1. Missing values are left out.
 
-    ``params``: the constant (without differences) and the regressors' coefficients, those of the AR lags from 1 on, then those of the MA lags. The first rows that differencing uses up have residual 0. ``period`` and
-    ``seasonal_order`` (P, D, Q) are the seasonal part of a given ``order``; where none is given, D may be (as (0, D, 0)) and numbers of seasonal lags up to
+    The trend is a centred mean of one period (for even periods with half weights at both ends), the season the mean of each phase about it. NULL for groups of less
+    than three periods, whose phases have too few values, and for those without variation.
+    """
+    if period < 2:
+        raise ValueError("a season has two rows at least")
+    half, along = period // 2, Window.partitionBy("key").orderBy("t")
+    near = along.rowsBetween(-half, half)
+    own = rows.select(F.struct(*map(named, by)).alias("key"), named(order_by).alias("t"), named(value).alias("v")).filter("v is not null")
+    trend = F.sum("v").over(near) if period % 2 else (F.sum("v").over(near) + F.sum("v").over(along.rowsBetween(1 - half, half - 1))) / 2
+    own = own.select("key", F.row_number().over(along).alias("i"), F.count(F.lit(1)).over(near).alias("w"), F.col("v"), (F.col("v") - trend / period).alias("z"))
+    inner = F.when(F.col("w") == 2 * half + 1, F.col("z"))
+    phases = own.groupBy("key", (F.col("i") % period).alias("phase")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs("v")).alias("a"), F.count(inner).alias("c"), F.avg(inner).alias("m"), F.var_pop(inner).alias("s"), F.max(F.abs(inner)).alias("x"))
+    # about a mean of all that is taken first, so that nothing cancels
+    means = phases.groupBy("key").agg(F.sum("rows").alias("n"), (F.sum(F.col("c") * F.col("m")) / F.sum("c")).alias("m0"), F.sum(F.col("c") * F.col("s")).alias("within"), F.max("x").alias("x"), F.max("a").alias("a"), F.collect_list(F.struct("c", "m")).alias("p"))
+    between = F.aggregate(F.transform("p", lambda p: p["c"] * (p["m"] - F.col("m0")) * (p["m"] - F.col("m0"))), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+    varies = (F.col("n") >= 3 * period) & (F.col("x") > 1e-12 * F.col("a"))
+    return means.select("key", "n", "x", "a", "within", between.alias("between")).select("key.*", "n", F.when(varies & (F.col("within") + F.col("between") > 0), F.col("between") / (F.col("within") + F.col("between"))).alias("strength"))
+
+
+def arimax_residuals(data: DataFrame, time: str, y_cols, xreg_cols=None, order: tuple[int, int, int] | None = None, keys: list[str] | None = None, seasonal: bool = True, stepwise: bool = True, approximation: bool = False, period: int = 1, seasonal_order: tuple[int, int, int] | None = None, max_p: int = 4, max_q: int = 4, max_d: int = 2, max_seasonal: tuple[int, int] = (1, 1), max_seasonal_d: int = 1, long_ar: int = LONG, given: tuple[list[float], list[float]] | None = None) -> DataFrame:
+    """(keys, variable, time, fitted, residual, p, d, q, seasonal_p, seasonal_d, seasonal_q, aic, params) over the rows in which every y and regressor is finite.
+
+    ``params``: the constant (without differences) and the regressors' coefficients, those of the AR lags from 1 on with the seasonal factor multiplied in, then those of the MA lags. The first rows that differencing uses up have residual 0. ``period`` and
+    ``seasonal_order`` (P, D, Q) are the seasonal part of a given ``order``; where none is given, D may be (as (0, D, 0)), or is 0 or ``max_seasonal_d`` (0 or 1) by the strength of the season, and numbers of seasonal lags up to
     ``max_seasonal`` are searched. ``seasonal=False`` leaves all of it out. All candidates up to ``max_p`` and ``max_q`` are compared, whatever ``stepwise`` and ``approximation`` are. ``long_ar``: the lags of the long autoregression that stands in for the errors; ``given``: AR and MA coefficients that
-    aren't to be estimated, in the order of the lags.
+    aren't to be estimated, each side's own lags first and then those of its seasonal factor.
     """
     own, ys, xs = prepared(data, time, y_cols, xreg_cols, keys)
+    if max_seasonal_d not in (0, 1):
+        raise ValueError("max_seasonal_d is 0 or 1")
     if not seasonal or period < 2:
         seasonal_order = (0, 0, 0)
+    strengths = order is None and seasonal_order is None and max_seasonal_d == 1
+    seasonal_order = seasonal_order or (0, 0, 0)
     if order is None and given:
         raise ValueError("given coefficients need an order")
     if order is None and (seasonal_order[0] or seasonal_order[2]):
@@ -136,43 +165,54 @@ def arimax_residuals(data: DataFrame, time: str, y_cols, xreg_cols=None, order:
     each = F.explode(F.arrays_zip(F.lit(ys).alias("variable"), F.col("y").alias("y"))).alias("s")
     rows = own.filter("used").select("key", "time", "x", F.row_number().over(Window.partitionBy("key").orderBy("time")).cast("long").alias("pos"), "y")
     rows = rows.select("key", "time", "x", "pos", each).select(F.struct("key", "s.variable").alias("by"), "time", "pos", "x", F.array("s.y").alias("y"))
+    period, (seasonal_p, seasonal_d, seasonal_q) = max(period, 1), seasonal_order
+
+    def level_residuals(some: DataFrame, seasonal_d: int) -> DataFrame:
+        factors = polynomial(0, seasonal_d, period)
+        some = some.select("by", "pos", differenced(F.col("y"), factors, over).alias("y"), differenced(F.col("x"), factors, over).alias("x")).filter(F.col("pos") > max(factors))
+        return regressed(some, "by", m, 1, constant=True).select("by", "pos", (F.get("y", F.lit(0)) - F.get("fit", F.lit(0))).alias("u"))
+
+    choices = [(order[1] if order else 0, seasonal_d)]
+    rows = rows.withColumn("sd", F.lit(seasonal_d))
     if order is None:
-        seasons = polynomial(0, seasonal_order[1], max(period, 1))
-        first = rows.select("by", "pos", differenced(F.col("y"), seasons, over).alias("y"), differenced(F.col("x"), seasons, over).alias("x")).filter(F.col("pos") > max(seasons))
-        first = regressed(first, "by", m, 1, constant=True).select("by", "pos", (F.get("y", F.lit(0)) - F.get("fit", F.lit(0))).alias("u"))
-        rows = rows.join(written(differences_needed(written(first, "arimax-first"), max_d), "arimax-differences"), "by")
-        choices = list(range(max_d + 1))
+        first = written(level_residuals(rows, seasonal_d), "arimax-first")
+        if strengths:
+            strong = written(seasonal_strength(first, ["by"], "pos", "u", period).select("by", (F.coalesce("strength", F.lit(0.0)) > STRONG).cast("int").alias("sd")), "arimax-seasons")
+            rows = rows.drop("sd").join(strong, "by")
+            first = first.join(strong.filter("sd = 0").drop("sd"), "by").unionByName(level_residuals(rows.filter("sd = 1"), 1))
+            first = written(first, "arimax-first")
+        rows = rows.join(written(differences_needed(first, max_d), "arimax-differences"), "by", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+        choices = [(d, s) for d in range(max_d + 1) for s in ((0, 1) if strengths else (seasonal_d,))]
     else:
-        rows, choices = rows.withColumn("d", F.lit(order[1])), [order[1]]
-    period, (seasonal_p, seasonal_d, seasonal_q) = max(period, 1), seasonal_order
+        rows = rows.withColumn("d", F.lit(order[1]))
     parts, free = None, m
-    for d in choices:
+    for d, seasonal_d in choices:
         factors = polynomial(d, seasonal_d, period)
-        some = rows.filter(F.col("d") == d)
-        some = some.select("by", "time", "pos", "d", F.get("y", F.lit(0)).alias("value"), differenced(F.col("y"), factors, over).alias("y"), differenced(F.col("x"), factors, over).alias("x")).filter(F.col("pos") > max(factors))
+        some = rows.filter((F.col("d") == d) & (F.col("sd") == seasonal_d))
+        some = some.select("by", "time", "pos", "d", "sd", F.get("y", F.lit(0)).alias("value"), differenced(F.col("y"), factors, over).alias("y"), differenced(F.col("x"), factors, over).alias("x")).filter(F.col("pos") > max(factors))
         constant = d + seasonal_d == 0
         level = F.array(F.get("my", F.lit(0)) - F.aggregate(F.zip_with("mx", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-        got = regressed(some, "by", m, 1, constant).select("by", "time", (F.col("pos") - max(factors)).alias("pos"), "d", "value", (F.get("y", F.lit(0)) - F.get("fit", F.lit(0))).alias("u"), (F.concat(level, "beta") if constant else F.col("beta")).alias("beta"))
+        got = regressed(some, "by", m, 1, constant).select("by", "time", (F.col("pos") - max(factors)).alias("pos"), "d", "sd", "value", (F.get("y", F.lit(0)) - F.get("fit", F.lit(0))).alias("u"), (F.concat(level, "beta") if constant else F.col("beta")).alias("beta"))
         parts = got if parts is None else parts.union(got)
     u = parts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("by")))
-    lags = None
+    lags, far = None, ([], [])
     if order is not None:
-        lags = tuple(sorted({*range(1, p + 1), *(period * k for k in range(1, s + 1))}) for p, s in ((order[0], seasonal_p), (order[2], seasonal_q)))
-    if lags == ([], []):
+        lags, far = (list(range(1, order[0] + 1)), list(range(1, order[2] + 1))), tuple([period * k for k in range(1, n + 1)] for n in (seasonal_p, seasonal_q))
+    if lags == far == ([], []):
         squares = F.sum(F.col("u") * F.col("u")).over(Window.partitionBy("by"))
         aic = F.col("n") * F.log(F.greatest(squares / F.col("n"), F.lit(1e-300))) + 2 * (free + 1)
-        done = u.select("by", "time", "value", F.col("u").alias("e"), F.lit(0).alias("p"), "d", F.lit(0).alias("q"), aic.alias("aic"), F.col("beta").alias("params"))
+        done = u.select("by", "time", "value", F.col("u").alias("e"), F.lit(0).alias("p"), "d", F.lit(0).alias("q"), F.lit(0).alias("seasonal_p"), F.col("sd").alias("seasonal_d"), F.lit(0).alias("seasonal_q"), aic.alias("aic"), F.col("beta").alias("params"))
     else:
         u = written(u, "arimax-rest")
-        found = arma_errors(u.select("by", "pos", "n", "u"), lags, free, (max_p, max_q), period, max_seasonal if seasonal and period > 1 else (0, 0), long_ar, given)
-        done = u.select("by", "pos", "time", "d", "value", "beta").join(found, ["by", "pos"]).select("by", "time", "value", "e", "p", "d", "q", "aic", F.concat("beta", "ar", "ma").alias("params"))
+        found = arma_errors(u.select("by", "pos", "n", "u"), lags, free, (max_p, max_q), period, max_seasonal if seasonal and period > 1 else (0, 0), long_ar, given, seasonal_lags=far)
+        done = u.select("by", "pos", "time", "d", F.col("sd").alias("seasonal_d"), "value", "beta").join(found, ["by", "pos"]).select("by", "time", "value", "e", *FITTED, "aic", F.concat("beta", "ar", "ma").alias("params"))
     # rows that differencing has used up
-    lost = F.col("d") + seasonal_d * period
+    lost = F.col("d") + F.col("sd") * period
     early = rows.filter(F.col("pos") <= lost).select("by", "time", F.get("y", F.lit(0)).alias("value"))
-    known = done.groupBy("by").agg(*(F.first(c).alias(c) for c in ("p", "d", "q", "aic", "params")))
-    early = early.join(known, "by", "left").select("by", "time", "value", F.lit(0.0).alias("e"), "p", "d", "q", "aic", "params")
-    done = done if order is not None and not order[1] + seasonal_d else done.unionByName(early)
-    return done.select(*(F.col(f"by.key.k{i}").alias(k) for i, k in enumerate(keys or [])), F.col("by.variable").alias("variable"), "time", (F.col("value") - F.col("e")).alias("fitted"), F.col("e").alias("residual"), "p", "d", "q", "aic", "params")
+    known = done.groupBy("by").agg(*(F.first(c).alias(c) for c in (*FITTED, "aic", "params")))
+    early = early.join(known, "by", "left").select("by", "time", "value", F.lit(0.0).alias("e"), *FITTED, "aic", "params")
+    done = done if order is not None and not order[1] + seasonal_order[1] else done.unionByName(early)
+    return done.select(*(F.col(f"by.key.k{i}").alias(k) for i, k in enumerate(keys or [])), F.col("by.variable").alias("variable"), "time", (F.col("value") - F.col("e")).alias("fitted"), F.col("e").alias("residual"), *FITTED, "aic", "params")
 
 
 def arimax_residuals_df(data: DataFrame, time: str, y_cols, xreg_cols=None, order: tuple[int, int, int] | None = None, keys: list[str] | None = None, **options) -> DataFrame:
@@ -180,7 +220,7 @@ def arimax_residuals_df(data: DataFrame, time: str, y_cols, xreg_cols=None, orde
     own, ys, xs = prepared(data, time, y_cols, xreg_cols, keys)
     if "time" in ys:
         raise ValueError("a series can't be named time")
-    if order == (0, 0, 0) and not any(options.get("seasonal_order", ())):
+    if order == (0, 0, 0) and not any(options.get("seasonal_order") or ()):
         got = regressed(own.filter("used"), "key", len(xs), len(ys), constant=True)
         return got.select(*key_columns(keys), "time", *((F.get("y", F.lit(i)) - F.get("fit", F.lit(i))).alias(c) for i, c in enumerate(ys)))
     got = arimax_residuals(data, time, y_cols, xreg_cols, order, keys, **options)

@@ -5,6 +5,9 @@ those of the proxies. All least squares come from Gram matrices that are summed
 in one place; each block brings along as many rows before it as the lags need. Where the order isn't given, one Gram matrix with all lags yields
 every candidate's sum of squares, and the least AIC decides.
 
+Seasonal parts are factors: the lag polynomial of a side is the product of its own and its seasonal one. A sum of squares under such products needs no
+more than the same Gram matrix, so that Gauss-Newton steps run over a few numbers for each series and never over its rows.
+
 The errors e(t) = c(t) - sum of ma(j) e(t - j) are a recurrence. A block's last errors are an affine map of the last errors of the block before; these maps
 are put together over a series' blocks (a few numbers for each block), and then every block starts from its own right state.
 """
@@ -21,6 +24,8 @@ from rampwise.sources.scratch import written
 
 #: Rows of a block, the lags of the long autoregression, and the largest modulus of a root of the moving average.
 ROWS, LONG, LARGEST = 512, 20, 0.98
+#: Gauss-Newton steps at most, and the seasons that the long autoregression reaches back where errors of earlier seasons are sought.
+STEPS, SEASONS = 50, 3
 
 
 def solved(gram: np.ndarray, some: list[int]) -> tuple[np.ndarray, float]:
@@ -82,26 +87,94 @@ def summed(df: DataFrame, arrays: str) -> DataFrame:
     return long.groupBy("by").agg(F.sort_array(F.collect_list(F.struct("at", "v")))["v"].alias("g"))
 
 
-def candidates(most: tuple[int, int], period: int, seasonal: tuple[int, int]) -> list[tuple[int, int, list[int], list[int]]]:
-    """(p, q, AR lags, MA lags) of every order up to ``most``, each with every number of seasonal lags up to ``seasonal``."""
-    lags = lambda n, m: sorted({*range(1, n + 1), *(period * k for k in range(1, m + 1))})
-    return [(p, q, lags(p, a), lags(q, b)) for p in range(most[0] + 1) for q in range(most[1] + 1) for a in range(seasonal[0] + 1) for b in range(seasonal[1] + 1)]
-
-
-def arma_errors(rows: DataFrame, order: tuple[list[int], list[int]] | None, free: int = 0, most: tuple[int, int] = (4, 4), period: int = 1, seasonal: tuple[int, int] = (0, 0), long: int = LONG, given: tuple[list[float], list[float]] | None = None, size: int = ROWS) -> DataFrame:
-    """(by, pos, e, p, q, ar, ma, aic) of series (by, pos, n, u); ``free`` counts the coefficients that u has cost already.
-
-    ``order``: the lags of both parts, or None for a search up to the numbers of lags in ``most`` and, of multiples of ``period``, in ``seasonal``. An order of
-    n lags needs 3 * n + 10 rows; shorter series do without it. ``long``: the lags of the long autoregression. ``given``: the coefficients of both parts' lags,
-    which aren't estimated then.
+class Order:
+    """The lags of the AR and the MA side, and those of the seasonal factor of each: (1 - sum a B^i)(1 - sum A B^k) u = (1 + sum b B^j)(1 + sum B' B^l) e."""
+
+    def __init__(self, ar: list[int], ma: list[int], seasonal_ar: list[int] = (), seasonal_ma: list[int] = ()):
+        self.sides = [(list(ar), list(seasonal_ar), -1.0), (list(ma), list(seasonal_ma), 1.0)]
+        self.sizes = (len(ar), len(ma), len(seasonal_ar), len(seasonal_ma))
+        self.n = sum(self.sizes)
+        self.linear = all(not own or not far for own, far, _ in self.sides)
+
+    def lags(self, side: int) -> list[int]:
+        """All lags of a side's product."""
+        own, far, _ = self.sides[side]
+        return sorted({*own, *far, *(i + k for i in own for k in far)})
+
+    def design(self, lags: tuple[list[int], list[int]], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The products' coefficients at the ``lags`` of both sides, and their derivatives by the parameters x: each side's own ones, then its seasonal ones."""
+        width = len(lags[0]) + len(lags[1])
+        beta, slopes, at, base = np.zeros(width), np.zeros((width, self.n)), 0, 0
+        for (own, far, sign), known in zip(self.sides, lags, strict=True):
+            place = {k: base + i for i, k in enumerate(known)}
+            one, two = x[at : at + len(own)], x[at + len(own) : at + len(own) + len(far)]
+            for i, a in enumerate(own):
+                slopes[place[a], at + i] += 1
+                for k, b in enumerate(far):
+                    slopes[place[a + b], at + i] += sign * two[k]
+                    slopes[place[a + b], at + len(own) + k] += sign * one[i]
+            for k, b in enumerate(far):
+                slopes[place[b], at + len(own) + k] += 1
+            # the products are counted by both factors' slopes, once too often
+            beta += slopes[:, at : at + len(own) + len(far)] @ x[at : at + len(own) + len(far)]
+            for i, a in enumerate(own):
+                for k, b in enumerate(far):
+                    beta[place[a + b]] -= sign * one[i] * two[k]
+            at, base = at + len(own) + len(far), base + len(known)
+        return beta, slopes
+
+    def fitted(self, gram: np.ndarray, lags: tuple[list[int], list[int]]) -> tuple[np.ndarray, float]:
+        """The products' coefficients with the least sum of squares, and that sum; ``gram``: the lagged variables of both sides, then the series."""
+        where = [{k: i for i, k in enumerate(known)} for known in lags]
+        some = [i * len(lags[0]) + where[i][k] for i, (own, far, _) in enumerate(self.sides) for k in [*own, *far]]
+        x, left = solved(gram, some)
+        if self.linear:
+            return self.design(lags, x)[0], left
+        squares, with_series, total = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
+        sse = lambda b: total - 2 * b @ with_series + b @ squares @ b
+        beta, slopes = self.design(lags, x)
+        best = sse(beta)
+        for _ in range(STEPS):
+            step = np.linalg.lstsq(slopes.T @ squares @ slopes, slopes.T @ (with_series - squares @ beta), rcond=1e-12)[0]
+            for _ in range(30):
+                beta, slopes_at = self.design(lags, x + step)
+                now = sse(beta)
+                if now <= best:
+                    break
+                step = step / 2
+            else:
+                break
+            x, slopes, gain, best = x + step, slopes_at, best - now, now
+            if gain <= 1e-12 * total:
+                break
+        return self.design(lags, x)[0], float(max(best, 0.0))
+
+
+def candidates(most: tuple[int, int], period: int, seasonal: tuple[int, int]) -> list[Order]:
+    """Every order up to ``most``, each with every number of seasonal lags up to ``seasonal``."""
+    far = lambda m: [period * k for k in range(1, m + 1)]
+    return [Order(list(range(1, p + 1)), list(range(1, q + 1)), far(a), far(b)) for p in range(most[0] + 1) for q in range(most[1] + 1) for a in range(seasonal[0] + 1) for b in range(seasonal[1] + 1)]
+
+
+def arma_errors(rows: DataFrame, order: tuple[list[int], list[int]] | None, free: int = 0, most: tuple[int, int] = (4, 4), period: int = 1, seasonal: tuple[int, int] = (0, 0), long: int = LONG, given: tuple[list[float], list[float]] | None = None, size: int = ROWS, seasonal_lags: tuple[list[int], list[int]] = ((), ())) -> DataFrame:
+    """(by, pos, e, p, q, seasonal_p, seasonal_q, ar, ma, aic) of series (by, pos, n, u); ``free`` counts the coefficients that u has cost already.
+
+    ``order``: the lags of both parts, with ``seasonal_lags`` those of their seasonal factors, or None for a search up to the numbers of lags in ``most`` and, of
+    multiples of ``period``, in ``seasonal``. An order of n parameters needs 3 * n + 10 rows; shorter series do without it. ``long``: the lags of the long
+    autoregression; where seasonal errors are sought, the lags around ``SEASONS`` seasons are added. ``given``: the coefficients of both parts, each its own lags
+    and then its seasonal ones, which aren't estimated then. ``ar`` and ``ma`` hold the products' coefficients from lag 1 on.
     """
-    tried = candidates(most, period, seasonal) if order is None else [(len(order[0]), len(order[1]), *order)]
-    ar_lags, ma_lags = (sorted({k for t in tried for k in t[side]}) for side in (2, 3))
+    tried = candidates(most, period, seasonal) if order is None else [Order(*order, *seasonal_lags)]
+    ar_lags, ma_lags = both = tuple(sorted({k for t in tried for k in t.lags(side)}) for side in (0, 1))
     deepest, q = max([0, *ar_lags, *ma_lags]), max([0, *ma_lags])
     ma_only = bool(ma_lags)
-    size = max(size, long + deepest)
-    packed = written(blocks(rows, (long if ma_lags else 0) + deepest, size), "arma-blocks")
-    long_lags, long_lags_at = list(range(1, long + 1)), list(range(long))
+    seasons = sorted({k for t in tried for k in t.sides[1][1]})
+    near = max([0, *(k for t in tried for k in t.sides[1][0])])
+    long_lags = sorted({*range(1, long + 1), *(s * m + k for s in seasons[:1] for m in range(1, SEASONS + len(seasons)) for k in range(-near, near + 1) if s * m + k > 0)})
+    long_lags_at, wide = list(range(len(long_lags))), len(long_lags)
+    reach = max([0, *long_lags]) if ma_lags else 0
+    size = max(size, reach + deepest)
+    packed = written(blocks(rows, reach + deepest, size), "arma-blocks")
 
     def proxies(u: np.ndarray, a: np.ndarray) -> np.ndarray:
         return u - lagged(u, long_lags) @ a if ma_only else u
@@ -111,13 +184,13 @@ def arma_errors(rows: DataFrame, order: tuple[list[int], list[int]] | None, free
         out = []
         for x, at, m in zip(u, lead, n, strict=True):
             z = np.column_stack([lagged(x, long_lags), x])[at:]
-            z[:, min(long, m // 4) : long] = 0.0
+            z[:, [i for i, k in enumerate(long_lags) if k > m // 4]] = 0.0
             out.append((z.T @ z).ravel())
         return pd.Series(out, dtype=object)
 
     @F.pandas_udf("array<double>")
     def solve_long(g: pd.Series) -> pd.Series:
-        return pd.Series([solved(np.reshape(x, (long + 1, long + 1)), long_lags_at)[0] for x in g], dtype=object)
+        return pd.Series([solved(np.reshape(x, (wide + 1, wide + 1)), long_lags_at)[0] for x in g], dtype=object)
 
     @F.pandas_udf("array<double>")
     def gram(u: pd.Series, lead: pd.Series, a: pd.Series) -> pd.Series:
@@ -127,23 +200,25 @@ def arma_errors(rows: DataFrame, order: tuple[list[int], list[int]] | None, free
             out.append((z.T @ z).ravel())
         return pd.Series(out, dtype=object)
 
-    @F.pandas_udf("p int, q int, ar array<double>, ma array<double>")
+    @F.pandas_udf("p int, q int, seasonal_p int, seasonal_q int, ar array<double>, ma array<double>")
     def solve(g: pd.Series, n: pd.Series) -> pd.DataFrame:
         out, width = [], len(ar_lags) + len(ma_lags) + 1
         for x, m in zip(g, n, strict=True):
             x, found = np.reshape(x, (width, width)), []
-            for p, s, own_ar, own_ma in [*tried, (0, 0, [], [])]:
-                n = len(own_ar) + len(own_ma)
-                if n == 0 or m >= 3 * n + 10:
-                    some = [*(ar_lags.index(k) for k in own_ar), *(len(ar_lags) + ma_lags.index(k) for k in own_ma)]
-                    b, left = solved(x, some)
-                    found.append((m * np.log(max(left / max(m, 1), 1e-300)) + 2 * n, n, p, s, own_ar, own_ma, b))
-            p, s, own_ar, own_ma, b = (found[0] if order is not None else min(found, key=lambda t: t[:4]))[2:]
-            ar, ma = np.zeros(max([0, *ar_lags])), np.zeros(q)
-            ar[np.array(own_ar, int) - 1] = b[: len(own_ar)]
-            ma[np.array(own_ma, int) - 1] = b[len(own_ar) :]
-            out.append((p, s, ar, invertible(ma)))
-        return pd.DataFrame(out, columns=["p", "q", "ar", "ma"])
+            for t in [*tried, Order([], [])]:
+                if t.n == 0 or m >= 3 * t.n + 10:
+                    b, left = t.fitted(x, both)
+                    found.append((m * np.log(max(left / max(m, 1), 1e-300)) + 2 * t.n, t.n, t.sizes, b))
+            sizes, b = (found[0] if order is not None else min(found, key=lambda t: t[:3]))[2:]
+            out.append((*sizes, *dense(b)))
+        return pd.DataFrame(out, columns=["p", "q", "seasonal_p", "seasonal_q", "ar", "ma"])
+
+    def dense(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The coefficients of lags 1, 2, .. of both sides."""
+        ar, ma = np.zeros(max([0, *ar_lags])), np.zeros(q)
+        ar[np.array(ar_lags, int) - 1] = b[: len(ar_lags)]
+        ma[np.array(ma_lags, int) - 1] = b[len(ar_lags) :]
+        return ar, ma if given else invertible(ma)
 
     def inputs(u, lead, ar):
         """c of the own rows of each block, in rows of equal length, and their lengths."""
@@ -190,28 +265,29 @@ def arma_errors(rows: DataFrame, order: tuple[list[int], list[int]] | None, free
             c = recurrence(c, np.array(ma.tolist(), float).reshape(len(u), q), np.array([s if s is not None else np.zeros(q) for s in state], float).reshape(len(u), q))
         return pd.Series([x[:n] for x, n in zip(c, length, strict=True)], dtype=object)
 
-    dense = [[float(dict(zip(some, values, strict=True)).get(k, 0.0)) for k in range(1, max([0, *some]) + 1)] for some, values in zip((ar_lags, ma_lags), given or (), strict=False)]
     if ma_lags and not given:
         own = packed.join(summed(packed.select("by", gram_long("u", "lead", "n").alias("z")), "z").select("by", solve_long("g").alias("a")), "by")
     else:
         own = packed.withColumn("a", F.array().cast("array<double>"))
+    names = ("p", "q", "seasonal_p", "seasonal_q")
     if given:
-        packed = packed.select("*", F.lit(len(ar_lags)).alias("p"), F.lit(len(ma_lags)).alias("q"), *(F.array(*map(F.lit, v)).cast("array<double>").alias(c) for c, v in zip(("ar", "ma"), dense, strict=True)))
+        own_parts = [v.tolist() for v in dense(tried[0].design(both, np.array([*given[0], *given[1]], float))[0])]
+        packed = packed.select("*", *(F.lit(n).alias(c) for n, c in zip(tried[0].sizes, names, strict=True)), *(F.array(*map(F.lit, v)).cast("array<double>").alias(c) for c, v in zip(("ar", "ma"), own_parts, strict=True)))
     elif ar_lags or ma_lags:
         length = packed.groupBy("by").agg(F.max("n").alias("n"))
         found = summed(own.select("by", gram("u", "lead", "a").alias("z")), "z").join(length, "by").select("by", solve("g", "n").alias("f"))
         packed = packed.join(written(found, "arma-parts"), "by").select("*", "f.*").drop("f")
     else:
         none = F.array().cast("array<double>")
-        packed = packed.select("*", F.lit(0).alias("p"), F.lit(0).alias("q"), none.alias("ar"), none.alias("ma"))
+        packed = packed.select("*", *(F.lit(0).alias(c) for c in names), none.alias("ar"), none.alias("ma"))
     if q:
         maps = packed.select("by", "block", map_of("u", "lead", "ar", "ma").alias("m")).groupBy("by").agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("r"))
         before = maps.select("by", F.explode(F.arrays_zip(F.col("r.block").alias("block"), states("r.m").alias("state"))).alias("s")).select("by", "s.block", "s.state")
         packed = packed.join(before, ["by", "block"])
     else:
         packed = packed.withColumn("state", F.array().cast("array<double>"))
-    got = packed.select("by", "n", "p", "q", "ar", "ma", F.slice("pos", F.col("lead").cast("int") + 1, F.size("pos")).alias("pos"), errors("u", "lead", "ar", "ma", "state").alias("e"))
+    got = packed.select("by", "n", *names, "ar", "ma", F.slice("pos", F.col("lead").cast("int") + 1, F.size("pos")).alias("pos"), errors("u", "lead", "ar", "ma", "state").alias("e"))
     squares = got.groupBy("by").agg(F.sum(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)).alias("sse"))
-    aic = F.col("n") * F.log(F.greatest(F.col("sse") / F.col("n"), F.lit(1e-300))) + 2 * (F.lit(free + 1) + F.col("p") + F.col("q"))
+    aic = F.col("n") * F.log(F.greatest(F.col("sse") / F.col("n"), F.lit(1e-300))) + 2 * (F.lit(free + 1) + F.col("p") + F.col("q") + F.col("seasonal_p") + F.col("seasonal_q"))
     got = got.join(squares, "by").withColumn("aic", aic)
-    return got.select("by", "p", "q", "ar", "ma", "aic", F.explode(F.arrays_zip("pos", "e")).alias("r")).select("by", "r.pos", "r.e", "p", "q", "ar", "ma", "aic")
+    return got.select("by", *names, "ar", "ma", "aic", F.explode(F.arrays_zip("pos", "e")).alias("r")).select("by", "r.pos", "r.e", *names, "ar", "ma", "aic")

@@ -203,6 +203,13 @@ def kpss_keyed(spark, sf_dir):
     return got.select(*KEYS, "n", F.round("statistic", 8).alias("statistic"))
 
 
+def seasonal_strength_keyed(spark, sf_dir):
+    """The strength of the weekly season, and of one of an even number of rows."""
+    own = daily(spark, sf_dir, tuple(KEYS))
+    both = [arimax.seasonal_strength(own, KEYS, "t", "qty", p).withColumn("period", F.lit(p)) for p in (7, 12)]
+    return both[0].unionByName(both[1]).select(*KEYS, "period", "n", F.round("strength", 8).alias("strength"))
+
+
 def extract_names(spark, sf_dir):
     """Names aren't numbers: all of them are NULL."""
     return extract_x(read(spark, sf_dir, "customer"), ["c_name", "c_acctbal"], ("c_custkey",)).select("c_custkey", "c_name", "c_acctbal")
@@ -300,6 +307,7 @@ def queries() -> dict:
         "win_keyed": win_keyed, "eig2_keyed": eig2_keyed, "arimax_keyed": _arimax_keyed((0, 0, 0)), "arimax_diff_keyed": _arimax_keyed((0, 1, 0)), "arx1_keyed": arx1_keyed,
         "eig64_trace": _eig64(None), "eig64_topk": _eig64(3), "arimax_two_regressors": arimax_two_regressors, "arimax_dependent": arimax_dependent, "kpss_keyed": kpss_keyed, "extract_names": extract_names, "scores_keyed": scores_keyed, "tidy_keyed": tidy_keyed,
         "arima_100": _arima((1, 0, 0)), "arima_011": _arima((0, 1, 1), long_ar=1), "arima_111_given": _arima((1, 1, 1), given=([0.3], [-0.6])), "arima_seasonal_diff": _arima((0, 0, 0), period=7, seasonal_order=(0, 1, 0)), "arima_seasonal_ar": _arima((0, 0, 0), period=7, seasonal_order=(1, 0, 0)),
+        "arima_seasonal_product": _arima((1, 0, 1), period=7, seasonal_order=(1, 0, 1), given=([0.3, 0.4], [-0.5, 0.2])), "seasonal_strength_keyed": seasonal_strength_keyed,
         "votes_pos": _votes(), "votes_neg": _votes(direction="negative"), "votes_both": _votes(direction="both", mad_k=2), "votes_fixed_high": _votes(lowwl=4, highwl=40), "votes_daily": votes_daily, "votes_keyed": votes_keyed, "robust_z": robust_z_keyed,
         "votes_spread": _votes(spread=True), "eig2_spread": _values(CLICK_VIEW, scale_=True, spread=True), "win_spread": win_spread, "robust_z_spread": robust_z_spread,
         "rt_keyed": rt_keyed, "rt_flags": _realtime(), "rt_raw": _realtime(smooth_k=0, highwl=30, burn_in=200), "overlay_frame": rt_overlay, "overlay_pixels": rt_pixels, "eig2_long_window": _values(CLICK_VIEW, window=300, scale_=True), "csv_roundtrip": csv_roundtrip,
@@ -439,6 +447,24 @@ k as (select l_returnflag, sum(y * x) / sum(x * x) as b from d group by 1), e as
 select l_returnflag, t as time, round(qty - e, 5) as fitted, round(e, 5) as residual from e"""
 
 
+SEASONAL_PRODUCT = f"""with recursive {F4_SQL}, k as (select l_returnflag, regr_slope(qty, disc) as b, regr_intercept(qty, disc) as a from s group by 1),
+u as (select l_returnflag, t, qty, rn as i, qty - a - b * disc as u from s join k using (l_returnflag)),
+cc as (select *, u - 0.3 * coalesce(lag(u) over w, 0) - 0.4 * coalesce(lag(u, 7) over w, 0) + 0.12 * coalesce(lag(u, 8) over w, 0) as c from u window w as (partition by l_returnflag order by i)),
+e as (select l_returnflag, i, t, qty, [c, 0, 0, 0, 0, 0, 0, 0]::double[] as h from cc where i = 1
+  union all select cc.l_returnflag, cc.i, cc.t, cc.qty, list_prepend(cc.c + 0.5 * h[1] - 0.2 * h[7] + 0.1 * h[8], h[1:7]) from e join cc on cc.l_returnflag = e.l_returnflag and cc.i = e.i + 1)
+select l_returnflag, t as time, round(qty - h[1], 5) as fitted, round(h[1], 5) as residual from e"""
+
+
+def _strength_sql(m: int) -> str:
+    """CTEs up to ``r{m}``: l_returnflag, period, n, strength."""
+    half, over = m // 2, "(partition by l_returnflag order by rn rows between {} preceding and {} following)"
+    trend = f"sum(qty) over {over.format(half, half)}"
+    trend = trend if m % 2 else f"({trend} + sum(qty) over {over.format(half - 1, half - 1)}) / 2"
+    return f"""d{m} as (select l_returnflag, rn % {m} as phase, n, case when rn > {half} and rn <= n - {half} then qty - {trend} / {m} end as z from s),
+p{m} as (select *, avg(z) over (partition by l_returnflag, phase) as mp, avg(z) over (partition by l_returnflag) as m0 from d{m}),
+r{m} as (select l_returnflag, {m} as period, max(n) as n, round(sum((mp - m0) * (mp - m0)) / sum((z - m0) * (z - m0)), 8) as strength from p{m} where z is not null group by 1)"""
+
+
 def _votes_sql(source: str, keys: str = "", order: str = "t", low: int = 5, high: str = "auto", k: float = 3, direction: str = "positive") -> str:
     """CTEs up to ``res`` (keys, i, score) over ``source`` (CTEs that end in y0: keys, order columns, y)."""
     p, kc = (f"partition by {keys} ", f"{keys}, ") if keys else ("", "")
@@ -523,6 +549,7 @@ def oracle_sql() -> dict[str, str]:
         "win_keyed": WIN_KEYED, "eig2_keyed": EIG2_KEYED, "arimax_keyed": ARIMAX_KEYED, "arimax_diff_keyed": ARIMAX_DIFF_KEYED, "arx1_keyed": ARX_KEYED,
         "eig64_trace": EIG64, "arimax_two_regressors": TWO, "arimax_dependent": DEPENDENT, "kpss_keyed": KPSS, "extract_names": "select c_custkey, null::double as c_name, c_acctbal from customer", "scores_keyed": SCORES_KEYED, "tidy_keyed": TIDY_KEYED,
         "arima_100": _arma_sql(1, False, None, False), "arima_011": _arma_sql(1, True, None, True), "arima_111_given": _arma_sql(1, True, (0.3, -0.6), True), "arima_seasonal_diff": SEASONAL_DIFF, "arima_seasonal_ar": _arma_sql(7, False, None, False),
+        "arima_seasonal_product": SEASONAL_PRODUCT, "seasonal_strength_keyed": f"with {F4_SQL}, {_strength_sql(7)}, {_strength_sql(12)} select * from r7 union all select * from r12",
         "votes_pos": votes(), "votes_neg": votes(direction="negative"), "votes_both": votes(direction="both", k=2), "votes_fixed_high": votes(low=4, high="40"),
         "votes_daily": _votes_sql(F2_SQL + ", y0 as (select t, price as y from f2)") + " select t, round(score, 10) as score from res",
         "votes_keyed": _votes_sql("y0 as (select user_id, ts, event_id, value as y from events)", "user_id", "ts, event_id", k=2) + " select user_id, event_id, round(score, 10) as score from res",

@@ -111,6 +111,86 @@ def test_seasonal_lags_and_differences(spark):
     assert off[0]["d"] == 0 and all(r["residual"] == 0 for r in off[:12]) and np.std([r["residual"] for r in off[12:]]) < 1.3
 
 
+def products(own, far, period, sign):
+    """The coefficients, from lag 1 on, of a product of lag polynomials."""
+    one, two = np.r_[1.0, sign * np.array(own)], np.zeros(period * len(far) + 1)
+    two[0] = 1.0
+    two[period::period] = sign * np.array(far)
+    return (sign * np.convolve(one, two))[1:]
+
+
+@pytest.mark.parametrize("given", [([0.3, 0.4], [-0.5, 0.2]), ([0.3, 0.2, 0.4], [0.6]), ([0.5], [0.3, -0.2, 0.4, 0.1])])
+def test_seasonal_parts_are_factors(spark, given):
+    p, q, far_p, far_q = {(2, 2): (1, 1, 1, 1), (3, 1): (2, 0, 1, 1), (1, 4): (0, 2, 1, 2)}[len(given[0]), len(given[1])]
+    u = RS.normal(size=150)
+    df = spark.createDataFrame([(t, float(v)) for t, v in enumerate(u)], "t int, y double")
+    got = arimax.arimax_residuals(df, "t", "y", None, (p, 0, q), period=5, seasonal_order=(far_p, 0, far_q), given=given).orderBy("time").collect()
+    ar, ma = products(given[0][:p], given[0][p:], 5, -1), products(given[1][:q], given[1][q:], 5, 1)
+    assert np.allclose([r["residual"] for r in got], recursion(u - u.mean(), ar, ma), atol=1e-9)
+    assert np.allclose(got[0]["params"][1:], np.r_[ar, ma]) and [got[0][c] for c in arimax.FITTED] == [p, 0, q, far_p, 0, far_q]
+
+
+def test_products_have_the_least_sum_of_squares():
+    x = RS.normal(size=(400, 6))
+    x[:, -1] += x[:, :-1] @ [0.5, -0.3, 0.2, 0.4, 0.1]
+    order = arma.Order([1], [1], [4], [4])
+    lags = (order.lags(0), order.lags(1))
+    assert lags == ([1, 4, 5], [1, 4, 5])
+    x = np.column_stack([x[:, :3], RS.normal(size=400), x[:, 3:]])
+    beta, sse = order.fitted(x.T @ x, lags)
+    assert abs(sse - ((x[:, -1] - x[:, :-1] @ beta) ** 2).sum()) < 1e-6 and abs(beta[2] + beta[0] * beta[1]) < 1e-12 and abs(beta[5] - beta[3] * beta[4]) < 1e-12
+    base = np.array([beta[0], beta[1], beta[3], beta[4]])
+    for step in RS.normal(size=(200, 4)) * np.repeat([0.3, 0.01], 100)[:, None]:
+        a, b, c, d = base + step
+        assert ((x[:, -1] - x[:, :-1] @ [a, b, -a * b, c, d, c * d]) ** 2).sum() >= sse - 1e-9
+
+
+def test_seasonal_models_are_found_again(spark):
+    e, u = RS.normal(size=1500), np.zeros(1500)
+    ar, ma = products([0.5], [0.6], 12, -1), products([], [0.4], 12, 1)
+    for t in range(1500):
+        u[t] = e[t] + sum(a * u[t - k] for k, a in enumerate(ar, 1) if k <= t) + sum(b * e[t - k] for k, b in enumerate(ma, 1) if k <= t)
+    df = spark.createDataFrame([(t, float(v)) for t, v in enumerate(u)], "t int, y double")
+    got = arimax.arimax_residuals(df, "t", "y", None, (1, 0, 0), period=12, seasonal_order=(1, 0, 1)).orderBy("time").collect()
+    params = np.array(got[0]["params"][1:])
+    assert np.allclose(params[[0, 11, 12, 24]], [0.5, 0.6, -0.3, 0.4], atol=0.1) and abs(params[12] + params[0] * params[11]) < 1e-9
+    assert np.std([r["residual"] for r in got]) < 1.1
+    found = arimax.arimax_residuals(df, "t", "y", None, period=12, max_p=2, max_q=1, max_d=0).head()
+    assert found["seasonal_p"] == 1 and found["seasonal_d"] == 0 and found["p"] >= 1
+
+
+def strength(y, m):
+    """Decomposition by a centred mean and means of phases, step by step."""
+    weights = np.ones(m) if m % 2 else np.r_[0.5, np.ones(m - 1), 0.5]
+    half = m // 2
+    z = y[half : len(y) - half] - np.convolve(y, weights / m, "valid")
+    phase = np.arange(half, len(y) - half) % m
+    season = np.array([z[phase == k].mean() for k in range(m)])[phase]
+    return 1 - (z - season).var() / (z - z.mean()).var()
+
+
+def test_the_strength_of_a_season_and_its_search(spark):
+    t = np.arange(240)
+    series = {"wave": 5 * np.sin(t * np.pi / 6) + 0.05 * t + RS.normal(size=240), "noise": RS.normal(size=240), "short": RS.normal(size=30), "flat": np.full(60, 3.0), None: np.tile([1.0, 5.0, 2.0], 80) + RS.normal(size=240) * 0.1}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "k string, t int, y double").repartition(3)
+    for m in (3, 4, 12):
+        got = {r["k"]: r for r in arimax.seasonal_strength(df, ["k"], "t", "y", m).collect()}
+        assert {k: r["n"] for k, r in got.items()} == {k: len(x) for k, x in series.items()} and got["flat"]["strength"] is None
+        for k in ("wave", "noise", None):
+            assert abs(got[k]["strength"] - strength(series[k], m)) < 1e-9
+    assert got["short"]["strength"] is None
+    assert arimax.seasonal_strength(df.filter("t < 0"), ["k"], "t", "y", 4).count() == 0
+    options = dict(keys=["k"], period=12, max_p=1, max_q=1, max_d=1, max_seasonal=(1, 1))
+    fits = arimax.arimax_residuals(df, "t", "y", None, **options).collect()
+    first = {r["k"]: r for r in fits}
+    assert len(fits) == sum(map(len, series.values())) and {k: r["seasonal_d"] for k, r in first.items()} == {"wave": 1, "noise": 0, "short": 0, "flat": 0, None: 1}
+    assert all(r["residual"] == 0 for r in fits if r["k"] == "wave" and r["time"] < 12)
+    kept = arimax.arimax_residuals(df, "t", "y", None, max_seasonal_d=0, **options).filter("k = 'wave'").head()
+    assert kept["seasonal_d"] == 0
+    with pytest.raises(ValueError):
+        arimax.seasonal_strength(df, ["k"], "t", "y", 1)
+
+
 def test_kpss_and_the_search(spark):
     walk, noise = np.cumsum(RS.normal(size=400)), RS.normal(size=400)
     rows = [(k, t, float(v)) for k, x in (("walk", walk), ("noise", noise), ("twice", np.cumsum(np.cumsum(RS.normal(size=400)))), ("flat", np.full(400, 5.0))) for t, v in enumerate(x)]
