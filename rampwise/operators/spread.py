@@ -1,4 +1,4 @@
-"""Positions, running sums and medians of very long series, in two passes over ranges of rows.
+"""Positions, earlier rows, running sums and medians of very long series, in two passes over ranges of rows.
 
 Rows are sorted by range over the cluster and numbered within each range; what comes before a range is known from one row for each
 series and range. No task gets a whole series, and nothing but these few rows is looked at in the order of a series.
@@ -42,6 +42,17 @@ def running_sums(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
     return got.select(*df.columns, *((F.col(c) + F.col(f"_b{i}")).alias(c) for i, c in enumerate(sums)))
 
 
+def with_before(df: DataFrame, key: str, pos: str, lags: list[int], values: list[str]) -> DataFrame:
+    """The rows of ``df`` that have rows of their series ``lags`` (positive) positions before, with ``_before``: for each lag in ascending order a struct of those rows' ``values``.
+
+    A row is sent to its own position and, with no more than these values, to the positions that ask for it: a group is one position, never a series.
+    """
+    sent = df.select(key, pos, F.explode(F.array(*(F.lit(k) for k in [0, *lags]))).alias("_lag"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_all"))
+    sent = sent.select(key, (F.col(pos) + F.col("_lag")).alias("_at"), F.when(F.col("_lag") == 0, F.col("_all")).alias("_row"), F.when(F.col("_lag") > 0, F.struct("_lag", *(F.col("_all")[v].alias(v) for v in values))).alias("_earlier"))
+    got = sent.groupBy(key, "_at").agg(F.first("_row", ignorenulls=True).alias("_row"), F.sort_array(F.collect_list("_earlier")).alias("_before"))
+    return got.filter(F.col("_row").isNotNull() & (F.size("_before") == len(lags))).select("_row.*", "_before")
+
+
 def medians(df: DataFrame, key: str, value: str, to: str = "median") -> DataFrame:
     """(key, ``to``): the exact median of each group's values that aren't NULL, from the running counts of its distinct values in sorted ranges."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))

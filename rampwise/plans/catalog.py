@@ -152,9 +152,12 @@ def _arimax_keyed(order):
     return run
 
 
-def arx1_keyed(spark, sf_dir):
-    got = arimax.arx_residuals(daily(spark, sf_dir, tuple(KEYS)), "t", "qty", "disc", keys=KEYS)
-    return got.select(*KEYS, "time", F.round("fitted", 6).alias("fitted"), F.round("residual", 6).alias("residual"))
+def _arx1_keyed(spread: bool = False):
+    def run(spark, sf_dir):
+        got = arimax.arx_residuals(daily(spark, sf_dir, tuple(KEYS)), "t", "qty", "disc", keys=KEYS, spread=spread)
+        return got.select(*KEYS, "time", F.round("fitted", 6).alias("fitted"), F.round("residual", 6).alias("residual"))
+
+    return run
 
 
 def arx1_resid(spark, sf_dir):
@@ -198,16 +201,23 @@ def _arima(order, time="t", **options):
     return run
 
 
-def kpss_keyed(spark, sf_dir):
-    got = arimax.kpss(daily(spark, sf_dir, tuple(KEYS)), KEYS, "t", "qty")
-    return got.select(*KEYS, "n", F.round("statistic", 8).alias("statistic"))
+def _kpss_keyed(spread: bool = False):
+    def run(spark, sf_dir):
+        got = arimax.kpss(daily(spark, sf_dir, tuple(KEYS)), KEYS, "t", "qty", spread)
+        return got.select(*KEYS, "n", F.round("statistic", 8).alias("statistic"))
+
+    return run
 
 
-def seasonal_strength_keyed(spark, sf_dir):
+def _seasonal_strength_keyed(spread: bool = False):
     """The strength of the weekly season, and of one of an even number of rows."""
-    own = daily(spark, sf_dir, tuple(KEYS))
-    both = [arimax.seasonal_strength(own, KEYS, "t", "qty", p).withColumn("period", F.lit(p)) for p in (7, 12)]
-    return both[0].unionByName(both[1]).select(*KEYS, "period", "n", F.round("strength", 8).alias("strength"))
+
+    def run(spark, sf_dir):
+        own = daily(spark, sf_dir, tuple(KEYS))
+        both = [arimax.seasonal_strength(own, KEYS, "t", "qty", p, spread).withColumn("period", F.lit(p)) for p in (7, 12)]
+        return both[0].unionByName(both[1]).select(*KEYS, "period", "n", F.round("strength", 8).alias("strength"))
+
+    return run
 
 
 def extract_names(spark, sf_dir):
@@ -304,10 +314,11 @@ def queries() -> dict:
         "eig2_roll": _values(CLICK_VIEW), "eig2_scaled": _values(CLICK_VIEW, scale_=True), "eig2_expanding": _values(CLICK_VIEW, type="expanding", step=3), "eig2_pairwise": _values(CLICK_VIEW, na_action="pairwise_complete", scale_=True), "eig2_impute": _values(CLICK_VIEW, na_action="impute_mean"), "eig1_variance": _values(["click_m"]),
         "eig3_roll": eig3_roll, "eig5_trace": eig5_trace, "tidy_values": tidy_values, "tidy_loadings2": tidy_loadings2, "scores2": scores2,
         "signal_raw": signal_raw, "signal_svd": signal_svd, "arimax_ols_resid": arimax_ols_resid, "arx1_resid": arx1_resid, "arimax_resid_multi": arimax_resid_multi, "arimax_svd_ols": arimax_svd_ols, "arimax_then_svd_ols": arimax_then_svd_ols, "arimax_auto": arimax_auto,
-        "win_keyed": win_keyed, "eig2_keyed": eig2_keyed, "arimax_keyed": _arimax_keyed((0, 0, 0)), "arimax_diff_keyed": _arimax_keyed((0, 1, 0)), "arx1_keyed": arx1_keyed,
-        "eig64_trace": _eig64(None), "eig64_topk": _eig64(3), "arimax_two_regressors": arimax_two_regressors, "arimax_dependent": arimax_dependent, "kpss_keyed": kpss_keyed, "extract_names": extract_names, "scores_keyed": scores_keyed, "tidy_keyed": tidy_keyed,
+        "win_keyed": win_keyed, "eig2_keyed": eig2_keyed, "arimax_keyed": _arimax_keyed((0, 0, 0)), "arimax_diff_keyed": _arimax_keyed((0, 1, 0)), "arx1_keyed": _arx1_keyed(),
+        "eig64_trace": _eig64(None), "eig64_topk": _eig64(3), "arimax_two_regressors": arimax_two_regressors, "arimax_dependent": arimax_dependent, "kpss_keyed": _kpss_keyed(), "extract_names": extract_names, "scores_keyed": scores_keyed, "tidy_keyed": tidy_keyed,
         "arima_100": _arima((1, 0, 0)), "arima_011": _arima((0, 1, 1), long_ar=1), "arima_111_given": _arima((1, 1, 1), given=([0.3], [-0.6])), "arima_seasonal_diff": _arima((0, 0, 0), period=7, seasonal_order=(0, 1, 0)), "arima_seasonal_ar": _arima((0, 0, 0), period=7, seasonal_order=(1, 0, 0)),
-        "arima_seasonal_product": _arima((1, 0, 1), period=7, seasonal_order=(1, 0, 1), given=([0.3, 0.4], [-0.5, 0.2])), "seasonal_strength_keyed": seasonal_strength_keyed,
+        "arima_seasonal_product": _arima((1, 0, 1), period=7, seasonal_order=(1, 0, 1), given=([0.3, 0.4], [-0.5, 0.2])), "seasonal_strength_keyed": _seasonal_strength_keyed(),
+        "arx1_spread": _arx1_keyed(True), "kpss_spread": _kpss_keyed(True), "seasonal_strength_spread": _seasonal_strength_keyed(True), "arima_spread": _arima((1, 1, 1), given=([0.3], [-0.6]), spread=True),
         "votes_pos": _votes(), "votes_neg": _votes(direction="negative"), "votes_both": _votes(direction="both", mad_k=2), "votes_fixed_high": _votes(lowwl=4, highwl=40), "votes_daily": votes_daily, "votes_keyed": votes_keyed, "robust_z": robust_z_keyed,
         "votes_spread": _votes(spread=True), "eig2_spread": _values(CLICK_VIEW, scale_=True, spread=True), "win_spread": win_spread, "robust_z_spread": robust_z_spread,
         "rt_keyed": rt_keyed, "rt_flags": _realtime(), "rt_raw": _realtime(smooth_k=0, highwl=30, burn_in=200), "overlay_frame": rt_overlay, "overlay_pixels": rt_pixels, "eig2_long_window": _values(CLICK_VIEW, window=300, scale_=True), "csv_roundtrip": csv_roundtrip,
@@ -465,6 +476,9 @@ p{m} as (select *, avg(z) over (partition by l_returnflag, phase) as mp, avg(z)
 r{m} as (select l_returnflag, {m} as period, max(n) as n, round(sum((mp - m0) * (mp - m0)) / sum((z - m0) * (z - m0)), 8) as strength from p{m} where z is not null group by 1)"""
 
 
+STRENGTHS = f"with {F4_SQL}, {_strength_sql(7)}, {_strength_sql(12)} select * from r7 union all select * from r12"
+
+
 def _votes_sql(source: str, keys: str = "", order: str = "t", low: int = 5, high: str = "auto", k: float = 3, direction: str = "positive") -> str:
     """CTEs up to ``res`` (keys, i, score) over ``source`` (CTEs that end in y0: keys, order columns, y)."""
     p, kc = (f"partition by {keys} ", f"{keys}, ") if keys else ("", "")
@@ -549,7 +563,8 @@ def oracle_sql() -> dict[str, str]:
         "win_keyed": WIN_KEYED, "eig2_keyed": EIG2_KEYED, "arimax_keyed": ARIMAX_KEYED, "arimax_diff_keyed": ARIMAX_DIFF_KEYED, "arx1_keyed": ARX_KEYED,
         "eig64_trace": EIG64, "arimax_two_regressors": TWO, "arimax_dependent": DEPENDENT, "kpss_keyed": KPSS, "extract_names": "select c_custkey, null::double as c_name, c_acctbal from customer", "scores_keyed": SCORES_KEYED, "tidy_keyed": TIDY_KEYED,
         "arima_100": _arma_sql(1, False, None, False), "arima_011": _arma_sql(1, True, None, True), "arima_111_given": _arma_sql(1, True, (0.3, -0.6), True), "arima_seasonal_diff": SEASONAL_DIFF, "arima_seasonal_ar": _arma_sql(7, False, None, False),
-        "arima_seasonal_product": SEASONAL_PRODUCT, "seasonal_strength_keyed": f"with {F4_SQL}, {_strength_sql(7)}, {_strength_sql(12)} select * from r7 union all select * from r12",
+        "arima_seasonal_product": SEASONAL_PRODUCT, "seasonal_strength_keyed": STRENGTHS,
+        "arx1_spread": ARX_KEYED, "kpss_spread": KPSS, "seasonal_strength_spread": STRENGTHS, "arima_spread": _arma_sql(1, True, (0.3, -0.6), True),
         "votes_pos": votes(), "votes_neg": votes(direction="negative"), "votes_both": votes(direction="both", k=2), "votes_fixed_high": votes(low=4, high="40"),
         "votes_daily": _votes_sql(F2_SQL + ", y0 as (select t, price as y from f2)") + " select t, round(score, 10) as score from res",
         "votes_keyed": _votes_sql("y0 as (select user_id, ts, event_id, value as y from events)", "user_id", "ts, event_id", k=2) + " select user_id, event_id, round(score, 10) as score from res",

@@ -1,10 +1,12 @@
 """Very long series in ranges of rows: positions, running sums, medians and votes, equal to the forms with one partition a series."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rampwise.functions.numeric import robust_z as plain_z
-from rampwise.operators import detect, eigen, series, spread
+from rampwise.operators import arimax, detect, eigen, series, spread
+from rampwise.operators.spread import with_before
 
 RS = np.random.RandomState(9)
 
@@ -70,3 +72,44 @@ def test_votes_and_eigenvalues(spark):
         assert got == want
     one = {s: {r.window_id: r.d for r in eigen.roll_svd(df.filter("k = 'a'"), "t", ["signal", "other"], 40, scale_=True, spread=s).collect()} for s in (False, True)}
     assert one[True].keys() == one[False].keys() and all(np.allclose(one[True][w], one[False][w], atol=1e-9) for w in one[True])
+
+
+def long_panel(spark):
+    rs = np.random.RandomState(5)
+    rows = []
+    for k, n in (("wave", 700), ("walk", 600), ("short", 9), (None, 90)):
+        x, e = rs.normal(size=(2, n))
+        y = 5 * np.sin(np.arange(n) * np.pi / 3) + e if k == "wave" else np.cumsum(e) if k == "walk" else e
+        rows += [(k, i, float(a + b), float(b)) for i, (a, b) in enumerate(zip(y, x, strict=True))]
+    return spark.createDataFrame(rows, "k string, t long, y double, x double").repartition(7)
+
+
+@pytest.mark.parametrize("order,options", [(None, {"period": 6, "max_p": 1, "max_q": 1}), ((1, 1, 1), {"period": 6, "seasonal_order": (0, 1, 0), "given": ([0.3], [-0.5])}), ((0, 0, 0), {})])
+def test_arima_of_spread_series(spark, order, options):
+    df = long_panel(spark)
+    both = [arimax.arimax_residuals(df, "t", "y", "x", order, keys=["k"], spread=s, **options).orderBy("k", "time").collect() for s in (False, True)]
+    assert len(both[0]) == len(both[1]) == 1399
+    for a, b in zip(*both, strict=True):
+        assert [a[c] for c in ("k", "time", *arimax.FITTED)] == [b[c] for c in ("k", "time", *arimax.FITTED)]
+        assert abs(a["residual"] - b["residual"]) < 1e-7 and abs(a["aic"] - b["aic"]) < 1e-6
+    if order is None:
+        noise = np.array([tuple(r) for r in df.filter("k is null").orderBy("t").select("y", "x").collect()])
+        z = np.column_stack([np.ones(90), noise[:, 1]])
+        z = noise[:, 0] - z @ np.linalg.lstsq(z, noise[:, 0], rcond=None)[0]
+        lrv = (z @ z + 2 * sum((1 - h / 4) * (z[h:] @ z[:-h]) for h in (1, 2, 3))) / 90
+        rejected = int((np.cumsum(z) ** 2).sum() / 90**2 / lrv > arimax.CRITICAL)
+        assert {r["k"]: (r["d"], r["seasonal_d"]) for r in both[1]} == {"wave": (0, 1), "walk": (1, 0), "short": (0, 0), None: (rejected, 0)}
+
+
+def test_no_task_of_a_spread_fit_gets_a_series(spark):
+    df = long_panel(spark)
+    for got in (arimax.arimax_residuals(df, "t", "y", "x", (1, 1, 0), keys=["k"], spread=True, given=([0.5], [])), arimax.arx_residuals(df, "t", "y", "x", keys=["k"], spread=True), arimax.kpss(df, ["k"], "t", "y", spread=True), arimax.seasonal_strength(df, ["k"], "t", "y", 6, spread=True)):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        # the only windows run within ranges, or over the few rows that stand for ranges: their counts (_n) and their totals (_t0)
+        assert all("_part" in line or "sum(_n#" in line or "sum(_t0#" in line for line in plan.splitlines() if "Window [" in line), plan
+
+
+def test_rows_before_by_their_positions(spark):
+    df = spark.createDataFrame([(k, i, i * 10) for k in ("a", None) for i in range(1, 6)], "k string, p long, v long").withColumn("v", F.when(F.col("p") != 4, F.col("v")))
+    got = with_before(df.select(F.struct("k").alias("key"), "p", "v"), "key", "p", [1, 3], ["v"])
+    assert sorted((str(r["key"]["k"]), r["p"], r["v"], [b["v"] for b in r["_before"]]) for r in got.collect()) == [(k, p, v, b) for k in ("None", "a") for p, v, b in ((4, None, [30, 10]), (5, 50, [None, 20]))]
