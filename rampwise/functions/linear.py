@@ -44,7 +44,8 @@ def coefficients(rows: DataFrame, by: str, x: str, m: int, y: str, k: int, const
     z = F.concat(x, y)
     each = F.transform(F.sequence(F.lit(0), F.lit(len(pairs) - 1)), lambda t: F.struct(F.get("z", F.get(F.lit([i for i, _ in pairs]), t)).alias("a"), F.get("z", F.get(F.lit([j for _, j in pairs]), t)).alias("b")))
     long = rows.select(by, z.alias("z")).select(by, F.posexplode(each).alias("at", "p")).select(by, "at", "p.a", "p.b")
-    value = F.covar_pop("a", "b") if constant else F.avg(F.col("a") * F.col("b"))
+    varies = lambda c: F.min(c) < F.max(c)  # noqa: E731  the mean of equal numbers, put together from parts, may be off by a rounding error
+    value = F.when(varies("a") & varies("b"), F.covar_pop("a", "b")).otherwise(F.lit(0.0)) if constant else F.avg(F.col("a") * F.col("b"))
     gram = long.groupBy(by, "at").agg(value.alias("v"), F.avg("a").alias("ma"), F.avg("b").alias("mb"))
     gram = gram.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("at", "v", "ma", "mb"))).alias("g"))
     taken = lambda field, of: F.transform(F.lit(of), lambda t: F.get(F.col("g")[field], t))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rampwise.functions.linear import coefficients
 from rampwise.operators import arimax, arma, signals
 
 RS = np.random.RandomState(11)
@@ -214,3 +215,13 @@ def test_fit_options_reach_every_operator(spark):
     w = (y[20:28] - y[20:28].mean(axis=0)) / y[20:28].std(axis=0, ddof=1)
     assert abs(a[20]["signal"] - np.linalg.eigvalsh(np.cov(w.T))[-1]) < 1e-9
     assert signals.build_signal_arimax_resid(df, "t", "y", "x", order=(0, 0, 0), **same).count() == 60
+
+
+def test_a_constant_put_together_from_parts_has_no_effect(spark):
+    """3.5 / 25 * 25 isn't 3.5 in doubles, so that the parts' means differ in the last bit."""
+    rs = np.random.RandomState(5)
+    rows = [(t % 2, 3.5, *map(float, rs.normal(size=2))) for t in range(200)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "k long, same double, x double, y double").filter("k = 0")
+    got = coefficients(df.select(F.col("k").alias("by"), F.array("same", "x").alias("x"), F.array("y").alias("y")), "by", "x", 2, "y", 1, True).head()
+    x, y = (np.array([r[i] for r in rows if not r[0]]) for i in (2, 3))
+    assert got["beta"][0] == 0 and np.isclose(got["beta"][1], np.cov(x, y)[0, 1] / np.var(x, ddof=1))
