@@ -4,11 +4,10 @@ Of equal vectors only the k + 1 rows of the smallest ids go on: they are equally
 id, and only a query's own row is left out, so no other of them can be among the k nearest. Centroids are learned by balanced
 k-means from the distinct vectors of a bounded sample (about ``SAMPLE`` vectors, by their hash; at most ``MOST_LISTS`` centroids, no two equal). Every
 vector goes to the list of its nearest centroid and, where it lies near a boundary, to those of further ones whose distance
-is within a ratio of the least. A query finds the centroids near it by a best-first search of a neighbour graph that is
-held in memory: the ``PROBES`` nearest at least, and all whose distance is within a ratio of the least, however many these are (in
-clustered data few, where distances hardly differ many). It is compared with all vectors of their lists. While these hold too
-few vectors, further lists are added, all of them if need be. Recall at 10, with the numbers below: 0.97 on 60,000 vectors of
-64 independent normal numbers, which have no clusters at all.
+is within a ratio of the least. A query finds the centroids near it by a best-first search of two levels that is
+held in memory and misses none: the ``PROBES`` nearest at least, and all whose distance is within a ratio of the least, however many these are (in
+clustered data few, where distances hardly differ many). The ratio is measured: with it, ``FOUND`` of the true neighbours of vectors of the sample lie in lists that are
+searched. A query is compared with all vectors of their lists. While these hold too few vectors, further lists are added, all of them if need be.
 
 The centroids and the sizes of the lists are bounded by ``MOST_LISTS`` and sent to all executors. Lists and their queries
 are dealt out in blocks of bounded size, so that a list of any size takes bounded memory in a task; every block of a list
@@ -21,8 +20,6 @@ queries. Equal distances go by the smaller id.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,6 +33,8 @@ SAMPLE, MOST_LISTS, LIST_SIZE = 40_000, 8192, 256
 COPIES, COPY_RATIO = 4, 1.15
 #: The fewest lists of a query, and the distance ratio within which all lists are searched.
 PROBES, PROBE_RATIO = 24, 1.12
+#: Vectors of the sample whose neighbours in it set the ratio for other data, and the share of these neighbours that must be found.
+TRIED, FOUND = 256, 0.85
 #: Vectors and queries of a block.
 BLOCK, QUERY_BLOCK = 8192, 1024
 #: Rows of (list, query) that leave a task at a time.
@@ -43,10 +42,20 @@ PROBE_ROWS = 20_000
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of x from all rows of y, fast and nearly exact."""
+    """Squared distances of all rows of x from all rows of y, fast and nearly exact; taken about the mean of y, so that vectors far from zero keep their digits."""
+    mean = y.mean(axis=0)
+    x, y = x - mean, y - mean
     return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T, 0)
 
 
+def beyond(limit: float, q: np.ndarray, x: np.ndarray) -> float:
+    """A squared distance from ``q`` that no row of ``x`` of a true squared distance up to ``limit`` exceeds in ``distances``, whatever its rounding errors."""
+    eps, mean = np.finfo(float).eps, x.mean(axis=0)
+    inner = 4 * (x.shape[1] + 2) * eps * (((q - mean) ** 2).sum() + ((x - mean) ** 2).sum(axis=1).max())
+    moved = 2 * eps * np.sqrt(x.shape[1]) * (np.abs(x).max() + np.abs(q).max())
+    return (np.sqrt(limit + inner) + 2 * moved) ** 2 + inner
+
+
 def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
     """k-means of distinct vectors, whose smallest cells are given to the halves of the largest ones after each round.
 
@@ -73,41 +82,59 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -
 
 
 class Graph:
-    """Centroids with links to their nearest ones, searched best-first from a few spread entries."""
+    """Centroids below hubs: about the square root of their number, each as far as can be from those before it. A centroid hangs on its nearest hub.
+
+    Hubs are opened best-first, by the least distance that one of their centroids can have. The search ends when no closed hub can hold a centroid that is wanted,
+    so that it finds all of them, however far apart clusters lie.
+    """
 
-    def __init__(self, centroids: np.ndarray, links: int = 24, entries: int = 24):
+    def __init__(self, centroids: np.ndarray):
         self.c = centroids
-        k = min(links + 1, len(centroids))
-        self.links = np.concatenate([np.argsort(distances(centroids[i : i + 1024], centroids), axis=1, kind="stable")[:, :k] for i in range(0, len(centroids), 1024)])
-        self.entries = np.unique(np.linspace(0, len(centroids) - 1, min(entries, len(centroids))).astype(int))
-
-    def nearest(self, q: np.ndarray, n: int, ratio: float = 1.0, width: int = 96) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers and distances of about the n nearest centroids, and of all others within ``ratio`` of the least distance."""
-        measure = lambda ids: np.sqrt(((self.c[ids] - q) ** 2).sum(axis=1))
-        seen, d = set(self.entries.tolist()), measure(self.entries)
-        open_ = list(zip(d.tolist(), self.entries.tolist(), strict=True))
-        heapq.heapify(open_)
-        best, near, least = [(-x, i) for x, i in open_], list(open_), min(d.tolist())
-        heapq.heapify(best)
-        while open_:
-            x, i = heapq.heappop(open_)
-            if len(best) >= width and x > max(-best[0][0], ratio * least):
+        measure = lambda i: np.sqrt(((centroids - centroids[i]) ** 2).sum(axis=1))
+        hubs, of, far = [0], np.zeros(len(centroids), int), measure(0)
+        while len(hubs) ** 2 < len(centroids) and far.max() > 0:
+            hubs.append(int(far.argmax()))
+            d = measure(hubs[-1])
+            of, far = np.where(d < far, len(hubs) - 1, of), np.minimum(far, d)
+        self.hubs = centroids[hubs]
+        self.below = [np.flatnonzero(of == h) for h in range(len(hubs))]
+        self.radius = np.array([far[b].max() for b in self.below])
+
+    def nearest(self, q: np.ndarray, n: int, ratio: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers and distances of the n nearest centroids, and of all others within ``ratio`` of the least distance, nearest first."""
+        bound = np.sqrt(((self.hubs - q) ** 2).sum(axis=1)) - self.radius
+        at, d, limit = np.zeros(0, int), np.zeros(0), np.inf
+        for h in np.argsort(bound, kind="stable"):
+            if bound[h] > limit * (1 + 1e-9):
                 break
-            new = [j for j in self.links[i].tolist() if j not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            for y, j in zip(measure(np.array(new)).tolist(), new, strict=True):
-                least = min(least, y)
-                if len(best) < width or y < max(-best[0][0], ratio * least):
-                    heapq.heappush(open_, (y, j))
-                    near.append((y, j))
-                    heapq.heappush(best, (-y, j))
-                    if len(best) > width:
-                        heapq.heappop(best)
-        found = sorted(near)
-        found = found[: max(n, sum(x <= ratio * least for x, _ in found))]
-        return np.array([i for _, i in found]), np.array([x for x, _ in found])
+            at = np.r_[at, self.below[h]]
+            d = np.r_[d, np.sqrt(((self.c[self.below[h]] - q) ** 2).sum(axis=1))]
+            if len(d) >= n:
+                limit = max(np.partition(d, n - 1)[n - 1], ratio * d.min())
+        order = np.argsort(d, kind="stable")
+        order = order[: max(n, int((d <= ratio * d.min()).sum()))]
+        return at[order], d[order]
+
+
+def probe_ratio(graph: Graph, x: np.ndarray, k: int, seed: int = 3) -> float:
+    """The distance ratio within which ``FOUND`` of the nearest neighbours of vectors of the sample ``x``, by brute force, lie in lists that are searched; at least ``PROBE_RATIO``.
+
+    In the whole table neighbours are nearer than in a sample, so that fewer are missed there.
+    """
+    at = np.random.RandomState(seed).permutation(len(x))[:TRIED]
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return PROBE_RATIO
+    needed = []
+    for i in at:
+        d = distances(x[i : i + 1], x)[0]
+        d[i] = np.inf
+        near = np.argpartition(d, k - 1)[:k]
+        lists = distances(x[near], graph.c).argmin(axis=1)
+        to = np.sqrt(((graph.c - x[i]) ** 2).sum(axis=1))
+        rank = np.searchsorted(np.sort(to), to[lists])
+        needed.append(np.where((rank < PROBES) | (to.min() == 0), 0.0, to[lists] / max(to.min(), 1e-300)))
+    return max(PROBE_RATIO, float(np.quantile(np.concatenate(needed), FOUND, method="higher")))
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -150,14 +177,14 @@ def _posted(shared):
     return run
 
 
-def _probed(shared, sizes: np.ndarray, k: int):
+def _probed(shared, sizes: np.ndarray, k: int, ratio: float = PROBE_RATIO):
     def run(frames):
         graph = shared.value
         for pdf in frames:
             others = pdf.drop(columns="v")
             rows, names = [], ["list", *others.columns, "q"]
             for own, v in zip(others.itertuples(index=False), pdf["v"], strict=True):
-                near, d = graph.nearest(np.asarray(v), PROBES, PROBE_RATIO)
+                near, d = graph.nearest(np.asarray(v), PROBES, ratio)
                 if sizes[near].sum() < 8 * (k + 1) and len(near) < len(sizes):
                     d = np.sqrt(((graph.c - np.asarray(v)) ** 2).sum(axis=1))
                     near = np.argsort(d, kind="stable")
@@ -182,7 +209,7 @@ def _compared(k: int):
             for query, asker, own, q, d in zip(queries["query"], queries["asker"], queries["own"], rough, distances(rough, x), strict=True):
                 d[rows == own] = np.inf
                 limit = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                near = np.flatnonzero(d <= limit * (1 + 1e-9) + 1e-9) if np.isfinite(limit) else np.flatnonzero(np.isfinite(d))
+                near = np.flatnonzero(d <= beyond(limit, q, x)) if np.isfinite(limit) else np.flatnonzero(np.isfinite(d))
                 exact = np.sqrt(((x[near] - q) ** 2).sum(axis=1))
                 best = np.lexsort((rows[near], ids[near], exact))[:k]
                 out += zip([query] * len(best), [asker] * len(best), rows[near[best]].tolist(), ids[near[best]].tolist(), exact[best].tolist(), strict=True)
@@ -207,7 +234,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     count = dict(posted.groupBy("list").count().collect())
     sizes = np.array([count.get(i, 0) for i in range(len(graph.c))])
     asked = written(asking(usable(queries, id_col, vector_col).filter(F.size("v") == x.shape[1]), own), "ann-queries")
-    probed = written(asked.mapInPandas(_probed(shared, sizes, k), "list int, query long, id long, own long, q array<double>"), "ann-probes")
+    probed = written(asked.mapInPandas(_probed(shared, sizes, k, probe_ratio(graph, x, k)), "list int, query long, id long, own long, q array<double>"), "ann-probes")
     wanted = dict(probed.groupBy("list").count().collect())
     blocks = F.broadcast(spark.createDataFrame([(i, -(-count[i] // BLOCK), -(-wanted[i] // QUERY_BLOCK)) for i in count if i in wanted], "list int, parts long, query_parts long"))
     left = probed.join(blocks, "list").select("list", F.pmod(F.xxhash64("query"), "query_parts").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("vb"), "query", F.col("id").alias("asker"), "own", "q")

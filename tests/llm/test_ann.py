@@ -58,3 +58,24 @@ def test_rows_that_repeat_an_id_are_rows_of_their_own(spark):
     # a query that isn't a row of the table leaves none out
     other = spark.createDataFrame([(7, [1.5, 0.0])], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in sorted(ann.search(vectors, other, k=3).collect(), key=lambda r: r.rank)] == [1, 7, 7]
+
+
+def test_centroids_of_clusters_far_apart_are_found():
+    random = np.random.RandomState(4)
+    c = (random.normal(size=(60, 1, 16)) * 10 + random.normal(size=(60, 30, 16)) * 0.1).reshape(-1, 16)
+    graph = ann.Graph(c)
+    for q in c[::37] + random.normal(size=16) * 0.05:
+        d = np.sqrt(((c - q) ** 2).sum(axis=1))
+        assert graph.nearest(q, 24)[0].tolist() == np.argsort(d, kind="stable")[:24].tolist()
+
+
+def test_neighbours_far_from_zero_and_the_ratio_of_data_without_clusters():
+    random = np.random.RandomState(5)
+    x = random.normal(size=(500, 8)) + 1e9
+    x[::2] += 1e9
+    queries = pd.DataFrame({"query": [0], "asker": [0], "own": [0], "q": [x[0]]})
+    got = ann._compared(10)(queries, pd.DataFrame({"row": range(500), "id": range(500), "v": list(x)}))
+    d = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
+    assert got["id"].tolist() == [i for i in np.lexsort((np.arange(500), d)) if i][:10]
+    plain = random.normal(size=(20_000, 32))
+    assert ann.probe_ratio(ann.Graph(ann.balanced_centroids(plain, 1000)), plain, 10) > ann.PROBE_RATIO
