@@ -53,18 +53,43 @@ def with_before(df: DataFrame, key: str, pos: str, lags: list[int], values: list
     return got.filter(F.col("_row").isNotNull() & (F.size("_before") == len(lags))).select("_row.*", "_before")
 
 
+#: Rows of a group beyond which its median is sent to all tasks; smaller groups meet theirs in an exchange.
+LARGE = 200_000
+
+
 def medians(df: DataFrame, key: str, value: str, to: str = "median") -> DataFrame:
-    """(key, ``to``): the exact median of each group's values that aren't NULL, from the running counts of its distinct values in sorted ranges."""
+    """(key, ``to``, ``_all``): the exact median of each group's values that aren't NULL, and their number, from the running counts of its distinct values in sorted ranges.
+
+    Only ranges that hold a middle place are looked at row by row.
+    """
     counted = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    own = running_sums(numbered(counted, key, [value]), key, {"_upto": F.col("_n")})
-    own = own.join(own.groupBy(key).agg(F.sum("_n").alias("_all")), key)
+    own = numbered(counted, key, [value]).select(key, PART, ROW, value, "_n")
+    series = Window.partitionBy(key)
+    upto = F.sum("_part_n").over(series.orderBy(PART).rowsBetween(Window.unboundedPreceding, 0))
+    totals = own.groupBy(key, PART).agg(F.sum("_n").alias("_part_n")).select(key, PART, (upto - F.col("_part_n")).alias("_b"), upto.alias("_e"), F.sum("_part_n").over(series).alias("_all"))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    middle = totals.filter((F.col("_e") >= low) & (F.col("_b") < high))
+    own = own.join(middle, [key, PART])
+    own = own.withColumn("_upto", F.col("_b") + F.sum("_n").over(Window.partitionBy(key, PART).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)))
     holds = lambda place: F.max(F.when((F.col("_upto") - F.col("_n") < place) & (F.col("_upto") >= place), F.col(value)))
-    return own.groupBy(key).agg(((holds(F.floor((F.col("_all") + 1) / 2)) + holds(F.floor(F.col("_all") / 2) + 1)) / 2).alias(to))
+    return own.groupBy(key).agg(((holds(low) + holds(high)) / 2).alias(to), F.max("_all").alias("_all"))
+
+
+def with_medians(df: DataFrame, key: str, found: DataFrame, to: str) -> DataFrame:
+    """``df`` with each group's ``to`` of ``found`` (``medians``; NULL for others). Large groups, which are few, get theirs without being brought together; the rest by an exchange that holds none of their rows."""
+    found = written(found, "medians")
+    large = found.filter(F.col("_all") > LARGE).select(key, F.col(to).alias("_large"))
+    rest = found.filter(F.col("_all") <= LARGE).select(key, to)
+    got = df.join(F.broadcast(large), key, "left")
+    if rest.isEmpty():
+        return got.withColumnRenamed("_large", to)
+    here = got.filter(F.col("_large").isNotNull()).withColumnRenamed("_large", to)
+    return here.unionByName(got.filter(F.col("_large").isNull()).drop("_large").join(rest, key, "left"))
 
 
 def robust_z(df: DataFrame, key: str, value: str, to: str = "z") -> DataFrame:
     """``df`` with (x - median) / MAD, as ``functions.numeric.robust_z``, for groups of any size: two sorts by range, no group in one task."""
-    off = df.join(medians(df, key, value, "_median"), key, "left").withColumn("_off", F.col(value) - F.col("_median")).drop("_median")
+    off = with_medians(df, key, medians(df, key, value, "_median"), "_median").withColumn("_off", F.col(value) - F.col("_median")).drop("_median")
     off = written(off, "off-median")
-    off = off.join(medians(off.select(key, F.abs("_off").alias("_abs")), key, "_abs", "_mad"), key, "left")
+    off = with_medians(off, key, medians(off.select(key, F.abs("_off").alias("_abs")), key, "_abs", "_mad"), "_mad")
     return off.withColumn(to, F.col("_off") / F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(F.lit(1e-8))).drop("_off", "_mad")

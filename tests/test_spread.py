@@ -113,3 +113,23 @@ def test_rows_before_by_their_positions(spark):
     df = spark.createDataFrame([(k, i, i * 10) for k in ("a", None) for i in range(1, 6)], "k string, p long, v long").withColumn("v", F.when(F.col("p") != 4, F.col("v")))
     got = with_before(df.select(F.struct("k").alias("key"), "p", "v"), "key", "p", [1, 3], ["v"])
     assert sorted((str(r["key"]["k"]), r["p"], r["v"], [b["v"] for b in r["_before"]]) for r in got.collect()) == [(k, p, v, b) for k in ("None", "a") for p, v, b in ((4, None, [30, 10]), (5, 50, [None, 20]))]
+
+
+def test_rows_of_a_large_group_are_not_brought_together_for_its_median(spark, monkeypatch):
+    monkeypatch.setattr(spread, "LARGE", 100, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("a", float(i % 37)) for i in range(900)] + [("b", float(i * i)) for i in range(101)]
+        got = spread.robust_z(spark.createDataFrame(rows, "k string, v double"), "k", "v")
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        mixed = rows + [("c", 1.0), ("c", 2.0), ("c", 4.0), ("d", None)]
+        z = spread.robust_z(spark.createDataFrame(mixed, "k string, v double"), "k", "v").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(z) == len(mixed) and sorted(r.z for r in z if r.k == "c") == [-1, 0, 2]
+    assert [r.z for r in z if r.k == "d"] == [None]
+    for k in "ab":
+        v = np.array([x for g, x in rows if g == k])
+        off = v - np.median(v)
+        assert np.allclose(sorted(r.z for r in z if r.k == k), sorted(off / np.median(np.abs(off))))
