@@ -23,6 +23,8 @@ from rampwise.operators.spread import PART, POS, ROW, SIZE, numbered, running_su
 from rampwise.operators.spread import robust_z as spread_robust_z
 from rampwise.sources.scratch import written
 
+#: A z-score within this relative distance of the limit is a tie but for rounding errors: differences of running sums can't tell its side.
+TIE = 1e-9
 DIRECTIONS = ("positive", "negative", "both")
 
 
@@ -58,8 +60,23 @@ def _spread_sums(series: DataFrame) -> DataFrame:
     return got.unionByName(series.select("key").distinct().select("key", F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("s"), F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("c")))
 
 
-def block_votes(sums: DataFrame, runs: DataFrame, mad_k: float, direction: str, spread: bool = False) -> DataFrame:
-    """(key, m, w, st, vote) of the blocks that vote, for runs (key, m, lo, hi)."""
+def _direct(runs: DataFrame, points: DataFrame) -> DataFrame:
+    """(key, m, w, st, z) of all blocks of ``runs`` (key, m, w): slopes as their definition has them, each block's own sum in the order of its points (key, i, y)."""
+    b = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") / F.col("w")) - 1))
+    at = runs.withColumn("b", b).withColumn("st", F.floor((F.col("m") % F.col("w")) / 2) + F.col("w") * F.col("b")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)))
+    own = at.withColumn("i", F.col("st") + F.col("j")).join(points.select(*KEY, "i", F.when(finite(F.col("y")), F.col("y")).alias("y")), [*KEY, "i"])
+    w = F.col("w").cast("double")
+    own = own.groupBy(*KEY, "m", "w", "st").agg(F.sort_array(F.collect_list(F.struct("j", "y"))).alias("p")).filter(F.size("p") == F.col("w"))
+    total = F.aggregate("p", F.lit(0.0), lambda s, p: s + (p["j"] + 1 - (w + 1) / 2) * p["y"])
+    own = own.select(*KEY, "m", "w", "st", (total / (w * (w * w - 1) / 12)).alias("slope")).filter("slope is not null")
+    return robust_z(own, "slope", [*KEY, "m", "w"]).select(*KEY, "m", "w", "st", "z")
+
+
+def block_votes(sums: DataFrame, runs: DataFrame, mad_k: float, direction: str, spread: bool = False, points: DataFrame | None = None) -> DataFrame:
+    """(key, m, w, st, vote) of the blocks that vote, for runs (key, m, lo, hi).
+
+    Runs with a z-score at the very limit are computed once more from their ``points``, where these are given.
+    """
     keys = KEY
     lengths = runs.filter("m >= 3").select(*keys, "m", F.explode(F.sequence("lo", F.greatest("lo", F.least("hi", "m")))).alias("w")).filter("w <= m")
     b = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") / F.col("w")) - 1))
@@ -73,6 +90,11 @@ def block_votes(sums: DataFrame, runs: DataFrame, mad_k: float, direction: str,
         z = spread_robust_z(written(own.select(F.struct(*keys, "m", "w").alias("run"), "st", "slope"), "slopes"), "run", "slope").select("run.*", "st", "z")
     else:
         z = robust_z(own, "slope", [*keys, "m", "w"])
+    if points is not None:
+        z = written(z.select(*keys, "m", "w", "st", "z"), "votes")
+        ties = z.filter(F.abs(F.abs("z") - float(mad_k)) <= TIE * float(mad_k)).select(*keys, "m", "w").distinct()
+        if not ties.isEmpty():
+            z = z.join(ties, [*keys, "m", "w"], "left_anti").unionByName(_direct(ties, points))
     up, down = F.col("z") > float(mad_k), F.col("z") < -float(mad_k)
     vote = {"positive": F.when(up, 1), "negative": F.when(down, 1), "both": F.when(up, 1).when(down, -1)}[direction]
     return z.select(*keys, "m", "w", "st", vote.cast("long").alias("vote")).filter("vote is not null")
@@ -126,7 +148,7 @@ def detect_asvotes(signal: DataFrame, order_by: list[str], value: str = "signal"
     unclashing(signal.columns, "score")
     series = _prepared(signal, order_by, value, keys, spread)
     runs = _runs(series, low, highwl)
-    votes = block_votes(_spread_sums(series) if spread else _sums(series), runs, mad_k, direction, spread)
+    votes = block_votes(_spread_sums(series) if spread else _sums(series), runs, mad_k, direction, spread, series)
     got = series.join(_on_points(votes, runs, series, spread), ["key", "i"])
     return got.select("row.*", "score")
 
@@ -146,12 +168,12 @@ def detect_realtime(signal: DataFrame, time: str, value: str = "signal", lowwl:
     run = lambda m: m.select("key", "m", F.lit(low).cast("long").alias("lo"), _highest(F.col("m"), low, highwl).alias("hi"))
     first = run(size.select("key", F.col("burn").alias("m")))
     block = series.join(size, "key").filter("i < burn").select("key", "i")
-    block = _on_points(block_votes(sums, first, mad_k, direction), first, block)
+    block = _on_points(block_votes(sums, first, mad_k, direction, points=series), first, block)
     k0 = max(1, int(smooth_k))
     early = block.select("key", "i", F.avg("score").over(Window.partitionBy("key").orderBy("i").rowsBetween(1 - k0, 0)).alias("rt"))
     late = prefix_scores(series, F.least(F.greatest(F.lit(2), F.lit(first_block)), F.col("n")).cast("long"), low, highwl, mad_k, direction, k0)
     runs = _runs(series, low, highwl)
-    offline = _on_points(block_votes(sums, runs, mad_k, direction), runs, series)
+    offline = _on_points(block_votes(sums, runs, mad_k, direction, points=series), runs, series)
     got = series.join(early.unionByName(late), ["key", "i"], "left").join(offline, ["key", "i"])
     rt = F.coalesce("rt", F.lit(0.0))
     at = F.col("row").getField(time)
